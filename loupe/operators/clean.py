@@ -101,7 +101,7 @@ def money_to_double(col: Column | str) -> Column:
     """``$1,234.50`` -> 1234.5; blanks and unparsable text -> NULL."""
     c = F.col(col) if isinstance(col, str) else col
     stripped = F.regexp_replace(c, r"[,$]", "")
-    return F.try_cast(F.nullif(F.trim(stripped), F.lit("")), "double")
+    return F.nullif(F.trim(stripped), F.lit("")).try_cast("double")
 
 
 def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
