@@ -21,9 +21,13 @@ def inject_nulls(df: DataFrame, cols, key: str, every: int = NULL_EVERY) -> Data
 
 
 def r(col, digits: int = 6) -> Column:
-    """Round for comparison (sums of doubles differ in the last bits by order)."""
+    """Round a double for comparison: sign(x) * floor(|x| * 10^d + 0.5) / 10^d,
+    computed in binary floating point (not on the decimal text, as
+    ``F.round`` does), so identical doubles round identically in any engine
+    that rounds this way."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c, digits)
+    m = float(10 ** digits)
+    return (F.signum(c) * F.floor(F.abs(c) * F.lit(m) + F.lit(0.5)) / F.lit(m)).cast("double")
 
 
 def day(col: str) -> Column:

@@ -395,7 +395,7 @@ def row_share(spark, d):
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 4) AS sum_qty FROM lineitem GROUP BY 1, 2""")
 def sum_by_two(spark, d):
     li = Tables(spark, d).lineitem
-    return A.group_agg(li, ["l_returnflag", "l_linestatus"], {"sum_qty": F.round(F.sum("l_quantity"), 4)})
+    return A.group_agg(li, ["l_returnflag", "l_linestatus"], {"sum_qty": r(F.sum("l_quantity"), 4)})
 
 
 @query("count_by_facets", oracle="""
@@ -407,13 +407,13 @@ def count_by_facets(spark, d):
 
 
 @query("mean_ci", oracle="""
-SELECT l_returnflag, count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean,
-       round(avg(l_extendedprice) - 1.96 * stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice)), 4) AS ci_low,
-       round(avg(l_extendedprice) + 1.96 * stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice)), 4) AS ci_high
+SELECT l_returnflag, count(l_extendedprice) AS n, round(avg(l_extendedprice), 6) AS mean,
+       round(avg(l_extendedprice) - 1.96 * stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice)), 6) AS ci_low,
+       round(avg(l_extendedprice) + 1.96 * stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice)), 6) AS ci_high
 FROM lineitem GROUP BY l_returnflag""")
 def mean_ci(spark, d):
     m = A.mean_ci(Tables(spark, d).lineitem, "l_returnflag", "l_extendedprice")
-    return m.select("l_returnflag", "n", *[r(c, 4).alias(c) for c in ("mean", "ci_low", "ci_high")])
+    return m.select("l_returnflag", "n", *[r(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")])
 
 
 @query("distinct_then_count", oracle="""
@@ -431,7 +431,7 @@ SELECT c_mktsegment, c_custkey, total FROM (
 WHERE rn = 1""")
 def argmax_row(spark, d):
     t = Tables(spark, d)
-    tot = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    tot = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(r(F.sum("o_totalprice"), 2).alias("total"))
     j = tot.join(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey")
     return A.argmax_row(j, "c_custkey", "total", group="c_mktsegment")
 
@@ -462,7 +462,7 @@ GROUP BY l_partkey ORDER BY sum(l_extendedprice) DESC, l_partkey LIMIT 15""")
 def topk_sum(spark, d):
     g = Tables(spark, d).lineitem.groupBy("l_partkey").agg(F.sum("l_extendedprice").alias("_s"))
     top = A.top_k(g, [F.col("_s").desc(), F.col("l_partkey")], 15)
-    return top.select("l_partkey", F.round("_s", 2).alias("revenue"))
+    return top.select("l_partkey", r("_s", 2).alias("revenue"))
 
 
 @query("order_by_frequency", oracle="""

@@ -37,17 +37,17 @@ def _win(n_pre, n_post=0):
 
 
 @query("time_dummy", oracle=f"""
-SELECT ds, round(y, 4) AS y, row_number() OVER (ORDER BY ds) - 1 AS t FROM {DAILY_SQL}""")
+SELECT ds, round(y, 6) AS y, row_number() OVER (ORDER BY ds) - 1 AS t FROM {DAILY_SQL}""")
 def time_dummy(spark, d):
     s = S.position(daily_orders(Tables(spark, d)), "ds")
-    return s.select("ds", r("y", 4).alias("y"), "t")
+    return s.select("ds", r("y", 6).alias("y"), "t")
 
 
 @query("lag_feature", oracle=f"""
-SELECT ds, round(y, 4) AS y, round(lag(y, 1) OVER (ORDER BY ds), 4) AS y_lag_1 FROM {DAILY_SQL}""")
+SELECT ds, round(y, 6) AS y, round(lag(y, 1) OVER (ORDER BY ds), 6) AS y_lag_1 FROM {DAILY_SQL}""")
 def lag_feature(spark, d):
     s = S.with_lags(daily_orders(Tables(spark, d)), "y", "ds", [1])
-    return s.select("ds", r("y", 4).alias("y"), r("y_lag_1", 4).alias("y_lag_1"))
+    return s.select("ds", r("y", 6).alias("y"), r("y_lag_1", 6).alias("y_lag_1"))
 
 
 @query("rolling_mean_partial", oracle=f"""
@@ -62,24 +62,24 @@ def rolling_mean_partial(spark, d):
 
 
 @query("rolling_mean_std_full", oracle=f"""
-SELECT ds, round(y, 4) AS y,
-       round(CASE WHEN count(y) OVER ({_win(11)}) >= 12 THEN avg(y) OVER ({_win(11)}) END, 4) AS y_roll12_mean,
-       round(CASE WHEN count(y) OVER ({_win(11)}) >= 12 THEN stddev_samp(y) OVER ({_win(11)}) END, 4) AS y_roll12_std
+SELECT ds, round(y, 6) AS y,
+       round(CASE WHEN count(y) OVER ({_win(11)}) >= 12 THEN avg(y) OVER ({_win(11)}) END, 6) AS y_roll12_mean,
+       round(CASE WHEN count(y) OVER ({_win(11)}) >= 12 THEN stddev_samp(y) OVER ({_win(11)}) END, 6) AS y_roll12_std
 FROM {DAILY_SQL}""")
 def rolling_mean_std_full(spark, d):
     """rolling(12).mean()/.std(): NULL until 12 values are in the window."""
     s = S.rolling(daily_orders(Tables(spark, d)), "y", "ds", 12, stats=("mean", "std"))
-    return s.select("ds", r("y", 4).alias("y"), r("y_roll12_mean", 4).alias("y_roll12_mean"),
-                    r("y_roll12_std", 4).alias("y_roll12_std"))
+    return s.select("ds", r("y", 6).alias("y"), r("y_roll12_mean", 6).alias("y_roll12_mean"),
+                    r("y_roll12_std", 6).alias("y_roll12_std"))
 
 
 @query("rolling_centered", oracle=f"""
-SELECT ds, round(CASE WHEN count(y) OVER ({_win(182, 182)}) >= 183 THEN avg(y) OVER ({_win(182, 182)}) END, 4)
+SELECT ds, round(CASE WHEN count(y) OVER ({_win(182, 182)}) >= 183 THEN avg(y) OVER ({_win(182, 182)}) END, 6)
        AS y_roll365_mean FROM {DAILY_SQL}""")
 def rolling_centered(spark, d):
     """365-row centred mean, at least 183 values."""
     s = S.rolling(daily_orders(Tables(spark, d)), "y", "ds", 365, min_periods=183, centered=True)
-    return s.select("ds", r("y_roll365_mean", 4).alias("y_roll365_mean"))
+    return s.select("ds", r("y_roll365_mean", 6).alias("y_roll365_mean"))
 
 
 @query("resample_weekly", oracle=f"""
@@ -95,7 +95,7 @@ def resample_weekly(spark, d):
 
 
 @query("asfreq_daily_pad", oracle=f"""
-WITH s AS (SELECT CAST(o_orderdate AS DATE) AS ds, round(sum(o_totalprice), 4) AS y, count(*) AS n
+WITH s AS (SELECT CAST(o_orderdate AS DATE) AS ds, round(sum(o_totalprice), 6) AS y, count(*) AS n
            FROM orders WHERE {SLICE_WHERE} GROUP BY 1),
 cal AS (SELECT CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds FROM s)
 SELECT cal.ds, cal.ds IN (SELECT ds FROM s) AS present, s.y, s.n
@@ -105,7 +105,7 @@ def asfreq_daily_pad(spark, d):
     last present day's row."""
     o = sparse_orders(Tables(spark, d))
     s = o.groupBy(F.to_date("o_orderdate").alias("ds")).agg(
-        F.round(F.sum("o_totalprice"), 4).alias("y"), F.count(F.lit(1)).alias("n"))
+        r(F.sum("o_totalprice"), 6).alias("y"), F.count(F.lit(1)).alias("n"))
     return S.asfreq_pad(s, "ds", ["y", "n"])
 
 
@@ -166,7 +166,7 @@ def streamgraph_baseline(spark, d):
 
 
 @query("future_calendar", oracle=f"""
-SELECT ds, round(y, 4) AS y, false AS is_future FROM {DAILY_SQL}
+SELECT ds, round(y, 6) AS y, false AS is_future FROM {DAILY_SQL}
 UNION ALL
 SELECT CAST(unnest(generate_series((SELECT max(ds) FROM {DAILY_SQL}) + 1, (SELECT max(ds) FROM {DAILY_SQL}) + 30,
        INTERVAL 1 DAY)) AS DATE), NULL, true""")
@@ -174,22 +174,22 @@ def future_calendar(spark, d):
     """History plus the next 30 days (keys for forecasting)."""
     s = daily_orders(Tables(spark, d))
     fut = S.future_dates(s, "ds", 30)
-    return (s.select("ds", r("y", 4).alias("y"), F.lit(False).alias("is_future"))
+    return (s.select("ds", r("y", 6).alias("y"), F.lit(False).alias("is_future"))
             .unionByName(fut.select("ds", F.lit(None).cast("double").alias("y"), F.lit(True).alias("is_future"))))
 
 
 @query("split_ordered", oracle=f"""
 WITH s AS (SELECT ds, y, row_number() OVER (ORDER BY ds) - 1 AS p, count(*) OVER () AS n FROM {DAILY_SQL})
-SELECT ds, round(y, 4) AS y, CASE WHEN p < floor(0.9 * n) THEN 'train' ELSE 'test' END AS split
+SELECT ds, round(y, 6) AS y, CASE WHEN p < floor(0.9 * n) THEN 'train' ELSE 'test' END AS split
 FROM s WHERE p >= 3""")
 def split_ordered(spark, d):
     """Ordered split: rows [3, 0.9n) train, [0.9n, n) test."""
     s = S.ordered_split(daily_orders(Tables(spark, d)), "ds", 0.9, skip=3)
-    return s.select("ds", r("y", 4).alias("y"), "split")
+    return s.select("ds", r("y", 6).alias("y"), "split")
 
 
 @query("two_series_cut", oracle=f"""
-SELECT coalesce(a.ds, b.ds) AS ds, round(a.y, 4) AS orders_total, b.q AS shipped_qty
+SELECT coalesce(a.ds, b.ds) AS ds, round(a.y, 6) AS orders_total, b.q AS shipped_qty
 FROM {DAILY_SQL} a FULL OUTER JOIN {SHIP_SQL} b ON a.ds = b.ds
 WHERE coalesce(a.ds, b.ds) <= DATE '2000-06-14'""")
 def two_series_cut(spark, d):
@@ -197,7 +197,7 @@ def two_series_cut(spark, d):
     t = Tables(spark, d)
     a = daily_orders(t).where(F.col("ds") <= F.lit("2000-06-14").cast("date"))
     b = daily_ships(t).where(F.col("ds") <= F.lit("2000-06-14").cast("date"))
-    return a.join(b, "ds", "full").select("ds", r("y", 4).alias("orders_total"), F.col("q").alias("shipped_qty"))
+    return a.join(b, "ds", "full").select("ds", r("y", 6).alias("orders_total"), F.col("q").alias("shipped_qty"))
 
 
 @query("series_slice", oracle="""
@@ -234,8 +234,8 @@ def fourier_features(spark, d):
 WITH w AS (SELECT CAST(date_trunc('week', ds) AS DATE) + 6 AS week, avg(y) AS y FROM {DAILY_SQL} GROUP BY 1),
 cal AS (SELECT CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM w),
 x AS (SELECT cal.week, w.y FROM cal LEFT JOIN w USING (week))
-SELECT week, round(y, 2) AS y, """ + ", ".join(
-    f"round(avg(y) OVER (ORDER BY week ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 2) AS ma_{n}"
+SELECT week, round(y, 6) AS y, """ + ", ".join(
+    f"round(avg(y) OVER (ORDER BY week ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6) AS ma_{n}"
     for n in (4, 16, 28, 40, 52)) + " FROM x")
 def weekly_moving_averages(spark, d):
     """CMP1: weekly mean of the daily series, then 4/16/28/40/52-week trailing
@@ -243,15 +243,15 @@ def weekly_moving_averages(spark, d):
     w = S.resample_weekly(daily_orders(Tables(spark, d)), "ds", "y")
     for n in (4, 16, 28, 40, 52):
         w = S.rolling(w, "y", "week", n, min_periods=1, prefix=f"ma_{n}")
-    return w.select("week", r("y", 2).alias("y"), *[r(f"ma_{n}_mean", 2).alias(f"ma_{n}") for n in (4, 16, 28, 40, 52)])
+    return w.select("week", r("y", 6).alias("y"), *[r(f"ma_{n}_mean", 6).alias(f"ma_{n}") for n in (4, 16, 28, 40, 52)])
 
 
 @query("daily_moving_averages", oracle=f"""
-SELECT ds, round(y, 4) AS y, round(avg(y) OVER ({_win(9)}), 4) AS ma_10,
-       round(avg(y) OVER ({_win(49)}), 4) AS ma_50 FROM {DAILY_SQL}""")
+SELECT ds, round(y, 6) AS y, round(avg(y) OVER ({_win(9)}), 6) AS ma_10,
+       round(avg(y) OVER ({_win(49)}), 6) AS ma_50 FROM {DAILY_SQL}""")
 def daily_moving_averages(spark, d):
     """CMP2: daily series with 10- and 50-day trailing means."""
     s = daily_orders(Tables(spark, d))
     for n in (10, 50):
         s = S.rolling(s, "y", "ds", n, min_periods=1, prefix=f"ma_{n}")
-    return s.select("ds", r("y", 4).alias("y"), r("ma_10_mean", 4).alias("ma_10"), r("ma_50_mean", 4).alias("ma_50"))
+    return s.select("ds", r("y", 6).alias("y"), r("ma_10_mean", 6).alias("ma_10"), r("ma_50_mean", 6).alias("ma_50"))
