@@ -7,6 +7,7 @@ fixed-size results reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,3 +42,325 @@ def tabular_prepare(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[s
                                                            F.col(f"_sd_{c}")))
         out = out.drop(*[x for c in num_cols for x in (f"_med_{c}", f"_f_{c}", f"_mu_{c}", f"_sd_{c}")])
     return out
+
+
+# ----------------------------------------------------------------- OLS core
+def cross_products(df: DataFrame, cols: Sequence[str], keys=None) -> DataFrame:
+    """ONE aggregate of all pairwise sums sum(c_i * c_j), i <= j (the normal
+    equations' X'X with y included as a column), plus the row count.
+
+    The products of a row form one vector and ``Summarizer.sum`` adds the
+    vectors (a single aggregation buffer, partial sums per partition), which
+    is much cheaper to compile and run than hundreds of separate ``sum``
+    columns.  Rows with a null in any column are left out (listwise)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    ks = [] if keys is None else ([keys] if isinstance(keys, str) else list(keys))
+    prods = [F.col(a).cast("double") * F.col(cols[j]).cast("double")
+             for i, a in enumerate(cols) for j in range(i, len(cols))]
+    x = df.dropna(subset=list(cols)).select(*ks, array_to_vector(F.array(*prods)).alias("_v"))
+    g = x.groupBy(*ks) if ks else x
+    return g.agg(F.count(F.lit(1)).alias("_n"), Summarizer.sum(F.col("_v")).alias("_xp"))
+
+
+def gram_from_row(row, k: int):
+    """Rebuild the symmetric k x k matrix from a ``cross_products`` row."""
+    import numpy as np
+    m = np.zeros((k, k))
+    n = int(row["_n"])
+    if n == 0 or row["_xp"] is None:
+        return m, n
+    v = row["_xp"].toArray()
+    p = 0
+    for i in range(k):
+        for j in range(i, k):
+            m[i, j] = m[j, i] = v[p]
+            p += 1
+    return m, n
+
+
+def ols_from_gram(G, xi, yi, ridge: float = 0.0):
+    """Least squares from a Gram matrix G (columns: regressors ``xi``, target
+    ``yi``): coefficients, SSR, standard errors."""
+    import numpy as np
+    XtX = G[np.ix_(xi, xi)]
+    Xty = G[xi, yi]
+    yty = G[yi, yi]
+    A = XtX + ridge * np.eye(len(xi))
+    b = np.linalg.solve(A, Xty)
+    ssr = float(yty - 2 * b @ Xty + b @ XtX @ b)
+    return b, max(ssr, 0.0), A
+
+
+# --------------------------------------------------------- ADF unit root test
+# MacKinnon (2010) critical-value response surface and
+# MacKinnon (1994) p-value polynomials for the constant-only ADF regression,
+# one series (published tables).
+ADF_CRIT_C = {"1%": (-3.43035, -6.5393, -16.786, -79.433),
+              "5%": (-2.86154, -2.8903, -4.234, -40.040),
+              "10%": (-2.56677, -1.5384, -2.809, 0.0)}
+ADF_P_SMALL_C = (2.1659, 1.4412, 0.038269)
+ADF_P_LARGE_C = (1.7339, 0.93202 * 1e-1, -0.12745 * 1e-1, -0.010368 * 1e-2)
+ADF_TAU_MAX_C, ADF_TAU_MIN_C, ADF_TAU_STAR_C = 2.74, -18.83, -1.61
+
+
+def _norm_cdf(x: float) -> float:
+    return 0.5 * (1.0 + math.erf(x / math.sqrt(2.0)))
+
+
+def adf_pvalue(stat: float) -> float:
+    if stat > ADF_TAU_MAX_C:
+        return 1.0
+    if stat < ADF_TAU_MIN_C:
+        return 0.0
+    coef = ADF_P_SMALL_C if stat <= ADF_TAU_STAR_C else ADF_P_LARGE_C
+    return _norm_cdf(sum(c * stat ** i for i, c in enumerate(coef)))
+
+
+def adf_critical(nobs: int) -> dict:
+    return {k: sum(c / nobs ** i for i, c in enumerate(v)) for k, v in ADF_CRIT_C.items()}
+
+
+def _adf_design(df: DataFrame, value: str, order: str, maxlag: int) -> DataFrame:
+    w = Window.orderBy(order)
+    x = df.select(order, F.col(value).cast("double").alias("_x"))
+    x = x.withColumn("_lvl", F.lag("_x", 1).over(w)).withColumn("_dx", F.col("_x") - F.col("_lvl"))
+    x = x.select("*", *[F.lag("_dx", k).over(w).alias(f"_dx{k}") for k in range(1, maxlag + 1)])
+    return x.withColumn("_rn", F.row_number().over(w)).withColumn("_one", F.lit(1.0))
+
+
+def adf_test(df: DataFrame, value: str, order: str, maxlag: int | None = None,
+             autolag: str = "AIC") -> dict:
+    """Augmented Dickey-Fuller test with a constant, lag length by AIC.
+
+    The ordered series is one row per time point; the regressions use two
+    Spark aggregates of cross products (one on the common sample for the lag
+    search, one for the chosen lag), solved on the driver."""
+    n_obs = df.where(F.col(value).isNotNull()).count()
+    if maxlag is None:
+        maxlag = int(math.ceil(12.0 * (n_obs / 100.0) ** 0.25))
+        maxlag = max(0, min(n_obs // 2 - 2, maxlag))
+    x = _adf_design(df.where(F.col(value).isNotNull()), value, order, maxlag).cache()
+    cols = ["_one", "_lvl"] + [f"_dx{k}" for k in range(1, maxlag + 1)] + ["_dx"]
+    yi = len(cols) - 1
+    best = (0, None)
+    if autolag and maxlag > 0:
+        row = cross_products(x.where(F.col("_rn") > maxlag + 1), cols).first()
+        G, n = gram_from_row(row, len(cols))
+        best_aic = None
+        for lag in range(0, maxlag + 1):
+            xi = list(range(0, 2 + lag))
+            _, ssr, _ = ols_from_gram(G, xi, yi)
+            aic = n * math.log(2 * math.pi) + n * math.log(ssr / n) + n + 2 * len(xi)
+            if best_aic is None or aic < best_aic:
+                best_aic, best = aic, (lag, aic)
+        used = best[0]
+    else:
+        used = maxlag
+    cols2 = ["_one", "_lvl"] + [f"_dx{k}" for k in range(1, used + 1)] + ["_dx"]
+    row = cross_products(x.where(F.col("_rn") > used + 1), cols2).first()
+    x.unpersist()
+    G, n = gram_from_row(row, len(cols2))
+    import numpy as np
+    xi = list(range(0, len(cols2) - 1))
+    b, ssr, A = ols_from_gram(G, xi, len(cols2) - 1)
+    sigma2 = ssr / (n - len(xi))
+    se = math.sqrt(sigma2 * np.linalg.inv(A)[1, 1])
+    stat = float(b[1] / se)
+    crit = adf_critical(n)
+    return {"adf_stat": stat, "pvalue": adf_pvalue(stat), "usedlag": used, "nobs": n,
+            "crit_1": crit["1%"], "crit_5": crit["5%"], "crit_10": crit["10%"],
+            "icbest": best[1]}
+
+
+# ------------------------------------------------------------ ARIMA search
+def _lag_block(df: DataFrame, col: str, order: str, lags: int, prefix: str) -> DataFrame:
+    w = Window.orderBy(order)
+    return df.select("*", *[F.lag(col, k).over(w).alias(f"{prefix}{k}") for k in range(1, lags + 1)])
+
+
+def arima_select(df: DataFrame, value: str, order: str, max_p: int = 3, max_q: int = 3,
+                 max_d: int = 2, long_ar: int = 10, alpha: float = 0.05) -> list[dict]:
+    """Choose (p, d, q) by AIC.
+
+    d: difference until the ADF test rejects a unit root (at most ``max_d``).
+    AR and MA terms: Hannan-Rissanen — a long AR(``long_ar``) fit gives
+    innovation estimates e_t; then z_t is regressed on p lags of z and q lags
+    of e.  All candidates are solved from ONE cross-product aggregate on a
+    common sample; AIC = n log(SSR/n) + 2 (p + q + 1)."""
+    import numpy as np
+    w = Window.orderBy(order)
+    z = df.select(order, F.col(value).cast("double").alias("z")).where(F.col("z").isNotNull())
+    d = 0
+    while d < max_d and adf_test(z, "z", order)["pvalue"] >= alpha:
+        z = z.withColumn("z", F.col("z") - F.lag("z", 1).over(w)).where(F.col("z").isNotNull())
+        d += 1
+    # Stage 1: long autoregression -> innovations.
+    z1 = _lag_block(z, "z", order, long_ar, "_z").withColumn("_one", F.lit(1.0))
+    z1 = z1.withColumn("_rn", F.row_number().over(w)).cache()
+    c1 = ["_one"] + [f"_z{k}" for k in range(1, long_ar + 1)] + ["z"]
+    G, _ = gram_from_row(cross_products(z1.where(F.col("_rn") > long_ar), c1).first(), len(c1))
+    b1, _, _ = ols_from_gram(G, list(range(len(c1) - 1)), len(c1) - 1)
+    fit = F.lit(float(b1[0]))
+    for k in range(1, long_ar + 1):
+        fit = fit + F.lit(float(b1[k])) * F.col(f"_z{k}")
+    z2 = z1.withColumn("_e", F.when(F.col("_rn") > long_ar, F.col("z") - fit))
+    z2 = _lag_block(z2, "_e", order, max_q, "_e")
+    start = long_ar + max(max_p, max_q)
+    c2 = ["_one"] + [f"_z{k}" for k in range(1, max_p + 1)] + [f"_e{k}" for k in range(1, max_q + 1)] + ["z"]
+    G2, n = gram_from_row(cross_products(z2.where(F.col("_rn") > start), c2).first(), len(c2))
+    z1.unpersist()
+    out = []
+    for p in range(max_p + 1):
+        for q in range(max_q + 1):
+            xi = [0] + list(range(1, p + 1)) + list(range(1 + max_p, 1 + max_p + q))
+            _, ssr, _ = ols_from_gram(G2, xi, len(c2) - 1)
+            aic = n * math.log(ssr / n) + 2 * (p + q + 1) if ssr > 0 else float("-inf")
+            out.append({"p": p, "d": d, "q": q, "aic": aic, "nobs": n})
+    best = min(out, key=lambda r_: (r_["aic"], r_["p"] + r_["q"]))
+    for r_ in out:
+        r_["chosen"] = r_ is best
+    return out
+
+
+# ------------------------------------------------------- additive forecast
+def additive_design(df: DataFrame, ds: str, t0, span_days: float, changepoints: Sequence[float],
+                    weekly_order: int = 3, yearly_order: int = 10,
+                    holidays: DataFrame | None = None) -> tuple[DataFrame, dict]:
+    """Columns of an additive model: trend (t and hinges max(0, t - c_j) at
+    fixed changepoints, t scaled to [0, 1] over the history), weekly and
+    yearly Fourier terms, and a holiday indicator (broadcast join with a
+    small calendar table)."""
+    day_num = F.datediff(F.col(ds), F.lit(t0).cast("date")).cast("double")
+    x = df.withColumn("_t", day_num / F.lit(span_days))
+    groups = {"trend": ["_t"], "weekly": [], "yearly": [], "holidays": []}
+    for j, c in enumerate(changepoints):
+        x = x.withColumn(f"_cp{j}", F.greatest(F.lit(0.0), F.col("_t") - F.lit(c)))
+        groups["trend"].append(f"_cp{j}")
+    for period, order_, name in ((7.0, weekly_order, "weekly"), (365.25, yearly_order, "yearly")):
+        for i in range(1, order_ + 1):
+            ang = F.lit(2 * math.pi * i / period) * day_num
+            x = x.withColumn(f"_{name}_s{i}", F.sin(ang)).withColumn(f"_{name}_c{i}", F.cos(ang))
+            groups[name] += [f"_{name}_s{i}", f"_{name}_c{i}"]
+    if holidays is not None:
+        h = holidays.select(F.col("ds").alias(ds)).distinct().withColumn("_hol", F.lit(1.0))
+        x = x.join(F.broadcast(h), ds, "left").withColumn("_hol", F.coalesce(F.col("_hol"), F.lit(0.0)))
+        groups["holidays"].append("_hol")
+    return x.withColumn("_one", F.lit(1.0)), groups
+
+
+def additive_forecast(history: DataFrame, ds: str, y: str, horizon: int = 364,
+                      n_changepoints: int = 10, changepoint_range: float = 0.8,
+                      holidays: DataFrame | None = None, ridge: float = 1e-3,
+                      z: float = 1.96) -> DataFrame:
+    """Fit trend + weekly + yearly + holidays by ridge least squares (one
+    cross-product aggregate over the history rows — several rows per date
+    are fine) and predict the history dates plus ``horizon`` future days.
+
+    Output: ds, trend, weekly, yearly, holidays, yhat, yhat_lower, yhat_upper
+    (interval: yhat +- z * residual std)."""
+    import numpy as np
+    b = history.agg(F.min(ds).alias("lo"), F.max(ds).alias("hi")).first()
+    t0, t1 = b["lo"], b["hi"]
+    span = float(max((t1 - t0).days, 1))
+    cps = [changepoint_range * (j + 1) / (n_changepoints + 1) for j in range(n_changepoints)]
+    x, groups = additive_design(history, ds, t0, span, cps, holidays=holidays)
+    cols = ["_one"] + [c for g in ("trend", "weekly", "yearly", "holidays") for c in groups[g]] + [y]
+    G, n = gram_from_row(cross_products(x.withColumn(y, F.col(y).cast("double")), cols).first(), len(cols))
+    xi = list(range(len(cols) - 1))
+    # scale the penalty to the data so that it only stabilises the solve
+    coef, ssr, _ = ols_from_gram(G, xi, len(cols) - 1, ridge=ridge * float(np.mean(np.diag(G)[xi])))
+    sigma = math.sqrt(ssr / max(n - len(xi), 1))
+    spark = history.sparkSession
+    dates = history.select(F.col(ds)).distinct()
+    fut = spark.range(1, horizon + 1).select(F.date_add(F.lit(t1), F.col("id").cast("int")).alias(ds))
+    grid, _ = additive_design(dates.unionByName(fut), ds, t0, span, cps, holidays=holidays)
+    beta = dict(zip(cols[:-1], coef))
+
+    def part(names):
+        e = F.lit(0.0)
+        for c in names:
+            e = e + F.lit(float(beta[c])) * F.col(c)
+        return e
+
+    trend = part(["_one"] + groups["trend"])
+    out = grid.select(ds, trend.alias("trend"), part(groups["weekly"]).alias("weekly"),
+                      part(groups["yearly"]).alias("yearly"), part(groups["holidays"]).alias("holidays"))
+    yhat = F.col("trend") + F.col("weekly") + F.col("yearly") + F.col("holidays")
+    return (out.withColumn("yhat", yhat)
+            .withColumn("yhat_lower", F.col("yhat") - z * sigma)
+            .withColumn("yhat_upper", F.col("yhat") + z * sigma))
+
+
+# ------------------------------------------------------------ ML pipelines
+def gbt_classifier_pipeline(num_cols: Sequence[str], cat_cols: Sequence[str], label: str,
+                            max_iter: int = 20, seed: int = 42):
+    """Imputer(most frequent) -> StandardScaler -> GBTClassifier, with
+    categorical columns indexed first (unseen -> extra index)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+    stages = []
+    idx_cols = []
+    for c in cat_cols:
+        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
+                                    stringOrderType="alphabetAsc"))
+        idx_cols.append(f"{c}_idx")
+    imp_out = [f"{c}_imp" for c in num_cols]
+    stages.append(Imputer(inputCols=list(num_cols), outputCols=imp_out, strategy="mode"))
+    stages.append(VectorAssembler(inputCols=imp_out + idx_cols, outputCol="_raw", handleInvalid="keep"))
+    stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True))
+    stages.append(GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=4,
+                                seed=seed, checkpointInterval=10))
+    return Pipeline(stages=stages)
+
+
+def gbt_regressor_pipeline(num_cols: Sequence[str], cat_cols: Sequence[str], label: str,
+                           max_iter: int = 20, seed: int = 42):
+    """Categorify (index) + median fill + scale -> GBTRegressor."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    stages = []
+    idx_cols = []
+    for c in cat_cols:
+        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
+                                    stringOrderType="alphabetAsc"))
+        idx_cols.append(f"{c}_idx")
+    imp_out = [f"{c}_imp" for c in num_cols]
+    stages.append(Imputer(inputCols=list(num_cols), outputCols=imp_out, strategy="median"))
+    stages.append(VectorAssembler(inputCols=imp_out + idx_cols, outputCol="_raw", handleInvalid="keep"))
+    stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True))
+    stages.append(GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=5,
+                               seed=seed, checkpointInterval=10))
+    return Pipeline(stages=stages)
+
+
+# ----------------------------------------------------------------- metrics
+def rmsle(df: DataFrame, target: str, pred: str, keys=None) -> DataFrame:
+    ks = [] if keys is None else ([keys] if isinstance(keys, str) else list(keys))
+    e = F.log1p(F.col(target)) - F.log1p(F.col(pred))
+    g = df.groupBy(*ks) if ks else df
+    return g.agg(F.sqrt(F.avg(e * e)).alias("rmsle"))
+
+
+def mae_mse(df: DataFrame, target: str, pred: str, keys=None) -> DataFrame:
+    ks = [] if keys is None else ([keys] if isinstance(keys, str) else list(keys))
+    e = F.col(target) - F.col(pred)
+    g = df.groupBy(*ks) if ks else df
+    return g.agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"))
+
+
+def auc_rank(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Exact ROC AUC by the rank-sum rule with tied scores sharing ranks:
+    rows are grouped by score (pos/neg counts per distinct score), negatives
+    below each score come from a distributed running sum, and
+    AUC = sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N)."""
+    from loupe.operators.series import cumulative_sum
+    g = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(
+        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
+        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("_neg"))
+    g = cumulative_sum(g, score, "_neg", out="_cneg")
+    contrib = F.col("_pos") * (F.col("_cneg") - F.col("_neg") + F.col("_neg") / 2.0)
+    return g.agg((F.sum(contrib) / (F.sum("_pos") * F.sum("_neg"))).alias("auc"),
+                 F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
