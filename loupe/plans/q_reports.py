@@ -60,3 +60,239 @@ def top10_by_class(spark, sf_dir):
          .withColumn("medal_class", F.when(F.col("_g") == 0, F.col("medal_class")).otherwise(F.lit("ALL"))))
     r = top_n_per_group(g, "medal_class", [F.col("medals").desc(), F.col("n_name")], 10)
     return r.select("medal_class", "n_name", "medals", F.col("rank").cast("long").alias("rank"))
+
+
+# --------------------------------------------------------------------------
+from loupe.functions import dates as D  # noqa: E402
+from loupe.functions.text import multi_hot as _multi_hot  # noqa: E402
+from loupe.operators import aggregate as A  # noqa: E402
+from loupe.operators import clean as C  # noqa: E402
+from loupe.operators import stats as ST  # noqa: E402
+from loupe.operators.relate import semi_join_top_k  # noqa: E402
+from loupe.plans.common import r  # noqa: E402
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("catalog_clean", oracle="""
+WITH raw AS (
+  SELECT o_custkey,
+         CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+         CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+         CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE strftime(o_orderdate, '%B %-d, %Y') END AS date_text
+  FROM orders),
+m AS (SELECT o_orderpriority AS m FROM raw WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+c AS (
+  SELECT DISTINCT o_custkey, coalesce(o_orderstatus, 'No Data') AS o_orderstatus,
+         coalesce(o_orderpriority, (SELECT m FROM m)) AS o_orderpriority,
+         CAST(strptime(date_text, '%B %d, %Y') AS DATE) AS date_added
+  FROM raw WHERE date_text IS NOT NULL)
+SELECT *, CAST(year(date_added) AS INTEGER) AS year_added, CAST(month(date_added) AS INTEGER) AS month_added,
+       monthname(date_added) AS month_name_added FROM c""")
+def catalog_clean(spark, d):
+    """CMP3: parse text dates, fill the mode / a constant, drop rows still
+    missing, drop duplicates, derive year / month / month name."""
+    from loupe.plans.common import inject_nulls
+    o = Tables(spark, d).orders
+    o = inject_nulls(o, "o_orderstatus", "o_orderkey", 11)
+    o = inject_nulls(o, "o_orderpriority", "o_orderkey", 7)
+    txt = F.when(F.col("o_orderkey") % 13 != 0, F.date_format("o_orderdate", "MMMM d, yyyy"))
+    raw = o.select("o_custkey", "o_orderstatus", "o_orderpriority", txt.alias("date_text"))
+    x = raw.withColumn("date_added", D.parse_date("date_text", "MMMM d, yyyy")).drop("date_text")
+    x = C.fill_mode(x, ["o_orderpriority"])
+    x = C.fill_const(x, "No Data", ["o_orderstatus"])
+    x = C.dedup(C.drop_nulls(x))
+    return x.select("*", F.year("date_added").alias("year_added"), F.month("date_added").alias("month_added"),
+                    D.month_name("date_added").alias("month_name_added"))
+
+
+def _cust_nation(t):
+    return t.customer.select("c_custkey", "c_mktsegment", "c_nationkey").join(
+        bounded(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")), "c_nationkey")
+
+
+@query("share_by_top_group", oracle="""
+WITH j AS (SELECT n.n_name, c.c_mktsegment FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+top AS (SELECT n_name FROM j GROUP BY 1 ORDER BY count(*) DESC, n_name LIMIT 11),
+p AS (PIVOT (SELECT * FROM j WHERE n_name IN (SELECT n_name FROM top))
+      ON c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY') USING count(*) GROUP BY n_name)
+SELECT n_name, AUTOMOBILE + BUILDING + FURNITURE + HOUSEHOLD + MACHINERY AS total,
+       round(AUTOMOBILE / total, 6) AS AUTOMOBILE, round(BUILDING / total, 6) AS BUILDING,
+       round(FURNITURE / total, 6) AS FURNITURE, round(HOUSEHOLD / total, 6) AS HOUSEHOLD,
+       round(MACHINERY / total, 6) AS MACHINERY FROM p""")
+def share_by_top_group(spark, d):
+    """CMP4: for the 11 nations with most customers, each segment's share of
+    the nation's customers (pivot, row total, row share), by total desc."""
+    j = _cust_nation(Tables(spark, d))
+    top = semi_join_top_k(j, "n_name", 11)
+    p = A.pivot_counts(top, "n_name", "c_mktsegment", SEGMENTS)
+    p = p.withColumn("total", A.row_sum(SEGMENTS))
+    return p.select("n_name", "total", *[r(F.col(s) / F.col("total")).alias(s) for s in SEGMENTS]).orderBy(
+        F.col("total").desc(), "n_name")
+
+
+@query("mirrored_counts", oracle="""
+SELECT o_orderpriority, -count(*) FILTER (WHERE o_orderstatus = 'F') AS F,
+       count(*) FILTER (WHERE o_orderstatus = 'O') AS O FROM orders GROUP BY 1""")
+def mirrored_counts(spark, d):
+    """CMP5: priority x status counts (missing = 0), one side negated for a
+    mirrored bar chart."""
+    p = A.pivot_counts(Tables(spark, d).orders.where(F.col("o_orderstatus").isin("F", "O")),
+                       "o_orderpriority", "o_orderstatus", ["F", "O"])
+    return p.select("o_orderpriority", (-F.col("F")).alias("F"), "O")
+
+
+@query("counts_per_year", oracle="""
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS count FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
+def counts_per_year(spark, d):
+    """CMP6: filter one type, count per year, sort by year."""
+    o = Tables(spark, d).orders.where(F.col("o_orderstatus") == "F").withColumn("year", F.year("o_orderdate"))
+    return A.value_counts(o, "year").orderBy("year")
+
+
+@query("mix_of_top_groups", oracle="""
+WITH j AS (SELECT n.n_name, c.c_mktsegment FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+top AS (SELECT n_name FROM j GROUP BY 1 ORDER BY count(*) DESC, n_name LIMIT 10),
+c AS (SELECT n_name, c_mktsegment, count(*) AS n FROM j WHERE n_name IN (SELECT n_name FROM top) GROUP BY 1, 2)
+SELECT c_mktsegment, n_name, round(n / sum(n) OVER (PARTITION BY n_name), 6) AS share FROM c""")
+def mix_of_top_groups(spark, d):
+    """CMP7: segment mix within each of the top 10 nations (crosstab
+    normalised by nation, transposed to segment rows; long form)."""
+    j = semi_join_top_k(_cust_nation(Tables(spark, d)), "n_name", 10)
+    c = A.value_counts(j, ["n_name", "c_mktsegment"], "n")
+    s = A.share_within(c, "n_name", "n", "share")
+    return s.select("c_mktsegment", "n_name", r("share").alias("share"))
+
+
+@query("gap_of_top_groups", oracle="""
+WITH os AS (SELECT l_orderkey, min(l_shipdate) AS first_ship FROM lineitem GROUP BY 1),
+j AS (SELECT n.n_name, o.o_orderstatus, year(o.o_orderdate) AS oy, year(os.first_ship) AS sy
+      FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+      JOIN os ON os.l_orderkey = o.o_orderkey),
+top AS (SELECT n_name FROM j GROUP BY 1 ORDER BY count(*) DESC, n_name LIMIT 10)
+SELECT o_orderstatus, n_name, round_even(avg(oy), 0) + 0.0 AS mean_order_year, round_even(avg(sy), 0) + 0.0 AS mean_ship_year,
+       round_even(avg(sy), 0) - round_even(avg(oy), 0) + 0.0 AS gap
+FROM j WHERE n_name IN (SELECT n_name FROM top) AND o_orderstatus IN ('F', 'O') GROUP BY 1, 2""")
+def gap_of_top_groups(spark, d):
+    """CMP8: for the top 10 nations, mean order year vs mean first-ship year
+    (rounded half to even), per status."""
+    t = Tables(spark, d)
+    ship = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("first_ship"))
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", F.year("o_orderdate").alias("oy"))
+    j = o.join(ship, "o_orderkey").join(
+        _cust_nation(t).select(F.col("c_custkey").alias("o_custkey"), "n_name"), "o_custkey")
+    j = semi_join_top_k(j.withColumn("sy", F.year("first_ship")), "n_name", 10)
+    g = j.where(F.col("o_orderstatus").isin("F", "O")).groupBy("o_orderstatus", "n_name").agg(
+        F.bround(F.avg("oy"), 0).alias("mean_order_year"), F.bround(F.avg("sy"), 0).alias("mean_ship_year"))
+    return g.withColumn("gap", F.col("mean_ship_year") - F.col("mean_order_year")).orderBy(F.col("gap").desc(), "n_name")
+
+
+@query("tag_correlation", oracle="""
+WITH p AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS tag FROM part WHERE p_brand = 'Brand#1'),
+n AS (SELECT count(DISTINCT p_partkey) AS n FROM p),
+t AS (SELECT tag, count(DISTINCT p_partkey) AS k FROM p GROUP BY tag),
+pr AS (SELECT a.tag AS feature_i, b.tag AS feature_j, count(DISTINCT a.p_partkey) AS kab
+       FROM p a JOIN p b ON a.p_partkey = b.p_partkey AND a.tag > b.tag GROUP BY 1, 2),
+pairs AS (SELECT ti.tag AS feature_i, tj.tag AS feature_j, ti.k AS ki, tj.k AS kj FROM t ti JOIN t tj ON ti.tag > tj.tag)
+SELECT pairs.feature_i, pairs.feature_j,
+       round((n * coalesce(kab, 0) - ki * kj) / sqrt(ki * (n - ki) * kj * (n - kj)), 9) AS corr
+FROM pairs LEFT JOIN pr USING (feature_i, feature_j), n""")
+def tag_correlation(spark, d):
+    """CMP9: filter one brand, split names into tags, indicator columns,
+    Pearson correlation of every tag pair (lower triangle)."""
+    p = Tables(spark, d).part.where(F.col("p_brand") == "Brand#1").select("p_partkey", F.split("p_name", " ").alias("tags"))
+    classes = sorted(x[0] for x in p.select(F.explode("tags").alias("t")).distinct().limit(1001).collect())
+    mh = _multi_hot(p, "tags", classes)
+    # pairs ordered as in the oracle: feature_i > feature_j by name
+    c = ST.corr_long(mh, sorted(classes))
+    return c.select("feature_i", "feature_j", r("corr", 9).alias("corr"))
+
+
+@query("top_members", oracle="""
+SELECT o_custkey, count(o_orderkey) AS n_orders FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def top_members(spark, d):
+    """CMP10: members with the most records (count, then top 10)."""
+    g = A.group_count(Tables(spark, d).orders, "o_custkey", "o_orderkey", "n_orders")
+    return A.top_k(g, [F.col("n_orders").desc(), F.col("o_custkey")], 10)
+
+
+@query("top_combinations", oracle="""
+WITH j AS (SELECT n.n_name, c.c_mktsegment, o.o_orderpriority, year(o.o_orderdate) AS year
+           FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+           WHERE o.o_orderstatus IN ('F', 'O')),
+s AS (SELECT n_name, c_mktsegment, o_orderpriority, year, count(*) AS size FROM j GROUP BY ALL
+      ORDER BY size DESC, n_name, c_mktsegment, o_orderpriority, year LIMIT 100)
+SELECT n_name, c_mktsegment, CAST(sum(size) AS BIGINT) AS total FROM s GROUP BY 1, 2""")
+def top_combinations(spark, d):
+    """CMP11: size per (nation, segment, priority, year), top 100, then summed
+    by (nation, segment)."""
+    t = Tables(spark, d)
+    o = t.orders.where(F.col("o_orderstatus").isin("F", "O")).select(
+        F.col("o_custkey").alias("c_custkey"), "o_orderpriority", F.year("o_orderdate").alias("year"))
+    j = o.join(_cust_nation(t), "c_custkey")
+    keys = ["n_name", "c_mktsegment", "o_orderpriority", "year"]
+    s = A.group_size(j, keys)
+    top = A.top_k(s, [F.col("size").desc()] + [F.col(k) for k in keys], 100)
+    return top.groupBy("n_name", "c_mktsegment").agg(F.sum("size").alias("total"))
+
+
+@query("stacked_by_class", oracle="""
+SELECT p.p_type, l.l_returnflag, count(l.l_orderkey) AS count
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_returnflag IN ('A', 'R') GROUP BY 1, 2""")
+def stacked_by_class(spark, d):
+    """CMP14: counts per (type, class), kept for the chosen classes."""
+    t = Tables(spark, d)
+    j = t.lineitem.select("l_orderkey", "l_partkey", "l_returnflag").join(
+        t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
+    g = A.group_count(j, ["p_type", "l_returnflag"], "l_orderkey")
+    return g.where(F.col("l_returnflag").isin("A", "R"))
+
+
+@query("dimension_means", oracle="""
+WITH j AS (SELECT l.l_extendedprice AS sales, CAST(year(l.l_shipdate) AS VARCHAR) AS year,
+                  CAST(month(l.l_shipdate) AS VARCHAR) AS month, CAST(isodow(l.l_shipdate) - 1 AS VARCHAR) AS weekday,
+                  p.p_brand, CAST(p.p_size AS VARCHAR) AS p_size
+           FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey)
+SELECT 'year' AS dimension, year AS value, round(avg(sales), 6) AS mean, count(*) AS n FROM j GROUP BY 2
+UNION ALL SELECT 'month', month, round(avg(sales), 6), count(*) FROM j GROUP BY 2
+UNION ALL SELECT 'weekday', weekday, round(avg(sales), 6), count(*) FROM j GROUP BY 2
+UNION ALL SELECT 'p_brand', p_brand, round(avg(sales), 6), count(*) FROM j GROUP BY 2
+UNION ALL SELECT 'p_size', p_size, round(avg(sales), 6), count(*) FROM j GROUP BY 2""")
+def dimension_means(spark, d):
+    """CMP15: date parts + left join to the product dimension, then mean
+    sales by five dimensions in one GROUPING SETS pass."""
+    t = Tables(spark, d)
+    li = t.lineitem.select("l_partkey", F.col("l_extendedprice").alias("sales"), "l_shipdate")
+    li = li.select("l_partkey", "sales", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),
+                   F.weekday("l_shipdate").alias("weekday"))
+    j = li.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size"), "l_partkey", "left")
+    g = A.grouping_sets_mean(j, ["year", "month", "weekday", "p_brand", "p_size"], "sales")
+    return g.select("dimension", "value", r("mean").alias("mean"), "n")
+
+
+@query("totals_in_millions", oracle="""
+WITH j AS (SELECT s.s_name, n.n_name, rg.r_name, l.l_extendedprice AS sales
+           FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
+           JOIN region rg ON n.n_regionkey = rg.r_regionkey),
+t AS (SELECT 'supplier' AS level, s_name AS name, sum(sales) AS total FROM j GROUP BY 2
+      UNION ALL SELECT 'nation', n_name, sum(sales) FROM j GROUP BY 2
+      UNION ALL SELECT 'region', r_name, sum(sales) FROM j GROUP BY 2)
+SELECT level, name, round(total / 1e6, 6) AS total_m, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY level ORDER BY total DESC, name) AS rank FROM t) WHERE rank <= 55""")
+def totals_in_millions(spark, d):
+    """CMP16: total sales per supplier / nation / region, top 55 each, in
+    millions (one GROUPING SETS aggregate after pre-aggregating per supplier)."""
+    t = Tables(spark, d)
+    per_supp = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.sum("l_extendedprice").alias("sales"))
+    dims = (t.supplier.select("s_suppkey", "s_name", F.col("s_nationkey").alias("n_nationkey"))
+            .join(bounded(t.nation.select("n_nationkey", "n_name", F.col("n_regionkey").alias("r_regionkey"))), "n_nationkey")
+            .join(bounded(t.region.select("r_regionkey", "r_name")), "r_regionkey"))
+    j = per_supp.join(dims, "s_suppkey")
+    g = j.groupingSets([["s_name"], ["n_name"], ["r_name"]], "s_name", "n_name", "r_name").agg(
+        F.sum("sales").alias("total"), F.grouping_id().alias("_g"))
+    lvl = F.when(F.col("_g") == 3, "supplier").when(F.col("_g") == 5, "nation").otherwise("region")
+    name = F.coalesce("s_name", "n_name", "r_name")
+    g = g.select(lvl.alias("level"), name.alias("name"), "total")
+    top = A.top_n_per_group(g, "level", [F.col("total").desc(), F.col("name")], 55)
+    return top.select("level", "name", r(F.col("total") / 1e6).alias("total_m"), F.col("rank").cast("long"))
