@@ -186,3 +186,46 @@ def seasonal_means(df: DataFrame, value: str, ds: str) -> DataFrame:
                     F.when(weekly, F.col("week")).otherwise(F.col("year")).alias("period"),
                     F.when(weekly, F.col("weekday")).otherwise(F.col("dayofyear")).alias("position"),
                     "mean", "n")
+
+
+def lowess_binned(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, bins: int = 200) -> DataFrame:
+    """Locally weighted linear fit (tricube weights, no robustness passes)
+    evaluated at up to ``bins`` centres.
+
+    1. One aggregate bins x into ``bins`` equal-width bins and keeps each
+       bin's count and sums (x, y, x^2, xy) — the only pass over the rows.
+    2. Each non-empty bin's mean x is a centre.  For a centre, bins are
+       ranked by distance; the bandwidth h is the distance at which the
+       cumulative count first reaches ceil(frac * n).
+    3. Weights w = (1 - (d/h)^3)^3 (d < h) apply to every point of a bin;
+       the weighted least-squares line from the bin sums gives the fit.
+    Steps 2-3 work on at most bins x bins rows."""
+    v = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    st = v.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    b = v.crossJoin(F.broadcast(st)).withColumn(
+        "_b", F.least(F.floor(F.try_divide(F.col("_x") - F.col("_lo"), width)), F.lit(bins - 1)))
+    b = b.withColumn("_b", F.coalesce(F.col("_b"), F.lit(0)))
+    g = b.groupBy("_b").agg(F.count(F.lit(1)).alias("m"), F.sum("_x").alias("sx"), F.sum("_y").alias("sy"),
+                            F.sum(F.col("_x") * F.col("_x")).alias("sxx"), F.sum(F.col("_x") * F.col("_y")).alias("sxy"),
+                            F.first("_n").alias("n"))
+    g = g.withColumn("c", F.col("sx") / F.col("m")).cache()
+    cen = g.select(F.col("_b").alias("centre_bin"), F.col("c").alias("centre"), F.col("n"))
+    pairs = cen.crossJoin(F.broadcast(g.drop("n"))).withColumn("d", F.abs(F.col("c") - F.col("centre")))
+    w_rank = Window.partitionBy("centre_bin").orderBy("d", "_b").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = pairs.withColumn("cum", F.sum("m").over(w_rank))
+    need = F.ceil(F.col("n") * F.lit(frac))
+    h = (pairs.where(F.col("cum") >= need).groupBy("centre_bin").agg(F.min("d").alias("h")))
+    p = pairs.join(h, "centre_bin")
+    u = F.when(F.col("h") > 0, F.col("d") / F.col("h")).otherwise(F.lit(0.0))
+    w = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
+    p = p.withColumn("w", w)
+    s = p.groupBy("centre_bin", "centre").agg(
+        F.sum(F.col("w") * F.col("m")).alias("s0"), F.sum(F.col("w") * F.col("sx")).alias("s1"),
+        F.sum(F.col("w") * F.col("sxx")).alias("s2"), F.sum(F.col("w") * F.col("sy")).alias("t0"),
+        F.sum(F.col("w") * F.col("sxy")).alias("t1"))
+    det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
+    slope = F.when(det != 0, (F.col("s0") * F.col("t1") - F.col("s1") * F.col("t0")) / det).otherwise(F.lit(0.0))
+    inter = (F.col("t0") - slope * F.col("s1")) / F.col("s0")
+    return s.select("centre_bin", "centre", (inter + slope * F.col("centre")).alias("fitted"))

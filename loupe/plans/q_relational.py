@@ -510,3 +510,20 @@ SELECT DISTINCT unnest(string_split(p_name, ' ')) AS member FROM part""")
 def distinct_tags(spark, d):
     p = Tables(spark, d).part
     return R.distinct_members(p, F.split("p_name", " "))
+
+
+# ----------------------------------------------------------------- sampling
+@query("sample_seeded")
+def sample_seeded(spark, d):
+    """FIL8: 5 reproducible random rows: order by a seeded hash of the row
+    key and keep 5 (the same rows for any partitioning, unlike rand(seed))."""
+    docs = Tables(spark, d).documents.select("doc_id", "lang", "n_chars")
+    return A.top_k(docs.withColumn("_h", F.xxhash64("doc_id", F.lit(42))), [F.col("_h"), F.col("doc_id")], 5).drop("_h")
+
+
+@query("split_random")
+def split_random(spark, d):
+    """FIL9: stable 80/20 split by a seeded hash of the key."""
+    docs = Tables(spark, d).documents.select("doc_id")
+    return docs.withColumn("split", F.when(F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(100)) < 80, "train")
+                           .otherwise("valid"))

@@ -134,3 +134,10 @@ def seasonal_means(spark, d):
     """Mean of the daily series by (week, weekday) and (year, day of year)."""
     m = ST.seasonal_means(daily_orders(Tables(spark, d)), "y", "ds")
     return m.select("kind", "period", "position", r("mean").alias("mean"), "n")
+
+
+@query("lowess_binned")
+def lowess_binned(spark, d):
+    """Lag plot smoother: LOWESS of y_t on y_{t-1} (millions), 200 bins."""
+    s = S.with_lags(daily_orders(Tables(spark, d)).withColumn("y", F.col("y") / 1e6), "y", "ds", [1])
+    return ST.lowess_binned(s, "y_lag_1", "y")

@@ -29,6 +29,7 @@ _MODULES = (
     "loupe.plans.q_models",
     "loupe.plans.q_sources",
     "loupe.plans.q_reports",
+    "loupe.plans.q_streaming",
 )
 
 
