@@ -94,13 +94,14 @@ def pivot_counts(df: DataFrame, row: str, col: str, values: Sequence,
 
 def share_of_total(counts: DataFrame, count_col: str = "count", out: str = "share",
                    scale: float = 1.0, digits: int | None = None) -> DataFrame:
-    """count / grand total.  The total is one aggregate row joined back
-    (broadcast), not a global window that would pull rows into one task."""
+    """count / grand total.  The total is one aggregate value attached as a
+    literal, not a global window that would pull rows into one task."""
     tot = counts.agg(F.sum(count_col).alias("_tot"))
     share = F.col(count_col) * F.lit(scale) / F.col("_tot")
     if digits is not None:
         share = F.bround(share, digits)
-    return counts.crossJoin(F.broadcast(tot)).withColumn(out, share).drop("_tot")
+    from loupe.operators.scalars import with_scalars
+    return with_scalars(counts, tot).withColumn(out, share).drop("_tot")
 
 
 def share_within(counts: DataFrame, group: str, count_col: str = "count",

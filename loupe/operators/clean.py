@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loupe.operators.aggregate import numeric_columns
+from loupe.operators.scalars import with_scalars
 
 
 def fill_const(df: DataFrame, value, subset: Sequence[str] | None = None) -> DataFrame:
@@ -24,7 +25,7 @@ def fill_mean(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Fill each numeric column's nulls with that column's mean (one pass)."""
     cols = list(cols) if cols else numeric_columns(df)
     means = df.agg(*[F.avg(c).alias(f"_m_{i}") for i, c in enumerate(cols)])
-    j = df.crossJoin(F.broadcast(means))
+    j = with_scalars(df, means)
     out = []
     for c in df.columns:
         if c in cols:
@@ -67,8 +68,7 @@ def fill_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Each mode is a one-row top-1 result, so it is broadcast."""
     out = df
     for c in cols:
-        m = mode_of(df, c).withColumnRenamed("_mode", f"_mode_{c}")
-        out = out.crossJoin(F.broadcast(m))
+        out = with_scalars(out, mode_of(df, c).withColumnRenamed("_mode", f"_mode_{c}"))
     return out.select(*[F.coalesce(F.col(c), F.col(f"_mode_{c}")).alias(c) if c in cols else F.col(c)
                         for c in df.columns])
 
@@ -108,7 +108,7 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFra
     """(x - mean) / population std, statistics from one aggregate."""
     stats = df.agg(*[x for i, c in enumerate(cols)
                      for x in (F.avg(c).alias(f"_mu{i}"), F.stddev_pop(c).alias(f"_sd{i}"))])
-    j = df.crossJoin(F.broadcast(stats))
+    j = with_scalars(df, stats)
     z = {c + suffix: F.try_divide(F.col(c) - F.col(f"_mu{i}"), F.col(f"_sd{i}"))
          for i, c in enumerate(cols)}
     if suffix:
@@ -122,6 +122,6 @@ def impute_mode_all(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     m = modes(df, cols).groupBy().pivot("column", list(cols)).agg(F.first("mode"))
     m = m.select(*[F.col(c).alias(f"_mode_{c}") for c in cols])
     types = dict(df.dtypes)
-    j = df.crossJoin(F.broadcast(m))
+    j = with_scalars(df, m)
     return j.select(*[F.coalesce(F.col(c), F.col(f"_mode_{c}").cast(types[c])).alias(c)
                       if c in cols else F.col(c) for c in df.columns])

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.operators.scalars import with_scalars
+
 
 def tabular_prepare(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str],
                     train_flag: str) -> DataFrame:
@@ -29,14 +31,14 @@ def tabular_prepare(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[s
         out = out.join(codes, c, "left").withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(0)))
     if num_cols:
         med = train.agg(*[F.percentile(F.col(c), 0.5).alias(f"_med_{c}") for c in num_cols])
-        out = out.crossJoin(F.broadcast(med))
+        out = with_scalars(out, med)
         for c in num_cols:
             out = (out.withColumn(f"{c}_na", F.col(c).isNull())
                    .withColumn(f"_f_{c}", F.coalesce(F.col(c), F.col(f"_med_{c}"))))
         st = out.where(F.col(train_flag)).agg(
             *[x for c in num_cols for x in (F.avg(f"_f_{c}").alias(f"_mu_{c}"),
                                             F.stddev_pop(f"_f_{c}").alias(f"_sd_{c}"))])
-        out = out.crossJoin(F.broadcast(st))
+        out = with_scalars(out, st)
         for c in num_cols:
             out = out.withColumn(f"{c}_norm", F.try_divide(F.col(f"_f_{c}") - F.col(f"_mu_{c}"),
                                                            F.col(f"_sd_{c}")))

@@ -11,15 +11,23 @@ from pyspark.sql import functions as F
 def spans_from_pieces(df: DataFrame, doc: str, order: str, text: str, label: str,
                       sep_len: int = 1) -> DataFrame:
     """Lay the pieces of each document end to end (``sep_len`` characters
-    between them) and return (doc, start, end, label) rows."""
-    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    n = F.length(text)
-    start = F.coalesce(F.sum(n + sep_len).over(w), F.lit(0)).cast("long")
-    return df.select(doc, start.alias("start"), (start + n).alias("end"), F.col(label).alias("label"))
+    between them) and return (doc, order, piece_no, start, end, label) rows
+    (``piece_no`` is the 1-based position in the document).
+
+    Offsets come from a distributed running sum (range buckets within each
+    document), so one very long document is not sorted in a single task."""
+    from loupe.operators.series import cumulative_sum
+    x = df.select(doc, order, F.length(text).alias("_len"), F.col(label).alias("label"))
+    x = x.withColumn("_w", F.col("_len") + sep_len).withColumn("_one", F.lit(1))
+    x = cumulative_sum(x, order, ["_w", "_one"], keys=doc, out=["_cum", "piece_no"])
+    start = (F.col("_cum") - F.col("_w")).cast("long")
+    return x.select(doc, order, "piece_no", start.alias("start"), (start + F.col("_len")).alias("end"), "label")
 
 
 def nest_spans(df: DataFrame, doc: str, order: str, text: str, label: str) -> DataFrame:
-    """(doc, spans: array<struct<start, end, label>>) sorted by start."""
+    """(doc, spans: array<struct<start, end, label>>) sorted by start.  Only
+    for documents of bounded size: the nested list of a document is one
+    value.  ``spans_from_pieces`` is the flat, unbounded-safe form."""
     s = spans_from_pieces(df, doc, order, text, label)
     return s.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("spans"))
 

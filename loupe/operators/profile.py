@@ -133,7 +133,8 @@ def null_per_row_hist(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Share of rows having k missing values among ``cols``."""
     k = df.select(nulls_in_row(cols).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     tot = k.agg(F.sum("n").alias("_t"))
-    return k.crossJoin(F.broadcast(tot)).select("k", "n", (F.col("n") / F.col("_t")).alias("share"))
+    from loupe.operators.scalars import with_scalars
+    return with_scalars(k, tot).select("k", "n", (F.col("n") / F.col("_t")).alias("share"))
 
 
 def columns_by_type(df: DataFrame) -> DataFrame:

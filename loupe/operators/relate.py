@@ -68,10 +68,13 @@ def align_arith(a: DataFrame, b: DataFrame, key: str, a_col: str, b_col: str,
 def conditional_counts_by_dim(dim: DataFrame, facts: DataFrame, key: str,
                               conditions: dict[str, Column]) -> DataFrame:
     """Per dimension key, count fact rows meeting each condition; keys
-    without facts get 0 (left join, ``count_if`` ignores the null rows)."""
-    j = dim.select(key).distinct().join(facts, key, "left")
+    without facts get 0.  The facts are aggregated per key first (partial
+    aggregation absorbs a hot key), then the small per-key result is joined
+    to the dimension keys."""
     aggs = [F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in conditions.items()]
-    return j.groupBy(key).agg(*aggs)
+    per_key = facts.groupBy(key).agg(*aggs)
+    j = dim.select(key).distinct().join(per_key, key, "left")
+    return j.select(key, *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in conditions])
 
 
 def union_tagged(parts: dict[str, DataFrame], tag: str = "source") -> DataFrame:

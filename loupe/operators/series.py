@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.operators.scalars import with_scalars
+
 
 def _keys(keys) -> list[str]:
     if keys is None:
@@ -98,26 +100,31 @@ def asfreq_pad(df: DataFrame, ds: str, cols: Sequence[str], keys=None) -> DataFr
         *ks, ds, "present", *[F.col(f"_f.{c}").alias(c) for c in cols])
 
 
-def cumulative_sum(df: DataFrame, order: str, value: str, keys=None, out: str = "cum",
+def cumulative_sum(df: DataFrame, order: str, value, keys=None, out="cum",
                    buckets: int = 64) -> DataFrame:
-    """Running sum in ``order`` that stays distributed for any number of rows.
+    """Running sum(s) in ``order`` that stay distributed for any number of rows.
 
     Rows are assigned to ``buckets`` ranges of the order column (approximate
     quantiles), summed within each range by a partitioned window, and the
-    range totals (``buckets`` rows) are prefix-summed and joined back.  No
-    window ever spans the whole table in one task."""
+    range totals (``buckets`` rows per series) are prefix-summed and joined
+    back.  No window ever spans a whole table or series in one task.
+    ``value``/``out`` may be lists to accumulate several columns at once."""
     ks = _keys(keys)
+    vals = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     bnd = df.groupBy(*ks).agg(F.percentile_approx(order, probs, 10000).alias("_b"))
-    x = df.join(bnd, ks) if ks else df.crossJoin(F.broadcast(bnd))
+    x = df.join(bnd, ks) if ks else with_scalars(df, bnd)
     x = x.withColumn("_bk", F.size(F.filter("_b", lambda b: b < F.col(order)))).drop("_b")
     inner = Window.partitionBy(*ks, "_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_in", F.sum(value).over(inner))
-    tot = x.groupBy(*ks, "_bk").agg(F.sum(value).alias("_t"))
+    x = x.select("*", *[F.sum(v).over(inner).alias(f"_in{i}") for i, v in enumerate(vals)])
+    tot = x.groupBy(*ks, "_bk").agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(vals)])
     prev = Window.partitionBy(*ks).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_off", F.coalesce(F.sum("_t").over(prev), F.lit(0)))
-    return (x.join(F.broadcast(tot.select(*ks, "_bk", "_off")), ks + ["_bk"])
-            .withColumn(out, F.col("_in") + F.col("_off")).drop("_bk", "_in", "_off"))
+    tot = tot.select(*ks, "_bk", *[F.coalesce(F.sum(f"_t{i}").over(prev), F.lit(0)).alias(f"_off{i}")
+                                   for i in range(len(vals))])
+    x = x.join(tot, ks + ["_bk"])
+    return x.select(*[c for c in x.columns if not c.startswith(("_in", "_off")) and c != "_bk"],
+                    *[(F.col(f"_in{i}") + F.col(f"_off{i}")).alias(o) for i, o in enumerate(outs)])
 
 
 def ecdf(df: DataFrame, col: str, keys=None) -> DataFrame:
@@ -129,7 +136,7 @@ def ecdf(df: DataFrame, col: str, keys=None) -> DataFrame:
     c = df.where(F.col(col).isNotNull()).groupBy(*ks, col).agg(F.count(F.lit(1)).alias("n"))
     c = cumulative_sum(c, col, "n", ks, "cum_n")
     tot = c.groupBy(*ks).agg(F.sum("n").alias("_tot"))
-    c = c.join(F.broadcast(tot), ks) if ks else c.crossJoin(F.broadcast(tot))
+    c = c.join(tot, ks) if ks else with_scalars(c, tot)
     return c.select(*ks, col, "n", "cum_n", (F.col("cum_n") / F.col("_tot")).alias("ecdf"))
 
 
@@ -138,11 +145,9 @@ def stacked_cumsum(counts: DataFrame, time_col: str, cat_col: str, value: str,
     """Stack categories (in list order) per time point: running sum across the
     category list, not across time (the notebook's ``cumsum(axis=0)`` before
     ``.T``).  Missing (time, category) cells count 0."""
-    spark = counts.sparkSession
-    cats = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(categories)],
-                                             f"{cat_col} string, _pos int"))
+    cats = F.array(*[F.struct(F.lit(c).alias(cat_col), F.lit(i).alias("_pos")) for i, c in enumerate(categories)])
     times = counts.select(time_col).distinct()
-    grid = times.crossJoin(cats)  # times x a fixed category list
+    grid = times.select(time_col, F.explode(cats).alias("_c")).select(time_col, "_c.*")
     j = grid.join(counts.select(time_col, cat_col, value), [time_col, cat_col], "left").fillna(0, [value])
     w = Window.partitionBy(time_col).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     return j.withColumn("stacked", F.sum(value).over(w)).drop("_pos")
@@ -167,7 +172,7 @@ def ordered_split(df: DataFrame, order: str, frac: float = 0.9, skip: int = 0, k
     ks = _keys(keys)
     pos = F.row_number().over(_w(ks, order)) - 1
     n = df.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
-    x = df.join(n, ks) if ks else df.crossJoin(F.broadcast(n))
+    x = df.join(n, ks) if ks else with_scalars(df, n)
     x = x.withColumn("_p", pos).withColumn("_cut", F.floor(F.col("_n") * frac)).drop("_n")
     return (x.where(F.col("_p") >= skip)
             .withColumn(out, F.when(F.col("_p") < F.col("_cut"), "train").otherwise("test"))

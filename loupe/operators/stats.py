@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.operators.scalars import scalars, with_scalars
 from loupe.operators.series import _keys, _w
 
 
@@ -49,7 +50,7 @@ def autocovariances(df: DataFrame, value: str, order: str, max_lag: int, keys=No
     window + one aggregate (mean from a first aggregate)."""
     ks = _keys(keys)
     mu = df.groupBy(*ks).agg(F.avg(value).alias("_mu"), F.count(value).alias("_n"))
-    x = df.join(mu, ks) if ks else df.crossJoin(F.broadcast(mu))
+    x = df.join(mu, ks) if ks else with_scalars(df, mu)
     x = x.withColumn("_d", F.col(value) - F.col("_mu"))
     w = _w(ks, order)
     x = x.select(*ks, "_n", "_d", *[F.lag("_d", k).over(w).alias(f"_l{k}") for k in range(1, max_lag + 1)])
@@ -95,7 +96,7 @@ def zscore(df: DataFrame, value: str, out: str = "z", keys=None) -> DataFrame:
     """(x - mean) / sample std, per group if keys are given."""
     ks = _keys(keys)
     st = df.groupBy(*ks).agg(F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"))
-    x = df.join(st, ks) if ks else df.crossJoin(F.broadcast(st))
+    x = df.join(st, ks) if ks else with_scalars(df, st)
     return x.withColumn(out, F.try_divide(F.col(value) - F.col("_mu"), F.col("_sd"))).drop("_mu", "_sd")
 
 
@@ -119,13 +120,14 @@ def kde_grid(df: DataFrame, value: str, group: str | None = None, gridsize: int
     st = v.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
                             F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     st = st.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    spark = df.sparkSession
-    idx = spark.range(gridsize).withColumnRenamed("id", "grid_i")
-    grid = (st.crossJoin(F.broadcast(idx))
-            .withColumn("x", F.col("_lo") - cut * F.col("_h")
-                        + F.col("grid_i") * ((F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")) / (gridsize - 1))))
+    # Each distinct value meets every grid point of its group: the grid is
+    # generated per row by explode(sequence) from the group's statistics
+    # (joined by the group key, or attached as literals when ungrouped).
     pts = v.groupBy(*ks, "_x").agg(F.count(F.lit(1)).alias("_m"))
-    j = grid.join(pts, ks) if ks else grid.crossJoin(pts)
+    j = pts.join(st, ks) if ks else with_scalars(pts, st)
+    step = (F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")) / (gridsize - 1)
+    j = j.select("*", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_i"))
+    j = j.withColumn("x", F.col("_lo") - cut * F.col("_h") + F.col("grid_i") * step)
     u = (F.col("x") - F.col("_x")) / F.col("_h")
     dens = (F.sum(F.col("_m") * F.exp(-0.5 * u * u))
             / (F.first("_n") * F.first("_h") * F.lit(math.sqrt(2 * math.pi))))
@@ -143,11 +145,11 @@ def fd_histogram(df: DataFrame, value: str, group: str | None = None) -> DataFra
     st = st.select("_lo", (2 * (F.col("_q")[1] - F.col("_q")[0])
                            / F.pow(F.col("_n").cast("double"), F.lit(1.0 / 3))).alias("_w"))
     st = st.withColumn("_w", F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.lit(1.0)))
-    b = v.crossJoin(F.broadcast(st)).withColumn("bin", F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")))
+    b = with_scalars(v, st).withColumn("bin", F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")))
     c = b.groupBy(*ks, "bin").agg(F.count(F.lit(1)).alias("count"),
                                   F.first(F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_start"))
     tot = c.groupBy(*ks).agg(F.sum("count").alias("_t"))
-    c = c.join(tot, ks) if ks else c.crossJoin(F.broadcast(tot))
+    c = c.join(tot, ks) if ks else with_scalars(c, tot)
     return c.select(*ks, "bin", "bin_start", "count", (100.0 * F.col("count") / F.col("_t")).alias("percent"))
 
 
@@ -158,13 +160,12 @@ def periodogram(df: DataFrame, value: str, t: str, fs: float = 365.2425) -> Data
     bounded by the series length) are broadcast against the rows."""
     st = df.agg(F.regr_slope(value, t).alias("_b"), F.regr_intercept(value, t).alias("_a"),
                 F.count(F.lit(1)).alias("_n"))
-    x = df.crossJoin(F.broadcast(st)).select(
-        F.col(t).cast("double").alias("_t"), "_n",
-        (F.col(value) - F.col("_a") - F.col("_b") * F.col(t)).alias("_r"))
-    spark = df.sparkSession
-    n = st.select("_n").first()[0]
-    ks = spark.range(n // 2 + 1).withColumnRenamed("id", "k")
-    j = x.crossJoin(F.broadcast(ks))
+    sv = scalars(st)
+    n = int(sv["_n"])
+    x = df.select(F.col(t).cast("double").alias("_t"), F.lit(n).alias("_n"),
+                  (F.col(value) - F.lit(sv["_a"]) - F.lit(sv["_b"]) * F.col(t)).alias("_r"))
+    # every row contributes to each of the n//2 + 1 frequencies
+    j = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(n // 2))).alias("k"))
     ang = F.lit(2 * math.pi) * F.col("k") * F.col("_t") / F.col("_n")
     g = j.groupBy("k").agg(F.sum(F.col("_r") * F.cos(ang)).alias("_re"),
                            F.sum(F.col("_r") * F.sin(ang)).alias("_im"))
@@ -204,15 +205,23 @@ def lowess_binned(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, bins:
         F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     st = v.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    b = v.crossJoin(F.broadcast(st)).withColumn(
+    b = with_scalars(v, st).withColumn(
         "_b", F.least(F.floor(F.try_divide(F.col("_x") - F.col("_lo"), width)), F.lit(bins - 1)))
     b = b.withColumn("_b", F.coalesce(F.col("_b"), F.lit(0)))
     g = b.groupBy("_b").agg(F.count(F.lit(1)).alias("m"), F.sum("_x").alias("sx"), F.sum("_y").alias("sy"),
                             F.sum(F.col("_x") * F.col("_x")).alias("sxx"), F.sum(F.col("_x") * F.col("_y")).alias("sxy"),
                             F.first("_n").alias("n"))
     g = g.withColumn("c", F.col("sx") / F.col("m")).cache()
+    # g has at most ``bins`` rows: fetch them and give each centre the full
+    # bin list as a literal array (bins x bins rows in total).
+    bl = [(int(x_["_b"]), int(x_["m"]), float(x_["sx"]), float(x_["sy"]), float(x_["sxx"]), float(x_["sxy"]),
+           float(x_["c"])) for x_ in g.drop("n").limit(bins + 1).collect()]
+    arr = F.array(*[F.struct(F.lit(b_).alias("_b"), F.lit(m_).alias("m"), F.lit(a1).alias("sx"), F.lit(a2).alias("sy"),
+                             F.lit(a3).alias("sxx"), F.lit(a4).alias("sxy"), F.lit(c_).alias("c"))
+                    for b_, m_, a1, a2, a3, a4, c_ in bl])
     cen = g.select(F.col("_b").alias("centre_bin"), F.col("c").alias("centre"), F.col("n"))
-    pairs = cen.crossJoin(F.broadcast(g.drop("n"))).withColumn("d", F.abs(F.col("c") - F.col("centre")))
+    pairs = cen.select("*", F.explode(arr).alias("_bin")).select("centre_bin", "centre", "n", "_bin.*")
+    pairs = pairs.withColumn("d", F.abs(F.col("c") - F.col("centre")))
     w_rank = Window.partitionBy("centre_bin").orderBy("d", "_b").rowsBetween(Window.unboundedPreceding, 0)
     pairs = pairs.withColumn("cum", F.sum("m").over(w_rank))
     need = F.ceil(F.col("n") * F.lit(frac))

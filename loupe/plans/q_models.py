@@ -8,6 +8,7 @@ from loupe.functions.text import word_count
 from loupe.operators import models as MD
 from loupe.operators import series as S
 from loupe.operators import stats as ST
+from loupe.operators.scalars import with_scalars
 from loupe.plans.common import r
 from loupe.plans.q_series import DAILY_SQL, daily_orders
 from loupe.plans.registry import query
@@ -29,7 +30,7 @@ def linear_trend_fit(spark, d):
     """y (millions) on a time trend: fitted line and residuals."""
     s = _trend(Tables(spark, d))
     c = ST.ols_line(s, "y", "trend").select("slope", "intercept")
-    j = s.crossJoin(F.broadcast(c))
+    j = with_scalars(s, c)
     fit = F.col("intercept") + F.col("slope") * F.col("trend")
     return j.select("ds", "trend", r("y", 9).alias("y"), r(fit, 9).alias("y_fit"),
                     r(F.col("y") - fit, 9).alias("resid"))
@@ -46,7 +47,7 @@ def linear_trend_forecast(spark, d):
     c = s.agg(F.regr_slope("y", "trend").alias("b"), F.regr_intercept("y", "trend").alias("a"),
               F.max("ds").alias("last"), F.max("trend").alias("n"))
     h = spark.range(1, 31).withColumnRenamed("id", "h")
-    j = h.crossJoin(F.broadcast(c))
+    j = with_scalars(h, c)
     return j.select(F.date_add("last", F.col("h").cast("int")).alias("ds"), (F.col("n") + F.col("h")).alias("trend"),
                     r(F.col("a") + F.col("b") * (F.col("n") + F.col("h")), 9).alias("y_pred"))
 
@@ -62,7 +63,7 @@ def residual_diagnostics(spark, d):
     """Residuals of the trend fit: mean, variance and lag-1..5 correlation."""
     s = _trend(Tables(spark, d))
     c = ST.ols_line(s, "y", "trend").select("slope", "intercept")
-    e = s.crossJoin(F.broadcast(c)).select(
+    e = with_scalars(s, c).select(
         "ds", (F.col("y") - F.col("intercept") - F.col("slope") * F.col("trend")).alias("e"))
     m = e.agg(F.avg("e").alias("mean"), F.var_samp("e").alias("variance"))
     a = m.select(F.explode(F.array(F.struct(F.lit("mean").alias("metric"), F.col("mean").alias("value")),
@@ -235,7 +236,7 @@ def series_report(spark, d):
     s = S.with_lags(s, "y", "ds", [1])
     c = ST.ols_line(s, "y", "trend").select("slope", "intercept")
     res = MD.adf_test(s, "y", "ds")
-    hist = s.crossJoin(F.broadcast(c)).select(
+    hist = with_scalars(s, c).select(
         "ds", "trend", "y", "y_lag_1", (F.col("intercept") + F.col("slope") * F.col("trend")).alias("y_fit"),
         F.lit(False).alias("is_forecast"))
     fc = linear_trend_forecast(spark, d).select("ds", "trend", F.lit(None).cast("double").alias("y"),

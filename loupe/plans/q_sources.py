@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loupe.operators.clean import money_to_double
+from loupe.operators.scalars import with_scalars
 from loupe.plans.registry import query
 from loupe.sources import files as FS
 from loupe.sources import html as H
@@ -45,7 +46,7 @@ def src_file_inventory(spark, d):
     """All files under the data folder with their sizes, plus the count."""
     inv = FS.file_inventory(spark, d)
     n = inv.agg(F.count(F.lit(1)).alias("n_files"))
-    return inv.select("file_name", "length").crossJoin(F.broadcast(n))
+    return with_scalars(inv.select("file_name", "length"), n)
 
 
 @query("src_wholetext_join", oracle="""

@@ -133,14 +133,15 @@ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY span_start
        CAST(count(*) OVER (PARTITION BY conv_id) AS INTEGER) AS n_spans
 FROM s""")
 def doc_spans(spark, d):
-    """NST2 / JOI8: per document the sorted list of {start, end, label} spans
-    (turns laid end to end with a newline), then flattened for checking."""
-    from loupe.operators.nested import nest_spans
+    """NST2 / JOI8: per document the {start, end, label} spans of its turns
+    laid end to end with a newline; flat form (span_no, n_spans)."""
+    from loupe.operators.nested import spans_from_pieces
     c = Tables(spark, d).conversations
-    nested = nest_spans(c, "conv_id", "turn", "text", "role")
-    flat = nested.select("conv_id", F.size("spans").alias("n_spans"), F.posexplode("spans").alias("i", "s"))
-    return flat.select("conv_id", (F.col("i") + 1).alias("span_no"), F.col("s.start").alias("span_start"),
-                       F.col("s.end").alias("span_end"), F.col("s.label").alias("label"), "n_spans")
+    s = spans_from_pieces(c, "conv_id", "turn", "text", "role")
+    n = s.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n_spans"))
+    s = s.join(n, "conv_id")
+    return s.select("conv_id", F.col("piece_no").cast("int").alias("span_no"), F.col("start").alias("span_start"),
+                    F.col("end").alias("span_end"), "label", "n_spans")
 
 
 # ------------------------------------------------------------------ dates
