@@ -46,9 +46,8 @@ def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Long form: unpivot to (column, value) -> count per pair (partial
     aggregation before the shuffle) -> best per column.  Output
     (column, mode, freq) with ``mode`` as string."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-        for c in cols])).alias("kv")).select("kv.column", "kv.value")
+    x = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
+    long = x.unpivot([], list(cols), "column", "value")
     cnt = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("freq"))
     w = Window.partitionBy("column").orderBy(F.col("freq").desc(), F.col("value"))

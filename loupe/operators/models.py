@@ -30,8 +30,10 @@ def tabular_prepare(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[s
                  .withColumn(f"{c}_code", F.row_number().over(Window.orderBy(c)).cast("long")))
         out = out.join(codes, c, "left").withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(0)))
     if num_cols:
-        med = train.agg(*[F.percentile(F.col(c), 0.5).alias(f"_med_{c}") for c in num_cols])
-        out = with_scalars(out, med)
+        from loupe.operators.profile import quantiles, unpivot_double
+        med = quantiles(unpivot_double(train, num_cols), "column", "value", [0.5], ["_med"])
+        med = med.groupBy().pivot("column", list(num_cols)).agg(F.first("_med"))
+        out = with_scalars(out, med.select(*[F.col(c).alias(f"_med_{c}") for c in num_cols]))
         for c in num_cols:
             out = (out.withColumn(f"{c}_na", F.col(c).isNull())
                    .withColumn(f"_f_{c}", F.coalesce(F.col(c), F.col(f"_med_{c}"))))
@@ -232,23 +234,25 @@ def additive_design(df: DataFrame, ds: str, t0, span_days: float, changepoints:
     """Columns of an additive model: trend (t and hinges max(0, t - c_j) at
     fixed changepoints, t scaled to [0, 1] over the history), weekly and
     yearly Fourier terms, and a holiday indicator (broadcast join with a
-    small calendar table)."""
+    small calendar table).  All terms are built in one projection."""
     day_num = F.datediff(F.col(ds), F.lit(t0).cast("date")).cast("double")
-    x = df.withColumn("_t", day_num / F.lit(span_days))
+    t = day_num / F.lit(span_days)
     groups = {"trend": ["_t"], "weekly": [], "yearly": [], "holidays": []}
+    cols = [t.alias("_t")]
     for j, c in enumerate(changepoints):
-        x = x.withColumn(f"_cp{j}", F.greatest(F.lit(0.0), F.col("_t") - F.lit(c)))
+        cols.append(F.greatest(F.lit(0.0), t - F.lit(c)).alias(f"_cp{j}"))
         groups["trend"].append(f"_cp{j}")
     for period, order_, name in ((7.0, weekly_order, "weekly"), (365.25, yearly_order, "yearly")):
         for i in range(1, order_ + 1):
             ang = F.lit(2 * math.pi * i / period) * day_num
-            x = x.withColumn(f"_{name}_s{i}", F.sin(ang)).withColumn(f"_{name}_c{i}", F.cos(ang))
+            cols += [F.sin(ang).alias(f"_{name}_s{i}"), F.cos(ang).alias(f"_{name}_c{i}")]
             groups[name] += [f"_{name}_s{i}", f"_{name}_c{i}"]
+    x = df.select("*", F.lit(1.0).alias("_one"), *cols)
     if holidays is not None:
         h = holidays.select(F.col("ds").alias(ds)).distinct().withColumn("_hol", F.lit(1.0))
         x = x.join(F.broadcast(h), ds, "left").withColumn("_hol", F.coalesce(F.col("_hol"), F.lit(0.0)))
         groups["holidays"].append("_hol")
-    return x.withColumn("_one", F.lit(1.0)), groups
+    return x, groups
 
 
 def additive_forecast(history: DataFrame, ds: str, y: str, horizon: int = 364,

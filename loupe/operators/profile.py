@@ -53,37 +53,84 @@ def _q(c: Column, exact: bool) -> Column:
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
                      exact: bool = True) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (linear interpolation),
-    max per numeric column; one aggregate pass, long output."""
+    max per numeric column, long output.
+
+    Moments come from one aggregate pass.  Exact quantiles are computed
+    distributed over the long form (``exact_quantiles``); ``exact=False``
+    uses ``percentile_approx`` sketches in the same single pass."""
     cols = list(cols) if cols else numeric_columns(df)
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
-        aggs += [F.count(x).alias(f"count__{i}"), F.avg(x).alias(f"mean__{i}"),
-                 F.stddev_samp(x).alias(f"std__{i}"), F.min(x).alias(f"min__{i}"),
-                 _q(x, exact).alias(f"_q__{i}"), F.max(x).alias(f"max__{i}")]
-    row = df.agg(*aggs)
-    row = row.select("*", *[F.col(f"_q__{i}")[k].alias(f"{n}__{i}")
-                            for i in range(len(cols)) for k, n in enumerate(("p25", "p50", "p75"))])
-    return _long(row, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+    if not exact:
+        aggs = []
+        for i, c in enumerate(cols):
+            x = F.col(f"`{c}`").cast("double")
+            aggs += [F.count(x).alias(f"count__{i}"), F.avg(x).alias(f"mean__{i}"),
+                     F.stddev_samp(x).alias(f"std__{i}"), F.min(x).alias(f"min__{i}"),
+                     _q(x, False).alias(f"_q__{i}"), F.max(x).alias(f"max__{i}")]
+        row = df.agg(*aggs)
+        row = row.select("*", *[F.col(f"_q__{i}")[k].alias(f"{n}__{i}")
+                                for i in range(len(cols)) for k, n in enumerate(("p25", "p50", "p75"))])
+        return _long(row, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+    long = unpivot_double(df, cols)
+    return describe_long(long, "column", "value", exact=True)
+
+
+def unpivot_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value as double) rows for the chosen columns (Expand)."""
+    x = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    return x.unpivot([], list(cols), "column", "value")
+
+
+# Above this many distinct values a column's exact quantiles are computed
+# distributed (``exact_quantiles``); below it Spark's ``percentile`` is used,
+# whose per-task value->count map is then bounded by this number.
+MAP_PERCENTILE_MAX = 1_000_000
+
+
+def quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[float],
+              names: Sequence[str]) -> DataFrame:
+    """Exact quantiles (linear interpolation) per key.  One approximate
+    distinct count per key picks the method: Spark's ``percentile`` for keys
+    with a bounded number of distinct values, the distributed
+    ``exact_quantiles`` for the others.  Both give the same exact answer."""
+    x = F.col(value).cast("double")
+    ndv = long_df.groupBy(key).agg(F.approx_count_distinct(x, 0.05).alias("ndv")).collect()
+    small = [r_[0] for r_ in ndv if r_[1] <= MAP_PERCENTILE_MAX]
+    large = [r_[0] for r_ in ndv if r_[1] > MAP_PERCENTILE_MAX]
+    parts = []
+    if small:
+        g = long_df.where(F.col(key).isin(small)).groupBy(key).agg(
+            F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
+        parts.append(g.select(key, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]))
+    if large:
+        parts.append(exact_quantiles(long_df.where(F.col(key).isin(large)), key, value, probs, names))
+    if not parts:
+        return long_df.select(key, *[F.lit(None).cast("double").alias(n) for n in names]).limit(0)
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
 
 
 def describe_long(long_df: DataFrame, key: str, value: str, exact: bool = True) -> DataFrame:
-    """describe() for data already in long form (key, value): one grouped
-    aggregate, so a 285-column table costs one shuffle of partial states."""
+    """describe() for data in long form (key, value): one grouped aggregate
+    for the moments and, when exact, the distributed exact quantiles."""
     x = F.col(value).cast("double")
-    q = _q(x, exact)
-    g = long_df.groupBy(key).agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
-                                 F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                                 q.alias("_q"), F.max(x).alias("max"))
-    return g.select(key, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
-                    F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+    if not exact:
+        g = long_df.groupBy(key).agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
+                                     F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+                                     _q(x, False).alias("_q"), F.max(x).alias("max"))
+        return g.select(key, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
+                        F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+    m = long_df.groupBy(key).agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
+                                 F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = quantiles(long_df, key, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    return m.join(q, key, "left").select(key, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def unpivot_as_string(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value-as-string) rows for the chosen columns."""
-    return df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
-        for c in cols])).alias("kv")).select("kv.column", "kv.value")
+    """(column, value-as-string) rows for the chosen columns (Expand)."""
+    x = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
+    return x.unpivot([], list(cols), "column", "value")
 
 
 def top_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -161,3 +208,38 @@ def low_cardinality_values(df: DataFrame, max_distinct: int = 50) -> DataFrame:
     if not chosen:
         return df.sparkSession.createDataFrame([], "column string, value string")
     return unpivot_as_string(df, chosen).distinct()
+
+
+def exact_quantiles(long_df: DataFrame, key: str | None, value: str, probs: Sequence[float],
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation (position p * (n - 1)), per
+    ``key``, computed without gathering a column's values in one task.
+
+    1. count each distinct (key, value) (partial aggregation absorbs repeats);
+    2. a distributed running count per key (range buckets, see
+       ``cumulative_sum``) gives each distinct value's cumulative rank;
+    3. the two order statistics around each position are the smallest values
+       whose cumulative count reaches rank+1 and rank+2 — conditional minima
+       in one grouped aggregate; the quantile interpolates between them."""
+    from loupe.operators.series import cumulative_sum
+    ks = [key] if key else []
+    names = list(names) if names else [f"q{i}" for i in range(len(probs))]
+    v = long_df.where(F.col(value).isNotNull()).select(*ks, F.col(value).cast("double").alias("_v"))
+    c = v.groupBy(*ks, "_v").agg(F.count(F.lit(1)).alias("_m"))
+    c = cumulative_sum(c, "_v", "_m", keys=ks or None, out="_cum")
+    n = c.groupBy(*ks).agg(F.sum("_m").alias("_n"))
+    if ks:
+        c = c.join(n, ks)
+    else:
+        from loupe.operators.scalars import with_scalars
+        c = with_scalars(c, n)
+    aggs = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        lo = F.floor(pos)
+        aggs += [F.min(F.when(F.col("_cum") >= lo + 1, F.col("_v"))).alias(f"_lo{i}"),
+                 F.min(F.when(F.col("_cum") >= F.least(lo + 2, F.col("_n")), F.col("_v"))).alias(f"_hi{i}"),
+                 F.first(pos - lo).alias(f"_fr{i}")]
+    g = c.groupBy(*ks).agg(*aggs)
+    return g.select(*ks, *[(F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
+                           for i, nm in enumerate(names)])

@@ -139,11 +139,19 @@ def fd_histogram(df: DataFrame, value: str, group: str | None = None) -> DataFra
     width = 2 * IQR / n^(1/3); bin = floor((x - min) / width); count and
     percent of the group's rows per bin."""
     ks = [group] if group else []
-    v = df.where(F.col(value).isNotNull()).select(*ks, F.col(value).cast("double").alias("_x"))
-    st = v.agg(F.min("_x").alias("_lo"), F.percentile("_x", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"),
-               F.count(F.lit(1)).alias("_n"))
-    st = st.select("_lo", (2 * (F.col("_q")[1] - F.col("_q")[0])
-                           / F.pow(F.col("_n").cast("double"), F.lit(1.0 / 3))).alias("_w"))
+    from pyspark import StorageLevel
+    # The value column may be costly to derive (e.g. word counts of texts) and
+    # is read by three statistics passes and the final count: persist the
+    # two-column projection once.
+    v = (df.where(F.col(value).isNotNull()).select(*ks, F.col(value).cast("double").alias("_x"))
+         .persist(StorageLevel.MEMORY_AND_DISK))
+    mm = scalars(v.agg(F.min("_x").alias("_lo"), F.count(F.lit(1)).alias("_n")))
+    from loupe.operators.profile import quantiles
+    qq = scalars(quantiles(v.select(F.lit("x").alias("_k"), "_x"), "_k", "_x", [0.25, 0.75], ["q1", "q3"])
+                 .drop("_k"))
+    width = 2 * (qq["q1"] is not None and (qq["q3"] - qq["q1"]) or 0.0) / (mm["_n"] ** (1.0 / 3) if mm["_n"] else 1.0)
+    st = v.sparkSession.range(1).select(F.lit(mm["_lo"]).cast("double").alias("_lo"),
+                                        F.lit(float(width)).alias("_w"))
     st = st.withColumn("_w", F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.lit(1.0)))
     b = with_scalars(v, st).withColumn("bin", F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")))
     c = b.groupBy(*ks, "bin").agg(F.count(F.lit(1)).alias("count"),
@@ -238,3 +246,24 @@ def lowess_binned(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, bins:
     slope = F.when(det != 0, (F.col("s0") * F.col("t1") - F.col("s1") * F.col("t0")) / det).otherwise(F.lit(0.0))
     inter = (F.col("t0") - slope * F.col("s1")) / F.col("s0")
     return s.select("centre_bin", "centre", (inter + slope * F.col("centre")).alias("fitted"))
+
+
+def corr_from_gram(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair i > j from ONE cross-product
+    aggregate (sums, sums of squares and cross products in a single vector
+    buffer).  Meant for indicator or well-scaled columns, where the raw-sum
+    formula has no cancellation problem; ``corr_long`` is the general form.
+    A zero-variance column gives NULL."""
+    from loupe.operators.models import cross_products, gram_from_row
+    k = len(cols)
+    x = df.select(F.lit(1.0).alias("_one"), *[F.col(f"`{c}`").cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+    G, n = gram_from_row(cross_products(x, ["_one"] + [f"_c{i}" for i in range(k)]).first(), k + 1)
+    rows = []
+    for i in range(k):
+        for j in range(i):
+            sa, sb, sab = G[0, i + 1], G[0, j + 1], G[i + 1, j + 1]
+            va = n * G[i + 1, i + 1] - sa * sa
+            vb = n * G[j + 1, j + 1] - sb * sb
+            c = float((n * sab - sa * sb) / math.sqrt(va * vb)) if va > 0 and vb > 0 else None
+            rows.append((cols[i], cols[j], c))
+    return df.sparkSession.createDataFrame(rows, "feature_i string, feature_j string, corr double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from loupe.functions.text import word_count
@@ -146,7 +147,9 @@ def gbt_classify(spark, d):
     (id not used as a feature), then score the unlabelled documents with the
     fitted pipeline."""
     t = Tables(spark, d)
-    feats = _doc_features(t)
+    # Features are read by every boosting pass and again for scoring: derive
+    # them (word counts over whole texts) once.
+    feats = _doc_features(t).persist(StorageLevel.MEMORY_AND_DISK)
     train = feats.join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     model = MD.gbt_classifier_pipeline(["n_chars", "n_words"], ["lang", "source"], "label", max_iter=10).fit(train)
     test = feats.join(t.labels.select("doc_id"), "doc_id", "left_anti")
@@ -159,7 +162,7 @@ def ml_submission(spark, d):
     """SNK2: predictions attached to the submission template by id (a join,
     never by position); template = labels (doc_id, quality)."""
     t = Tables(spark, d)
-    feats = _doc_features(t)
+    feats = _doc_features(t).persist(StorageLevel.MEMORY_AND_DISK)
     lab = t.labels.select("doc_id", F.col("quality").cast("double").alias("label"))
     model = MD.gbt_classifier_pipeline(["n_chars", "n_words"], ["lang", "source"], "label", max_iter=10).fit(
         feats.join(lab, "doc_id"))

@@ -205,7 +205,7 @@ def tag_correlation(spark, d):
     classes = sorted(x[0] for x in p.select(F.explode("tags").alias("t")).distinct().limit(1001).collect())
     mh = _multi_hot(p, "tags", classes)
     # pairs ordered as in the oracle: feature_i > feature_j by name
-    c = ST.corr_long(mh, sorted(classes))
+    c = ST.corr_from_gram(mh, sorted(classes))
     return c.select("feature_i", "feature_j", r("corr", 9).alias("corr"))
 
 
