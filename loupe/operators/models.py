@@ -50,28 +50,59 @@ def tabular_prepare(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[s
 
 # ----------------------------------------------------------------- OLS core
 def cross_products(df: DataFrame, cols: Sequence[str], keys=None) -> DataFrame:
-    """ONE aggregate of all pairwise sums sum(c_i * c_j), i <= j (the normal
-    equations' X'X with y included as a column), plus the row count.
+    """ONE pass computing all pairwise sums sum(c_i * c_j), i <= j (the
+    normal equations' X'X with y included as a column) and the row count.
 
-    The products of a row form one vector and ``Summarizer.sum`` adds the
-    vectors (a single aggregation buffer, partial sums per partition), which
-    is much cheaper to compile and run than hundreds of separate ``sum``
-    columns.  Rows with a null in any column are left out (listwise)."""
+    Each partition multiplies its Arrow batches as a matrix (numpy BLAS) and
+    emits one partial upper triangle per key; ``Summarizer.sum`` then adds the
+    partials (partial aggregation, so a hot key is split across all tasks
+    that hold it).  Rows with a null in any column are left out (listwise)."""
+    import numpy as np
+    import pyarrow as pa
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
     ks = [] if keys is None else ([keys] if isinstance(keys, str) else list(keys))
-    prods = [F.col(a).cast("double") * F.col(cols[j]).cast("double")
-             for i, a in enumerate(cols) for j in range(i, len(cols))]
-    x = df.dropna(subset=list(cols)).select(*ks, array_to_vector(F.array(*prods)).alias("_v"))
-    g = x.groupBy(*ks) if ks else x
-    return g.agg(F.count(F.lit(1)).alias("_n"), Summarizer.sum(F.col("_v")).alias("_xp"))
+    k = len(cols)
+    iu = np.triu_indices(k)
+    x = df.dropna(subset=list(cols)).select(*ks, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+    key_types = dict(x.dtypes)
+
+    def partial(batches):
+        acc: dict = {}
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            m = np.column_stack([b.column(len(ks) + i).to_numpy(zero_copy_only=False) for i in range(k)])
+            if ks:
+                kv = list(zip(*[b.column(i).to_pylist() for i in range(len(ks))]))
+                groups: dict = {}
+                for r_, kk in enumerate(kv):
+                    groups.setdefault(kk, []).append(r_)
+                items = [(kk, m[idx]) for kk, idx in groups.items()]
+            else:
+                items = [((), m)]
+            for kk, sub in items:
+                g, n = acc.get(kk, (np.zeros((k, k)), 0))
+                acc[kk] = (g + sub.T @ sub, n + sub.shape[0])
+        if acc:
+            cols_out = {f"_k{i}": [kk[i] for kk in acc] for i in range(len(ks))}
+            cols_out["_n"] = [n for _, n in acc.values()]
+            cols_out["_g"] = [g[iu].tolist() for g, _ in acc.values()]
+            yield pa.RecordBatch.from_pydict(cols_out)
+
+    schema = ", ".join([f"_k{i} {key_types[kname]}" for i, kname in enumerate(ks)] + ["_n long", "_g array<double>"])
+    parts = x.mapInArrow(partial, schema)
+    parts = parts.select(*[F.col(f"_k{i}").alias(kname) for i, kname in enumerate(ks)], "_n",
+                         array_to_vector("_g").alias("_v"))
+    g = parts.groupBy(*ks) if ks else parts
+    return g.agg(F.sum("_n").alias("_n"), Summarizer.sum(F.col("_v")).alias("_xp"))
 
 
 def gram_from_row(row, k: int):
     """Rebuild the symmetric k x k matrix from a ``cross_products`` row."""
     import numpy as np
     m = np.zeros((k, k))
-    n = int(row["_n"])
+    n = int(row["_n"] or 0)
     if n == 0 or row["_xp"] is None:
         return m, n
     v = row["_xp"].toArray()

@@ -176,3 +176,15 @@ def test_distributed_exact_quantiles_match_numpy(spark, monkeypatch):
     for name, arr in (("a", a), ("b", b)):
         for g, e in zip(got[name], np.percentile(arr, [25, 50, 75])):
             assert math.isclose(g, e, rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_grouped_cross_products_match_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 3)), float(a), float(b)) for a, b in rng.normal(size=(400, 2))]
+    df = spark.createDataFrame(rows, "k int, a double, b double").repartition(5)
+    out = {r["k"]: r for r in MD.cross_products(df, ["a", "b"], keys="k").collect()}
+    for k in range(3):
+        m = np.array([(a, b) for kk, a, b in rows if kk == k])
+        G, n = MD.gram_from_row(out[k], 2)
+        assert n == len(m)
+        assert np.allclose(G, m.T @ m)
