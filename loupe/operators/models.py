@@ -69,7 +69,10 @@ def cross_products(df: DataFrame, cols: Sequence[str], keys=None) -> DataFrame:
 
     def partial(batches):
         acc: dict = {}
+        key_arrow_types = None
         for b in batches:
+            if key_arrow_types is None:
+                key_arrow_types = [b.schema.field(i).type for i in range(len(ks))]
             if b.num_rows == 0:
                 continue
             m = np.column_stack([b.column(len(ks) + i).to_numpy(zero_copy_only=False) for i in range(k)])
@@ -85,10 +88,11 @@ def cross_products(df: DataFrame, cols: Sequence[str], keys=None) -> DataFrame:
                 g, n = acc.get(kk, (np.zeros((k, k)), 0))
                 acc[kk] = (g + sub.T @ sub, n + sub.shape[0])
         if acc:
-            cols_out = {f"_k{i}": [kk[i] for kk in acc] for i in range(len(ks))}
-            cols_out["_n"] = [n for _, n in acc.values()]
-            cols_out["_g"] = [g[iu].tolist() for g, _ in acc.values()]
-            yield pa.RecordBatch.from_pydict(cols_out)
+            arrays = [pa.array([kk[i] for kk in acc], type=key_arrow_types[i]) for i in range(len(ks))]
+            arrays.append(pa.array([n for _, n in acc.values()], type=pa.int64()))
+            arrays.append(pa.array([g[iu].tolist() for g, _ in acc.values()], type=pa.list_(pa.float64())))
+            names = [f"_k{i}" for i in range(len(ks))] + ["_n", "_g"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = ", ".join([f"_k{i} {key_types[kname]}" for i, kname in enumerate(ks)] + ["_n long", "_g array<double>"])
     parts = x.mapInArrow(partial, schema)
