@@ -86,25 +86,37 @@ def unpivot_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 MAP_PERCENTILE_MAX = 1_000_000
 
 
-def quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[float],
-              names: Sequence[str]) -> DataFrame:
-    """Exact quantiles (linear interpolation) per key.  One approximate
-    distinct count per key picks the method: Spark's ``percentile`` for keys
-    with a bounded number of distinct values, the distributed
-    ``exact_quantiles`` for the others.  Both give the same exact answer."""
+def _route(long_df: DataFrame, key: str, value: str) -> tuple[list, list]:
+    """Split keys by approximate distinct count: (bounded, large)."""
     x = F.col(value).cast("double")
     ndv = long_df.groupBy(key).agg(F.approx_count_distinct(x, 0.05).alias("ndv")).collect()
-    small = [r_[0] for r_ in ndv if r_[1] <= MAP_PERCENTILE_MAX]
-    large = [r_[0] for r_ in ndv if r_[1] > MAP_PERCENTILE_MAX]
+    return ([r_[0] for r_ in ndv if r_[1] <= MAP_PERCENTILE_MAX],
+            [r_[0] for r_ in ndv if r_[1] > MAP_PERCENTILE_MAX])
+
+
+def quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[float],
+              names: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
+    """Exact quantiles (linear interpolation) per key, plus optional ``extra``
+    aggregate columns computed in the same pass.  One approximate distinct
+    count per key picks the method: Spark's ``percentile`` for keys with a
+    bounded number of distinct values, the distributed ``exact_quantiles``
+    for the others.  Both give the same exact answer."""
+    x = F.col(value).cast("double")
+    small, large = _route(long_df, key, value)
     parts = []
     if small:
         g = long_df.where(F.col(key).isin(small)).groupBy(key).agg(
-            F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
-        parts.append(g.select(key, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]))
+            *extra, F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
+        parts.append(g.select(key, *[e_ for e_ in g.columns if e_ not in (key, "_q")],
+                              *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]))
     if large:
-        parts.append(exact_quantiles(long_df.where(F.col(key).isin(large)), key, value, probs, names))
+        sub = long_df.where(F.col(key).isin(large))
+        q = exact_quantiles(sub, key, value, probs, names)
+        if extra:
+            q = sub.groupBy(key).agg(*extra).join(q, key, "left")
+        parts.append(q)
     if not parts:
-        return long_df.select(key, *[F.lit(None).cast("double").alias(n) for n in names]).limit(0)
+        return long_df.groupBy(key).agg(*extra, *[F.lit(None).cast("double").alias(n) for n in names])
     out = parts[0]
     for p_ in parts[1:]:
         out = out.unionByName(p_)
@@ -121,10 +133,10 @@ def describe_long(long_df: DataFrame, key: str, value: str, exact: bool = True)
                                      _q(x, False).alias("_q"), F.max(x).alias("max"))
         return g.select(key, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
                         F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
-    m = long_df.groupBy(key).agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
-                                 F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-    q = quantiles(long_df, key, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-    return m.join(q, key, "left").select(key, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    moments = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+               F.min(x).alias("min"), F.max(x).alias("max")]
+    q = quantiles(long_df, key, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], extra=moments)
+    return q.select(key, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def unpivot_as_string(df: DataFrame, cols: Sequence[str]) -> DataFrame:
