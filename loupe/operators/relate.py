@@ -34,6 +34,24 @@ def join_on(left: DataFrame, right: DataFrame, on, how: str = "inner",
     return left.join(right, cond, how).drop(*[right[k] for k in keys])
 
 
+def left_join_skew_safe(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    """``left LEFT JOIN right`` written as (inner join) UNION ALL (left rows
+    without a match, from an anti join).
+
+    Adaptive execution can split a skewed partition of either side of an
+    inner join, but only the preserved side of an outer join; when the hot
+    key lives in ``right`` (facts under a dimension) this form keeps one key
+    holding a third of the rows from landing in a single task.  The result
+    equals the plain left join."""
+    keys = [on] if isinstance(on, str) else list(on)
+    matched = left.join(right, keys, "inner")
+    unmatched = left.join(right.select(*keys).distinct(), keys, "left_anti")
+    extra = [c for c in matched.columns if c not in unmatched.columns]
+    types = dict(right.dtypes)
+    unmatched = unmatched.select(*unmatched.columns, *[F.lit(None).cast(types[c]).alias(c) for c in extra])
+    return matched.unionByName(unmatched)
+
+
 def join_named(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
                how: str = "inner") -> DataFrame:
     """Join on differently named keys and keep both key columns."""

@@ -175,7 +175,8 @@ FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey""")
 def join_left(spark, d):
     t = Tables(spark, d)
     o = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
-    return R.join_on(t.customer.select("c_custkey", "c_mktsegment"), o, "c_custkey", "left")
+    # customers (left, preserved) <- orders (right, may hold hot keys)
+    return R.left_join_skew_safe(t.customer.select("c_custkey", "c_mktsegment"), o, "c_custkey")
 
 
 @query("join_inner", oracle="""

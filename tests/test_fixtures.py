@@ -239,3 +239,11 @@ def test_describe_matches_numpy(spark):
     a = np.array([v for v in vals if v is not None])
     assert r["count"] == 5 and math.isclose(r["mean"], a.mean()) and math.isclose(r["std"], a.std(ddof=1))
     assert [r["p25"], r["p50"], r["p75"]] == list(np.percentile(a, [25, 50, 75]))
+
+
+def test_skew_safe_left_join_equals_left_join(spark):
+    dim = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n"), (4, "d")], "k int, name string")
+    facts = spark.createDataFrame([(1, 10.0), (1, 11.0), (3, 30.0), (None, 9.0)], "k int, v double")
+    a = sorted(map(tuple, R.join_on(dim, facts, "k", "left").collect()), key=repr)
+    b = sorted(map(tuple, R.left_join_skew_safe(dim, facts, "k").select("k", "name", "v").collect()), key=repr)
+    assert a == b
