@@ -57,9 +57,9 @@ def src_wholetext_join(spark, d):
     t = Tables(spark, d)
     path = FS.new_scratch(spark, "texts")
     FS.write_texts(t.documents, "doc_id", "text", path)
-    texts = FS.read_texts(spark, path, "doc_id")
+    texts = FS.read_texts(spark, path, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
     j = texts.join(t.documents.select("doc_id", "lang"), "doc_id")
-    return j.select("doc_id", "lang", F.length("text").alias("text_len"))
+    return j.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length("text").cast("long").alias("text_len"))
 
 
 @query("html_rows", oracle="""

@@ -69,7 +69,7 @@ def _daily_t(t):
 
 @query("ols_line", oracle=f"""
 SELECT round(regr_slope(y, t), 9) AS slope, round(regr_intercept(y, t), 9) AS intercept,
-       round(regr_r2(y, t), 9) AS r2, regr_count(y, t) AS n FROM {_DAILY_T_SQL}""")
+       round(regr_r2(y, t), 9) AS r2, CAST(regr_count(y, t) AS BIGINT) AS n FROM {_DAILY_T_SQL}""")
 def ols_line(spark, d):
     """Least-squares line of the daily series (millions) on time."""
     o = ST.ols_line(_daily_t(Tables(spark, d)), "y", "t")
@@ -90,7 +90,7 @@ FROM g""")
 def periodogram(spark, d):
     """Power spectrum of the detrended daily series (millions), fs = 365.2425."""
     p = ST.periodogram(_daily_t(Tables(spark, d)), "y", "t")
-    return p.select("k", r("freq", 9).alias("freq"), r("power", 9).alias("power"))
+    return p.select(F.col("k").cast("long").alias("k"), r("freq", 9).alias("freq"), r("power", 9).alias("power"))
 
 
 @query("kde_grid", oracle="""
@@ -105,7 +105,8 @@ FROM grid JOIN v USING (l_returnflag) GROUP BY grid.l_returnflag, grid_i, gx""")
 def kde_grid(spark, d):
     """Gaussian KDE of quantity per return flag on a 200-point grid."""
     k = ST.kde_grid(Tables(spark, d).lineitem, "l_quantity", "l_returnflag")
-    return k.select("l_returnflag", "grid_i", r("x", 9).alias("x"), r("density", 9).alias("density"))
+    return k.select("l_returnflag", F.col("grid_i").cast("long").alias("grid_i"), r("x", 9).alias("x"),
+                    r("density", 9).alias("density"))
 
 
 @query("histogram_percent", oracle="""
