@@ -179,7 +179,8 @@ def adf_test(df: DataFrame, value: str, order: str, maxlag: int | None = None,
     if maxlag is None:
         maxlag = int(math.ceil(12.0 * (n_obs / 100.0) ** 0.25))
         maxlag = max(0, min(n_obs // 2 - 2, maxlag))
-    x = _adf_design(df.where(F.col(value).isNotNull()), value, order, maxlag).cache()
+    from loupe.session import materialize
+    x = materialize(_adf_design(df.where(F.col(value).isNotNull()), value, order, maxlag))
     cols = ["_one", "_lvl"] + [f"_dx{k}" for k in range(1, maxlag + 1)] + ["_dx"]
     yi = len(cols) - 1
     best = (0, None)
@@ -198,7 +199,6 @@ def adf_test(df: DataFrame, value: str, order: str, maxlag: int | None = None,
         used = maxlag
     cols2 = ["_one", "_lvl"] + [f"_dx{k}" for k in range(1, used + 1)] + ["_dx"]
     row = cross_products(x.where(F.col("_rn") > used + 1), cols2).first()
-    x.unpersist()
     G, n = gram_from_row(row, len(cols2))
     import numpy as np
     xi = list(range(0, len(cols2) - 1))
@@ -236,7 +236,8 @@ def arima_select(df: DataFrame, value: str, order: str, max_p: int = 3, max_q: i
         d += 1
     # Stage 1: long autoregression -> innovations.
     z1 = _lag_block(z, "z", order, long_ar, "_z").withColumn("_one", F.lit(1.0))
-    z1 = z1.withColumn("_rn", F.row_number().over(w)).cache()
+    from loupe.session import materialize
+    z1 = materialize(z1.withColumn("_rn", F.row_number().over(w)))
     c1 = ["_one"] + [f"_z{k}" for k in range(1, long_ar + 1)] + ["z"]
     G, _ = gram_from_row(cross_products(z1.where(F.col("_rn") > long_ar), c1).first(), len(c1))
     b1, _, _ = ols_from_gram(G, list(range(len(c1) - 1)), len(c1) - 1)
@@ -248,7 +249,6 @@ def arima_select(df: DataFrame, value: str, order: str, max_p: int = 3, max_q: i
     start = long_ar + max(max_p, max_q)
     c2 = ["_one"] + [f"_z{k}" for k in range(1, max_p + 1)] + [f"_e{k}" for k in range(1, max_q + 1)] + ["z"]
     G2, n = gram_from_row(cross_products(z2.where(F.col("_rn") > start), c2).first(), len(c2))
-    z1.unpersist()
     out = []
     for p in range(max_p + 1):
         for q in range(max_q + 1):
@@ -301,6 +301,9 @@ def additive_forecast(history: DataFrame, ds: str, y: str, horizon: int = 364,
     Output: ds, trend, weekly, yearly, holidays, yhat, yhat_lower, yhat_upper
     (interval: yhat +- z * residual std)."""
     import numpy as np
+    from loupe.session import materialize
+    # read by three jobs (bounds, normal equations, prediction dates)
+    history = materialize(history.select(ds, y))
     b = history.agg(F.min(ds).alias("lo"), F.max(ds).alias("hi")).first()
     t0, t1 = b["lo"], b["hi"]
     span = float(max((t1 - t0).days, 1))

@@ -10,6 +10,7 @@ from loupe.operators import models as MD
 from loupe.operators import series as S
 from loupe.operators import stats as ST
 from loupe.operators.scalars import with_scalars
+from loupe.session import materialize
 from loupe.plans.common import r
 from loupe.plans.q_series import DAILY_SQL, daily_orders
 from loupe.plans.registry import query
@@ -77,7 +78,7 @@ def residual_diagnostics(spark, d):
 @query("adf_test")
 def adf_test(spark, d):
     """ADF unit-root test of the daily series (constant, AIC lag choice)."""
-    res = MD.adf_test(daily_orders(Tables(spark, d)), "y", "ds")
+    res = MD.adf_test(materialize(daily_orders(Tables(spark, d))), "y", "ds")
     return spark.createDataFrame([res], "adf_stat double, pvalue double, usedlag int, nobs int, crit_1 double, "
                                         "crit_5 double, crit_10 double, icbest double")
 
@@ -85,7 +86,7 @@ def adf_test(spark, d):
 @query("stationarity_report")
 def stationarity_report(spark, d):
     """Rolling 12-row mean/std of the series plus the ADF verdict."""
-    s = daily_orders(Tables(spark, d))
+    s = materialize(daily_orders(Tables(spark, d)))  # one scan of the facts
     res = MD.adf_test(s, "y", "ds")
     roll = S.rolling(s, "y", "ds", 12, stats=("mean", "std"))
     return roll.select("ds", "y", F.col("y_roll12_mean").alias("roll_mean"), F.col("y_roll12_std").alias("roll_std"),
@@ -96,7 +97,8 @@ def stationarity_report(spark, d):
 @query("arima_select")
 def arima_select(spark, d):
     """(p, d, q) search with p, q <= 3 by AIC on the daily series."""
-    rows = MD.arima_select(daily_orders(Tables(spark, d)).withColumn("y", F.col("y") / 1e6), "y", "ds")
+    s = materialize(daily_orders(Tables(spark, d)).withColumn("y", F.col("y") / 1e6))
+    rows = MD.arima_select(s, "y", "ds")
     return spark.createDataFrame(rows, "p int, d int, q int, aic double, nobs int, chosen boolean")
 
 
@@ -235,14 +237,17 @@ def series_report(spark, d):
     """CMP21: lag, trend features, linear fit, 30-step forecast and
     stationarity of one daily series, as one table (history + forecast)."""
     t = Tables(spark, d)
-    s = _trend(t)
+    s = materialize(_trend(t))  # the daily series is read by every step below: one scan of the facts
     s = S.with_lags(s, "y", "ds", [1])
-    c = ST.ols_line(s, "y", "trend").select("slope", "intercept")
+    c = ST.ols_line(s, "y", "trend").agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"))
+    cv = c.first()
     res = MD.adf_test(s, "y", "ds")
-    hist = with_scalars(s, c).select(
-        "ds", "trend", "y", "y_lag_1", (F.col("intercept") + F.col("slope") * F.col("trend")).alias("y_fit"),
-        F.lit(False).alias("is_forecast"))
-    fc = linear_trend_forecast(spark, d).select("ds", "trend", F.lit(None).cast("double").alias("y"),
-                                                F.lit(None).cast("double").alias("y_lag_1"),
-                                                F.col("y_pred").alias("y_fit"), F.lit(True).alias("is_forecast"))
+    fit = F.lit(cv["intercept"]) + F.lit(cv["slope"]) * F.col("trend")
+    hist = s.select("ds", "trend", "y", "y_lag_1", fit.alias("y_fit"), F.lit(False).alias("is_forecast"))
+    last = s.agg(F.max("ds").alias("last"), F.max("trend").alias("n")).first()
+    h = spark.range(1, 31).select(F.col("id").cast("int").alias("h"))
+    fc = h.select(F.date_add(F.lit(last["last"]), F.col("h")).alias("ds"), (F.lit(last["n"]) + F.col("h")).alias("trend"),
+                  F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("y_lag_1"),
+                  (F.lit(cv["intercept"]) + F.lit(cv["slope"]) * (F.lit(last["n"]) + F.col("h"))).alias("y_fit"),
+                  F.lit(True).alias("is_forecast"))
     return hist.unionByName(fc).withColumn("adf_pvalue", F.lit(res["pvalue"]))

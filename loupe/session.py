@@ -66,3 +66,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def materialize(df):
+    """Write a small, reused intermediate (a daily series, a design matrix)
+    to the shared checkpoint folder and continue from it.
+
+    Later jobs read the written copy instead of re-scanning the source, and
+    the lineage is cut, so a lost executor does not trigger a re-scan of the
+    fact table.  (A reliable checkpoint, never ``localCheckpoint``.)"""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
