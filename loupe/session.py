@@ -21,6 +21,25 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Size shuffles and scan splits for a data volume.
+
+    Initial shuffle partitions = max(3 x cores, input / target) so that no
+    shuffle partition outgrows executor memory; AQE then coalesces small ones
+    and splits skewed ones toward the advisory size.  Example: 100 TB on
+    8,000 cores -> ~400,000 initial partitions of ~256 MB."""
+    parts = max(3 * total_cores, int(input_bytes // target_partition_bytes) + 1)
+    size = f"{target_partition_bytes >> 20}m"
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{(4 * target_partition_bytes) >> 20}m",
+        # only measured sides below this are broadcast (AQE re-checks at run time)
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+    }
+
+
 def get_spark(master: str | None = None, app: str = "loupe",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
