@@ -139,7 +139,7 @@ ADF_CRIT_C = {"1%": (-3.43035, -6.5393, -16.786, -79.433),
               "5%": (-2.86154, -2.8903, -4.234, -40.040),
               "10%": (-2.56677, -1.5384, -2.809, 0.0)}
 ADF_P_SMALL_C = (2.1659, 1.4412, 0.038269)
-ADF_P_LARGE_C = (1.7339, 0.93202 * 1e-1, -0.12745 * 1e-1, -0.010368 * 1e-2)
+ADF_P_LARGE_C = (1.7339, 9.3202 * 1e-1, -1.2745 * 1e-1, -1.0368 * 1e-2)
 ADF_TAU_MAX_C, ADF_TAU_MIN_C, ADF_TAU_STAR_C = 2.74, -18.83, -1.61
 
 

@@ -218,3 +218,16 @@ def test_hot_key_operators_stay_exact(spark):
     assert sorted(r["v"] for r in top) == sorted(lens[keys == 0])[-2:]
     lj = R.left_join_skew_safe(dim, facts, "k")
     assert lj.count() == n + 5  # every fact row, plus dimension keys 200..204 without facts
+
+
+def test_adf_pvalue_surface():
+    # constant-term Dickey-Fuller distribution: p at the 1/5/10 % critical
+    # values, and known mid-range points
+    crit = MD.adf_critical(10 ** 9)
+    assert abs(MD.adf_pvalue(crit["5%"]) - 0.05) < 0.005
+    assert abs(MD.adf_pvalue(crit["10%"]) - 0.10) < 0.01
+    assert abs(MD.adf_pvalue(crit["1%"]) - 0.01) < 0.002
+    assert abs(MD.adf_pvalue(-1.0) - 0.753) < 0.01
+    assert MD.adf_pvalue(3.0) == 1.0 and MD.adf_pvalue(-20.0) == 0.0
+    ps = [MD.adf_pvalue(x / 10) for x in range(-60, 20)]
+    assert all(a <= b for a, b in zip(ps, ps[1:]))
