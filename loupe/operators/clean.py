@@ -29,28 +29,33 @@ def fill_mean(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     out = []
     for c in df.columns:
         if c in cols:
+            # as in pandas, a numeric column holding nulls is filled as double
             i = cols.index(c)
-            typ = dict(df.dtypes)[c]
-            fill = F.col(f"_m_{i}")
-            if typ not in ("double", "float"):
-                fill = fill.cast(typ)
-            out.append(F.coalesce(F.col(c), fill).alias(c))
+            out.append(F.coalesce(F.col(c).cast("double"), F.col(f"_m_{i}")).alias(c))
         else:
             out.append(F.col(c))
     return j.select(*out)
 
 
+_NUMERIC = ("int", "bigint", "smallint", "tinyint", "double", "float")
+
+
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Most frequent non-null value per column, ties -> smallest value.
+    """Most frequent non-null value per column, ties -> smallest value in the
+    column's own order (numbers numerically, text lexically).
 
-    Long form: unpivot to (column, value) -> count per pair (partial
-    aggregation before the shuffle) -> best per column.  Output
+    Long form: unpivot to (column, value, numeric sort key) -> count per pair
+    (partial aggregation before the shuffle) -> best per column.  Output
     (column, mode, freq) with ``mode`` as string."""
-    x = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-    long = x.unpivot([], list(cols), "column", "value")
-    cnt = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(
+    types = dict(df.dtypes)
+    x = df.select(*[F.struct(F.col(f"`{c}`").cast("string").alias("v"),
+                             (F.col(f"`{c}`").cast("double") if types[c] in _NUMERIC or types[c].startswith("decimal")
+                              else F.lit(None).cast("double")).alias("k")).alias(c) for c in cols])
+    long = x.unpivot([], list(cols), "column", "_s").select("column", F.col("_s.v").alias("value"),
+                                                            F.col("_s.k").alias("_num"))
+    cnt = long.where(F.col("value").isNotNull()).groupBy("column", "value", "_num").agg(
         F.count(F.lit(1)).alias("freq"))
-    w = Window.partitionBy("column").orderBy(F.col("freq").desc(), F.col("value"))
+    w = Window.partitionBy("column").orderBy(F.col("freq").desc(), F.col("_num").asc_nulls_last(), F.col("value"))
     return (cnt.withColumn("_r", F.row_number().over(w)).where("_r = 1")
             .select("column", F.col("value").alias("mode"), "freq"))
 

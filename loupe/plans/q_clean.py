@@ -101,13 +101,13 @@ WITH o AS {_ORDERS_3NULLS},
 m1 AS (SELECT o_orderpriority AS m FROM o WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
 m2 AS (SELECT o_orderstatus AS m FROM o WHERE o_orderstatus IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
 m3 AS (SELECT o_custkey AS m FROM o WHERE o_custkey IS NOT NULL GROUP BY 1
-       ORDER BY count(*) DESC, CAST(o_custkey AS VARCHAR) LIMIT 1)
+       ORDER BY count(*) DESC, o_custkey LIMIT 1)
 SELECT o_orderkey, coalesce(o_orderpriority, (SELECT m FROM m1)) AS o_orderpriority,
        coalesce(o_orderstatus, (SELECT m FROM m2)) AS o_orderstatus,
        coalesce(o_custkey, (SELECT m FROM m3)) AS o_custkey FROM o""")
 def impute_mode_all(spark, d):
     """Most-frequent imputation of several columns; all modes from one
-    long-form aggregate (ties -> smallest value in text order)."""
+    long-form aggregate (ties -> smallest value)."""
     o = Tables(spark, d).orders.select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey")
     o = inject_nulls(o, "o_orderpriority", "o_orderkey", 7)
     o = inject_nulls(o, "o_orderstatus", "o_orderkey", 3)

@@ -247,3 +247,11 @@ def test_skew_safe_left_join_equals_left_join(spark):
     a = sorted(map(tuple, R.join_on(dim, facts, "k", "left").collect()), key=repr)
     b = sorted(map(tuple, R.left_join_skew_safe(dim, facts, "k").select("k", "name", "v").collect()), key=repr)
     assert a == b
+
+
+def test_mode_ties_numeric_order_and_mean_fill_of_ints(spark):
+    df = spark.createDataFrame([(10,), (9,), (10,), (9,), (None,)], "n int")
+    assert C.modes(df, ["n"]).first()["mode"] == "9"
+    assert [r[0] for r in C.impute_mode_all(df, ["n"]).collect()][-1] == 9
+    f = C.fill_mean(spark.createDataFrame([(1,), (2,), (None,)], "n int"), ["n"])
+    assert [r[0] for r in f.collect()] == [1.0, 2.0, 1.5]
