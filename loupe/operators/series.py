@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loupe.operators.scalars import with_scalars
+from loupe.operators.scalars import scalars, with_scalars
 
 
 def _keys(keys) -> list[str]:
@@ -35,18 +35,27 @@ def daily(df: DataFrame, ts: str, value: Column, keys=None, out: str = "y") -> D
 
 
 def with_lags(df: DataFrame, value: str, order: str, lags: Sequence[int], keys=None,
-              fmt: str = "{v}_lag_{k}") -> DataFrame:
-    """All requested lags in ONE window (one sort per series)."""
+              fmt: str = "{v}_lag_{k}", distributed: bool = False) -> DataFrame:
+    """All requested lags in ONE window (one sort per series).  With
+    ``distributed=True`` a long series is split into blocks with a halo
+    (``lags_distributed``) instead of being sorted in one task."""
+    if distributed:
+        return lags_distributed(df, value, order, list(lags), keys, fmt)
     w = _w(keys, order)
     return df.select("*", *[F.lag(value, k).over(w).alias(fmt.format(v=value, k=k)) for k in lags])
 
 
 def rolling(df: DataFrame, value: str, order: str, n: int, keys=None, min_periods: int | None = None,
-            stats: Sequence[str] = ("mean",), centered: bool = False, prefix: str | None = None) -> DataFrame:
+            stats: Sequence[str] = ("mean",), centered: bool = False, prefix: str | None = None,
+            distributed: bool = False) -> DataFrame:
     """Row-count window of ``n`` rows, trailing or centred.
 
     ``min_periods`` (default ``n``, pandas' default) is the number of non-null
-    values required; fewer gives NULL.  ``std`` is the sample std."""
+    values required; fewer gives NULL.  ``std`` is the sample std.  With
+    ``distributed=True`` a long series is processed in rank blocks with a
+    halo of the window's reach (``rolling_distributed``), same results."""
+    if distributed:
+        return rolling_distributed(df, value, order, n, keys, min_periods, stats, centered, prefix)
     mp = n if min_periods is None else min_periods
     if centered:
         # pandas centres a window by shifting the trailing result n//2 rows.
@@ -114,8 +123,17 @@ def cumulative_sum(df: DataFrame, order: str, value, keys=None, out="cum",
     outs = [out] if isinstance(out, str) else list(out)
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     bnd = df.groupBy(*ks).agg(F.percentile_approx(order, probs, 10000).alias("_b"))
-    x = df.join(bnd, ks) if ks else with_scalars(df, bnd)
-    x = x.withColumn("_bk", F.size(F.filter("_b", lambda b: b < F.col(order)))).drop("_b")
+    if ks:
+        x = df.join(bnd, ks)
+        x = x.withColumn("_bk", F.size(F.filter("_b", lambda b: b < F.col(order)))).drop("_b")
+    else:
+        # one series: the boundaries are a handful of literals; the bucket is
+        # the number of boundaries below the value (a plain CASE sum)
+        bounds = sorted(set(scalars(bnd)["_b"] or []))
+        bk = F.lit(0)
+        for b in bounds:
+            bk = bk + F.when(F.col(order) > F.lit(b), 1).otherwise(0)
+        x = df.withColumn("_bk", bk)
     inner = Window.partitionBy(*ks, "_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     x = x.select("*", *[F.sum(v).over(inner).alias(f"_in{i}") for i, v in enumerate(vals)])
     tot = x.groupBy(*ks, "_bk").agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(vals)])
@@ -187,3 +205,65 @@ def fourier_terms(t: Column, freq: float, order: int) -> list[Column]:
         k = F.lit(2 * 3.141592653589793 * i / freq) * t
         out += [F.sin(k).alias(f"sin_{name}_{i}"), F.cos(k).alias(f"cos_{name}_{i}")]
     return out
+
+
+# ------------------------------------------------ halo windows (one long series)
+def halo_window(df: DataFrame, order: str, keys, lo: int, hi: int, exprs, buckets: int = 64) -> DataFrame:
+    """Row-frame window work over series too long for one task.
+
+    Rows get their global rank in ``order`` (distributed running count),
+    ranks are cut into contiguous blocks per series, and each block receives
+    copies of the last ``-lo`` rows of the previous block and the first
+    ``hi`` rows of the next one (the halo).  ``exprs(w)`` builds the output
+    columns from a window ``w`` partitioned by (keys, block) and ordered by
+    the rank; only each block's own rows are kept, so the result equals the
+    same window over the whole series.  ``order`` must be unique per series."""
+    ks = _keys(keys)
+    back, fwd = max(0, -lo), max(0, hi)
+    x = df.withColumn("_one", F.lit(1))
+    x = cumulative_sum(x, order, "_one", ks or None, out="_g", buckets=buckets).drop("_one")
+    x = x.withColumn("_g", F.col("_g") - 1)  # 0-based rank
+    n = x.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
+    # block size: about n / buckets rows, never smaller than the halo reach
+    size = F.greatest(F.ceil(F.col("_n") / F.lit(buckets)), F.lit(max(back, fwd, 1))).cast("long")
+    n = n.select(*ks, size.alias("_size"))
+    x = x.join(n, ks) if ks else with_scalars(x, n)
+    x = x.withColumn("_home", F.floor(F.col("_g") / F.col("_size")))
+    off = F.col("_g") - F.col("_home") * F.col("_size")  # position inside the home block
+    targets = F.array(F.col("_home"))
+    if back:
+        targets = F.when(off >= F.col("_size") - back, F.array_union(targets, F.array(F.col("_home") + 1))).otherwise(targets)
+    if fwd:
+        targets = F.when((off < fwd) & (F.col("_home") > 0), F.array_union(targets, F.array(F.col("_home") - 1))).otherwise(targets)
+    x = x.withColumn("_tb", F.explode(targets))
+    w = Window.partitionBy(*ks, "_tb").orderBy("_g")
+    out = x.select("*", *exprs(w))
+    return out.where(F.col("_tb") == F.col("_home")).drop("_g", "_size", "_home", "_tb")
+
+
+def rolling_distributed(df: DataFrame, value: str, order: str, n: int, keys=None,
+                        min_periods: int | None = None, stats=("mean",), centered: bool = False,
+                        prefix: str | None = None, buckets: int = 64) -> DataFrame:
+    """``rolling`` for a series too long for one task (same results)."""
+    mp = n if min_periods is None else min_periods
+    if centered:
+        hi = n // 2
+        lo = hi - (n - 1)
+    else:
+        lo, hi = -(n - 1), 0
+    fn = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "min": F.min, "max": F.max}
+    p = prefix or f"{value}_roll{n}"
+
+    def exprs(w):
+        wf = w.rowsBetween(lo, hi)
+        cnt = F.count(value).over(wf)
+        return [F.when(cnt >= mp, fn[s](value).over(wf)).alias(f"{p}_{s}") for s in stats]
+    return halo_window(df, order, keys, lo, hi, exprs, buckets)
+
+
+def lags_distributed(df: DataFrame, value: str, order: str, lags, keys=None,
+                     fmt: str = "{v}_lag_{k}", buckets: int = 64) -> DataFrame:
+    """``with_lags`` for a series too long for one task (same results)."""
+    mx = max(lags)
+    return halo_window(df, order, keys, -mx, 0,
+                       lambda w: [F.lag(value, k).over(w).alias(fmt.format(v=value, k=k)) for k in lags], buckets)

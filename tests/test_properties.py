@@ -231,3 +231,26 @@ def test_adf_pvalue_surface():
     assert MD.adf_pvalue(3.0) == 1.0 and MD.adf_pvalue(-20.0) == 0.0
     ps = [MD.adf_pvalue(x / 10) for x in range(-60, 20)]
     assert all(a <= b for a, b in zip(ps, ps[1:]))
+
+
+def test_halo_windows_equal_single_window(spark):
+    rng = np.random.default_rng(12)
+    n = 1500
+    rows = [(int(k), int(t), float(v)) for k, t, v in zip(rng.integers(0, 2, n), rng.permutation(n), rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "k int, t int, y double").repartition(6)
+    for keys in (None, "k"):
+        for nwin, centered, mp in ((5, False, None), (30, False, 1), (7, True, 4), (12, True, None)):
+            a = S.rolling(df, "y", "t", nwin, keys=keys, min_periods=mp, centered=centered, stats=("mean", "std"))
+            b = S.rolling_distributed(df, "y", "t", nwin, keys=keys, min_periods=mp, centered=centered,
+                                      stats=("mean", "std"), buckets=16)
+            ka = {(r["k"], r["t"]): (r[3], r[4]) for r in a.collect()}
+            kb = {(r["k"], r["t"]): (r[3], r[4]) for r in b.collect()}
+            assert ka.keys() == kb.keys()
+            for key, (x1, x2) in ka.items():
+                y1, y2 = kb[key]
+                for u, v in ((x1, y1), (x2, y2)):
+                    assert (u is None and v is None) or math.isclose(u, v, rel_tol=1e-9, abs_tol=1e-12)
+        la = {(r["k"], r["t"]): (r["y_lag_1"], r["y_lag_24"]) for r in S.with_lags(df, "y", "t", [1, 24], keys).collect()}
+        lb = {(r["k"], r["t"]): (r["y_lag_1"], r["y_lag_24"]) for r in
+              S.lags_distributed(df, "y", "t", [1, 24], keys, buckets=16).collect()}
+        assert la == lb
