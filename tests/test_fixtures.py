@@ -255,3 +255,25 @@ def test_mode_ties_numeric_order_and_mean_fill_of_ints(spark):
     assert [r[0] for r in C.impute_mode_all(df, ["n"]).collect()][-1] == 9
     f = C.fill_mean(spark.createDataFrame([(1,), (2,), (None,)], "n int"), ["n"])
     assert [r[0] for r in f.collect()] == [1.0, 2.0, 1.5]
+
+
+def test_null_group_keys_dropped_and_nulls_sort_last(spark):
+    df = spark.createDataFrame([("a", 1.0), (None, 2.0), ("a", None), ("b", 3.0)], "k string, v double")
+    vc = {r["k"]: r["count"] for r in A.value_counts(df, "k").collect()}
+    assert vc == {"a": 2, "b": 1}
+    gc = {r["k"]: r["count"] for r in A.group_count(df, "k", "v").collect()}
+    assert gc == {"a": 1, "b": 1}  # count of non-null v; the null key group is dropped
+    desc = [r["v"] for r in df.orderBy(F.col("v").desc_nulls_last()).collect()]
+    asc = [r["v"] for r in df.orderBy(F.col("v").asc_nulls_last()).collect()]
+    assert desc[-1] is None and asc[-1] is None
+
+
+def test_sample_vs_population_std(spark):
+    import numpy as np
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)], "x double")
+    z = [r["x"] for r in C.standardize(df, ["x"]).orderBy("x").collect()]
+    a = np.array([1, 2, 3, 4.0])
+    assert np.allclose(z, (a - a.mean()) / a.std(ddof=0))
+    r = S.rolling(spark.createDataFrame([(i, float(i)) for i in range(4)], "t int, y double"), "y", "t", 4,
+                  stats=("std",)).orderBy("t").collect()[-1]
+    assert math.isclose(r["y_roll4_std"], np.std([0, 1, 2, 3], ddof=1))
