@@ -408,3 +408,55 @@ def auc_rank(df: DataFrame, score: str, label: str) -> DataFrame:
     contrib = F.col("_pos") * (F.col("_cneg") - F.col("_neg") + F.col("_neg") / 2.0)
     return g.agg((F.sum(contrib) / (F.sum("_pos") * F.sum("_neg"))).alias("auc"),
                  F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+
+
+def ols_by_key(df: DataFrame, keys, x_cols: Sequence[str], y_col: str, ridge: float = 0.0,
+               intercept: bool = True) -> DataFrame:
+    """Least squares per series for any number of series.
+
+    One grouped cross-product aggregate gives each series' (k+1)x(k+1) Gram
+    matrix (partials from every partition, so a hot series is split); the
+    small solves then run on executors, one row per series, in
+    ``mapInPandas`` — nothing per series reaches the driver.
+    Output: keys, n, coef_<name> ..., ssr, r2."""
+    import numpy as np
+    import pandas as pd
+    ks = [keys] if isinstance(keys, str) else list(keys)
+    xs = (["_one"] if intercept else []) + list(x_cols)
+    src = df.withColumn("_one", F.lit(1.0)) if intercept else df
+    g = cross_products(src, xs + [y_col], keys=ks)
+    k = len(xs) + 1
+    names = ["intercept" if c == "_one" else c for c in xs]
+    key_types = dict(g.dtypes)
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for _, r_ in pdf.iterrows():
+                G, n = gram_from_row({"_n": r_["_n"], "_xp": _Vec(r_["_xp"])}, k)
+                xi = list(range(k - 1))
+                try:
+                    b, ssr, _ = ols_from_gram(G, xi, k - 1, ridge)
+                except np.linalg.LinAlgError:
+                    b, ssr = np.full(k - 1, np.nan), float("nan")
+                sy, syy = (G[0, k - 1], G[k - 1, k - 1]) if intercept else (np.nan, np.nan)
+                sst = syy - sy * sy / n if intercept and n else float("nan")
+                r2 = 1 - ssr / sst if intercept and sst and sst > 0 else float("nan")
+                out.append([r_[c] for c in ks] + [n] + [float(v) for v in b] + [ssr, r2])
+            yield pd.DataFrame(out, columns=ks + ["n"] + [f"coef_{c}" for c in names] + ["ssr", "r2"])
+
+    schema = ", ".join([f"`{c}` {key_types[c]}" for c in ks] + ["n long"] + [f"`coef_{c}` double" for c in names]
+                       + ["ssr double", "r2 double"])
+    from pyspark.ml.functions import vector_to_array
+    return g.select(*ks, "_n", vector_to_array("_xp").alias("_xp")).mapInPandas(solve, schema)
+
+
+class _Vec:
+    """Adapter so ``gram_from_row`` can read a plain array as a vector."""
+
+    def __init__(self, arr):
+        self._a = arr
+
+    def toArray(self):
+        import numpy as np
+        return np.asarray(self._a, dtype=float)

@@ -254,3 +254,23 @@ def test_halo_windows_equal_single_window(spark):
         lb = {(r["k"], r["t"]): (r["y_lag_1"], r["y_lag_24"]) for r in
               S.lags_distributed(df, "y", "t", [1, 24], keys, buckets=16).collect()}
         assert la == lb
+
+
+def test_ols_by_key_matches_numpy(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(4):
+        x = rng.normal(size=200)
+        y = 2.0 * k + (k + 1) * x + rng.normal(scale=0.1, size=200)
+        rows += [(k, float(a), float(b)) for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows, "series int, x double, y double").repartition(5)
+    got = {r["series"]: r for r in MD.ols_by_key(df, "series", ["x"], "y").collect()}
+    for k in range(4):
+        m = np.array([(a, b) for s, a, b in rows if s == k])
+        X = np.column_stack([np.ones(len(m)), m[:, 0]])
+        beta = np.linalg.lstsq(X, m[:, 1], rcond=None)[0]
+        assert math.isclose(got[k]["coef_intercept"], beta[0], rel_tol=1e-8, abs_tol=1e-9)
+        assert math.isclose(got[k]["coef_x"], beta[1], rel_tol=1e-8)
+        resid = m[:, 1] - X @ beta
+        r2 = 1 - resid @ resid / np.sum((m[:, 1] - m[:, 1].mean()) ** 2)
+        assert got[k]["n"] == 200 and math.isclose(got[k]["r2"], r2, rel_tol=1e-8)
