@@ -251,3 +251,22 @@ def series_report(spark, d):
                   (F.lit(cv["intercept"]) + F.lit(cv["slope"]) * (F.lit(last["n"]) + F.col("h"))).alias("y_fit"),
                   F.lit(True).alias("is_forecast"))
     return hist.unionByName(fc).withColumn("adf_pvalue", F.lit(res["pvalue"]))
+
+
+@query("linear_trend_by_series", oracle="""
+WITH s AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS ds, sum(o_totalprice) / 1e6 AS y
+           FROM orders GROUP BY 1, 2),
+x AS (SELECT o_orderpriority, (ds - DATE '1995-01-01') / 365.25 AS t, y FROM s)
+SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(regr_intercept(y, t), 9) AS coef_intercept,
+       round(regr_slope(y, t), 9) AS coef_t, round(regr_r2(y, t), 9) AS r2
+FROM x GROUP BY 1""")
+def linear_trend_by_series(spark, d):
+    """MDL1 for many series at once: a linear trend per order priority of its
+    daily totals (millions) on years since 1995-01-01.  One grouped
+    cross-product aggregate; the per-series solves run on executors."""
+    o = Tables(spark, d).orders
+    s = S.daily(o, "o_orderdate", F.sum("o_totalprice") / 1e6, keys="o_orderpriority")
+    x = s.select("o_orderpriority", (F.datediff("ds", F.lit("1995-01-01").cast("date")) / 365.25).alias("t"), "y")
+    fit = MD.ols_by_key(x, "o_orderpriority", ["t"], "y")
+    return fit.select("o_orderpriority", "n", r("coef_intercept", 9).alias("coef_intercept"),
+                      r("coef_t", 9).alias("coef_t"), r("r2", 9).alias("r2"))
