@@ -51,3 +51,35 @@ def test_top_k_is_take_ordered(spark):
 def test_grouping_sets_single_pass(spark):
     plan = _plan(QUERIES["group_mean_dims"](spark, SF_SMALL))
     assert "Expand" in plan and plan.count("Scan parquet") == 2
+
+
+_BOUNDING = ("HashAggregateExec", "ObjectHashAggregateExec", "SortAggregateExec", "TakeOrderedAndProjectExec",
+             "GlobalLimitExec", "CollectLimitExec", "LocalTableScanExec", "RDDScanExec")
+
+
+def _subtree(ns, i):
+    out, stack, j = [], [ns[i]["num-children"]], i + 1
+    while stack and stack[-1] > 0 and j < len(ns):
+        out.append(j)
+        stack[-1] -= 1
+        if ns[j]["num-children"]:
+            stack.append(ns[j]["num-children"])
+        while stack and stack[-1] == 0:
+            stack.pop()
+        j += 1
+    return out
+
+
+@pytest.mark.parametrize("key", sorted(k for k in QUERIES if k not in SKIP))
+def test_no_single_partition_window_over_raw_rows(spark, key):
+    """A window without PARTITION BY runs in one task; it must only ever see
+    an aggregated (calendar-bounded or bucket-bounded) or limited input."""
+    import json
+    try:
+        ns = json.loads(QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toJSON())
+    except Exception:  # plans holding Python functions do not serialise
+        pytest.skip("plan not serialisable")
+    for i, n in enumerate(ns):
+        if n["class"].endswith("WindowExec") and not n.get("partitionSpec"):
+            classes = [ns[j]["class"].split(".")[-1] for j in _subtree(ns, i)]
+            assert any(c in _BOUNDING for c in classes), (key, classes[:8])
