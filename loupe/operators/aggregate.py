@@ -82,6 +82,23 @@ def grouping_sets_mean(df: DataFrame, dims: Sequence[str], measure: str,
     return g.select(dim_name.alias("dimension"), dim_val.alias("value"), out, "n")
 
 
+def grouping_sets_ratio(df: DataFrame, dims: Sequence[str], sums: str, counts: str,
+                        out: str = "mean") -> DataFrame:
+    """Like ``grouping_sets_mean`` over pre-aggregated rows holding partial
+    sums and counts: mean = sum(sums) / sum(counts), n = sum(counts)."""
+    sets = [[F.col(d)] for d in dims]
+    g = df.groupingSets(sets, *[F.col(d) for d in dims]).agg(
+        (F.sum(sums) / F.sum(counts)).alias(out), F.sum(counts).alias("n"), F.grouping_id().alias("_gid"))
+    n = len(dims)
+    dim_name = F.lit(None).cast("string")
+    dim_val = F.lit(None).cast("string")
+    for i, d in enumerate(dims):
+        gid = (1 << n) - 1 - (1 << (n - 1 - i))
+        dim_name = F.when(F.col("_gid") == gid, F.lit(d)).otherwise(dim_name)
+        dim_val = F.when(F.col("_gid") == gid, F.col(d).cast("string")).otherwise(dim_val)
+    return g.select(dim_name.alias("dimension"), dim_val.alias("value"), out, "n")
+
+
 def pivot_counts(df: DataFrame, row: str, col: str, values: Sequence,
                  fill: int | None = 0) -> DataFrame:
     """Long -> wide counts with an explicit column list (no extra job to

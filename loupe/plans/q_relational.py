@@ -295,10 +295,13 @@ UNION ALL SELECT 'l_linestatus', l_linestatus, round(avg(l_extendedprice), 6), c
 def group_mean_dims(spark, d):
     """AGG4 / CMP15: mean sales by five dimensions in one GROUPING SETS pass."""
     t = Tables(spark, d)
-    j = t.lineitem.select("l_partkey", "l_extendedprice", "l_returnflag", "l_linestatus").join(
-        t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_size"), "l_partkey")
-    g = A.grouping_sets_mean(j, ["p_brand", "p_type", "p_size", "l_returnflag", "l_linestatus"],
-                             "l_extendedprice")
+    # Eager aggregation below the join: a mean is sum / count, so lineitem is
+    # first reduced to one row per (part, flag, status) and only those rows
+    # meet the part dimension.
+    pre = (t.lineitem.groupBy("l_partkey", "l_returnflag", "l_linestatus")
+           .agg(F.sum("l_extendedprice").alias("_s"), F.count("l_extendedprice").alias("_c")))
+    j = pre.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_size"), "l_partkey")
+    g = A.grouping_sets_ratio(j, ["p_brand", "p_type", "p_size", "l_returnflag", "l_linestatus"], "_s", "_c")
     return g.select("dimension", "value", r("mean").alias("mean"), "n")
 
 

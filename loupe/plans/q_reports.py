@@ -228,11 +228,13 @@ def top_combinations(spark, d):
     """CMP11: size per (nation, segment, priority, year), top 100, then summed
     by (nation, segment)."""
     t = Tables(spark, d)
-    o = t.orders.where(F.col("o_orderstatus").isin("F", "O")).select(
-        F.col("o_custkey").alias("c_custkey"), "o_orderpriority", F.year("o_orderdate").alias("year"))
+    # orders reduced to (customer, priority, year) counts before the customer join
+    o = (t.orders.where(F.col("o_orderstatus").isin("F", "O"))
+         .groupBy(F.col("o_custkey").alias("c_custkey"), "o_orderpriority", F.year("o_orderdate").alias("year"))
+         .agg(F.count(F.lit(1)).alias("_c")))
     j = o.join(_cust_nation(t), "c_custkey")
     keys = ["n_name", "c_mktsegment", "o_orderpriority", "year"]
-    s = A.group_size(j, keys)
+    s = A.not_null_keys(j, keys).groupBy(*keys).agg(F.sum("_c").alias("size"))
     top = A.top_k(s, [F.col("size").desc()] + [F.col(k) for k in keys], 100)
     return top.groupBy("n_name", "c_mktsegment").agg(F.sum("size").alias("total"))
 
@@ -243,10 +245,11 @@ FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_returnflag IN
 def stacked_by_class(spark, d):
     """CMP14: counts per (type, class), kept for the chosen classes."""
     t = Tables(spark, d)
-    j = t.lineitem.select("l_orderkey", "l_partkey", "l_returnflag").join(
-        t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
-    g = A.group_count(j, ["p_type", "l_returnflag"], "l_orderkey")
-    return g.where(F.col("l_returnflag").isin("A", "R"))
+    # count per (part, class) first, so only those rows meet the part dimension
+    pre = (t.lineitem.where(F.col("l_returnflag").isin("A", "R"))
+           .groupBy("l_partkey", "l_returnflag").agg(F.count("l_orderkey").alias("_c")))
+    j = pre.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
+    return j.groupBy("p_type", "l_returnflag").agg(F.sum("_c").alias("count"))
 
 
 @query("dimension_means", oracle="""
