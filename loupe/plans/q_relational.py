@@ -311,10 +311,14 @@ SELECT c.c_mktsegment, round_even(avg(o.o_totalprice), 0) + 0.0 AS mean_price,
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment""")
 def group_mean_round(spark, d):
     t = Tables(spark, d)
-    j = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    # partial sums per customer below the customer join (means = sums / counts)
+    pre = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("_sp"), F.count("o_totalprice").alias("_cp"),
+                                            F.sum(F.year("o_orderdate")).alias("_sy"),
+                                            F.count(F.year("o_orderdate")).alias("_cy"))
+    j = pre.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
     return j.groupBy("c_mktsegment").agg(
-        F.bround(F.avg("o_totalprice"), 0).alias("mean_price"),
-        F.bround(F.avg(F.year("o_orderdate")), 0).alias("mean_year"))
+        F.bround(F.sum("_sp") / F.sum("_cp"), 0).alias("mean_price"),
+        F.bround(F.sum("_sy") / F.sum("_cy"), 0).alias("mean_year"))
 
 
 @query("value_counts", oracle="""
