@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
@@ -119,7 +121,7 @@ def _forecast(spark, d):
     o = t.orders.where(F.col("o_orderpriority") == "1-URGENT").select(
         F.to_date("o_orderdate").alias("ds"), (F.col("o_totalprice") / 1e3).alias("y"))
     b = o.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi")).first()
-    hol = holiday_calendar(spark, b["lo"], b["hi"] + __import__("datetime").timedelta(days=365))
+    hol = holiday_calendar(spark, b["lo"], b["hi"] + datetime.timedelta(days=365))
     return MD.additive_forecast(o, "ds", "y", horizon=364, holidays=hol)
 
 
