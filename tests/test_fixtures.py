@@ -277,3 +277,33 @@ def test_sample_vs_population_std(spark):
     r = S.rolling(spark.createDataFrame([(i, float(i)) for i in range(4)], "t int, y double"), "y", "t", 4,
                   stats=("std",)).orderBy("t").collect()[-1]
     assert math.isclose(r["y_roll4_std"], np.std([0, 1, 2, 3], ddof=1))
+
+
+def test_recode_by_table_and_literal_map(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "v string")
+    m = spark.createDataFrame([("a", "X"), ("b", "X")], "from string, to string")
+    assert [r[0] for r in C.recode_by_table(df, "v", m).orderBy(F.col("v").asc_nulls_last()).collect()] == \
+        ["X", "X", "c", None]
+    assert [r[0] for r in df.select(C.recode("v", {"a": "X", "b": "X"})).collect()] == ["X", "X", "c", None]
+
+
+def test_sketch_switches(spark):
+    import numpy as np
+    vals = list(range(1, 1001))
+    df = spark.createDataFrame([(float(v), v % 37) for v in vals], "x double, k int")
+    ex = {r["column"]: r for r in P.describe_numeric(df, ["x"]).collect()}["x"]
+    ap = {r["column"]: r for r in P.describe_numeric(df, ["x"], exact=False).collect()}["x"]
+    assert ex["p50"] == float(np.percentile(vals, 50))
+    assert abs(ap["p50"] - ex["p50"]) <= 2 and ap["count"] == ex["count"] and ap["mean"] == ex["mean"]
+    nu = {r["column"]: r["nunique"] for r in P.nunique(df, exact=False).collect()}
+    assert abs(nu["x"] - 1000) < 80 and nu["k"] == 37
+
+
+def test_single_file_csv(spark, tmp_path):
+    from loupe.sources.files import read_csv, write_csv
+    df = spark.range(0, 100, 1, 4).select(F.col("id").cast("int").alias("id"))
+    write_csv(df, str(tmp_path / "out"), single_file=True)
+    parts = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")]
+    assert len(parts) == 1
+    back = read_csv(spark, str(tmp_path / "out"), "id int")
+    assert sorted(r[0] for r in back.collect()) == list(range(100))
