@@ -71,7 +71,8 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
                                 for i in range(len(cols)) for k, n in enumerate(("p25", "p50", "p75"))])
         return _long(row, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
     long = unpivot_double(df, cols)
-    return describe_long(long, "column", "value", exact=True)
+    # a row count is cheap (file metadata) and bounds every column's distinct values
+    return describe_long(long, "column", "value", exact=True, max_rows=df.count())
 
 
 def unpivot_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -95,13 +96,20 @@ def _route(long_df: DataFrame, key: str, value: str) -> tuple[list, list]:
 
 
 def quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[float],
-              names: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
+              names: Sequence[str], extra: Sequence[Column] = (), max_rows: int | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation) per key, plus optional ``extra``
     aggregate columns computed in the same pass.  One approximate distinct
     count per key picks the method: Spark's ``percentile`` for keys with a
     bounded number of distinct values, the distributed ``exact_quantiles``
     for the others.  Both give the same exact answer."""
     x = F.col(value).cast("double")
+    pct = F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias("_q")
+    if max_rows is not None and max_rows <= MAP_PERCENTILE_MAX:
+        # no key can have more distinct values than rows: every key takes the
+        # bounded route and the routing pass is skipped
+        g = long_df.groupBy(key).agg(*extra, pct)
+        return g.select(key, *[e_ for e_ in g.columns if e_ not in (key, "_q")],
+                        *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     small, large = _route(long_df, key, value)
     parts = []
     if small:
@@ -123,7 +131,8 @@ def quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[float],
     return out
 
 
-def describe_long(long_df: DataFrame, key: str, value: str, exact: bool = True) -> DataFrame:
+def describe_long(long_df: DataFrame, key: str, value: str, exact: bool = True,
+                  max_rows: int | None = None) -> DataFrame:
     """describe() for data in long form (key, value): one grouped aggregate
     for the moments and, when exact, the distributed exact quantiles."""
     x = F.col(value).cast("double")
@@ -135,7 +144,8 @@ def describe_long(long_df: DataFrame, key: str, value: str, exact: bool = True)
                         F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
     moments = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                F.min(x).alias("min"), F.max(x).alias("max")]
-    q = quantiles(long_df, key, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], extra=moments)
+    q = quantiles(long_df, key, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], extra=moments,
+                  max_rows=max_rows)
     return q.select(key, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
