@@ -146,8 +146,8 @@ def fd_histogram(df: DataFrame, value: str, group: str | None = None) -> DataFra
          .persist(StorageLevel.MEMORY_AND_DISK))
     mm = scalars(v.agg(F.min("_x").alias("_lo"), F.count(F.lit(1)).alias("_n")))
     from loupe.operators.profile import quantiles
-    qq = scalars(quantiles(v.select(F.lit("x").alias("_k"), "_x"), "_k", "_x", [0.25, 0.75], ["q1", "q3"])
-                 .drop("_k"))
+    qq = scalars(quantiles(v.select(F.lit("x").alias("_k"), "_x"), "_k", "_x", [0.25, 0.75], ["q1", "q3"],
+                           max_rows=mm["_n"]).drop("_k"))
     width = 2 * (qq["q1"] is not None and (qq["q3"] - qq["q1"]) or 0.0) / (mm["_n"] ** (1.0 / 3) if mm["_n"] else 1.0)
     st = v.sparkSession.range(1).select(F.lit(mm["_lo"]).cast("double").alias("_lo"),
                                         F.lit(float(width)).alias("_w"))
