@@ -401,9 +401,11 @@ def auc_rank(df: DataFrame, score: str, label: str) -> DataFrame:
     below each score come from a distributed running sum, and
     AUC = sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N)."""
     from loupe.operators.series import cumulative_sum
+    from loupe.session import materialize
     g = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("_neg"))
+    g = materialize(g)  # one row per distinct score, read by several jobs
     g = cumulative_sum(g, score, "_neg", out="_cneg")
     contrib = F.col("_pos") * (F.col("_cneg") - F.col("_neg") + F.col("_neg") / 2.0)
     return g.agg((F.sum(contrib) / (F.sum("_pos") * F.sum("_neg"))).alias("auc"),

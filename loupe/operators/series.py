@@ -150,8 +150,12 @@ def ecdf(df: DataFrame, col: str, keys=None) -> DataFrame:
 
     Counts per value first (partial aggregation), then a distributed running
     sum over the distinct values."""
+    from loupe.session import materialize
     ks = _keys(keys)
     c = df.where(F.col(col).isNotNull()).groupBy(*ks, col).agg(F.count(F.lit(1)).alias("n"))
+    # the per-value counts feed several jobs (range bounds, totals, the sum
+    # itself): write them once instead of re-aggregating the facts each time
+    c = materialize(c)
     c = cumulative_sum(c, col, "n", ks, "cum_n")
     tot = c.groupBy(*ks).agg(F.sum("n").alias("_tot"))
     c = c.join(tot, ks) if ks else with_scalars(c, tot)
