@@ -462,3 +462,80 @@ class _Vec:
     def toArray(self):
         import numpy as np
         return np.asarray(self._a, dtype=float)
+
+
+def adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int = 12) -> DataFrame:
+    """ADF test (constant, AIC lag choice up to ``maxlag``) for every series
+    at once.  Two grouped cross-product passes (lag search on each series'
+    common sample, then the chosen lag on its own sample); all per-series
+    solves run on executors, so the number of series is unbounded.
+    Output: keys, adf_stat, pvalue, usedlag, nobs, crit_1, crit_5, crit_10."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.functions import vector_to_array
+    ks = [keys] if isinstance(keys, str) else list(keys)
+    w = Window.partitionBy(*ks).orderBy(order)
+    x = df.where(F.col(value).isNotNull()).select(*ks, order, F.col(value).cast("double").alias("_x"))
+    x = x.withColumn("_lvl", F.lag("_x", 1).over(w)).withColumn("_dx", F.col("_x") - F.col("_lvl"))
+    x = x.select("*", *[F.lag("_dx", k).over(w).alias(f"_dx{k}") for k in range(1, maxlag + 1)])
+    x = x.withColumn("_rn", F.row_number().over(w)).withColumn("_one", F.lit(1.0))
+    from loupe.session import materialize
+    x = materialize(x)
+    cols = ["_one", "_lvl"] + [f"_dx{k}" for k in range(1, maxlag + 1)] + ["_dx"]
+    k = len(cols)
+    key_types = dict(x.dtypes)
+
+    def rows_of(pdf):
+        for _, r_ in pdf.iterrows():
+            G, n = gram_from_row({"_n": r_["_n"], "_xp": _Vec(r_["_xp"])}, k)
+            yield r_, G, n
+
+    def pick_lag(batches):
+        for pdf in batches:
+            out = []
+            for r_, G, n in rows_of(pdf):
+                best, best_aic = 0, None
+                for lag in range(0, maxlag + 1):
+                    try:
+                        _, ssr, _ = ols_from_gram(G, list(range(2 + lag)), k - 1)
+                    except np.linalg.LinAlgError:
+                        continue
+                    if ssr <= 0 or n <= 0:
+                        continue
+                    aic = n * math.log(2 * math.pi) + n * math.log(ssr / n) + n + 2 * (2 + lag)
+                    if best_aic is None or aic < best_aic:
+                        best, best_aic = lag, aic
+                out.append([r_[c] for c in ks] + [best])
+            yield pd.DataFrame(out, columns=ks + ["_used"])
+
+    key_schema = [f"`{c}` {key_types[c]}" for c in ks]
+    g1 = cross_products(x.where(F.col("_rn") > maxlag + 1), cols, keys=ks)
+    used = g1.select(*ks, "_n", vector_to_array("_xp").alias("_xp")).mapInPandas(
+        pick_lag, ", ".join(key_schema + ["_used int"]))
+    # second pass: each series on its own sample for its chosen lag; lags
+    # beyond the chosen one are zeroed so they do not drop rows
+    y = x.join(used, ks).where(F.col("_rn") > F.col("_used") + 1)
+    y = y.select(*ks, "_used", *[F.when(F.lit(i) <= F.col("_used"), F.col(f"_dx{i}")).otherwise(F.lit(0.0))
+                                 .alias(f"_dx{i}") for i in range(1, maxlag + 1)], "_one", "_lvl", "_dx")
+    g2 = cross_products(y, cols, keys=ks + ["_used"])
+
+    def final(batches):
+        for pdf in batches:
+            out = []
+            for r_, G, n in rows_of(pdf):
+                u = int(r_["_used"])
+                xi = list(range(2 + u))
+                try:
+                    b, ssr, A = ols_from_gram(G, xi, k - 1)
+                    se = math.sqrt(ssr / (n - len(xi)) * np.linalg.inv(A)[1, 1])
+                    stat = float(b[1] / se)
+                except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
+                    stat = float("nan")
+                crit = adf_critical(n)
+                p = adf_pvalue(stat) if stat == stat else float("nan")
+                out.append([r_[c] for c in ks] + [stat, p, u, n, crit["1%"], crit["5%"], crit["10%"]])
+            yield pd.DataFrame(out, columns=ks + ["adf_stat", "pvalue", "usedlag", "nobs", "crit_1", "crit_5", "crit_10"])
+
+    schema = ", ".join(key_schema + ["adf_stat double", "pvalue double", "usedlag int", "nobs long",
+                                     "crit_1 double", "crit_5 double", "crit_10 double"])
+    return g2.select(*ks, "_used", "_n", vector_to_array("_xp").alias("_xp")).mapInPandas(final, schema)

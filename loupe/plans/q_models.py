@@ -272,3 +272,12 @@ def linear_trend_by_series(spark, d):
     fit = MD.ols_by_key(x, "o_orderpriority", ["t"], "y")
     return fit.select("o_orderpriority", "n", r("coef_intercept", 9).alias("coef_intercept"),
                       r("coef_t", 9).alias("coef_t"), r("r2", 9).alias("r2"))
+
+
+@query("adf_by_series")
+def adf_by_series(spark, d):
+    """STA5 for many series at once: ADF of each order priority's daily totals
+    (two grouped cross-product passes; solves on executors)."""
+    o = Tables(spark, d).orders
+    s = S.daily(o, "o_orderdate", F.sum("o_totalprice") / 1e6, keys="o_orderpriority")
+    return MD.adf_by_key(s, "y", "ds", "o_orderpriority", maxlag=12)

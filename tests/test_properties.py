@@ -274,3 +274,18 @@ def test_ols_by_key_matches_numpy(spark):
         resid = m[:, 1] - X @ beta
         r2 = 1 - resid @ resid / np.sum((m[:, 1] - m[:, 1].mean()) ** 2)
         assert got[k]["n"] == 200 and math.isclose(got[k]["r2"], r2, rel_tol=1e-8)
+
+
+def test_adf_by_key_matches_single_series(spark):
+    rng = np.random.default_rng(31)
+    walk = np.cumsum(rng.normal(size=300))
+    ar = _ar2(300, seed=3)
+    rows = [(0, i, float(v)) for i, v in enumerate(walk)] + [(1, i, float(v)) for i, v in enumerate(ar)]
+    df = spark.createDataFrame(rows, "s int, t int, y double").repartition(4)
+    got = {r["s"]: r for r in MD.adf_by_key(df, "y", "t", "s", maxlag=6).collect()}
+    for s_ in (0, 1):
+        one = MD.adf_test(df.where(F.col("s") == s_).select("t", "y"), "y", "t", maxlag=6)
+        assert got[s_]["usedlag"] == one["usedlag"] and got[s_]["nobs"] == one["nobs"]
+        assert math.isclose(got[s_]["adf_stat"], one["adf_stat"], rel_tol=1e-7)
+        assert math.isclose(got[s_]["pvalue"], one["pvalue"], rel_tol=1e-7, abs_tol=1e-12)
+    assert got[0]["pvalue"] > 0.05 and got[1]["pvalue"] < 0.01
