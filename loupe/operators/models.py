@@ -49,6 +49,28 @@ def tabular_prepare(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[s
 
 
 # ----------------------------------------------------------------- OLS core
+class _no_constraint_inference:
+    """Plan wide lag designs without Catalyst's constraint inference, which
+    grows combinatorially with dozens of lag columns and their null filters.
+    It only adds inferred filters, never changes results; the previous
+    setting is restored on exit."""
+
+    KEY = "spark.sql.constraintPropagation.enabled"
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __enter__(self):
+        self.old = self.spark.conf.get(self.KEY, "true")
+        self.spark.conf.set(self.KEY, "false")
+        return self
+
+    def __exit__(self, *exc):
+        self.spark.conf.set(self.KEY, self.old)
+        return False
+
+
+
 def cross_products(df: DataFrame, cols: Sequence[str], keys=None) -> DataFrame:
     """ONE pass computing all pairwise sums sum(c_i * c_j), i <= j (the
     normal equations' X'X with y included as a column) and the row count.
@@ -465,6 +487,15 @@ class _Vec:
 
 
 def adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int = 12) -> DataFrame:
+    """ADF test (constant, AIC lag choice up to ``maxlag``) for every series
+    at once; see ``_adf_by_key``.  The per-series result (one row per series)
+    is written out, so callers plan a simple leaf."""
+    from loupe.session import materialize
+    with _no_constraint_inference(df.sparkSession):
+        return materialize(_adf_by_key(df, value, order, keys, maxlag))
+
+
+def _adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int = 12) -> DataFrame:
     """ADF test (constant, AIC lag choice up to ``maxlag``) for every series
     at once.  Two grouped cross-product passes (lag search on each series'
     common sample, then the chosen lag on its own sample); all per-series
@@ -512,11 +543,13 @@ def adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int = 12) ->
     g1 = cross_products(x.where(F.col("_rn") > maxlag + 1), cols, keys=ks)
     used = g1.select(*ks, "_n", vector_to_array("_xp").alias("_xp")).mapInPandas(
         pick_lag, ", ".join(key_schema + ["_used int"]))
-    # second pass: each series on its own sample for its chosen lag; lags
-    # beyond the chosen one are zeroed so they do not drop rows
+    # second pass: each series on its own sample for its chosen lag.  Lags the
+    # series does not use may be null on its first rows; they are zeroed so
+    # the rows are kept (the solve only reads the columns it uses, which are
+    # never null on that sample).
     y = x.join(used, ks).where(F.col("_rn") > F.col("_used") + 1)
-    y = y.select(*ks, "_used", *[F.when(F.lit(i) <= F.col("_used"), F.col(f"_dx{i}")).otherwise(F.lit(0.0))
-                                 .alias(f"_dx{i}") for i in range(1, maxlag + 1)], "_one", "_lvl", "_dx")
+    y = y.select(*ks, "_used", *[F.coalesce(F.col(f"_dx{i}"), F.lit(0.0)).alias(f"_dx{i}")
+                                 for i in range(1, maxlag + 1)], "_one", "_lvl", "_dx")
     g2 = cross_products(y, cols, keys=ks + ["_used"])
 
     def final(batches):
@@ -539,3 +572,95 @@ def adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int = 12) ->
     schema = ", ".join(key_schema + ["adf_stat double", "pvalue double", "usedlag int", "nobs long",
                                      "crit_1 double", "crit_5 double", "crit_10 double"])
     return g2.select(*ks, "_used", "_n", vector_to_array("_xp").alias("_xp")).mapInPandas(final, schema)
+
+
+def arima_select_by_key(df: DataFrame, value: str, order: str, keys, max_p: int = 3, max_q: int = 3,
+                        max_d: int = 2, long_ar: int = 10, alpha: float = 0.05, adf_maxlag: int = 12) -> DataFrame:
+    """``arima_select`` for every series at once; see ``_arima_select_by_key``."""
+    from loupe.session import materialize
+    with _no_constraint_inference(df.sparkSession):
+        return materialize(_arima_select_by_key(df, value, order, keys, max_p, max_q, max_d, long_ar, alpha,
+                                                adf_maxlag))
+
+
+def _arima_select_by_key(df: DataFrame, value: str, order: str, keys, max_p: int = 3, max_q: int = 3,
+                         max_d: int = 2, long_ar: int = 10, alpha: float = 0.05, adf_maxlag: int = 12) -> DataFrame:
+    """``arima_select`` for every series at once (Hannan-Rissanen, AIC).
+
+    d per series from repeated grouped ADF tests; the long-AR fit and the
+    (p, q) scoring come from grouped cross-product passes whose small solves
+    run on executors.  Output: keys, p, d, q, aic, nobs, chosen."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.functions import vector_to_array
+    from loupe.session import materialize
+    ks = [keys] if isinstance(keys, str) else list(keys)
+    w = Window.partitionBy(*ks).orderBy(order)
+    z = df.where(F.col(value).isNotNull()).select(*ks, order, F.col(value).cast("double").alias("z"))
+    key_types = dict(z.dtypes)
+    key_schema = [f"`{c}` {key_types[c]}" for c in ks]
+    # d per series: difference while the ADF test does not reject a unit root
+    z = z.withColumn("_d", F.lit(0))
+    for _ in range(max_d):
+        t = adf_by_key(z, "z", order, ks, maxlag=adf_maxlag)  # all rows of a series share its d
+        # one small row per series; written out so the next plan starts from a leaf
+        more = materialize(t.where(F.col("pvalue") >= alpha).select(*ks, F.lit(True).alias("_more")))
+        z = z.join(more, ks, "left")
+        dz = F.col("z") - F.lag("z", 1).over(w)
+        z = z.select(*ks, order, F.when(F.col("_more"), dz).otherwise(F.col("z")).alias("z"),
+                     F.when(F.col("_more"), F.col("_d") + 1).otherwise(F.col("_d")).alias("_d"))
+        z = materialize(z.where(F.col("z").isNotNull()))
+    z = z.withColumn("_rn", F.row_number().over(w)).withColumn("_one", F.lit(1.0))
+    z = z.select("*", *[F.lag("z", k).over(w).alias(f"_z{k}") for k in range(1, long_ar + 1)])
+    z = materialize(z)
+    c1 = ["_one"] + [f"_z{k}" for k in range(1, long_ar + 1)] + ["z"]
+    k1 = len(c1)
+
+    def long_fit(batches):
+        for pdf in batches:
+            out = []
+            for _, r_ in pdf.iterrows():
+                G, _n = gram_from_row({"_n": r_["_n"], "_xp": _Vec(r_["_xp"])}, k1)
+                try:
+                    b, _, _ = ols_from_gram(G, list(range(k1 - 1)), k1 - 1)
+                except np.linalg.LinAlgError:
+                    b = np.zeros(k1 - 1)
+                out.append([r_[c] for c in ks] + [[float(v) for v in b]])
+            yield pd.DataFrame(out, columns=ks + ["_b"])
+
+    g1 = cross_products(z.where(F.col("_rn") > long_ar), c1, keys=ks)
+    coef = g1.select(*ks, "_n", vector_to_array("_xp").alias("_xp")).mapInPandas(
+        long_fit, ", ".join(key_schema + ["_b array<double>"]))
+    fit = F.col("_b")[0]
+    for j in range(1, long_ar + 1):
+        fit = fit + F.col("_b")[j] * F.col(f"_z{j}")
+    z2 = z.join(coef, ks).withColumn("_e", F.when(F.col("_rn") > long_ar, F.col("z") - fit))
+    z2 = z2.select("*", *[F.lag("_e", k).over(w).alias(f"_e{k}") for k in range(1, max_q + 1)])
+    start = long_ar + max(max_p, max_q)
+    c2 = ["_one"] + [f"_z{k}" for k in range(1, max_p + 1)] + [f"_e{k}" for k in range(1, max_q + 1)] + ["z"]
+    k2 = len(c2)
+
+    def score(batches):
+        for pdf in batches:
+            out = []
+            for _, r_ in pdf.iterrows():
+                G, n = gram_from_row({"_n": r_["_n"], "_xp": _Vec(r_["_xp"])}, k2)
+                cand = []
+                for p in range(max_p + 1):
+                    for q in range(max_q + 1):
+                        xi = [0] + list(range(1, p + 1)) + list(range(1 + max_p, 1 + max_p + q))
+                        try:
+                            _, ssr, _ = ols_from_gram(G, xi, k2 - 1)
+                            aic = n * math.log(ssr / n) + 2 * (p + q + 1) if ssr > 0 and n else float("-inf")
+                        except np.linalg.LinAlgError:
+                            aic = float("nan")
+                        cand.append([p, q, aic])
+                ok = [c_ for c_ in cand if c_[2] == c_[2]]
+                best = min(ok, key=lambda c_: (c_[2], c_[0] + c_[1])) if ok else None
+                for p, q, aic in cand:
+                    out.append([r_[c] for c in ks] + [p, int(r_["_d"]), q, aic, n, [p, q] == best[:2] if best else False])
+            yield pd.DataFrame(out, columns=ks + ["p", "d", "q", "aic", "nobs", "chosen"])
+
+    g2 = cross_products(z2.where(F.col("_rn") > start), c2, keys=ks + ["_d"])
+    schema = ", ".join(key_schema + ["p int", "d int", "q int", "aic double", "nobs long", "chosen boolean"])
+    return g2.select(*ks, "_d", "_n", vector_to_array("_xp").alias("_xp")).mapInPandas(score, schema)

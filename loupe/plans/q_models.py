@@ -281,3 +281,12 @@ def adf_by_series(spark, d):
     o = Tables(spark, d).orders
     s = S.daily(o, "o_orderdate", F.sum("o_totalprice") / 1e6, keys="o_orderpriority")
     return MD.adf_by_key(s, "y", "ds", "o_orderpriority", maxlag=12)
+
+
+@query("arima_by_series")
+def arima_by_series(spark, d):
+    """MDL3 for many series at once: (p, d, q) search for each order
+    priority's daily totals (grouped passes, executor-side solves)."""
+    o = Tables(spark, d).orders
+    s = S.daily(o, "o_orderdate", F.sum("o_totalprice") / 1e6, keys="o_orderpriority")
+    return MD.arima_select_by_key(s, "y", "ds", "o_orderpriority")

@@ -289,3 +289,21 @@ def test_adf_by_key_matches_single_series(spark):
         assert math.isclose(got[s_]["adf_stat"], one["adf_stat"], rel_tol=1e-7)
         assert math.isclose(got[s_]["pvalue"], one["pvalue"], rel_tol=1e-7, abs_tol=1e-12)
     assert got[0]["pvalue"] > 0.05 and got[1]["pvalue"] < 0.01
+
+
+def test_arima_by_key_matches_single_series(spark):
+    rng = np.random.default_rng(41)
+    walk = np.cumsum(rng.normal(size=300))
+    ar = _ar2(300, seed=5)
+    rows = [(0, i, float(v)) for i, v in enumerate(walk)] + [(1, i, float(v)) for i, v in enumerate(ar)]
+    df = spark.createDataFrame(rows, "s int, t int, y double").repartition(4)
+    got = {}
+    for r_ in MD.arima_select_by_key(df, "y", "t", "s", adf_maxlag=16).collect():
+        got.setdefault(r_["s"], {})[(r_["p"], r_["q"])] = r_
+    for s_ in (0, 1):
+        one = MD.arima_select(df.where(F.col("s") == s_).select("t", "y"), "y", "t")
+        for r1 in one:
+            r2 = got[s_][(r1["p"], r1["q"])]
+            assert r2["d"] == r1["d"] and r2["nobs"] == r1["nobs"] and r2["chosen"] == r1["chosen"]
+            assert math.isclose(r2["aic"], r1["aic"], rel_tol=1e-7, abs_tol=1e-7)
+    assert [k for k, v in got[0].items() if v["chosen"]] and next(iter(got[0].values()))["d"] >= 1
