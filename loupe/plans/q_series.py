@@ -39,6 +39,7 @@ def _win(n_pre, n_post=0):
 @query("time_dummy", oracle=f"""
 SELECT ds, round(y, 6) AS y, row_number() OVER (ORDER BY ds) - 1 AS t FROM {DAILY_SQL}""")
 def time_dummy(spark, d):
+    """PRJ10: np.arange(len(df)) time dummy."""
     s = S.position(daily_orders(Tables(spark, d)), "ds")
     return s.select("ds", r("y", 6).alias("y"), "t")
 
@@ -46,6 +47,7 @@ def time_dummy(spark, d):
 @query("lag_feature", oracle=f"""
 SELECT ds, round(y, 6) AS y, round(lag(y, 1) OVER (ORDER BY ds), 6) AS y_lag_1 FROM {DAILY_SQL}""")
 def lag_feature(spark, d):
+    """WIN1: shift(k)."""
     s = S.with_lags(daily_orders(Tables(spark, d)), "y", "ds", [1])
     return s.select("ds", r("y", 6).alias("y"), r("y_lag_1", 6).alias("y_lag_1"))
 
@@ -114,6 +116,7 @@ WITH c AS (SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT l_quantity, n, CAST(sum(n) OVER (ORDER BY l_quantity) AS BIGINT) AS cum_n,
        round(sum(n) OVER (ORDER BY l_quantity) / sum(n) OVER (), 9) AS ecdf FROM c""")
 def ecdf(spark, d):
+    """WIN9: empirical CDF ECDF(x)."""
     e = S.ecdf(Tables(spark, d).lineitem, "l_quantity")
     return e.select("l_quantity", "n", "cum_n", r("ecdf", 9).alias("ecdf"))
 
@@ -211,6 +214,7 @@ def series_slice(spark, d):
 @query("trend_features", oracle=f"""
 SELECT ds, 1.0::DOUBLE AS const, row_number() OVER (ORDER BY ds) AS trend FROM {DAILY_SQL}""")
 def trend_features(spark, d):
+    """TSF1: DeterministicProcess(constant, order=1, drop=True).in_sample()."""
     s = S.position(daily_orders(Tables(spark, d)), "ds", out="trend", start=1)
     return s.select("ds", F.lit(1.0).alias("const"), "trend")
 

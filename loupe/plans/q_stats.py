@@ -19,6 +19,7 @@ _CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, round(corr({a}, {b}), 9) AS corr FROM lineitem"
     for i, a in enumerate(_CORR_COLS) for j, b in enumerate(_CORR_COLS) if i > j))
 def corr_matrix(spark, d):
+    """STA1: res.corr() + lower-triangle mask."""
     c = ST.corr_long(Tables(spark, d).lineitem, _CORR_COLS)
     return c.select("feature_i", "feature_j", r("corr", 9).alias("corr"))
 
@@ -55,6 +56,7 @@ def autocovariance(spark, d):
 @query("zscore", oracle=f"""
 SELECT ds, round((y - avg(y) OVER ()) / stddev_samp(y) OVER (), 9) AS z FROM {DAILY_SQL}""")
 def zscore(spark, d):
+    """STA4: z-score (x-mean)/std."""
     z = ST.zscore(daily_orders(Tables(spark, d)), "y")
     return z.select("ds", r("z", 9).alias("z"))
 

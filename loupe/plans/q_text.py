@@ -19,6 +19,7 @@ _STOP_SQL = ", ".join("('" + w.replace("'", "''") + "')" for w in T.STOP_WORDS)
 # ---------------------------------------------------------------- strings
 @query("first_token", oracle="SELECT p_partkey, split_part(p_name, ' ', 1) AS first_token FROM part")
 def first_token(spark, d):
+    """TXT1: x.split(' ')[0], x.split(',')[0]."""
     p = Tables(spark, d).part
     return p.select("p_partkey", T.first_token("p_name").alias("first_token"))
 
@@ -61,6 +62,7 @@ def _list_text():
 WITH t AS (SELECT p_partkey, string_split(replace(replace({_LIST_TEXT_SQL}, ' ,', ','), ', ', ','), ',') AS l FROM part)
 SELECT p_partkey, CAST(i AS INTEGER) AS pos, l[i] AS member FROM t, range(1, len(l) + 1) AS r(i)""")
 def split_list(spark, d):
+    """TXT3: replace(' ,',',').replace(', ',',').split(',')."""
     p = Tables(spark, d).part.select("p_partkey", T.split_list(_list_text()).alias("l"))
     return p.select("p_partkey", F.posexplode("l").alias("pos", "member")).select(
         "p_partkey", (F.col("pos") + 1).alias("pos"), "member")
@@ -70,6 +72,7 @@ def split_list(spark, d):
 SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS n_words
 FROM documents""")
 def word_count(spark, d):
+    """TXT5: len(x.split())."""
     return Tables(spark, d).documents.select("doc_id", T.word_count("text").alias("n_words"))
 
 
@@ -103,6 +106,7 @@ def word_freq(spark, d):
 WITH c AS (SELECT c_mktsegment, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM customer GROUP BY 1)
 SELECT c_mktsegment, printf('%.2f', pct) AS pct_label, CAST(trunc(pct) AS BIGINT) || '%' AS int_label FROM c""")
 def format_labels(spark, d):
+    """TXT8: formatting '%.2f', f'{int(x*100)}%', :.3."""
     vc = A.value_counts(Tables(spark, d).customer, "c_mktsegment", "n")
     s = A.share_of_total(vc, "n", "pct", scale=100.0)
     return s.select("c_mktsegment", F.format_string("%.2f", "pct").alias("pct_label"),
@@ -148,6 +152,7 @@ def doc_spans(spark, d):
 SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS date_text,
        CAST(strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y') AS DATE) AS parsed FROM orders""")
 def parse_dates(spark, d):
+    """DTE1: to_datetime(x[, format]), DatetimeIndex(x)."""
     o = Tables(spark, d).orders.select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("date_text"))
     return o.withColumn("parsed", D.parse_date("date_text", "dd/MM/yyyy"))
 
@@ -158,18 +163,21 @@ SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orde
        CAST(isodow(o_orderdate) - 1 AS INTEGER) AS weekday, CAST(dayofyear(o_orderdate) AS INTEGER) AS dayofyear
 FROM orders""")
 def date_parts(spark, d):
+    """DTE2: .year .month .day."""
     o = Tables(spark, d).orders
     return o.select("o_orderkey", *D.date_parts("o_orderdate"))
 
 
 @query("month_name", oracle="SELECT o_orderkey, monthname(o_orderdate) AS month_name FROM orders")
 def month_name(spark, d):
+    """DTE6: .month_name()."""
     return Tables(spark, d).orders.select("o_orderkey", D.month_name("o_orderdate").alias("month_name"))
 
 
 @query("week_period", oracle="""
 SELECT o_orderkey, CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start FROM orders""")
 def week_period(spark, d):
+    """PRJ11: PeriodIndex(freq='W')."""
     return Tables(spark, d).orders.select("o_orderkey", D.week_start("o_orderdate").alias("week_start"))
 
 
@@ -200,6 +208,7 @@ SELECT o_orderkey, round(ln(o_totalprice), 9) AS log_price,
        round(CASE WHEN o_totalprice - 100000 > 0 THEN ln(o_totalprice - 100000) END, 9) AS log_excess
 FROM orders""")
 def log_transform(spark, d):
+    """MTH2: np.log."""
     o = Tables(spark, d).orders
     return o.select("o_orderkey", r(M.safe_log("o_totalprice"), 9).alias("log_price"),
                     r(M.safe_log(F.col("o_totalprice") - 100000), 9).alias("log_excess"))
