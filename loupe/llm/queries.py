@@ -7,14 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.llm import chat_windows, decontam_join, iblt, markov_secrets, mix_budget, warc_cas
+from loupe.llm import chat_windows, decontam_join, iblt, markov_secrets, minhash_odd, mix_budget, quality_rff, suffix_dedup, toxicity_grammar, warc_cas
 from loupe.llm.common import read
 
 
+def op1_minhash_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_odd.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op2_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.versions(read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rff.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_hash")
+
+
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = markov_secrets.find_secrets(read(spark, sf_dir, "documents"))
     n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
@@ -24,6 +36,10 @@ def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                     markov_secrets.span_string(F.col("spans")).alias("spans"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_grammar.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_hash")
+
+
 def op7_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_budget.mix_to_weights(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "taken")
@@ -77,6 +93,6 @@ SELECT page_id, n AS payload_bytes, sha1(p.h) AS payload_digest,
 FROM p LEFT JOIN k ON p.h = k.h"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_iblt_fingerprints, op5_markov_secrets, op7_budget_mix, op8_decontaminate, op9_chat_windows, op10_warc_archive)}
+    op1_minhash_odd, op2_iblt_fingerprints, op3_suffix_repeats, op4_quality, op5_markov_secrets, op6_toxicity, op7_budget_mix, op8_decontaminate, op9_chat_windows, op10_warc_archive)}
 
 ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL, "op10_warc_archive": OP10_SQL}
