@@ -3,8 +3,8 @@ elsewhere, found with suffix arrays built by two-stage sorting.
 
 Windows of 200 bytes are dealt by the least hash of the 24-byte grams in them:
 equal windows meet, and a run of windows with one least gram is one segment of
-about 285 bytes.  A segment whose least gram occurs once has no repeated
-window.  Where all segments of a gram hold the same bytes, all are repeated.
+about 285 bytes.  A segment whose least gram occurs once in all has no
+repeated window.  Where all segments of a gram hold the same bytes, all are repeated.
 Only different segments of one gram are sorted: one copy of each, in a suffix
 array per group of segments."""
 
@@ -28,27 +28,30 @@ HOT = 20_000  # different segments of one gram that one task sorts
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 
 
-def window_keys(b: bytes) -> np.ndarray:
-    """For every window start the least hash of the window's grams."""
+def window_keys(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams, and for every window start the least of its
+    window."""
     n = len(b)
     if n < WIDTH:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     v = np.ndarray((n - 7,), "<u8", buffer=b, strides=(1,))
     g = v[:n - 23] * _C[0] + v[8:n - 15] * _C[1] + v[16:n - 7] * _C[2]
     g = (g ^ (g >> np.uint64(29))) * _C[3]
     g ^= g >> np.uint64(32)
-    w = 1
+    grams, w = g, 1
     while 2 * w <= REACH:
         g = np.minimum(g[:-w], g[w:])
         w *= 2
-    return np.minimum(g[:len(g) - (REACH - w)], g[REACH - w:])
+    return grams, np.minimum(g[:len(g) - (REACH - w)], g[REACH - w:])
 
 
-def segments(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``key, start, windows`` of the runs of windows with one least gram."""
-    m = window_keys(b)
+def segments(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``key, start, windows, again`` of the runs of windows with one least
+    gram; ``again``: that gram stands in the segment more than once, so its
+    own windows may repeat."""
+    grams, m = window_keys(b)
     if not len(m):
-        return m, np.empty(0, int), np.empty(0, int)
+        return m, np.empty(0, int), np.empty(0, int), np.empty(0, bool)
     start = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
     size = np.diff(np.append(start, len(m)))
     if size.max() > LONGEST:
@@ -57,7 +60,9 @@ def segments(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         end = np.repeat(start + size, parts)
         start = np.repeat(start, parts) + step * LONGEST
         size = np.minimum(LONGEST, end - start)
-    return m[start], start, size
+    key = m[start]
+    again = [np.count_nonzero(grams[s:s + n + REACH - 1] == k) > 1 for k, s, n in zip(key, start.tolist(), size.tolist())]
+    return key, start, size, np.array(again, bool)
 
 
 def types(t: np.ndarray) -> np.ndarray:
@@ -182,15 +187,15 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols, held = [], 0
         for i, th, text in zip(b["doc_id"], b["th"], b["text"]):
             data = text.encode("utf-8", "surrogatepass")
-            m, s, k = segments(data)
+            m, s, k, again = segments(data)
             c = [int.from_bytes(hashlib.blake2b(data[x:x + n + WIDTH - 1], digest_size=8).digest(), "little", signed=True) for x, n in zip(s.tolist(), k.tolist())]
-            cols.append((np.full(len(m), i), np.full(len(m), th, np.int32), m.view(np.int64), np.array(c, np.int64), s.astype(np.int32), k.astype(np.int32)))
+            cols.append((np.full(len(m), i), np.full(len(m), th, np.int32), m.view(np.int64), np.array(c, np.int64), s.astype(np.int32), k.astype(np.int32), again))
             held += len(m)
             if held > 100_000:
-                yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("doc_id", "th", "m", "c", "w0", "nw"), zip(*cols))})
+                yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("doc_id", "th", "m", "c", "w0", "nw", "again"), zip(*cols))})
                 cols, held = [], 0
         if cols:
-            yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("doc_id", "th", "m", "c", "w0", "nw"), zip(*cols))})
+            yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("doc_id", "th", "m", "c", "w0", "nw", "again"), zip(*cols))})
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,9 +277,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.coalesce(F.col(id_col), F.lit(-1 << 63)).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("th", F.hash("text"))
     seg = written(d.where(F.octet_length("text") >= WIDTH).select("doc_id", "th", "text").mapInPandas(
-        _segments, "doc_id long, th int, m long, c long, w0 int, nw int"), "segments")
-    stat = seg.groupBy("m").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("nw").alias("nw"))
-    stat = stat.where((F.col("k") > 1) | (F.col("nw") > REACH)).select("m", ((F.col("lo") == F.col("hi")) & (F.col("nw") <= REACH)).alias("alike"))
+        _segments, "doc_id long, th int, m long, c long, w0 int, nw int, again boolean"), "segments")
+    stat = seg.groupBy("m").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("again").alias("again"))
+    stat = stat.where((F.col("k") > 1) | F.col("again")).select("m", ((F.col("lo") == F.col("hi")) & (F.col("k") > 1)).alias("alike"))
     cand = written(seg.join(stat, "m"), "candidates")
     alike = cand.where("alike").select("doc_id", "th", F.col("w0").alias("s"), (F.col("w0") + F.col("nw") + WIDTH - 1).alias("e"))
     mixed = cand.where("not alike")
