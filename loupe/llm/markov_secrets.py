@@ -50,7 +50,8 @@ def train(docs: DataFrame, text_col: str = "text", smooth: float = 0.5) -> str:
     Without samples of a class its model is uniform."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     both = docs.select(_values(text).alias("r"), F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)).alias("o"))
-    both = both.select("r", F.array_except("o", "r").alias("o"))
+    # an identifier with four or more digits that no base pattern matched is left out: it may be either
+    both = both.select("r", F.filter(F.array_except("o", "r"), lambda t: ~t.rlike("[0-9](?:[^0-9]*[0-9]){3}")).alias("o"))
     pairs = lambda c: F.flatten(F.transform(c, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: _pair(t, i))))
     sides = F.array(F.struct(F.lit(1).alias("y"), pairs(F.col("r")).alias("p")), F.struct(F.lit(0).alias("y"), pairs(F.col("o")).alias("p")))
     rows = (both.select(F.explode(sides).alias("s")).select("s.y", F.explode("s.p").alias("p"))
@@ -61,11 +62,13 @@ def train(docs: DataFrame, text_col: str = "text", smooth: float = 0.5) -> str:
         if 0 <= r["p"] < 16384:
             n[r["y"]][r["p"]] += r["n"]
             total[r["y"]][r["p"] // 128] += r["n"]
-    logp = lambda y, p: math.log((n[y][p] + smooth) / (total[y][p // 128] + smooth * SYMBOLS))
+    prob = lambda y, p: (n[y][p] + smooth) / (total[y][p // 128] + smooth * SYMBOLS)
+    # a quarter of the random model is uniform: a secret may use symbols that the samples lack
+    logp = lambda y, p: math.log(0.75 * prob(1, p) + 0.25 / SYMBOLS if y else prob(0, p))
     return ",".join(f"{logp(1, p) - logp(0, p):.4f}" for p in range(16384))
 
 
-def scan(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", min_ratio: float = 12.0) -> DataFrame:
+def scan(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", min_ratio: float = 8.0) -> DataFrame:
     """``doc_id, text_hash, spans`` of the rows that have any; ``spans`` is an
     array of ``start, kind_no, end, kind`` in order (code points)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -90,7 +93,7 @@ def scan(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     return g.select("doc_id", "text_hash", F.filter("all", new).alias("spans"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_ratio: float = 12.0) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_ratio: float = 8.0) -> DataFrame:
     """One row per document: ``doc_id, text_hash, spans array``.
 
     A Markov span is a run of 20 or more secret-like characters that overlaps

@@ -25,6 +25,8 @@ from loupe.llm.common import connected_components, written
 BANDS, ROWS, BITS = 28, 6, 512  # a pair at 0.85 shares no band with probability 2e-6
 MARGIN = 0.15  # of the estimate: more than five standard deviations
 BLOCK = 2048
+GROUP = ["band", "key", "bi", "bj"]
+MEMBER = [*GROUP, "id", "component", "side"]
 MAX_WORDS = 400_000  # of texts hashed together
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -136,61 +138,78 @@ def _verify(percent: int):
     return run
 
 
-def block_links(g: pd.DataFrame, percent: int, worst: int) -> list[tuple[int, int]]:
-    """Exact links between members of one block (or one pair of blocks) that
-    join different components: a spanning forest, not all links.  A pair is
-    left to the first band that both share, and two members of one side of a
-    pair of blocks to that block's own group."""
-    ids, n = g["id"].to_numpy(), g["n"].to_numpy()
-    comp = g["component"].to_numpy().tolist()
-    boss = {c: c for c in comp}
-
-    def find(c: int) -> int:
-        while boss[c] != c:
-            boss[c] = c = boss[boss[c]]
-        return c
+def close_pairs(g: pd.DataFrame, percent: int, worst: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Members of one block (or one pair of blocks) with those after them that
+    are in another component and near by size and sketch.  A pair is left to
+    the first band that both share, and two members of one side of a pair of
+    blocks to that block's own group."""
+    ids, n, comp = g["id"].to_numpy(), g["n"].to_numpy(), g["component"].to_numpy()
     sk = np.stack(g["sketch"].to_numpy()).view(np.uint64)
     bands = np.stack(g["bands"].to_numpy())
-    side, two = g["side"].to_numpy(), bool(g["bi"].iloc[0] != g["bj"].iloc[0])
-    band, sets, out = int(g["band"].iloc[0]), {}, []
-
-    def full(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = np.frombuffer(g["s"].iloc[i], np.uint64)
-        return sets[i]
+    side, two, band = g["side"].to_numpy(), bool(g["bi"].iloc[0] != g["bj"].iloc[0]), int(g["band"].iloc[0])
     for i in range(len(g) - 1):
         rest = np.arange(i + 1, len(g))
         low, high = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
-        ok = (100 * low >= percent * high) & (ids[rest] != ids[i])
+        ok = (100 * low >= percent * high) & (comp[rest] != comp[i])
         if two:
             ok &= side[rest] != side[i]
         rest = rest[ok]
         rest = rest[np.bitwise_count(sk[rest] ^ sk[i]).sum(axis=1) <= worst]
         if band and len(rest):
             rest = rest[~(bands[rest, :band] == bands[i, :band]).any(axis=1)]
+        if len(rest):
+            yield i, rest
+
+
+def block_members(g: pd.DataFrame, percent: int, worst: int) -> pd.DataFrame:
+    """Members with a close partner in another component."""
+    near = np.zeros(len(g), bool)
+    for i, rest in close_pairs(g, percent, worst):
+        near[i] = True
+        near[rest] = True
+    return g.loc[near, MEMBER]
+
+
+def block_links(g: pd.DataFrame, percent: int, worst: int) -> pd.DataFrame:
+    """Exact links between members that join different components: a spanning
+    forest, not all links."""
+    ids, comp = g["id"].to_numpy(), g["component"].to_numpy().tolist()
+    boss, sets, out = {c: c for c in comp}, {}, []
+
+    def find(c: int) -> int:
+        while boss[c] != c:
+            boss[c] = c = boss[boss[c]]
+        return c
+
+    def full(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.frombuffer(g["s"].iloc[i], np.uint64)
+        return sets[i]
+    for i, rest in close_pairs(g, percent, worst):
         for j in rest:
             if (x := find(comp[i])) != (y := find(comp[j])) and _linked(full(i), full(j), percent):
                 boss[max(x, y)] = min(x, y)
                 out.append((int(ids[i]), int(ids[j])))
-    return out
+    return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _blocks(percent: int, worst: int):
-    """Groups arrive whole and in order within a partition, cut over batches."""
+def _groups(one, percent: int, worst: int):
+    """``one`` for every group; groups arrive whole and in order within a
+    partition, cut over batches."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
-        key = ["band", "key", "bi", "bj"]
         for b in batches:
             b = b if held is None else pd.concat([held, b], ignore_index=True)
             if not len(b):
                 continue
-            k = b[key].to_numpy()
+            k = b[GROUP].to_numpy()
             cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            edges = [e for s, t in zip([0, *cuts[:-1]], cuts) for e in block_links(b.iloc[s:t], percent, worst)] if len(cuts) else []
+            found = [one(b.iloc[s:t], percent, worst) for s, t in zip([0, *cuts[:-1]], cuts)] if len(cuts) else []
             held = b.iloc[cuts[-1] if len(cuts) else 0:]
-            yield pd.DataFrame(edges, columns=["a", "b"])
+            if found := [x for x in found if len(x)]:
+                yield pd.concat(found)
         if held is not None and len(held):
-            yield pd.DataFrame(block_links(held, percent, worst), columns=["a", "b"])
+            yield one(held, percent, worst)
     return run
 
 
@@ -243,10 +262,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     now = now.join(mixed, ["band", "key"]).withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int"))
     now = now.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     now = now.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-    now = now.select("band", "key", "id", "component", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), F.col("mine").alias("side"))
-    full = now.join(reps.select("id", "n", "bands", "sketch"), "id").join(sets, "id")
-    keys = ["band", "key", "bi", "bj"]
-    more = full.repartition(*keys).sortWithinPartitions(*keys, "id").mapInPandas(_blocks(percent, worst), "a long, b long")
+    now = now.select("band", "key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "id", "component", F.col("mine").alias("side"))
+    # by sketches first: sets go only where a close partner is in another component
+    dealt = lambda x: x.repartition(*GROUP).sortWithinPartitions(*GROUP, "id")
+    sketched = now.join(reps.select("id", "n", "bands", "sketch"), "id")
+    kinds = "band int, key long, bi int, bj int, id long, component long, side int"
+    close = written(dealt(sketched).mapInPandas(_groups(block_members, percent, worst), kinds), "close")
+    full = close.join(reps.select("id", "n", "bands", "sketch"), "id").join(sets, "id")
+    more = dealt(full).mapInPandas(_groups(block_links, percent, worst), "a long, b long")
     more = written(more.distinct(), "more")
     final = connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = member.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
