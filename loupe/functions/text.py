@@ -35,7 +35,7 @@ def first_token(col, sep: str = " ") -> Column:
 
 def word_count(col) -> Column:
     """``len(x.split())``: whitespace runs, ends ignored, empty text = 0."""
-    return F.size(F.filter(F.split(_c(col), r"\s+"), lambda x: x != ""))
+    return F.size(F.filter(F.split(_c(col), r"(?U)\s+"), lambda x: x != ""))
 
 
 def normalize_list_separators(col, sep: str = ",") -> Column:

@@ -486,8 +486,9 @@ class _Vec:
         return np.asarray(self._a, dtype=float)
 
 
-def adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int = 12) -> DataFrame:
-    """ADF test (constant, AIC lag choice up to ``maxlag``) for every series
+def adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int | None = None) -> DataFrame:
+    """ADF test (constant, AIC lag choice up to ``maxlag``, by default each
+    series' own limit as in ``adf_test``) for every series
     at once; see ``_adf_by_key``.  The per-series result (one row per series)
     is written out, so callers plan a simple leaf."""
     from loupe.session import materialize
@@ -495,7 +496,7 @@ def adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int = 12) ->
         return materialize(_adf_by_key(df, value, order, keys, maxlag))
 
 
-def _adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int = 12) -> DataFrame:
+def _adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int | None = None) -> DataFrame:
     """ADF test (constant, AIC lag choice up to ``maxlag``) for every series
     at once.  Two grouped cross-product passes (lag search on each series'
     common sample, then the chosen lag on its own sample); all per-series
@@ -507,6 +508,13 @@ def _adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int = 12) -
     ks = [keys] if isinstance(keys, str) else list(keys)
     w = Window.partitionBy(*ks).orderBy(order)
     x = df.where(F.col(value).isNotNull()).select(*ks, order, F.col(value).cast("double").alias("_x"))
+    # the lag limit follows the length of each series; the design is as wide as the largest
+    n_obs = F.col("_n_obs")
+    limit = F.lit(maxlag) if maxlag is not None else F.greatest(F.lit(0), F.least(
+        F.floor(n_obs / 2) - 2, F.ceil(12.0 * F.pow(n_obs / 100.0, F.lit(0.25)))))
+    x = x.join(x.groupBy(*ks).agg(F.count("*").alias("_n_obs")), ks).withColumn("_m", limit.cast("int")).drop("_n_obs")
+    if maxlag is None:
+        maxlag = x.agg(F.max("_m")).first()[0] or 0
     x = x.withColumn("_lvl", F.lag("_x", 1).over(w)).withColumn("_dx", F.col("_x") - F.col("_lvl"))
     x = x.select("*", *[F.lag("_dx", k).over(w).alias(f"_dx{k}") for k in range(1, maxlag + 1)])
     x = x.withColumn("_rn", F.row_number().over(w)).withColumn("_one", F.lit(1.0))
@@ -526,7 +534,7 @@ def _adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int = 12) -
             out = []
             for r_, G, n in rows_of(pdf):
                 best, best_aic = 0, None
-                for lag in range(0, maxlag + 1):
+                for lag in range(0, int(r_["_m"]) + 1):
                     try:
                         _, ssr, _ = ols_from_gram(G, list(range(2 + lag)), k - 1)
                     except np.linalg.LinAlgError:
@@ -540,8 +548,11 @@ def _adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int = 12) -
             yield pd.DataFrame(out, columns=ks + ["_used"])
 
     key_schema = [f"`{c}` {key_types[c]}" for c in ks]
-    g1 = cross_products(x.where(F.col("_rn") > maxlag + 1), cols, keys=ks)
-    used = g1.select(*ks, "_n", vector_to_array("_xp").alias("_xp")).mapInPandas(
+    # lags past a series' own limit may be null on its first rows; the search does not read them
+    first = x.where(F.col("_rn") > F.col("_m") + 1).select(*ks, "_m", "_one", "_lvl", "_dx", *[
+        F.coalesce(F.col(f"_dx{i}"), F.lit(0.0)).alias(f"_dx{i}") for i in range(1, maxlag + 1)])
+    g1 = cross_products(first, cols, keys=ks + ["_m"])
+    used = g1.select(*ks, "_m", "_n", vector_to_array("_xp").alias("_xp")).mapInPandas(
         pick_lag, ", ".join(key_schema + ["_used int"]))
     # second pass: each series on its own sample for its chosen lag.  Lags the
     # series does not use may be null on its first rows; they are zeroed so
@@ -575,7 +586,7 @@ def _adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int = 12) -
 
 
 def arima_select_by_key(df: DataFrame, value: str, order: str, keys, max_p: int = 3, max_q: int = 3,
-                        max_d: int = 2, long_ar: int = 10, alpha: float = 0.05, adf_maxlag: int = 12) -> DataFrame:
+                        max_d: int = 2, long_ar: int = 10, alpha: float = 0.05, adf_maxlag: int | None = None) -> DataFrame:
     """``arima_select`` for every series at once; see ``_arima_select_by_key``."""
     from loupe.session import materialize
     with _no_constraint_inference(df.sparkSession):
@@ -584,7 +595,7 @@ def arima_select_by_key(df: DataFrame, value: str, order: str, keys, max_p: int
 
 
 def _arima_select_by_key(df: DataFrame, value: str, order: str, keys, max_p: int = 3, max_q: int = 3,
-                         max_d: int = 2, long_ar: int = 10, alpha: float = 0.05, adf_maxlag: int = 12) -> DataFrame:
+                         max_d: int = 2, long_ar: int = 10, alpha: float = 0.05, adf_maxlag: int | None = None) -> DataFrame:
     """``arima_select`` for every series at once (Hannan-Rissanen, AIC).
 
     d per series from repeated grouped ADF tests; the long-AR fit and the

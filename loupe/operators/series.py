@@ -58,8 +58,8 @@ def rolling(df: DataFrame, value: str, order: str, n: int, keys=None, min_period
         return rolling_distributed(df, value, order, n, keys, min_periods, stats, centered, prefix)
     mp = n if min_periods is None else min_periods
     if centered:
-        # pandas centres a window by shifting the trailing result n//2 rows.
-        hi = n // 2
+        # pandas centres a window by shifting the trailing result (n - 1)//2 rows.
+        hi = (n - 1) // 2
         lo = hi - (n - 1)
     else:
         lo, hi = -(n - 1), 0
@@ -86,14 +86,15 @@ def calendar(bounds: DataFrame, start: str, stop: str, step_days: int = 1, keys=
 def resample_weekly(df: DataFrame, ds: str, value: str, keys=None, how: str = "mean",
                     out: str = "y") -> DataFrame:
     """Calendar weeks ending Sunday, labelled with that Sunday; weeks without
-    rows appear with NULL (pandas ``resample('W')``)."""
+    rows appear with NULL, for sums and counts with 0, as in pandas."""
     ks = _keys(keys)
     lab = F.date_add(F.to_date(F.date_trunc("week", F.col(ds))), 6)
     fn = {"mean": F.avg, "sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[how]
     agg = df.groupBy(*ks, lab.alias("week")).agg(fn(value).alias(out))
     bounds = agg.groupBy(*ks).agg(F.min("week").alias("_lo"), F.max("week").alias("_hi"))
     cal = calendar(bounds, "_lo", "_hi", 7, ks, "week")
-    return cal.join(agg, ks + ["week"], "left")
+    full = cal.join(agg, ks + ["week"], "left")
+    return full.withColumn(out, F.coalesce(F.col(out), F.lit(0))) if how in ("sum", "count") else full
 
 
 def asfreq_pad(df: DataFrame, ds: str, cols: Sequence[str], keys=None) -> DataFrame:
@@ -251,7 +252,7 @@ def rolling_distributed(df: DataFrame, value: str, order: str, n: int, keys=None
     """``rolling`` for a series too long for one task (same results)."""
     mp = n if min_periods is None else min_periods
     if centered:
-        hi = n // 2
+        hi = (n - 1) // 2
         lo = hi - (n - 1)
     else:
         lo, hi = -(n - 1), 0

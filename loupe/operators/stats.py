@@ -266,3 +266,25 @@ def corr_from_gram(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             c = float((n * sab - sa * sb) / math.sqrt(va * vb)) if va > 0 and vb > 0 else None
             rows.append((cols[i], cols[j], c))
     return df.sparkSession.createDataFrame(rows, "feature_i string, feature_j string, corr double")
+
+
+def tag_pairs(df: DataFrame, tags: str) -> DataFrame:
+    """Pearson correlation of 0/1 tag indicators for every pair of tags:
+    ``feature_i > feature_j, corr``.
+
+    ``tags`` holds each row's distinct tags in order.  Pairs that occur are
+    counted from the pairs inside each row; the tag counts, one row per tag,
+    give the rest, so no indicator column is built and the number of tags has
+    no limit."""
+    n = F.lit(df.count())
+    t = df.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("k"))
+    inside = df.select(F.posexplode(tags).alias("p", "feature_i"), F.col(tags).alias("_t")).select(
+        "feature_i", F.explode(F.slice("_t", F.lit(1), F.col("p"))).alias("feature_j"))
+    both = inside.groupBy("feature_i", "feature_j").agg(F.count("*").alias("kab"))
+    all_tags = t.agg(F.array_sort(F.collect_list(F.struct("tag", "k"))).alias("v"))
+    pairs = all_tags.select("v", F.posexplode("v").alias("p", "a")).select("a", F.explode(F.slice("v", F.lit(1), F.col("p"))).alias("b"))
+    pairs = pairs.select(F.col("a.tag").alias("feature_i"), F.col("b.tag").alias("feature_j"), F.col("a.k").alias("ki"), F.col("b.k").alias("kj"))
+    x = pairs.join(both, ["feature_i", "feature_j"], "left").fillna(0, ["kab"])
+    ki, kj = F.col("ki"), F.col("kj")
+    corr = (n * F.col("kab") - ki * kj) / F.sqrt((ki * (n - ki)).cast("double") * (kj * (n - kj)))
+    return x.select("feature_i", "feature_j", corr.alias("corr"))

@@ -280,7 +280,7 @@ def adf_by_series(spark, d):
     (two grouped cross-product passes; solves on executors)."""
     o = Tables(spark, d).orders
     s = S.daily(o, "o_orderdate", F.sum("o_totalprice") / 1e6, keys="o_orderpriority")
-    return MD.adf_by_key(s, "y", "ds", "o_orderpriority", maxlag=12)
+    return MD.adf_by_key(s, "y", "ds", "o_orderpriority")
 
 
 @query("arima_by_series")

@@ -64,7 +64,6 @@ def top10_by_class(spark, sf_dir):
 
 # --------------------------------------------------------------------------
 from loupe.functions import dates as D  # noqa: E402
-from loupe.functions.text import multi_hot as _multi_hot  # noqa: E402
 from loupe.operators import aggregate as A  # noqa: E402
 from loupe.operators import clean as C  # noqa: E402
 from loupe.operators import stats as ST  # noqa: E402
@@ -202,14 +201,11 @@ SELECT pairs.feature_i, pairs.feature_j,
        round((n * coalesce(kab, 0) - ki * kj) / sqrt(ki * (n - ki) * kj * (n - kj)), 9) AS corr
 FROM pairs LEFT JOIN pr USING (feature_i, feature_j), n""")
 def tag_correlation(spark, d):
-    """CMP9: filter one brand, split names into tags, indicator columns,
-    Pearson correlation of every tag pair (lower triangle)."""
-    p = Tables(spark, d).part.where(F.col("p_brand") == "Brand#1").select("p_partkey", F.split("p_name", " ").alias("tags"))
-    classes = sorted(x[0] for x in p.select(F.explode("tags").alias("t")).distinct().limit(1001).collect())
-    mh = _multi_hot(p, "tags", classes)
-    # pairs ordered as in the oracle: feature_i > feature_j by name
-    c = ST.corr_from_gram(mh, sorted(classes))
-    return c.select("feature_i", "feature_j", r("corr", 9).alias("corr"))
+    """CMP9: filter one brand, split names into tags, Pearson correlation of
+    the indicators of every tag pair (lower triangle)."""
+    p = Tables(spark, d).part.where(F.col("p_brand") == "Brand#1").select(
+        "p_partkey", F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("tags"))
+    return ST.tag_pairs(p, "tags").select("feature_i", "feature_j", r("corr", 9).alias("corr"))
 
 
 @query("top_members", oracle="""

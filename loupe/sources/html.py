@@ -25,32 +25,54 @@ class _TableParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tables: list[list[list[str]]] = []
-        self._stack: list[list[list[str]]] = []
-        self._row: list[str] | None = None
-        self._cell: list[str] | None = None
+        self.tables: list[list[list[str]]] = []  # in the order they open
+        self._stack: list[dict] = []  # open tables: rows, the open row, the open cell
+
+    def _end_cell(self) -> None:
+        t = self._stack[-1]
+        if t["cell"] is not None:
+            t["row"].append(" ".join("".join(t["cell"]).split()))
+            t["cell"] = None
+
+    def _end_row(self) -> None:
+        self._end_cell()
+        t = self._stack[-1]
+        if t["row"] is not None:
+            t["rows"].append(t["row"])
+            t["row"] = None
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
-            self._stack.append([])
+            self.tables.append([])
+            self._stack.append({"rows": self.tables[-1], "row": None, "cell": None})
         elif tag == "tr" and self._stack:
-            self._row = []
-        elif tag in ("td", "th") and self._row is not None:
-            self._cell = []
+            self._end_row()
+            self._stack[-1]["row"] = []
+        elif tag in ("td", "th") and self._stack:
+            self._end_cell()
+            t = self._stack[-1]
+            t["row"], t["cell"] = [] if t["row"] is None else t["row"], []
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self._cell is not None and self._row is not None:
-            self._row.append(" ".join("".join(self._cell).split()))
-            self._cell = None
-        elif tag == "tr" and self._row is not None and self._stack:
-            self._stack[-1].append(self._row)
-            self._row = None
-        elif tag == "table" and self._stack:
-            self.tables.append(self._stack.pop())
+        if not self._stack:
+            return
+        if tag in ("td", "th"):
+            self._end_cell()
+        elif tag == "tr":
+            self._end_row()
+        elif tag == "table":
+            self._end_row()
+            self._stack.pop()
+
+    def close(self):
+        super().close()
+        while self._stack:  # tables that the page never closes
+            self._end_row()
+            self._stack.pop()
 
     def handle_data(self, data):
-        if self._cell is not None:
-            self._cell.append(data)
+        if self._stack and self._stack[-1]["cell"] is not None:
+            self._stack[-1]["cell"].append(data)
 
 
 def parse_tables(html: str | None) -> list[list[list[str]]]:
