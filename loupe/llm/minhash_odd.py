@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_unequal_bits(F.col("ka"), F.col("kb")) <= worst))
             .select("a", "b").distinct())
     near = written(near, "pairs")
-    wanted = shared.select("id").distinct()
+    # written, so that its size is known before the texts would be shuffled to it
+    wanted = written(shared.select("id").distinct(), "wanted")
     sets = written(d.withColumnRenamed("doc_id", "id").join(wanted, "id").mapInPandas(_sets, "id long, s binary"), "sets")
     exact = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
