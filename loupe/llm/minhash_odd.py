@@ -274,6 +274,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = written(more.distinct(), "more")
     final = connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = member.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    comp = F.coalesce("component", "rep", "doc_id")
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"),
                       F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
