@@ -26,8 +26,8 @@ def _same(side: str):
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic go; rows with one id and several texts are
     judged apart, null and empty texts stay."""
-    bad = toxicity_grammar.score_toxicity(docs, read(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id", "text_hash").distinct()
-    return _keyed(docs).join(bad.alias("x"), _same("x"), "left_anti").select(*COLUMNS)
+    model = toxicity_grammar.learn(docs, read(spark, sf_dir, "labels"))
+    return docs.select(*COLUMNS).where(toxicity_grammar.toxicity(model, F.col("text")) < toxicity_grammar.CUT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loupe.session import ensure_checkpoint_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _folders: dict[str, str] = {}
 
 
@@ -36,12 +37,19 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back: the
-    lineage ends there, so a lost executor costs no recomputation before it."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lineage ends there, so a lost executor costs no recomputation before it.
+    ``batch_rows`` bounds the Arrow batches that its Python functions get."""
+    spark, path = df.sparkSession, f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    usual = spark.conf.get(ARROW_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(ARROW_ROWS, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, usual)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(c: Column) -> Column:

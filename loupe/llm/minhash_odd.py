@@ -27,7 +27,8 @@ MARGIN = 0.15  # of the estimate: more than five standard deviations
 BLOCK = 2048
 GROUP = ["band", "key", "bi", "bj"]
 MEMBER = [*GROUP, "id", "component", "side"]
-MAX_WORDS = 400_000  # of texts hashed together
+MAX_WORDS = 200_000  # of texts hashed together
+BATCH = 1000  # rows handed to Python at once
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -38,10 +39,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHash(dict):
-    """64-bit hash of a word; forgets all when it holds half a million."""
+    """64-bit hash of a word; forgets all when it holds 100,000."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         return h
@@ -233,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     BLOCK members before members meet."""
     worst = most_unequal_bits(percent / 100 - MARGIN)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sig = written(d.mapInPandas(_signatures, "doc_id long, n long, digest binary, bands array<long>, sketch array<long>"), "signatures")
+    sig = written(d.mapInPandas(_signatures, "doc_id long, n long, digest binary, bands array<long>, sketch array<long>"), "signatures", BATCH)
     cls = sig.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = written(sig.select("doc_id", "n", "digest").join(cls, "digest", "left").select("doc_id", "n", "rep"), "classes")
     ids = cls.select(F.col("rep").alias("id")).distinct()
@@ -252,10 +253,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = written(near, "pairs")
     # written, so that its size is known before the texts would be shuffled to it
     wanted = written(shared.select("id").distinct(), "wanted")
-    sets = written(d.withColumnRenamed("doc_id", "id").join(wanted, "id").mapInPandas(_sets, "id long, s binary"), "sets")
+    sets = written(d.withColumnRenamed("doc_id", "id").join(wanted, "id").mapInPandas(_sets, "id long, s binary"), "sets", BATCH)
     exact = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    links = written(exact.mapInPandas(_verify(percent), "a long, b long").distinct(), "links")
+    links = written(exact.mapInPandas(_verify(percent), "a long, b long").distinct(), "links", BATCH)
     first = connected_components(links)
     # buckets whose members are still in several components
     now = shared.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -268,10 +269,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = lambda x: x.repartition(*GROUP).sortWithinPartitions(*GROUP, "id")
     sketched = now.join(reps.select("id", "n", "bands", "sketch"), "id")
     kinds = "band int, key long, bi int, bj int, id long, component long, side int"
-    close = written(dealt(sketched).mapInPandas(_groups(block_members, percent, worst), kinds), "close")
+    close = written(dealt(sketched).mapInPandas(_groups(block_members, percent, worst), kinds), "close", BATCH)
     full = close.join(reps.select("id", "n", "bands", "sketch"), "id").join(sets, "id")
     more = dealt(full).mapInPandas(_groups(block_links, percent, worst), "a long, b long")
-    more = written(more.distinct(), "more")
+    more = written(more.distinct(), "more", BATCH)
     final = connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = member.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

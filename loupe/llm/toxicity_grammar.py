@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loupe.llm.common import crc_fold, written
@@ -27,6 +27,7 @@ REPORT = frozenset("said says say claimed claims wrote writes called quoted repo
 THREAT = frozenset("kill hurt destroy burn shoot stab strangle beat töten verletzen umbringen tuer frapper détruire matar golpear destruir".split())
 STEMS = (5, 4)  # first letters of longer words
 NEAR, DAMP_NEGATED, DAMP_REPORTED, RAISE_TARGET, THREAT_WEIGHT = 3, 0.25, 0.5, 1.25, 2.0
+CUT = 0.7  # scores from here on are predicted toxic
 
 
 def tokens(text: str) -> set[str]:
@@ -77,14 +78,14 @@ def text_score(text: str | None, weight: dict[str, float]) -> float:
     return sum(clause_score(WORD.findall(c), weight) for c in CLAUSE.split(low))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Ids with labels, and texts, of at most ``max_rows`` labelled training rows, the first in the
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """Texts and labels of at most ``max_rows`` labelled training rows, the first in the
     order of a hash of the id.  The ids are at most that many longs, so they
     are broadcast and texts are not shuffled."""
     y = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), 3) != 1))
     y = y.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     y = written(y, "toxic_ids")
-    return y, docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,16 +116,13 @@ def learn_weights(rows: DataFrame) -> dict[str, float]:
     return {r["token"]: r["w"] for r in found.collect()}  # bounded by the training rows
 
 
-def _scores(weight: dict[str, float]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "raw": [text_score(t, weight) for t in b["text"]]})
-    return run
-
-
-def raw_scores(docs: DataFrame, weight: dict[str, float], id_col: str, text_col: str) -> DataFrame:
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return d.mapInPandas(_scores(weight), "doc_id long, text_hash long, raw double")
+def raw_score(weight: dict[str, float], text: Column) -> Column:
+    """The clause scores' sum as a column: other columns stay in the JVM."""
+    @F.pandas_udf("double")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield pd.Series([text_score(x, weight) for x in t], dtype="float64")
+    return run(text)
 
 
 def calibrate(train: DataFrame, steps: int = 25) -> tuple[float, float]:
@@ -146,6 +144,23 @@ def calibrate(train: DataFrame, steps: int = 25) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          label_col: str = "toxic", max_rows: int = 20_000) -> tuple[dict[str, float], float, float]:
+    """Insult weights, and slope and offset of the score, from at most
+    ``max_rows`` labelled rows whose fold is not 1."""
+    rows = training_rows(docs, labels, id_col, text_col, label_col, max_rows)
+    weight = learn_weights(rows)
+    if not weight:
+        return {}, 1.0, -2.0
+    return weight, *calibrate(rows.select("y", raw_score(weight, F.col("text")).alias("raw")))
+
+
+def toxicity(model: tuple[dict[str, float], float, float], text: Column) -> Column:
+    """Score (0 to 1) of a text."""
+    weight, a, b = model
+    return 1 / (1 + F.exp(-(F.log1p(raw_score(weight, text)) * a + b)))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic", max_rows: int = 20_000) -> DataFrame:
     """One row per document: ``doc_id, text_hash, held_out, score,
@@ -156,12 +171,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts without a match.  Several labels of one id: the largest counts; rows
     that share an id are scored apart; a null id is not held out.  Empty
     labels leave only the grammar's threats.  Other columns are not read."""
-    ids, rows = training_rows(docs, labels, id_col, text_col, label_col, max_rows)
-    weight, (a, b) = learn_weights(rows), (1.0, -2.0)
-    if weight:
-        known = raw_scores(rows, weight, "doc_id", "text").join(F.broadcast(ids), "doc_id")
-        a, b = calibrate(known)
-    score = 1 / (1 + F.exp(-(F.log1p("raw") * a + b)))
-    out = raw_scores(docs, weight, id_col, text_col).withColumn("score", score)
+    model = learn(docs, labels, id_col, text_col, label_col, max_rows)
+    out = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), toxicity(model, F.col(text_col)).alias("score"))
     return out.select("doc_id", "text_hash", F.coalesce(crc_fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score",
-                      (F.col("score") >= 0.7).cast("int").alias("predicted"))
+                      (F.col("score") >= CUT).cast("int").alias("predicted"))
