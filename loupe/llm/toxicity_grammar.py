@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,9 +90,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts with a token, counted within the batch: memory and shuffle hold
+    distinct tokens only."""
     for b in batches:
-        rows = [(t, int(y)) for text, y in zip(b["text"], b["y"]) for t in tokens(text)]
-        yield pd.DataFrame(rows, columns=["token", "y"])
+        n = Counter()
+        for text, y in zip(b["text"], b["y"]):
+            n.update((t, int(y)) for t in tokens(text))
+        yield pd.DataFrame([(t, y, k) for (t, y), k in n.items()], columns=["token", "y", "n"])
 
 
 def learn_weights(rows: DataFrame) -> dict[str, float]:
@@ -104,8 +109,8 @@ def learn_weights(rows: DataFrame) -> dict[str, float]:
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return {}
-    c = rows.select("text", "y").mapInPandas(_count, "token string, y int").groupBy("token").agg(
-        F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    c = rows.select("text", "y").mapInPandas(_count, "token string, y int, n long").groupBy("token").agg(
+        F.sum(F.col("y") * F.col("n")).alias("a"), F.sum((1 - F.col("y")) * F.col("n")).alias("b"))
     c = c.where("a >= 3")
     tried = math.log(max(2, c.count()))
     xlog = lambda x, p: F.when(x > 0, x * F.log(x / p)).otherwise(0.0)
