@@ -105,10 +105,16 @@ def pivot_counts(df: DataFrame, row: str, col: str, values: Sequence,
     discover values, and a bounded width)."""
     p = not_null_keys(df, [row, col]).groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1)))
     if fill is not None:
-        p = p.fillna(fill, subset=[str(v) for v in values])
+        p = p.fillna(fill, subset=[f"`{v}`" for v in values])
     return p
 
 
+def values_of(df: DataFrame, col: str) -> list:
+    """The distinct values of a column in order, for a pivot over all of them:
+    one per column of the result reaches the driver."""
+    return sorted(row[0] for row in not_null_keys(df, [col]).select(col).distinct().collect())
+
+
 def share_of_total(counts: DataFrame, count_col: str = "count", out: str = "share",
                    scale: float = 1.0, digits: int | None = None) -> DataFrame:
     """count / grand total.  The total is one aggregate value attached as a

@@ -11,10 +11,6 @@ from loupe.plans.common import day, inject_nulls, r
 from loupe.plans.registry import query
 from loupe.sources.tables import Tables
 
-# The five order priorities and three order statuses.
-PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-STATUSES = ["F", "O", "P"]
-
 
 # ---------------------------------------------------------------- projection
 @query("select_cols", oracle="SELECT o_orderkey, o_totalprice, o_orderdate FROM orders")
@@ -374,7 +370,8 @@ ON o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-L
 USING count(*) GROUP BY o_orderstatus""")
 def pivot_counts(spark, d):
     """AGG9: .unstack()."""
-    return A.pivot_counts(Tables(spark, d).orders, "o_orderstatus", "o_orderpriority", PRIORITIES)
+    o = Tables(spark, d).orders
+    return A.pivot_counts(o, "o_orderstatus", "o_orderpriority", A.values_of(o, "o_orderpriority"))
 
 
 @query("crosstab_normalized", oracle="""
@@ -390,8 +387,9 @@ def crosstab_normalized(spark, d):
     status, laid out with priorities as rows and statuses as columns."""
     c = A.value_counts(Tables(spark, d).orders, ["o_orderstatus", "o_orderpriority"], "n")
     s = A.share_within(c, "o_orderstatus", "n", "share")
-    p = s.groupBy("o_orderpriority").pivot("o_orderstatus", STATUSES).agg(F.first("share"))
-    return p.select("o_orderpriority", *[r(x).alias(x) for x in STATUSES])
+    statuses = A.values_of(c, "o_orderstatus")
+    p = s.groupBy("o_orderpriority").pivot("o_orderstatus", statuses).agg(F.first("share"))
+    return p.select("o_orderpriority", *[r(F.col(f"`{x}`")).alias(x) for x in statuses])
 
 
 @query("transpose_small", oracle="""
@@ -399,10 +397,13 @@ PIVOT (SELECT l_linestatus, l_returnflag FROM lineitem) ON l_returnflag IN ('A',
 USING count(*) GROUP BY l_linestatus""")
 def transpose_small(spark, d):
     """Build returnflag x linestatus counts, then transpose the wide table
-    (unpivot + pivot with the known value list)."""
-    wide = A.pivot_counts(Tables(spark, d).lineitem, "l_returnflag", "l_linestatus", ["F", "O"])
-    long = wide.unpivot("l_returnflag", ["F", "O"], "l_linestatus", "n")
-    return long.groupBy("l_linestatus").pivot("l_returnflag", ["A", "N", "R"]).agg(F.first("n")).fillna(0)
+    (unpivot + pivot with the values that occur)."""
+    li = Tables(spark, d).lineitem
+    both = A.not_null_keys(li, ["l_returnflag", "l_linestatus"])
+    statuses, flags = A.values_of(both, "l_linestatus"), A.values_of(both, "l_returnflag")
+    wide = A.pivot_counts(li, "l_returnflag", "l_linestatus", statuses)
+    long = wide.unpivot("l_returnflag", [f"`{s}`" for s in statuses], "l_linestatus", "n")
+    return long.groupBy("l_linestatus").pivot("l_returnflag", flags).agg(F.first("n")).fillna(0)
 
 
 @query("share_of_total", oracle="""
@@ -427,10 +428,12 @@ SELECT o_orderstatus, "1-URGENT" + "2-HIGH" + "3-MEDIUM" + "4-NOT SPECIFIED" + "
 FROM p""")
 def row_share(spark, d):
     """AGG13: row-wise sum and row share."""
-    p = A.pivot_counts(Tables(spark, d).orders, "o_orderstatus", "o_orderpriority", PRIORITIES)
-    p = p.withColumn("total", A.row_sum(PRIORITIES))
-    return p.select("o_orderstatus", "total",
-                    *[r(F.try_divide(F.col(f"`{v}`"), F.col("total"))).alias(v) for v in PRIORITIES])
+    o = Tables(spark, d).orders
+    priorities = A.values_of(o, "o_orderpriority")
+    p = A.pivot_counts(o, "o_orderstatus", "o_orderpriority", priorities)
+    total = A.row_sum([f"`{v}`" for v in priorities])
+    return p.select("o_orderstatus", total.alias("total"),
+                    *[r(F.try_divide(F.col(f"`{v}`"), total)).alias(v) for v in priorities])
 
 
 @query("sum_by_two", oracle="""

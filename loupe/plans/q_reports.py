@@ -70,7 +70,6 @@ from loupe.operators import stats as ST  # noqa: E402
 from loupe.operators.relate import semi_join_top_k  # noqa: E402
 from loupe.plans.common import r  # noqa: E402
 
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
@@ -125,9 +124,10 @@ def share_by_top_group(spark, d):
     the nation's customers (pivot, row total, row share), by total desc."""
     j = _cust_nation(Tables(spark, d))
     top = semi_join_top_k(j, "n_name", 11)
-    p = A.pivot_counts(top, "n_name", "c_mktsegment", SEGMENTS)
-    p = p.withColumn("total", A.row_sum(SEGMENTS))
-    return p.select("n_name", "total", *[r(F.col(s) / F.col("total")).alias(s) for s in SEGMENTS]).orderBy(
+    segments = A.values_of(top, "c_mktsegment")
+    p = A.pivot_counts(top, "n_name", "c_mktsegment", segments)
+    total = A.row_sum([f"`{s}`" for s in segments])
+    return p.select("n_name", total.alias("total"), *[r(F.col(f"`{s}`") / total).alias(s) for s in segments]).orderBy(
         F.col("total").desc(), "n_name")
 
 

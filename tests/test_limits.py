@@ -58,3 +58,20 @@ def test_unicode_space_separates_words(spark):
 def test_tables_nested_and_without_end_tags():
     assert parse_tables("<table><tr><td>a<table><tr><td>x</td></tr></table> b</td><td>c</td></tr></table>") == [[["a b", "c"]], [["x"]]]
     assert parse_tables("<table><tr><td>a<td>b<tr><td>c<td>d</table>") == [[["a", "b"], ["c", "d"]]]
+
+
+def test_reports_keep_every_category(spark, tmp_path):
+    from loupe.plans import q_relational as R
+    from loupe.plans import q_reports as P
+    orders = [("F", "1-URGENT"), ("F", "6-NEW.ER"), ("F", "6-NEW.ER"), ("X", "5-LOW")]
+    spark.createDataFrame(orders, "o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([("A", "F"), ("Z", "Q")], "l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "BUILDING", 1), (2, "SPACE", 1), (3, "SPACE", 1), (4, "SPACE", 1)],
+                          "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "PERU")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    rows = lambda f, k: {x[k]: x.asDict() for x in f(spark, str(tmp_path)).collect()}
+    assert rows(R.pivot_counts, "o_orderstatus")["F"] == {"o_orderstatus": "F", "1-URGENT": 1, "5-LOW": 0, "6-NEW.ER": 2}
+    assert rows(R.row_share, "o_orderstatus")["F"]["total"] == 3 and rows(R.row_share, "o_orderstatus")["F"]["6-NEW.ER"] == 0.666667
+    assert rows(R.crosstab_normalized, "o_orderpriority")["5-LOW"] == {"o_orderpriority": "5-LOW", "F": None, "X": 1.0}
+    assert rows(R.transpose_small, "l_linestatus") == {"F": {"l_linestatus": "F", "A": 1, "Z": 0}, "Q": {"l_linestatus": "Q", "A": 0, "Z": 1}}
+    assert rows(P.share_by_top_group, "n_name") == {"PERU": {"n_name": "PERU", "total": 4, "BUILDING": 0.25, "SPACE": 0.75}}
