@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loupe.llm import decontam_join, markov_secrets, minhash_odd, mix_budget, toxicity_grammar
 from loupe.llm.common import read, scratch
 
+NEAR_PERCENT = 80  # similarity at which the pipeline takes documents for copies
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -33,7 +34,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group stays;
     rows that repeat an id keep one row, rows without an id all stay."""
-    kept = minhash_odd.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = minhash_odd.near_duplicates(docs, percent=NEAR_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
     known = docs.select(*COLUMNS).where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.select(*COLUMNS).where("doc_id is null")).select(*COLUMNS)
 

@@ -13,6 +13,7 @@ group of copies costs little more than one comparison a member."""
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from loupe.llm.common import connected_components, written
 
-BANDS, ROWS, BITS = 28, 6, 512  # a pair at 0.85 shares no band with probability 2e-6
-MARGIN = 0.15  # of the estimate: more than five standard deviations
+SAMPLES, BITS = 168, 512  # at most, for the bands; of an odd sketch
+MISSED = 2.5e-6  # most likely share of pairs at the threshold that share no band
+REJECTED = 1e-5  # and of those that the sketch takes for less similar
 BLOCK = 2048
 GROUP = ["band", "key", "bi", "bj"]
 MEMBER = [*GROUP, "id", "component", "side"]
@@ -63,20 +65,30 @@ def shingle_set(text: str | None, seen: WordHash, k: int = 5) -> np.ndarray:
     return np.unique(s)
 
 
-def sample_minima(sets: list[np.ndarray], seed: int = 5) -> np.ndarray:
-    """MinHash samples of non-empty sets: (sets, BANDS * ROWS)."""
+def layout(percent: int) -> tuple[int, int]:
+    """Bands and rows for a threshold: as many rows a band as SAMPLES allow
+    when a pair at the threshold shares no band with probability MISSED."""
+    s = percent / 100
+    if s >= 1:
+        return 1, SAMPLES
+    need = lambda r: math.ceil(math.log(MISSED) / math.log1p(-s**r))
+    rows = max((r for r in range(1, SAMPLES + 1) if s**r > 0.05 and need(r) * r <= SAMPLES), default=1)
+    return need(rows), rows
+
+
+def sample_minima(sets: list[np.ndarray], seed: int = 5, k: int = SAMPLES) -> np.ndarray:
+    """MinHash samples of non-empty sets: (sets, k)."""
     u = np.concatenate(sets)
     at = np.cumsum([0] + [len(s) for s in sets[:-1]])
     rng = np.random.default_rng(seed)
-    k = BANDS * ROWS
     mul, add = rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, k, dtype=np.uint64)
     return np.stack([np.minimum.reduceat(u * mul[i] + add[i], at) for i in range(k)], axis=1)
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(m), BANDS), np.uint64)
-    for j in range(ROWS):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + m[:, j::ROWS][:, :BANDS])
+def band_keys(m: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    out = np.zeros((len(m), bands), np.uint64)
+    for j in range(rows):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + m[:, j::rows][:, :bands])
     return out
 
 
@@ -89,14 +101,35 @@ def odd_sketch(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def most_unequal_bits(similarity: float) -> int:
+def most_unequal_bits(similarity: float, k: int = SAMPLES) -> int:
     """Expected population count of the XOR at a similarity: of k samples
     2 k (1 - J) differ and are thrown on BITS positions."""
-    t = 2 * BANDS * ROWS * (1 - similarity)
+    t = 2 * k * (1 - similarity)
     return int(BITS / 2 * (1 - (1 - 2 / BITS) ** t))
 
 
-def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def worst_bits(percent: int, k: int) -> int:
+    """The population count that a pair at the threshold exceeds with
+    probability REJECTED at most: the differing samples are binomial, and each
+    throws two bits."""
+    s, odd = percent / 100, np.arange(BITS + 1)
+    count, now = np.zeros(BITS + 1), np.eye(1, BITS + 1)[0]
+    for n in range(k + 1):
+        count += math.comb(k, n) * (1 - s) ** n * s ** (k - n) * now
+        for _ in range(2):
+            up, down = now * (BITS - odd) / BITS, now * odd / BITS
+            now = np.append(0, up[:-1]) + np.append(down[1:], 0)
+    above = np.append(count[::-1].cumsum()[::-1][1:], 0)
+    return int(np.flatnonzero(above <= REJECTED)[0])
+
+
+def _signatures(bands_rows: tuple[int, int]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _signed(batches, *bands_rows)
+    return run
+
+
+def _signed(batches: Iterator[pd.DataFrame], n_bands: int, n_rows: int) -> Iterator[pd.DataFrame]:
     seen = WordHash()
     for b in batches:
         at = 0
@@ -110,8 +143,8 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             full = np.flatnonzero(n)
             digest, bands, sk = [None] * len(part), [None] * len(part), [None] * len(part)
             if len(full):
-                m = sample_minima([sets[i] for i in full])
-                keys, sketches = band_keys(m).view(np.int64), odd_sketch(m).view(np.int64)
+                m = sample_minima([sets[i] for i in full], k=n_bands * n_rows)
+                keys, sketches = band_keys(m, n_bands, n_rows).view(np.int64), odd_sketch(m).view(np.int64)
                 for j, i in enumerate(full):
                     digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     bands[i], sk[i] = keys[j], sketches[j]
@@ -231,10 +264,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Sets are recomputed from the texts of classes that share a bucket, never
     stored for all.  Buckets and pairs carry ids, counts and bitmaps; a hot
     bucket is merged map-side before it is joined, and split into blocks of
-    BLOCK members before members meet."""
-    worst = most_unequal_bits(percent / 100 - MARGIN)
+    BLOCK members before members meet.  Bands, rows and the sketches' bound
+    follow ``percent``."""
+    bands, n_rows = layout(percent)
+    worst = worst_bits(percent, bands * n_rows)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sig = written(d.mapInPandas(_signatures, "doc_id long, n long, digest binary, bands array<long>, sketch array<long>"), "signatures", BATCH)
+    sig = written(d.mapInPandas(_signatures((bands, n_rows)), "doc_id long, n long, digest binary, bands array<long>, sketch array<long>"), "signatures", BATCH)
     cls = sig.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = written(sig.select("doc_id", "n", "digest").join(cls, "digest", "left").select("doc_id", "n", "rep"), "classes")
     ids = cls.select(F.col("rep").alias("id")).distinct()

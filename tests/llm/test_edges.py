@@ -233,3 +233,31 @@ def test_pipeline_odd_rows(spark, odd_docs, no_docs, tmp_path):
             docs = spark.read.parquet(f"{tmp_path}/s{n}{k}")
         ids = {r.doc_id for r in docs.collect()}
         assert ids == ({1, 4, 5, 6, 9, 10, None} if n == 0 else set())
+
+
+def near_pairs(n, percent, words=200):
+    """Documents 2i and 2i + 1 just above ``percent``, by replaced last words."""
+    rng, rows = random.Random(12), []
+    for i in range(n):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(words)]
+        cut = next(k for k in range(words, 0, -1) if 100 * (k - 5) < (percent + 1) * (2 * (words - 4) - (k - 5)))
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:cut] + [f"e{rng.randrange(10**9)}" for _ in range(words - cut)]))]
+    return rows
+
+
+def test_bands_follow_percent(spark):
+    assert minhash_odd.layout(85) == (28, 6)
+    for percent in (1, 30, 50, 60, 80, 85, 95, 99):
+        bands, rows = minhash_odd.layout(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= minhash_odd.MISSED
+    df = spark.createDataFrame(near_pairs(60, 60), "doc_id long, text string")
+    for percent, links in ((60, 60), (63, 0)):
+        assert minhash_odd.near_duplicates(df, percent=percent).where("not kept").count() == links
+
+
+def test_pipeline_removes_copies_from_080(spark):
+    import corpus_pipeline as P
+    rows = near_pairs(20, 81)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert minhash_odd.near_duplicates(df).where("kept").count() == 40  # op1's threshold is 0.85
+    assert {r.doc_id for r in P.near_duplicates(spark, df, "").collect()} == set(range(0, 40, 2))
