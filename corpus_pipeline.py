@@ -33,10 +33,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group stays;
-    rows that repeat an id keep one row, rows without an id all stay."""
-    kept = minhash_odd.near_duplicates(docs, percent=NEAR_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.select(*COLUMNS).where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.select(*COLUMNS).where("doc_id is null")).select(*COLUMNS)
+    rows that repeat id and text keep one row, rows with one id and several
+    texts are judged apart, rows without an id all stay."""
+    kept = minhash_odd.near_duplicates(docs, percent=NEAR_PERCENT).where("kept and doc_id is not null").select("doc_id", "text_hash").distinct()
+    known = _keyed(docs.where("doc_id is not null")).join(kept.alias("x"), _same("x"), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return known.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ def _signed(batches: Iterator[pd.DataFrame], n_bands: int, n_rows: int) -> Itera
                 for j, i in enumerate(full):
                     digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     bands[i], sk[i] = keys[j], sketches[j]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n": n, "digest": digest, "bands": bands, "sketch": sk})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "text_hash": part["text_hash"], "n": n, "digest": digest, "bands": bands, "sketch": sk})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +156,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for at in range(0, len(b), 256):
             part = b.iloc[at:at + 256]
-            yield pd.DataFrame({"id": part["id"], "s": [shingle_set(t, seen).tobytes() for t in part["text"]]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "text_hash": part["text_hash"], "s": [shingle_set(t, seen).tobytes() for t in part["text"]]})
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -252,28 +252,31 @@ def _unequal_bits(a: Column, b: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+    """One row per document: ``doc_id, text_hash, n_shingles, component_id,
+    kept``.
 
     Documents link if 100 x common >= percent x united shingles (five words,
     A-Z lower-cased); components are the links' closure, named by their
     smallest id.  Null or empty text: no shingles, linked with nothing.
-    Repeated rows link like other copies; rows that share an id are one vertex
-    of the links.  A null id is never linked: its component is null and it is
-    kept.  Empty table: empty result.  Other columns are not read.
+    Repeated rows link like other copies; rows that share an id but not a text
+    are judged apart, and of a component the smallest id's smallest text hash
+    is kept.  A null id is never linked: its component is null and it is kept.
+    Empty table: empty result.  Other columns are not read.
 
     Sets are recomputed from the texts of classes that share a bucket, never
-    stored for all.  Buckets and pairs carry ids, counts and bitmaps; a hot
-    bucket is merged map-side before it is joined, and split into blocks of
-    BLOCK members before members meet.  Bands, rows and the sketches' bound
-    follow ``percent``."""
+    stored for all.  A class is a vertex under a number of its own.  Buckets
+    and pairs carry these, counts and bitmaps; a hot bucket is merged map-side
+    before it is joined, and split into blocks of BLOCK members before members
+    meet.  Bands, rows and the sketches' bound follow ``percent``."""
     bands, n_rows = layout(percent)
     worst = worst_bits(percent, bands * n_rows)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sig = written(d.mapInPandas(_signatures((bands, n_rows)), "doc_id long, n long, digest binary, bands array<long>, sketch array<long>"), "signatures", BATCH)
-    cls = sig.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = written(sig.select("doc_id", "n", "digest").join(cls, "digest", "left").select("doc_id", "n", "rep"), "classes")
-    ids = cls.select(F.col("rep").alias("id")).distinct()
-    reps = written(sig.withColumnRenamed("doc_id", "id").where("digest is not null").join(ids, "id").dropDuplicates(["id", "digest"]), "reps")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sig = written(d.mapInPandas(_signatures((bands, n_rows)), "doc_id long, text_hash long, n long, digest binary, bands array<long>, sketch array<long>"), "signatures", BATCH)
+    cls = sig.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+    # written, so that the numbers stay
+    cls = written(cls.select("digest", "rep.*", F.monotonically_increasing_id().alias("id")), "numbers")
+    member = written(sig.select("doc_id", "text_hash", "n", "digest").join(cls.select("digest", "id"), "digest", "left").select("doc_id", "text_hash", "n", "id"), "classes")
+    reps = written(sig.join(cls, ["digest", "doc_id", "text_hash"]).dropDuplicates(["id"]), "reps")
     rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
     size = rows.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1")
     shared = written(rows.join(size, ["band", "key"]), "shared")
@@ -281,16 +284,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivot = shared.join(central, "id").groupBy("band", "key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
     pairs = (shared.join(pivot, ["band", "key"]).where("id <> pivot")
              .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"), F.col("doc_id").alias(f"d{x}"), F.col("text_hash").alias(f"t{x}"))
     near = (pairs.join(side("a"), "a").join(side("b"), "b")
             .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_unequal_bits(F.col("ka"), F.col("kb")) <= worst))
-            .select("a", "b").distinct())
+            .select("a", "b", "da", "ta", "db", "tb").distinct())
     near = written(near, "pairs")
-    # written, so that its size is known before the texts would be shuffled to it
-    wanted = written(shared.select("id").distinct(), "wanted")
-    sets = written(d.withColumnRenamed("doc_id", "id").join(wanted, "id").mapInPandas(_sets, "id long, s binary"), "sets", BATCH)
-    exact = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    # written, so that its size is known before the texts would be shuffled to
+    # it; ids only, so it stays small: other texts of an id leave at the joins
+    wanted = written(reps.join(shared.select("id").distinct(), "id").select("doc_id").distinct(), "wanted")
+    sets = written(d.join(wanted, "doc_id").mapInPandas(_sets, "doc_id long, text_hash long, s binary"), "sets", BATCH)
+    of = lambda x: sets.select(F.col("doc_id").alias(f"d{x}"), F.col("text_hash").alias(f"t{x}"), F.col("s").alias(f"s{x}"))
+    exact = near.join(of("a"), ["da", "ta"]).join(of("b"), ["db", "tb"]).select("a", "b", "sa", "sb")
     links = written(exact.mapInPandas(_verify(percent), "a long, b long").distinct(), "links", BATCH)
     first = connected_components(links)
     # buckets whose members are still in several components
@@ -305,11 +309,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = now.join(reps.select("id", "n", "bands", "sketch"), "id")
     kinds = "band int, key long, bi int, bj int, id long, component long, side int"
     close = written(dealt(sketched).mapInPandas(_groups(block_members, percent, worst), kinds), "close", BATCH)
-    full = close.join(reps.select("id", "n", "bands", "sketch"), "id").join(sets, "id")
+    full = close.join(reps.select("id", "doc_id", "text_hash", "n", "bands", "sketch"), "id").join(sets, ["doc_id", "text_hash"]).drop("doc_id", "text_hash")
     more = dealt(full).mapInPandas(_groups(block_links, percent, worst), "a long, b long")
     more = written(more.distinct(), "more", BATCH)
     final = connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    out = member.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    final = cls.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    keeper = final.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("keeper"))
+    out = member.join(final.select("id", "component").join(keeper, "component").select("id", "keeper"), "id", "left")
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("keeper.doc_id", "doc_id"))
+    kept = F.col("doc_id").isNull() | F.col("keeper").isNull() | ((F.col("keeper.doc_id") == F.col("doc_id")) & (F.col("keeper.text_hash") == F.col("text_hash")))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"))

@@ -12,7 +12,7 @@ from loupe.llm.common import read
 
 
 def op1_minhash_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_odd.near_duplicates(read(spark, sf_dir, "documents"))
+    return minhash_odd.near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,3 +261,12 @@ def test_pipeline_removes_copies_from_080(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert minhash_odd.near_duplicates(df).where("kept").count() == 40  # op1's threshold is 0.85
     assert {r.doc_id for r in P.near_duplicates(spark, df, "").collect()} == set(range(0, 40, 2))
+
+
+def test_pipeline_judges_texts_of_one_id_apart(spark):
+    import corpus_pipeline as P
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    docs = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda rows: sorted((r.doc_id, r.text) for r in P.near_duplicates(spark, docs(rows), "").collect())
+    assert left([(5, x), (5, y), (5, y)]) == [(5, x), (5, y)]
+    assert left([(3, x), (5, x), (5, y), (5, z), (5, z + " end")]) in ([(3, x), (5, y), (5, z)], [(3, x), (5, y), (5, z + " end")])
