@@ -22,7 +22,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # a maximal run of 16 or more
 KINDS = ("assign", "access", "hex", "markov")
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+SHORTEST = 12  # of a Markov span, as of an assigned value
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{11,}"
 SYMBOLS = 66  # letters, digits, + / _ =
 
@@ -45,6 +46,54 @@ def _pair(t: Column, i: Column) -> Column:
     return F.ascii(F.substring(t, i, 1)) * 128 + F.ascii(F.substring(t, i + 1, 1))
 
 
+def _segments(run: Column, table: Column, min_ratio: float) -> Column:
+    """``start, end`` of the parts of a run whose log-likelihood ratio is at
+    least ``min_ratio``: a part begins where the sum before it is not positive
+    and ends at its largest sum, before a fall by ``min_ratio``.  Both ends are
+    moved to the next separator, so that no letter of a token is left over.
+    Pairs with a character that identifiers never hold count nothing: the
+    ordinary model has no samples of them."""
+    span = lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"))
+    letter = lambda c: c.between(48, 57) | c.between(65, 90) | c.between(97, 122)
+
+    def over(codes: Column) -> Column:
+        done = lambda a: F.when(a["best"] >= min_ratio, F.concat(a["out"], F.array(span(a["from"], a["to"])))).otherwise(a["out"])
+
+        def step(a: Column, i: Column) -> Column:  # the pair of characters i and i + 1, from 0
+            token = F.when(letter(F.get(codes, i)), a["token"]).otherwise(i + 1)
+            known = lambda c: letter(c) | (c == 95)
+            ratio = F.when(known(F.get(codes, i)) & known(F.get(codes, i + 1)), F.get(table, F.get(codes, i) * 128 + F.get(codes, i + 1)))
+            now = a["now"] + F.coalesce(ratio, F.lit(0.0))
+            state = lambda *x: F.struct(*[v.alias(k) for k, v in zip(("now", "token", "from", "best", "to", "out"), x)])
+
+            def after(x: Column) -> Column:
+                up, fell = x["now"] > a["best"], (x["now"] <= 0) | (x["now"] <= a["best"] - min_ratio)
+                begin = F.when(letter(F.get(codes, i + 1)), x["token"]).otherwise(i + 1)
+                return F.when(fell, state(F.lit(0.0), x["token"], begin, F.lit(0.0), F.lit(0), done(a))).otherwise(
+                    state(x["now"], x["token"], a["from"], F.greatest(x["now"], a["best"]), F.when(up, i + 2).otherwise(a["to"]), a["out"]))
+            return let(F.struct(now.alias("now"), token.alias("token")), after)
+        zero = F.struct(F.lit(0.0).alias("now"), F.lit(0).alias("token"), F.lit(0).alias("from"), F.lit(0.0).alias("best"), F.lit(0).alias("to"),
+                        F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.length(run) - 2), zero, step, done)
+
+    rest = lambda e: F.length(F.regexp_extract(F.substring(run, e + 1, F.length(run)), "^[A-Za-z0-9]*+", 0))
+    whole = F.transform(let(F.transform(F.split(run, ""), F.ascii), over), lambda x: span(x["start"], x["end"] + rest(x["end"])))
+    join = lambda a, x: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(span(F.element_at(a, -1)["start"], F.greatest(F.element_at(a, -1)["end"], x["end"]))))
+    merged = F.aggregate(whole, F.array().cast("array<struct<start:int,end:int>>"), lambda a, x: F.when(
+        F.coalesce(F.try_element_at(a, F.lit(-1))["end"] >= x["start"], F.lit(False)), join(a, x)).otherwise(F.concat(a, F.array(x))))
+    return F.filter(merged, lambda x: x["end"] - x["start"] >= SHORTEST)
+
+
+def _without(span: Column, base: Column) -> Column:
+    """What the base spans, in order, leave of a Markov span."""
+    part = lambda s, e: F.struct(s.alias("start"), span["kind_no"].alias("kind_no"), e.alias("end"), span["kind"].alias("kind"))
+    more = lambda a, e: F.when(e > a["at"], F.concat(a["out"], F.array(part(a["at"], e)))).otherwise(a["out"])
+    zero = F.struct(span["start"].alias("at"), F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>").alias("out"))
+    hit = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    return F.aggregate(hit, zero, lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), more(a, b["start"]).alias("out")),
+                       lambda a: more(a, span["end"]))
+
+
 def train(docs: DataFrame, text_col: str = "text", smooth: float = 0.5) -> str:
     """Comma-joined log-likelihood ratios of the 16,384 character pairs.
     Without samples of a class its model is uniform."""
@@ -80,24 +129,26 @@ def scan(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     run = W.partitionBy("doc_id", "text_hash", "kind_no").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("m")).over(run)).withColumn("start", F.col("end") - F.length("m"))
     table = F.split(F.lit(model), ",").cast("array<double>")  # folded to one literal
-    ratio = F.aggregate(F.sequence(F.lit(1), F.length("m") - 1), F.lit(0.0), lambda s, i: s + F.get(table, _pair(F.col("m"), i)))
     keep = (F.when(F.col("kind_no") == 0, F.length(F.regexp_extract("m", ASSIGN, 2)) >= 12)
-            .when(F.col("kind_no") == 1, F.length("m") >= 18).when(F.col("kind_no") == 2, F.lit(True))
-            .otherwise(ratio >= min_ratio))
-    rows = rows.where(keep)
+            .when(F.col("kind_no") == 1, F.length("m") >= 18).otherwise(F.lit(True)))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("m").alias("end")))
+    parts = F.when(F.col("kind_no") < 3, whole).otherwise(_segments(F.col("m"), table, min_ratio))
+    rows = rows.where(keep).select("doc_id", "text_hash", "kind_no", "start", F.explode(parts).alias("part"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind_no") + 1)
+    at = lambda e: (F.col("start") + F.col(f"part.{e}")).cast("long").alias(e)
     g = rows.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(
-        F.struct(F.col("start").cast("long").alias("start"), "kind_no", F.col("end").cast("long").alias("end"), kind.alias("kind")))).alias("all"))
+        F.struct(at("start"), "kind_no", at("end"), kind.alias("kind")))).alias("all"))
     base = F.filter("all", lambda s: s["kind_no"] < 3)
-    new = lambda s: (s["kind_no"] < 3) | ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return g.select("doc_id", "text_hash", F.filter("all", new).alias("spans"))
+    new = F.flatten(F.transform(F.filter("all", lambda s: s["kind_no"] == 3), lambda s: _without(s, base)))
+    return g.select("doc_id", "text_hash", F.array_sort(F.concat(base, new)).alias("spans"))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_ratio: float = 8.0) -> DataFrame:
     """One row per document: ``doc_id, text_hash, spans array``.
 
-    A Markov span is a run of 20 or more secret-like characters that overlaps
-    no base span and whose log-likelihood ratio is at least ``min_ratio``.
+    A Markov span is a part, of SHORTEST or more characters, of a run of
+    secret-like characters; its log-likelihood ratio is at least ``min_ratio``.
+    What base spans cover of it is cut out.
     Null text is empty and has no spans; rows that share an id but not a text
     are scanned apart; an empty table trains uniform models and gives an empty
     result.  Other columns are not read."""

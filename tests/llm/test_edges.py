@@ -270,3 +270,22 @@ def test_pipeline_judges_texts_of_one_id_apart(spark):
     left = lambda rows: sorted((r.doc_id, r.text) for r in P.near_duplicates(spark, docs(rows), "").collect())
     assert left([(5, x), (5, y), (5, y)]) == [(5, x), (5, y)]
     assert left([(3, x), (5, x), (5, y), (5, z), (5, z + " end")]) in ([(3, x), (5, y), (5, z)], [(3, x), (5, y), (5, z + " end")])
+
+
+def test_markov_finds_parts_of_runs(spark):
+    """A random token behind an ordinary path, a short one, and one beside a
+    base span."""
+    rng = random.Random(21)
+    rand = lambda n: "".join(rng.choice("GHJKqvwxzZ23456789") for _ in range(n))
+    path = "customer_order_history/configuration/registry/maximum_partition/internationalization_layer/"
+    rows = [(i, f"token = {rand(32)} and get_customer_order_history configuration_registry internationalization_layer maximum_partition customer_hooks_list") for i in range(300)]
+    a, b, c = rand(24), rand(14), rand(24)
+    rows += [(900, f"see {path}{a} there"), (901, f"it is {b} now"), (902, f"hooks/deadbeefdeadbeef/{c} end"), (903, f"only {path} here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = markov_secrets.find_secrets(df)
+    clean = df.join(found, "doc_id").where("doc_id >= 900").select("doc_id", markov_secrets.redact(F.col("text"), F.col("spans")).alias("t"))
+    text = {r.doc_id: r.t for r in clean.collect()}
+    assert text[900] == f"see {path}[secret] there" and text[901] == "it is [secret] now"
+    assert c[:3] not in text[902] and c[-3:] not in text[902] and text[902].startswith("hooks/[secret]")
+    assert text[903] == f"only {path} here"
+    assert all(len([s for s in r.spans if s.kind == "markov"]) == 0 for r in found.where("doc_id < 900").collect())
