@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.llm import chat_windows, decontam_join, iblt, markov_secrets, minhash_odd, mix_budget, quality_rff, suffix_dedup, toxicity_grammar, warc_cas
+from loupe.llm import (chat_windows, decontam_join, iblt, importance_draw, markov_secrets, minhash_odd, mix_budget, ordered_jaccard,
+                       quality_rff, spectral_whitening, suffix_dedup, toxicity_grammar, warc_cas)
 from loupe.llm.common import read
 
 
@@ -68,6 +69,19 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_spectral_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral_whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_draw.importance_draw(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_ordered_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered_jaccard.jaccard_join(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
 WORDS8 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 OP8_SQL = rf"""
@@ -92,7 +106,30 @@ SELECT page_id, n AS payload_bytes, sha1(p.h) AS payload_digest,
        CASE WHEN keeper <> page_id THEN keeper END AS refers_to
 FROM p LEFT JOIN k ON p.h = k.h"""
 
+OP12_SQL = rf"""
+WITH steps AS (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i)),
+tab AS (SELECT list(v ORDER BY i) AS t FROM steps),
+d AS (SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS8}'), lambda x: x <> '') AS w, row_number() OVER () AS rn FROM documents),
+dw AS (SELECT rn, w, count(*) AS n FROM (SELECT rn, unnest(w) AS w FROM d) GROUP BY rn, w),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS8}')) AS w FROM benchmark) GROUP BY w),
+dist AS (SELECT w FROM dw UNION SELECT w FROM bw),
+crc AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(w), 2 * i + 1, 2) AS BIGINT))),
+        lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket FROM dist, tab),
+s AS (SELECT bucket, sum(n) AS n FROM dw JOIN crc USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS n FROM bw JOIN crc USING (w) GROUP BY bucket),
+tot AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s_all, (SELECT coalesce(sum(n), 0) FROM t) AS t_all),
+gain AS (SELECT k.bucket, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * (s_all + 10000) AS DOUBLE) / CAST((coalesce(s.n, 0) + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS g
+         FROM (SELECT DISTINCT bucket FROM crc) k LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), tot),
+wt AS (SELECT rn, sum(n * g) AS total, sum(n) AS n FROM dw JOIN crc USING (w) JOIN gain USING (bucket) GROUP BY rn),
+sc AS (SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_features, coalesce(CAST(floor(CAST(total AS DOUBLE) / n) AS BIGINT), 0) AS weight,
+       CAST('0x' || substr(sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN wt USING (rn)),
+full_score AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM sc),
+able AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS r, 10 * count(*) OVER () // 100 AS take FROM full_score WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= take THEN r END AS rank FROM able
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM full_score WHERE n_features < 20"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_minhash_odd, op2_iblt_fingerprints, op3_suffix_repeats, op4_quality, op5_markov_secrets, op6_toxicity, op7_budget_mix, op8_decontaminate, op9_chat_windows, op10_warc_archive)}
+    op1_minhash_odd, op2_iblt_fingerprints, op3_suffix_repeats, op4_quality, op5_markov_secrets, op6_toxicity, op7_budget_mix, op8_decontaminate, op9_chat_windows, op10_warc_archive,
+    op11_spectral_whitening, op12_importance_draw, op13_ordered_jaccard)}
 
-ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL, "op10_warc_archive": OP10_SQL}
+ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL, "op10_warc_archive": OP10_SQL, "op12_importance_draw": OP12_SQL}
