@@ -30,10 +30,9 @@ def tabular_prepare(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[s
                  .withColumn(f"{c}_code", F.row_number().over(Window.orderBy(c)).cast("long")))
         out = out.join(codes, c, "left").withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(0)))
     if num_cols:
-        from loupe.operators.profile import quantiles, unpivot_double
-        med = quantiles(unpivot_double(train, num_cols), "column", "value", [0.5], ["_med"])
-        med = med.groupBy().pivot("column", list(num_cols)).agg(F.first("_med"))
-        out = with_scalars(out, med.select(*[F.col(c).alias(f"_med_{c}") for c in num_cols]))
+        from loupe.operators.selection import describe_columns
+        for o in describe_columns(train, num_cols, [0.5]):
+            out = out.withColumn(f"_med_{o['column']}", F.lit(o["quantiles"][0]).cast("double"))
         for c in num_cols:
             out = (out.withColumn(f"{c}_na", F.col(c).isNull())
                    .withColumn(f"_f_{c}", F.coalesce(F.col(c), F.col(f"_med_{c}"))))

@@ -2,9 +2,9 @@
 (all columns' statistics in a single ``agg``) reshaped to long form, or a
 long-form (column, value) aggregation for per-column distributions.
 
-Exact percentiles and distinct counts have an ``exact=False`` switch that
-uses the sketch versions (``percentile_approx``, ``approx_count_distinct``)
-when the data is too large for exact answers.
+Exact quantiles come from ``selection`` (histograms over the bits of the
+values), at every size.  ``exact=False`` asks for the sketch versions
+(``percentile_approx``, ``approx_count_distinct``) instead.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loupe.operators.aggregate import numeric_columns
+from loupe.operators.selection import describe_columns, quantiles_by
 
 NUMERIC = ("int", "bigint", "smallint", "tinyint", "double", "float")
 
@@ -55,9 +56,9 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
     """count, mean, std (sample), min, 25/50/75 % (linear interpolation),
     max per numeric column, long output.
 
-    Moments come from one aggregate pass.  Exact quantiles are computed
-    distributed over the long form (``exact_quantiles``); ``exact=False``
-    uses ``percentile_approx`` sketches in the same single pass."""
+    Moments and exact quantiles share the scans of ``describe_columns``, for
+    any number of columns; ``exact=False`` uses ``percentile_approx`` sketches
+    in one pass."""
     cols = list(cols) if cols else numeric_columns(df)
     if not exact:
         aggs = []
@@ -70,82 +71,26 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
         row = row.select("*", *[F.col(f"_q__{i}")[k].alias(f"{n}__{i}")
                                 for i in range(len(cols)) for k, n in enumerate(("p25", "p50", "p75"))])
         return _long(row, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
-    long = unpivot_double(df, cols)
-    # a row count is cheap (file metadata) and bounds every column's distinct values
-    return describe_long(long, "column", "value", exact=True, max_rows=df.count())
+    return _described(df, cols)
 
 
-def unpivot_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value as double) rows for the chosen columns (Expand)."""
-    x = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    return x.unpivot([], list(cols), "column", "value")
-
+def _described(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    rows = [(o["column"], o["count"], o["mean"], o["std"], o["min"], *o["quantiles"], o["max"]) for o in describe_columns(df, cols)]
+    return df.sparkSession.createDataFrame(rows, "column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
 
-# Above this many distinct values a column's exact quantiles are computed
-# distributed (``exact_quantiles``); below it Spark's ``percentile`` is used,
-# whose per-task value->count map is then bounded by this number.
-MAP_PERCENTILE_MAX = 1_000_000
 
-
-def _route(long_df: DataFrame, key: str, value: str) -> tuple[list, list]:
-    """Split keys by approximate distinct count: (bounded, large)."""
-    x = F.col(value).cast("double")
-    ndv = long_df.groupBy(key).agg(F.approx_count_distinct(x, 0.05).alias("ndv")).collect()
-    return ([r_[0] for r_ in ndv if r_[1] <= MAP_PERCENTILE_MAX],
-            [r_[0] for r_ in ndv if r_[1] > MAP_PERCENTILE_MAX])
-
-
-def quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[float],
-              names: Sequence[str], extra: Sequence[Column] = (), max_rows: int | None = None) -> DataFrame:
-    """Exact quantiles (linear interpolation) per key, plus optional ``extra``
-    aggregate columns computed in the same pass.  One approximate distinct
-    count per key picks the method: Spark's ``percentile`` for keys with a
-    bounded number of distinct values, the distributed ``exact_quantiles``
-    for the others.  Both give the same exact answer."""
-    x = F.col(value).cast("double")
-    pct = F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias("_q")
-    if max_rows is not None and max_rows <= MAP_PERCENTILE_MAX:
-        # no key can have more distinct values than rows: every key takes the
-        # bounded route and the routing pass is skipped
-        g = long_df.groupBy(key).agg(*extra, pct)
-        return g.select(key, *[e_ for e_ in g.columns if e_ not in (key, "_q")],
-                        *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    small, large = _route(long_df, key, value)
-    parts = []
-    if small:
-        g = long_df.where(F.col(key).isin(small)).groupBy(key).agg(
-            *extra, F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
-        parts.append(g.select(key, *[e_ for e_ in g.columns if e_ not in (key, "_q")],
-                              *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]))
-    if large:
-        sub = long_df.where(F.col(key).isin(large))
-        q = exact_quantiles(sub, key, value, probs, names)
-        if extra:
-            q = sub.groupBy(key).agg(*extra).join(q, key, "left")
-        parts.append(q)
-    if not parts:
-        return long_df.groupBy(key).agg(*extra, *[F.lit(None).cast("double").alias(n) for n in names])
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
-
-
-def describe_long(long_df: DataFrame, key: str, value: str, exact: bool = True,
-                  max_rows: int | None = None) -> DataFrame:
-    """describe() for data in long form (key, value): one grouped aggregate
-    for the moments and, when exact, the distributed exact quantiles."""
+def describe_long(long_df: DataFrame, key: str, value: str, exact: bool = True) -> DataFrame:
+    """describe() for data in long form (key, value), any number of keys: one
+    grouped aggregate for the moments, exact quantiles by ``quantiles_by``."""
     x = F.col(value).cast("double")
+    moments = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
     if not exact:
-        g = long_df.groupBy(key).agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
-                                     F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                                     _q(x, False).alias("_q"), F.max(x).alias("max"))
+        g = long_df.groupBy(key).agg(*moments, _q(x, False).alias("_q"))
         return g.select(key, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
                         F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
-    moments = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-               F.min(x).alias("min"), F.max(x).alias("max")]
-    q = quantiles(long_df, key, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], extra=moments,
-                  max_rows=max_rows)
+    g = long_df.groupBy(key).agg(*moments)
+    q = quantiles_by(long_df, [key], value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"]).withColumnRenamed(key, "_key")
+    q = g.join(q, F.col(key).eqNullSafe(F.col("_key")), "left")
     return q.select(key, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -231,38 +176,3 @@ def low_cardinality_values(df: DataFrame, max_distinct: int = 50) -> DataFrame:
     if not chosen:
         return df.sparkSession.createDataFrame([], "column string, value string")
     return unpivot_as_string(df, chosen).distinct()
-
-
-def exact_quantiles(long_df: DataFrame, key: str | None, value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation (position p * (n - 1)), per
-    ``key``, computed without gathering a column's values in one task.
-
-    1. count each distinct (key, value) (partial aggregation absorbs repeats);
-    2. a distributed running count per key (range buckets, see
-       ``cumulative_sum``) gives each distinct value's cumulative rank;
-    3. the two order statistics around each position are the smallest values
-       whose cumulative count reaches rank+1 and rank+2 — conditional minima
-       in one grouped aggregate; the quantile interpolates between them."""
-    from loupe.operators.series import cumulative_sum
-    ks = [key] if key else []
-    names = list(names) if names else [f"q{i}" for i in range(len(probs))]
-    v = long_df.where(F.col(value).isNotNull()).select(*ks, F.col(value).cast("double").alias("_v"))
-    c = v.groupBy(*ks, "_v").agg(F.count(F.lit(1)).alias("_m"))
-    c = cumulative_sum(c, "_v", "_m", keys=ks or None, out="_cum")
-    n = c.groupBy(*ks).agg(F.sum("_m").alias("_n"))
-    if ks:
-        c = c.join(n, ks)
-    else:
-        from loupe.operators.scalars import with_scalars
-        c = with_scalars(c, n)
-    aggs = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        lo = F.floor(pos)
-        aggs += [F.min(F.when(F.col("_cum") >= lo + 1, F.col("_v"))).alias(f"_lo{i}"),
-                 F.min(F.when(F.col("_cum") >= F.least(lo + 2, F.col("_n")), F.col("_v"))).alias(f"_hi{i}"),
-                 F.first(pos - lo).alias(f"_fr{i}")]
-    g = c.groupBy(*ks).agg(*aggs)
-    return g.select(*ks, *[(F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
-                           for i, nm in enumerate(names)])

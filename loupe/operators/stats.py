@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loupe.operators.scalars import scalars, with_scalars
+from loupe.operators.selection import describe_columns
 from loupe.operators.series import _keys, _w
+from loupe.session import stored
 
 
 def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -138,21 +140,13 @@ def fd_histogram(df: DataFrame, value: str, group: str | None = None) -> DataFra
     width = 2 * IQR / n^(1/3); bin = floor((x - min) / width); count and
     percent of the group's rows per bin."""
     ks = [group] if group else []
-    from pyspark import StorageLevel
-    # The value column may be costly to derive (e.g. word counts of texts) and
-    # is read by three statistics passes and the final count: persist the
-    # two-column projection once.
-    v = (df.where(F.col(value).isNotNull()).select(*ks, F.col(value).cast("double").alias("_x"))
-         .persist(StorageLevel.MEMORY_AND_DISK))
-    mm = scalars(v.agg(F.min("_x").alias("_lo"), F.count(F.lit(1)).alias("_n")))
-    from loupe.operators.profile import quantiles
-    qq = scalars(quantiles(v.select(F.lit("x").alias("_k"), "_x"), "_k", "_x", [0.25, 0.75], ["q1", "q3"],
-                           max_rows=mm["_n"]).drop("_k"))
-    width = 2 * (qq["q1"] is not None and (qq["q3"] - qq["q1"]) or 0.0) / (mm["_n"] ** (1.0 / 3) if mm["_n"] else 1.0)
-    st = v.sparkSession.range(1).select(F.lit(mm["_lo"]).cast("double").alias("_lo"),
-                                        F.lit(float(width)).alias("_w"))
-    st = st.withColumn("_w", F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.lit(1.0)))
-    b = with_scalars(v, st).withColumn("bin", F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")))
+    # the value may be costly to derive (word counts of texts) and is read by
+    # the statistics and by the counts: only the two columns are stored
+    v = stored(df.where(F.col(value).isNotNull()).select(*ks, F.col(value).cast("double").alias("_x")), "values")
+    o = describe_columns(v, ["_x"], [0.25, 0.75])[0]
+    width = 2 * (o["quantiles"][1] - o["quantiles"][0]) / o["count"] ** (1.0 / 3) if o["count"] else 1.0
+    low, width = F.lit(o["min"]).cast("double"), F.lit(float(width) if width > 0 else 1.0)
+    b = v.withColumn("_lo", low).withColumn("_w", width).withColumn("bin", F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")))
     c = b.groupBy(*ks, "bin").agg(F.count(F.lit(1)).alias("count"),
                                   F.first(F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_start"))
     tot = c.groupBy(*ks).agg(F.sum("count").alias("_t"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loupe.operators import profile as P
+from loupe.operators.selection import quantiles_by
 from loupe.plans.common import inject_nulls, r
 from loupe.plans.registry import query
 from loupe.sources.tables import TABLES, Tables
@@ -113,12 +114,20 @@ SELECT feature, count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v
        round(quantile_cont(v, 0.75), 6) AS p75, max(v) AS max
 FROM long GROUP BY feature""")
 def describe_wide(spark, d):
-    """describe() of a positional column range of a wide table (f0..f63 of
-    the embedding), computed in long form: one grouped aggregate."""
+    """Statistics of a positional column range of a wide table (f0..f63 of the
+    embedding)."""
     e = Tables(spark, d).embeddings
-    long = e.select(F.posexplode("embedding").alias("pos", "v")).select(
-        F.concat(F.lit("f"), F.col("pos").cast("string")).alias("feature"), "v")
-    return _round_stats(P.describe_long(long, "feature", "v"))
+    wide = e.select(*[F.get("embedding", F.lit(i)).alias(f"f{i}") for i in range(64)])
+    return _round_stats(P.describe_numeric(wide).withColumnRenamed("column", "feature"))
+
+
+@query("describe_groups", oracle="""
+SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50,
+       round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY 1, 2""")
+def describe_groups(spark, d):
+    """Exact quantiles of the price in each group of two columns."""
+    q = quantiles_by(Tables(spark, d).lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.1, 0.5, 0.99], ["p10", "p50", "p99"])
+    return q.select("l_returnflag", "l_linestatus", *[r(c).alias(c) for c in ("p10", "p50", "p99")])
 
 
 _ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]

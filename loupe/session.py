@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at any scale: AQE re-plans joins and coalesces
 # shuffle partitions at run time, skew-join splits hot partitions, and the
@@ -81,18 +83,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_folders: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    """A sub-folder of this application's own folder under the shared
+    checkpoint folder; the application's folder is removed when the driver's
+    Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = os.path.join(ensure_checkpoint_dir(spark), f"loupe-{app}-{uuid.uuid4().hex[:8]}")
+        atexit.register(_remove, spark, _folders[app])
+    return os.path.join(_folders[app], name)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None:  # the session has ended already
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back: later
+    jobs start from it, its size is known to the planner, and a lost executor
+    costs no recomputation before it."""
+    path = scratch_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def materialize(df):
-    """Write a small, reused intermediate (a daily series, a design matrix)
-    to the shared checkpoint folder and continue from it.
 
-    Later jobs read the written copy instead of re-scanning the source, and
-    the lineage is cut, so a lost executor does not trigger a re-scan of the
-    fact table.  (A reliable checkpoint, never ``localCheckpoint``.)"""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame) -> DataFrame:
+    """A small, reused intermediate (a daily series, a design matrix), stored
+    so that later jobs do not scan its source again."""
+    return stored(df, "table")
