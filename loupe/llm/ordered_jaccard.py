@@ -14,6 +14,10 @@ orders are used and a candidate must pass all of them before full sets meet:
 * Orders 3 and 4 are by other hashes.  A pair's common prefix tokens bound its
   whole overlap; pairs whose bound is too low under either order go.
 
+Before orders 3 and 4, a parity bitmap of the whole set gives a cheap bound
+that never errs on a linked pair: sets differ in at least as many tokens as
+their bitmaps differ in bits.
+
 Members of a token's group are first compared with one central member; groups
 whose members are still in several components are then compared inside, in
 blocks of bounded size.  No link between components is lost, and a large group
@@ -37,6 +41,8 @@ SPARE = 16  # a prefix is longer by one SPAREth of the set
 BLOCK, BLOCK_TOKENS = 1024, 2_000_000  # members and tokens of one block
 SLICE_BYTES = 4 << 20  # of text hashed together
 WANTED_ROWS = 1_000_000  # ids of at most 16 bytes: 16 MB, the most that is broadcast
+FEWEST_BITS, MOST_BITS = 256, 1 << 16  # of a parity bitmap
+BITMAP_SEED = 0x94D049BB133111EB
 SEEDS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # of orders 3 and 4
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -105,6 +111,24 @@ def order_prefix(s: np.ndarray, seed: int, percent: int) -> np.ndarray:
     return np.sort(np.partition(h, p - 1)[:p]) if p < len(h) else np.sort(h)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parity of the tokens that fall on each position, as 64-bit words; about
+    two to four positions a token, a power of two."""
+    width = min(max(FEWEST_BITS, 1 << (2 * len(s)).bit_length()), MOST_BITS)
+    odd = np.bincount((_mix(s ^ np.uint64(BITMAP_SEED)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(b: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap on fewer positions."""
+    return b if len(b) == words else np.bitwise_xor.reduce(b.reshape(-1, words), axis=0)
+
+
+def most_unequal(na, nb, percent: int):
+    """In how many tokens two linked sets differ at most."""
+    return na + nb - 2 * least_overlap(na, nb, percent)
+
+
 def overlap_bound(common, last_a, last_b, rest_a, rest_b):
     """The most tokens that two sets can share: those common to the prefixes,
     and all behind the prefix that ends first."""
@@ -154,7 +178,8 @@ def _full_sets(k: int, percent: int):
                 sets = shingle_sets(texts, k, seen)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                     *[pa.array([order_prefix(s, x, percent).tobytes() for s in sets], pa.binary()) for x in SEEDS]], ["id", "n", "s", "o3", "o4"])
+                     pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
+                     *[pa.array([order_prefix(s, x, percent).tobytes() for s in sets], pa.binary()) for x in SEEDS]], ["id", "n", "s", "bits", "o3", "o4"])
     return run
 
 
@@ -162,17 +187,23 @@ def _hashes(x: bytes) -> np.ndarray:
     return np.frombuffer(x, np.uint64)
 
 
-def may_link(na: int, nb: int, prefixes: list[tuple[np.ndarray, np.ndarray]], percent: int) -> bool:
-    """Whether a pair passes the bound under each order."""
+def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(fold(a, words) ^ fold(b, words)).sum())
+
+
+def may_link(na: int, nb: int, bits: tuple[np.ndarray, np.ndarray], prefixes: list[tuple[np.ndarray, np.ndarray]], percent: int) -> bool:
+    """Whether a pair passes the bitmaps' bound and that of each order."""
     need = least_overlap(na, nb, percent)
-    return all(overlap_bound(np.intersect1d(a, b, assume_unique=True).size, a[-1], b[-1], na - len(a), nb - len(b)) >= need for a, b in prefixes)
+    return bits_apart(*bits) <= most_unequal(na, nb, percent) and all(
+        overlap_bound(np.intersect1d(a, b, assume_unique=True).size, a[-1], b[-1], na - len(a), nb - len(b)) >= need for a, b in prefixes)
 
 
 def _filtered(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = zip(b["na"], b["nb"], b["a3"], b["b3"], b["a4"], b["b4"])
-            ok = [may_link(na, nb, [(_hashes(a3), _hashes(b3)), (_hashes(a4), _hashes(b4))], percent) for na, nb, a3, b3, a4, b4 in rows]
+            of = lambda x: [[_hashes(v) for v in b[f"a{x}"]], [_hashes(v) for v in b[f"b{x}"]]]
+            ok = [may_link(*r[:2], r[2:4], [r[4:6], r[6:8]], percent) for r in zip(b["na"], b["nb"], *of("bits"), *of("3"), *of("4"))]
             yield b.loc[np.array(ok, bool), ["a", "b"]]
     return run
 
@@ -185,45 +216,30 @@ def _verified(percent: int):
     return run
 
 
-def _common_counts(prefixes: list[np.ndarray]):
-    """A function: member -> number of prefix tokens that it shares with each
-    member after it."""
-    own = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
-    _, token = np.unique(np.concatenate(prefixes), return_inverse=True)
-    holders = own[np.argsort(token, kind="stable")]
-    start = np.concatenate([[0], np.cumsum(np.bincount(token))])
-    mine = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
-
-    def count(i: int) -> np.ndarray:
-        found = [holders[start[t]:start[t + 1]] for t in token[mine[i]:mine[i + 1]]]
-        return np.bincount(np.concatenate(found), minlength=len(prefixes))[i + 1:]
-    return count
-
-
 def candidates(g: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Members of one block (or of a pair of blocks) with those after them that
-    are in another component and pass the size bound and orders 3 and 4.  Two
-    members of one side of a pair of blocks are left to that block."""
+    are in another component and pass the size and bitmap bounds.  Two members
+    of one side of a pair of blocks are left to that block."""
     n, comp, side = g["n"].to_numpy(), g["component"].to_numpy(), g["side"].to_numpy()
-    two = bool(g["bi"].iloc[0] != g["bj"].iloc[0])
     if (comp == comp[0]).all():
         return
-    orders = []
-    for o in ("o3", "o4"):
-        p = [_hashes(x) for x in g[o]]
-        orders.append((_common_counts(p), np.array([x[-1] for x in p]), n - np.array([len(x) for x in p])))
+    two = bool(g["bi"].iloc[0] != g["bj"].iloc[0])
+    bits = [_hashes(x) for x in g["bits"]]
+    words = np.array([len(x) for x in bits])
+    level = {w: np.stack([fold(x, w) if len(x) >= w else np.zeros(w, np.uint64) for x in bits]) for w in np.unique(words).tolist()}
     for i in range(len(g) - 1):
-        rest = slice(i + 1, None)
+        rest = np.arange(i + 1, len(g))
         ok = (comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
         if two:
             ok &= side[rest] != side[i]
-        need = least_overlap(n[rest], n[i], percent)
-        for count, last, behind in orders:
-            if not ok.any():
-                break
-            ok &= overlap_bound(count(i), last[i], last[rest], behind[i], behind[rest]) >= need
-        if ok.any():
-            yield i, i + 1 + np.flatnonzero(ok)
+        rest = rest[ok]
+        near = []
+        for w in np.unique(np.minimum(words[rest], words[i])).tolist():
+            some = rest[np.minimum(words[rest], words[i]) == w]
+            apart = np.bitwise_count(level[w][some] ^ level[w][i]).sum(axis=1)
+            near.append(some[apart <= most_unequal(n[some], n[i], percent)])
+        if near and len(near := np.sort(np.concatenate(near))):
+            yield i, near
 
 
 def _close_members(percent: int):
@@ -238,25 +254,26 @@ def _close_members(percent: int):
 def _block_links(percent: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         """Links that join components: a spanning forest, not all links."""
-        ids, comp = g["id"].to_numpy(), g["component"].to_numpy().tolist()
-        sets, boss, out = [_hashes(x) for x in g["s"]], {c: c for c in comp}, []
+        ids, n, comp = g["id"].to_numpy(), g["n"].tolist(), g["component"].to_numpy().tolist()
+        sets, bits, o3, o4 = ([_hashes(x) for x in g[c]] for c in ("s", "bits", "o3", "o4"))
+        boss, out = {c: c for c in comp}, []
 
         def find(c: int) -> int:
             while boss[c] != c:
                 boss[c] = c = boss[boss[c]]
             return c
         for i, rest in candidates(g, percent):
-            for j in rest:
+            for j in rest.tolist():
                 x, y = find(comp[i]), find(comp[j])
-                if x != y and linked(sets[i], sets[j], percent):
+                if x != y and may_link(n[i], n[j], (bits[i], bits[j]), [(o3[i], o3[j]), (o4[i], o4[j])], percent) and linked(sets[i], sets[j], percent):
                     boss[max(x, y)] = min(x, y)
                     out.append((int(ids[i]), int(ids[j])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
     return run
 
 
-def _members_hash() -> list[Column]:
-    return [F.bit_xor(F.xxhash64(F.lit(x), F.col("id"))).alias(f"h{x}") for x in (1, 2)]
+def _members_hash(*more: Column) -> list[Column]:
+    return [F.bit_xor(F.xxhash64(F.lit(x), F.col("id"), *more)).alias(f"h{x}") for x in (1, 2)]
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -306,8 +323,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = written(shared.select("id").distinct().join(cls, "id").select("id", F.col("first").alias("doc_id"), "text_hash"), "ordered-wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= WANTED_ROWS else wanted
     texts = d.join(wanted, ["doc_id", "text_hash"]).groupBy("id").agg(F.first("text").alias("text"))
-    sets = written(texts.mapInArrow(_full_sets(k, percent), "id long, n long, s binary, o3 binary, o4 binary"), "ordered-sets")
-    head = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("o3").alias(f"{x}3"), F.col("o4").alias(f"{x}4"))
+    sets = written(texts.mapInArrow(_full_sets(k, percent), "id long, n long, s binary, bits binary, o3 binary, o4 binary"), "ordered-sets")
+    head = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{x}{c[-1] if c != 'bits' else c}") for c in ("bits", "o3", "o4")])
     full = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
     passed = written(pairs.join(head("a"), "a").join(head("b"), "b").mapInPandas(_filtered(percent), "a long, b long"), "ordered-passed")
     links = written(passed.join(full("a"), "a").join(full("b"), "b").mapInPandas(_verified(percent), "a long, b long"), "ordered-links")
@@ -320,8 +337,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     now = now.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     now = now.select("token", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "id", "component", "side")
     group, kinds = ["token", "bi", "bj"], "token long, bi int, bj int, id long, component long, side int"
-    close = written(now.join(sets.drop("s"), "id").groupBy(*group).applyInPandas(_close_members(percent), kinds), "ordered-close")
-    more = close.join(sets, "id").groupBy(*group).applyInPandas(_block_links(percent), "a long, b long")
+    close = written(now.join(sets.select("id", "n", "bits"), "id").groupBy(*group).applyInPandas(_close_members(percent), kinds), "ordered-close")
+    # a pair meets in many groups: of groups with the same close members (on the same sides) one is enough
+    own = F.when(F.col("bi") == F.col("bj"), F.lit(-1)).otherwise(F.col("side"))
+    once = close.groupBy(*group).agg(F.count("*").alias("c"), *_members_hash(own)).groupBy("c", "h1", "h2").agg(F.min(F.struct(*group)).alias("g")).select("g.*")
+    more = close.join(once, group).join(sets, "id").groupBy(*group).applyInPandas(_block_links(percent), "a long, b long")
     more = written(more.distinct(), "ordered-more")
     final = connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     final = cls.select("id", "first").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))

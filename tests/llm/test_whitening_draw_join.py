@@ -200,7 +200,7 @@ def test_order_filters_lose_no_pair():
                     kept.append(set(sorted(s[:longer].tolist(), key=lambda x: (df[x], x))[:longer - spare]))
                 assert kept[0] & kept[1]
                 orders = [tuple(ordered_jaccard.order_prefix(s, x, percent) for s in (a, b)) for x in ordered_jaccard.SEEDS]
-                assert ordered_jaccard.may_link(len(a), len(b), orders, percent)
+                assert ordered_jaccard.may_link(len(a), len(b), (ordered_jaccard.bitmap(a), ordered_jaccard.bitmap(b)), orders, percent)
 
 
 def test_ordered_jaccard_odd_rows(spark, odd_docs, no_docs):
