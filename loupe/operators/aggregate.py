@@ -182,10 +182,8 @@ def argmax_row(df: DataFrame, key: str, measure: str, group=None) -> DataFrame:
 def order_by_frequency(df: DataFrame, key: str) -> DataFrame:
     """Attach each value's frequency rank (1 = most frequent)."""
     vc = not_null_keys(df, key).groupBy(key).agg(F.count(F.lit(1)).alias("freq"))
-    w = Window.orderBy(F.col("freq").desc(), F.col(key))
-    # vc has one row per distinct value (a category list), so the global
-    # window sorts a small table.
-    return vc.withColumn("freq_rank", F.row_number().over(w))
+    from loupe.operators.series import position
+    return position(vc, [F.col("freq").desc(), F.col(key)], out="freq_rank", start=1).withColumn("freq_rank", F.col("freq_rank").cast("int"))
 
 
 def slice_rows(df: DataFrame, order: Sequence[Column], start: int, stop: int) -> DataFrame:

@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loupe.operators.scalars import with_scalars
+from loupe.operators.series import halo_window, position
 
 
 def tabular_prepare(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str],
@@ -26,8 +27,7 @@ def tabular_prepare(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[s
     train = df.where(F.col(train_flag))
     out = df
     for c in cat_cols:
-        codes = (train.select(c).where(F.col(c).isNotNull()).distinct()
-                 .withColumn(f"{c}_code", F.row_number().over(Window.orderBy(c)).cast("long")))
+        codes = position(train.select(c).where(F.col(c).isNotNull()).distinct(), c, out=f"{c}_code", start=1)
         out = out.join(codes, c, "left").withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(0)))
     if num_cols:
         from loupe.operators.selection import describe_columns
@@ -160,7 +160,7 @@ ADF_CRIT_C = {"1%": (-3.43035, -6.5393, -16.786, -79.433),
               "5%": (-2.86154, -2.8903, -4.234, -40.040),
               "10%": (-2.56677, -1.5384, -2.809, 0.0)}
 ADF_P_SMALL_C = (2.1659, 1.4412, 0.038269)
-ADF_P_LARGE_C = (1.7339, 9.3202 * 1e-1, -1.2745 * 1e-1, -1.0368 * 1e-2)
+ADF_P_LARGE_C = (1.7339, 0.93202, -0.12745, -0.010368)
 ADF_TAU_MAX_C, ADF_TAU_MIN_C, ADF_TAU_STAR_C = 2.74, -18.83, -1.61
 
 
@@ -181,12 +181,16 @@ def adf_critical(nobs: int) -> dict:
     return {k: sum(c / nobs ** i for i, c in enumerate(v)) for k, v in ADF_CRIT_C.items()}
 
 
-def _adf_design(df: DataFrame, value: str, order: str, maxlag: int) -> DataFrame:
-    w = Window.orderBy(order)
-    x = df.select(order, F.col(value).cast("double").alias("_x"))
-    x = x.withColumn("_lvl", F.lag("_x", 1).over(w)).withColumn("_dx", F.col("_x") - F.col("_lvl"))
-    x = x.select("*", *[F.lag("_dx", k).over(w).alias(f"_dx{k}") for k in range(1, maxlag + 1)])
-    return x.withColumn("_rn", F.row_number().over(w)).withColumn("_one", F.lit(1.0))
+def _adf_design(df: DataFrame, value: str, order: str, maxlag: int, keys=()) -> DataFrame:
+    """Level, difference and lagged differences of each series, with its row
+    number: one pass over blocks of the order."""
+    x = df.withColumn("_x", F.col(value).cast("double"))
+
+    def lagged(w):
+        lag = [F.col("_x")] + [F.lag("_x", k).over(w) for k in range(1, maxlag + 2)]
+        return [lag[1].alias("_lvl"), (lag[0] - lag[1]).alias("_dx"), *[(lag[k] - lag[k + 1]).alias(f"_dx{k}") for k in range(1, maxlag + 1)],
+                (F.col("_g") + 1).alias("_rn")]
+    return halo_window(x, order, keys, -(maxlag + 1), 0, lagged).withColumn("_one", F.lit(1.0))
 
 
 def adf_test(df: DataFrame, value: str, order: str, maxlag: int | None = None,
@@ -234,9 +238,18 @@ def adf_test(df: DataFrame, value: str, order: str, maxlag: int | None = None,
 
 
 # ------------------------------------------------------------ ARIMA search
-def _lag_block(df: DataFrame, col: str, order: str, lags: int, prefix: str) -> DataFrame:
-    w = Window.orderBy(order)
-    return df.select("*", *[F.lag(col, k).over(w).alias(f"{prefix}{k}") for k in range(1, lags + 1)])
+def _lag_block(df: DataFrame, col: str, order: str, lags: int, prefix: str, keys=()) -> DataFrame:
+    """Lags 1..``lags`` of a column and the row number, in blocks of the order."""
+    return halo_window(df, order, keys, -lags, 0, lambda w: [
+        *[F.lag(col, k).over(w).alias(f"{prefix}{k}") for k in range(1, lags + 1)], (F.col("_g") + 1).alias("_rn")])
+
+
+def _differenced(df: DataFrame, col: str, order: str, keys=(), when=None) -> DataFrame:
+    """First differences of a column (of rows that meet ``when``); a series
+    loses its first row."""
+    x = halo_window(df, order, keys, -1, 0, lambda w: [F.lag(col, 1).over(w).alias("_before")])
+    new = F.col(col) - F.col("_before")
+    return x.withColumn(col, new if when is None else F.when(when, new).otherwise(F.col(col))).drop("_before").where(F.col(col).isNotNull())
 
 
 def arima_select(df: DataFrame, value: str, order: str, max_p: int = 3, max_q: int = 3,
@@ -249,23 +262,22 @@ def arima_select(df: DataFrame, value: str, order: str, max_p: int = 3, max_q: i
     of e.  All candidates are solved from ONE cross-product aggregate on a
     common sample; AIC = n log(SSR/n) + 2 (p + q + 1)."""
     import numpy as np
-    w = Window.orderBy(order)
     z = df.select(order, F.col(value).cast("double").alias("z")).where(F.col("z").isNotNull())
     d = 0
     while d < max_d and adf_test(z, "z", order)["pvalue"] >= alpha:
-        z = z.withColumn("z", F.col("z") - F.lag("z", 1).over(w)).where(F.col("z").isNotNull())
+        z = _differenced(z, "z", order)
         d += 1
     # Stage 1: long autoregression -> innovations.
     z1 = _lag_block(z, "z", order, long_ar, "_z").withColumn("_one", F.lit(1.0))
     from loupe.session import materialize
-    z1 = materialize(z1.withColumn("_rn", F.row_number().over(w)))
+    z1 = materialize(z1)
     c1 = ["_one"] + [f"_z{k}" for k in range(1, long_ar + 1)] + ["z"]
     G, _ = gram_from_row(cross_products(z1.where(F.col("_rn") > long_ar), c1).first(), len(c1))
     b1, _, _ = ols_from_gram(G, list(range(len(c1) - 1)), len(c1) - 1)
     fit = F.lit(float(b1[0]))
     for k in range(1, long_ar + 1):
         fit = fit + F.lit(float(b1[k])) * F.col(f"_z{k}")
-    z2 = z1.withColumn("_e", F.when(F.col("_rn") > long_ar, F.col("z") - fit))
+    z2 = z1.withColumn("_e", F.when(F.col("_rn") > long_ar, F.col("z") - fit)).drop("_rn")
     z2 = _lag_block(z2, "_e", order, max_q, "_e")
     start = long_ar + max(max_p, max_q)
     c2 = ["_one"] + [f"_z{k}" for k in range(1, max_p + 1)] + [f"_e{k}" for k in range(1, max_q + 1)] + ["z"]
@@ -505,7 +517,6 @@ def _adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int | None
     import pandas as pd
     from pyspark.ml.functions import vector_to_array
     ks = [keys] if isinstance(keys, str) else list(keys)
-    w = Window.partitionBy(*ks).orderBy(order)
     x = df.where(F.col(value).isNotNull()).select(*ks, order, F.col(value).cast("double").alias("_x"))
     # the lag limit follows the length of each series; the design is as wide as the largest
     n_obs = F.col("_n_obs")
@@ -514,11 +525,8 @@ def _adf_by_key(df: DataFrame, value: str, order: str, keys, maxlag: int | None
     x = x.join(x.groupBy(*ks).agg(F.count("*").alias("_n_obs")), ks).withColumn("_m", limit.cast("int")).drop("_n_obs")
     if maxlag is None:
         maxlag = x.agg(F.max("_m")).first()[0] or 0
-    x = x.withColumn("_lvl", F.lag("_x", 1).over(w)).withColumn("_dx", F.col("_x") - F.col("_lvl"))
-    x = x.select("*", *[F.lag("_dx", k).over(w).alias(f"_dx{k}") for k in range(1, maxlag + 1)])
-    x = x.withColumn("_rn", F.row_number().over(w)).withColumn("_one", F.lit(1.0))
     from loupe.session import materialize
-    x = materialize(x)
+    x = materialize(_adf_design(x, "_x", order, maxlag, ks))
     cols = ["_one", "_lvl"] + [f"_dx{k}" for k in range(1, maxlag + 1)] + ["_dx"]
     k = len(cols)
     key_types = dict(x.dtypes)
@@ -605,7 +613,6 @@ def _arima_select_by_key(df: DataFrame, value: str, order: str, keys, max_p: int
     from pyspark.ml.functions import vector_to_array
     from loupe.session import materialize
     ks = [keys] if isinstance(keys, str) else list(keys)
-    w = Window.partitionBy(*ks).orderBy(order)
     z = df.where(F.col(value).isNotNull()).select(*ks, order, F.col(value).cast("double").alias("z"))
     key_types = dict(z.dtypes)
     key_schema = [f"`{c}` {key_types[c]}" for c in ks]
@@ -616,13 +623,9 @@ def _arima_select_by_key(df: DataFrame, value: str, order: str, keys, max_p: int
         # one small row per series; written out so the next plan starts from a leaf
         more = materialize(t.where(F.col("pvalue") >= alpha).select(*ks, F.lit(True).alias("_more")))
         z = z.join(more, ks, "left")
-        dz = F.col("z") - F.lag("z", 1).over(w)
-        z = z.select(*ks, order, F.when(F.col("_more"), dz).otherwise(F.col("z")).alias("z"),
-                     F.when(F.col("_more"), F.col("_d") + 1).otherwise(F.col("_d")).alias("_d"))
-        z = materialize(z.where(F.col("z").isNotNull()))
-    z = z.withColumn("_rn", F.row_number().over(w)).withColumn("_one", F.lit(1.0))
-    z = z.select("*", *[F.lag("z", k).over(w).alias(f"_z{k}") for k in range(1, long_ar + 1)])
-    z = materialize(z)
+        z = z.withColumn("_d", F.when(F.col("_more"), F.col("_d") + 1).otherwise(F.col("_d")))
+        z = materialize(_differenced(z, "z", order, ks, F.col("_more")).drop("_more"))
+    z = materialize(_lag_block(z.withColumn("_one", F.lit(1.0)), "z", order, long_ar, "_z", ks))
     c1 = ["_one"] + [f"_z{k}" for k in range(1, long_ar + 1)] + ["z"]
     k1 = len(c1)
 
@@ -644,8 +647,8 @@ def _arima_select_by_key(df: DataFrame, value: str, order: str, keys, max_p: int
     fit = F.col("_b")[0]
     for j in range(1, long_ar + 1):
         fit = fit + F.col("_b")[j] * F.col(f"_z{j}")
-    z2 = z.join(coef, ks).withColumn("_e", F.when(F.col("_rn") > long_ar, F.col("z") - fit))
-    z2 = z2.select("*", *[F.lag("_e", k).over(w).alias(f"_e{k}") for k in range(1, max_q + 1)])
+    z2 = z.join(coef, ks).withColumn("_e", F.when(F.col("_rn") > long_ar, F.col("z") - fit)).drop("_rn", "_b")
+    z2 = _lag_block(z2, "_e", order, max_q, "_e", ks)
     start = long_ar + max(max_p, max_q)
     c2 = ["_one"] + [f"_z{k}" for k in range(1, max_p + 1)] + [f"_e{k}" for k in range(1, max_q + 1)] + ["z"]
     k2 = len(c2)

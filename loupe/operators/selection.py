@@ -59,12 +59,15 @@ class _Column:
     """What one task has counted of one column."""
 
     def __init__(self):
-        self.parts, self.size, self.n, self.total, self.square = [], 0, 0, 0.0, 0.0
+        self.parts, self.size, self.n = [], 0, 0
+        self.total = self.square = np.longdouble(0)  # sums of many values lose no digits of a double
 
     def add(self, x: np.ndarray, shift: int, within: np.ndarray | None, mean: float | None) -> None:
         self.n += len(x)
-        self.total += float(x.sum()) if mean is None else float((x - mean).sum())
-        self.square += 0.0 if mean is None else float(((x - mean) ** 2).sum())
+        off = x if mean is None else x - mean
+        self.total += off.sum(dtype=np.longdouble)
+        if mean is not None:
+            self.square += (off * off).sum(dtype=np.longdouble)
         key = ordered_bits(x)
         if within is not None:
             key = key[np.isin(key >> np.int64(shift + STEP), within)]
@@ -82,7 +85,7 @@ class _Column:
         return pa.RecordBatch.from_arrays([
             pa.array([c] * (k + 1), pa.int32()), pa.array([*r[:, 0].tolist(), None], pa.int64()), column(r[:, 1], self.n),
             pa.array([*r[:, 2].tolist(), None], pa.int64()), pa.array([*r[:, 3].tolist(), None], pa.int64()),
-            pa.array([None] * k + [self.total], pa.float64()), pa.array([None] * k + [self.square], pa.float64())], _NAMES)
+            pa.array([None] * k + [float(self.total)], pa.float64()), pa.array([None] * k + [float(self.square)], pa.float64())], _NAMES)
 
 
 _NAMES = ["c", "bin", "n", "lo", "hi", "total", "square"]

@@ -1,9 +1,9 @@
 """Ordered / time-series operators (WIN*, PRJ10, TSF*, DTE7, FIL10).
 
 Every ordered operator takes ``keys``: windows are ``partitionBy(keys)``, so
-many series spread over the cluster.  A single long series is first reduced
-to one row per calendar day (``daily``), which bounds the ordered part by the
-calendar length (a few thousand rows) however large the fact table is.
+many series spread over the cluster.  A long series is cut into ranges of its
+order (``ranked``) or blocks with a halo (``halo_window``), so that no task
+sorts all of it.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from loupe.operators.scalars import scalars, with_scalars
+from loupe.session import stored
 
 
 def _keys(keys) -> list[str]:
@@ -35,44 +37,95 @@ def daily(df: DataFrame, ts: str, value: Column, keys=None, out: str = "y") -> D
 
 
 def with_lags(df: DataFrame, value: str, order: str, lags: Sequence[int], keys=None,
-              fmt: str = "{v}_lag_{k}", distributed: bool = False) -> DataFrame:
-    """All requested lags in ONE window (one sort per series).  With
-    ``distributed=True`` a long series is split into blocks with a halo
-    (``lags_distributed``) instead of being sorted in one task."""
-    if distributed:
-        return lags_distributed(df, value, order, list(lags), keys, fmt)
-    w = _w(keys, order)
-    return df.select("*", *[F.lag(value, k).over(w).alias(fmt.format(v=value, k=k)) for k in lags])
+              fmt: str = "{v}_lag_{k}") -> DataFrame:
+    """All requested lags at once.  A series is cut into blocks with a halo
+    (``halo_window``), so that a long one is not sorted in one task."""
+    return halo_window(df, order, keys, -max([0, *lags]), max([0, *[-k for k in lags]]),
+                       lambda w: [F.lag(value, k).over(w).alias(fmt.format(v=value, k=k)) for k in lags])
 
 
-def rolling(df: DataFrame, value: str, order: str, n: int, keys=None, min_periods: int | None = None,
-            stats: Sequence[str] = ("mean",), centered: bool = False, prefix: str | None = None,
-            distributed: bool = False) -> DataFrame:
-    """Row-count window of ``n`` rows, trailing or centred.
+def rolling(df: DataFrame, value: str, order: str, n: int | Sequence[int], keys=None, min_periods: int | None = None,
+            stats: Sequence[str] = ("mean",), centered: bool = False, prefix: str | None = None) -> DataFrame:
+    """Row-count window of ``n`` rows, trailing or centred; several lengths
+    share one pass.
 
     ``min_periods`` (default ``n``, pandas' default) is the number of non-null
-    values required; fewer gives NULL.  ``std`` is the sample std.  With
-    ``distributed=True`` a long series is processed in rank blocks with a
-    halo of the window's reach (``rolling_distributed``), same results."""
-    if distributed:
-        return rolling_distributed(df, value, order, n, keys, min_periods, stats, centered, prefix)
-    mp = n if min_periods is None else min_periods
-    if centered:
-        # pandas centres a window by shifting the trailing result (n - 1)//2 rows.
-        hi = (n - 1) // 2
-        lo = hi - (n - 1)
-    else:
-        lo, hi = -(n - 1), 0
-    w = _w(keys, order).rowsBetween(lo, hi)
-    cnt = F.count(value).over(w)
+    values required; fewer gives NULL.  ``std`` is the sample std.  A centred
+    window of n rows reaches (n - 1) // 2 rows ahead, as in pandas.  A series
+    is cut into blocks with a halo (``halo_window``)."""
+    lengths = [n] if isinstance(n, int) else list(n)
     fn = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "min": F.min, "max": F.max}
-    p = prefix or f"{value}_roll{n}"
-    return df.select("*", *[F.when(cnt >= mp, fn[s](value).over(w)).alias(f"{p}_{s}") for s in stats])
+    ahead = {m: (m - 1) // 2 if centered else 0 for m in lengths}
+
+    def exprs(w):
+        out = []
+        for m in lengths:
+            wf = w.rowsBetween(ahead[m] - (m - 1), ahead[m])
+            enough = F.count(value).over(wf) >= (m if min_periods is None else min_periods)
+            out += [F.when(enough, fn[s](value).over(wf)).alias(f"{prefix or f'{value}_roll{m}'}_{s}") for s in stats]
+        return out
+    return halo_window(df, order, keys, min(ahead[m] - (m - 1) for m in lengths), max(ahead.values()), exprs)
+
+
+def ranked(df: DataFrame, order, keys=None, out: str = "rank") -> DataFrame:
+    """0-based rank of every row in its series, and ``_part``, the range of the
+    order that holds it.
+
+    Rows are range-partitioned and sorted by (keys, order) and written with
+    their partition and place; a series' rank starts where its rows in earlier
+    partitions end.  Neither the table nor a long series is in one task.  Rows
+    with equal order get different ranks."""
+    ks, spark = _keys(keys), df.sparkSession
+    by = [*ks, *([order] if isinstance(order, (str, Column)) else order)]
+    x = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
+    x = stored(x.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranked")
+    runs = x.groupBy("_part", *ks).agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
+    if ks:
+        w = Window.partitionBy(*ks).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        runs = runs.select("_part", *ks, (F.coalesce(F.sum("_rows").over(w), F.lit(0)) - F.col("_first")).alias("_shift"))
+        same = [F.col("x._part") == F.col("s._part"), *[F.col(f"x.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ks]]
+        return x.alias("x").join(runs.alias("s"), same).select(
+            *[f"x.`{c}`" for c in x.columns if c != "_place"], (F.col("x._place") + F.col("s._shift")).alias(out))
+    shifts, total = [], 0
+    for r in runs.orderBy("_part").collect():  # one row a partition
+        shifts.append((r["_part"], total - r["_first"]))
+        total += r["_rows"]
+    if not shifts:
+        return x.withColumn(out, F.col("_place")).drop("_place")
+    shifts = F.broadcast(spark.createDataFrame(shifts, "_part int, _shift long"))
+    return x.join(shifts, "_part").withColumn(out, F.col("_place") + F.col("_shift")).select(*df.columns, "_part", out)
 
 
 def position(df: DataFrame, order, keys=None, out: str = "t", start: int = 0) -> DataFrame:
     """0-based (or ``start``-based) position in time order, per series."""
-    return df.withColumn(out, (F.row_number().over(_w(keys, order)) - 1 + start).cast("long"))
+    return ranked(df, order, keys, out).withColumn(out, (F.col(out) + start).cast("long")).drop("_part")
+
+
+def fill_forward(df: DataFrame, order: str, cols: Sequence[str], present: Column, keys=None) -> DataFrame:
+    """``cols`` of rows that are not ``present`` take the last present row's
+    values.
+
+    Ranges of the order are filled apart, and what their last present row
+    holds is handed on to the following ranges: a series of any length is
+    filled without a window over all of it."""
+    ks = _keys(keys)
+    x = ranked(df.withColumn("_row", F.when(present, F.struct(*cols))), order, ks, "_rank")
+    inner = Window.partitionBy("_part", *ks).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_in", F.last("_row", ignorenulls=True).over(inner))
+    last = stored(x.groupBy("_part", *ks).agg(F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col("_rank"))).alias("_last")), "last")
+    if ks:
+        before = Window.partitionBy(*ks).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        last = last.select("_part", *ks, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    else:
+        rows, carry = [], None
+        for r in last.orderBy("_part").collect():  # one row a partition
+            rows.append((r["_part"], carry))
+            carry = carry if r["_last"] is None else r["_last"]
+        kind = StructType([StructField("_part", IntegerType()), StructField("_carry", last.schema["_last"].dataType)])
+        last = F.broadcast(df.sparkSession.createDataFrame(rows, kind))
+    same = [F.col("x._part") == F.col("l._part"), *[F.col(f"x.{k}").eqNullSafe(F.col(f"l.{k}")) for k in ks]]
+    j = x.alias("x").join(last.alias("l"), same).withColumn("_f", F.coalesce("x._in", "l._carry"))
+    return j.select(*[f"x.`{c}`" for c in df.columns if c not in cols], *[F.col(f"_f.{c}").alias(c) for c in cols])
 
 
 def calendar(bounds: DataFrame, start: str, stop: str, step_days: int = 1, keys=None,
@@ -103,11 +156,8 @@ def asfreq_pad(df: DataFrame, ds: str, cols: Sequence[str], keys=None) -> DataFr
     ks = _keys(keys)
     bounds = df.groupBy(*ks).agg(F.min(ds).alias("_lo"), F.max(ds).alias("_hi"))
     cal = calendar(bounds, "_lo", "_hi", 1, ks, ds)
-    j = cal.join(df.withColumn("_row", F.struct(*cols)), ks + [ds], "left")
-    w = _w(ks, ds).rowsBetween(Window.unboundedPreceding, 0)
-    filled = F.last("_row", ignorenulls=True).over(w)
-    return j.select(*ks, ds, F.col("_row").isNotNull().alias("present"), filled.alias("_f")).select(
-        *ks, ds, "present", *[F.col(f"_f.{c}").alias(c) for c in cols])
+    j = cal.join(df.withColumn("present", F.lit(True)), ks + [ds], "left").withColumn("present", F.col("present").isNotNull())
+    return fill_forward(j, ds, cols, F.col("present"), ks).select(*ks, ds, "present", *cols)
 
 
 def cumulative_sum(df: DataFrame, order: str, value, keys=None, out="cum",
@@ -177,8 +227,8 @@ def stacked_cumsum(counts: DataFrame, time_col: str, cat_col: str, value: str,
 
 
 def running_total(df: DataFrame, order: str, value: str, keys=None, out: str = "running") -> DataFrame:
-    w = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(value).over(w))
+    """Running sum in ``order``, in ranges of the order (``cumulative_sum``)."""
+    return cumulative_sum(df, order, value, keys, out)
 
 
 def future_dates(df: DataFrame, ds: str, n: int, keys=None) -> DataFrame:
@@ -193,10 +243,10 @@ def ordered_split(df: DataFrame, order: str, frac: float = 0.9, skip: int = 0, k
     """Rows [skip, floor(frac*n)) -> 'train', [floor(frac*n), n) -> 'test';
     the first ``skip`` rows are dropped."""
     ks = _keys(keys)
-    pos = F.row_number().over(_w(ks, order)) - 1
-    n = df.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
-    x = df.join(n, ks) if ks else with_scalars(df, n)
-    x = x.withColumn("_p", pos).withColumn("_cut", F.floor(F.col("_n") * frac)).drop("_n")
+    x = ranked(df, order, ks, "_p").drop("_part")
+    n = x.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
+    x = x.join(n, ks) if ks else with_scalars(x, n)
+    x = x.withColumn("_cut", F.floor(F.col("_n") * frac)).drop("_n")
     return (x.where(F.col("_p") >= skip)
             .withColumn(out, F.when(F.col("_p") < F.col("_cut"), "train").otherwise("test"))
             .drop("_p", "_cut"))
@@ -213,62 +263,29 @@ def fourier_terms(t: Column, freq: float, order: int) -> list[Column]:
 
 
 # ------------------------------------------------ halo windows (one long series)
-def halo_window(df: DataFrame, order: str, keys, lo: int, hi: int, exprs, buckets: int = 64) -> DataFrame:
-    """Row-frame window work over series too long for one task.
-
-    Rows get their global rank in ``order`` (distributed running count),
-    ranks are cut into contiguous blocks per series, and each block receives
-    copies of the last ``-lo`` rows of the previous block and the first
-    ``hi`` rows of the next one (the halo).  ``exprs(w)`` builds the output
-    columns from a window ``w`` partitioned by (keys, block) and ordered by
-    the rank; only each block's own rows are kept, so the result equals the
-    same window over the whole series.  ``order`` must be unique per series."""
+BLOCK_ROWS = 1 << 16
+
+
+def halo_window(df: DataFrame, order: str, keys, lo: int, hi: int, exprs, block_rows: int | None = None) -> DataFrame:
+    """Row-frame window work over series of any length.
+
+    Ranks (``ranked``) are cut into blocks of ``block_rows`` (BLOCK_ROWS) per series, and
+    each block receives copies of the last ``-lo`` rows of the block before and
+    the first ``hi`` rows of the next (the halo).  ``exprs(w)`` builds the
+    output columns from a window ``w`` over one block; only a block's own rows
+    are kept, so the result equals the same window over the whole series.
+    ``order`` must be unique per series."""
     ks = _keys(keys)
     back, fwd = max(0, -lo), max(0, hi)
-    x = df.withColumn("_one", F.lit(1))
-    x = cumulative_sum(x, order, "_one", ks or None, out="_g", buckets=buckets).drop("_one")
-    x = x.withColumn("_g", F.col("_g") - 1)  # 0-based rank
-    n = x.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
-    # block size: about n / buckets rows, never smaller than the halo reach
-    size = F.greatest(F.ceil(F.col("_n") / F.lit(buckets)), F.lit(max(back, fwd, 1))).cast("long")
-    n = n.select(*ks, size.alias("_size"))
-    x = x.join(n, ks) if ks else with_scalars(x, n)
-    x = x.withColumn("_home", F.floor(F.col("_g") / F.col("_size")))
-    off = F.col("_g") - F.col("_home") * F.col("_size")  # position inside the home block
+    size = max(block_rows or BLOCK_ROWS, back, fwd)
+    x = ranked(df, order, ks, "_g").drop("_part").withColumn("_home", F.floor(F.col("_g") / size))
+    off = F.col("_g") - F.col("_home") * size  # position inside the home block
     targets = F.array(F.col("_home"))
     if back:
-        targets = F.when(off >= F.col("_size") - back, F.array_union(targets, F.array(F.col("_home") + 1))).otherwise(targets)
+        targets = F.when(off >= size - back, F.array_union(targets, F.array(F.col("_home") + 1))).otherwise(targets)
     if fwd:
         targets = F.when((off < fwd) & (F.col("_home") > 0), F.array_union(targets, F.array(F.col("_home") - 1))).otherwise(targets)
     x = x.withColumn("_tb", F.explode(targets))
     w = Window.partitionBy(*ks, "_tb").orderBy("_g")
     out = x.select("*", *exprs(w))
-    return out.where(F.col("_tb") == F.col("_home")).drop("_g", "_size", "_home", "_tb")
-
-
-def rolling_distributed(df: DataFrame, value: str, order: str, n: int, keys=None,
-                        min_periods: int | None = None, stats=("mean",), centered: bool = False,
-                        prefix: str | None = None, buckets: int = 64) -> DataFrame:
-    """``rolling`` for a series too long for one task (same results)."""
-    mp = n if min_periods is None else min_periods
-    if centered:
-        hi = (n - 1) // 2
-        lo = hi - (n - 1)
-    else:
-        lo, hi = -(n - 1), 0
-    fn = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "min": F.min, "max": F.max}
-    p = prefix or f"{value}_roll{n}"
-
-    def exprs(w):
-        wf = w.rowsBetween(lo, hi)
-        cnt = F.count(value).over(wf)
-        return [F.when(cnt >= mp, fn[s](value).over(wf)).alias(f"{p}_{s}") for s in stats]
-    return halo_window(df, order, keys, lo, hi, exprs, buckets)
-
-
-def lags_distributed(df: DataFrame, value: str, order: str, lags, keys=None,
-                     fmt: str = "{v}_lag_{k}", buckets: int = 64) -> DataFrame:
-    """``with_lags`` for a series too long for one task (same results)."""
-    mx = max(lags)
-    return halo_window(df, order, keys, -mx, 0,
-                       lambda w: [F.lag(value, k).over(w).alias(fmt.format(v=value, k=k)) for k in lags], buckets)
+    return out.where(F.col("_tb") == F.col("_home")).drop("_g", "_home", "_tb")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loupe.operators.scalars import scalars, with_scalars
 from loupe.operators.selection import describe_columns
-from loupe.operators.series import _keys, _w
+from loupe.operators.series import _keys, with_lags
 from loupe.session import stored
 
 
@@ -33,13 +33,11 @@ def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def lag_correlation(df: DataFrame, value: str, order: str, max_lag: int, other: str | None = None,
                     keys=None) -> DataFrame:
-    """corr(y_t, x_{t-k}) for k = 1..max_lag: all lags in ONE window, then ONE
-    aggregate (pairs with a null are skipped by ``corr``)."""
+    """corr(y_t, x_{t-k}) for k = 1..max_lag: all lags in one pass over blocks,
+    then one aggregate (pairs with a null are skipped by ``corr``)."""
     ks = _keys(keys)
     x = other or value
-    w = _w(ks, order)
-    lagged = df.select(*ks, F.col(value).alias("_y"),
-                       *[F.lag(x, k).over(w).alias(f"_l{k}") for k in range(1, max_lag + 1)])
+    lagged = with_lags(df.select(*ks, order, F.col(value).alias("_y"), F.col(x).alias("_x")), "_x", order, range(1, max_lag + 1), ks, "_l{k}")
     g = lagged.groupBy(*ks) if ks else lagged
     row = g.agg(*[F.corr("_y", f"_l{k}").alias(f"c{k}") for k in range(1, max_lag + 1)])
     structs = [F.struct(F.lit(k).alias("lag"), F.col(f"c{k}").alias("corr")) for k in range(1, max_lag + 1)]
@@ -53,8 +51,7 @@ def autocovariances(df: DataFrame, value: str, order: str, max_lag: int, keys=No
     mu = df.groupBy(*ks).agg(F.avg(value).alias("_mu"), F.count(value).alias("_n"))
     x = df.join(mu, ks) if ks else with_scalars(df, mu)
     x = x.withColumn("_d", F.col(value) - F.col("_mu"))
-    w = _w(ks, order)
-    x = x.select(*ks, "_n", "_d", *[F.lag("_d", k).over(w).alias(f"_l{k}") for k in range(1, max_lag + 1)])
+    x = with_lags(x.select(*ks, order, "_n", "_d"), "_d", order, range(1, max_lag + 1), ks, "_l{k}")
     g = x.groupBy(*ks) if ks else x
     row = g.agg(F.first("_n").alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("s0"),
                 *[F.sum(F.col("_d") * F.col(f"_l{k}")).alias(f"s{k}") for k in range(1, max_lag + 1)])

@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from loupe.functions.text import word_count
+from loupe.operators import arima as AR
 from loupe.operators import models as MD
 from loupe.operators import series as S
 from loupe.operators import stats as ST
@@ -290,3 +291,71 @@ def arima_by_series(spark, d):
     o = Tables(spark, d).orders
     s = S.daily(o, "o_orderdate", F.sum("o_totalprice") / 1e6, keys="o_orderpriority")
     return MD.arima_select_by_key(s, "y", "ds", "o_orderpriority")
+
+
+_MILLIONS_SQL = f"(SELECT ds, y / 1e6 AS y FROM {DAILY_SQL})"
+_AR_SQL = f"""z AS (SELECT ds, y, y - lag(y) OVER (ORDER BY ds) AS z FROM {_MILLIONS_SQL}),
+l AS (SELECT ds, y, z, lag(z) OVER (ORDER BY ds) AS z1 FROM z),
+c AS (SELECT regr_slope(z, z1) AS b, regr_intercept(z, z1) AS a FROM l),
+f AS (SELECT ds, y, z - (a + b * z1) AS resid FROM l, c WHERE z IS NOT NULL)"""
+
+
+def _millions(t):
+    return daily_orders(t).withColumn("y", F.col("y") / 1e6)
+
+
+@query("arima_fitted", oracle=f"""
+WITH {_AR_SQL} SELECT ds, round(y, 6) AS y, round(y - resid, 6) AS fitted, round(resid, 6) AS resid FROM f""")
+def arima_fitted(spark, d):
+    """One-step fitted values and residuals of an ARIMA(1,1,0) of the daily
+    series (without moving-average terms its fit is a plain regression, which
+    the SQL states)."""
+    f = AR.arima_fit(_millions(Tables(spark, d)), "y", "ds", (1, 1, 0)).fitted()
+    return f.select("ds", *[r(c).alias(c) for c in ("y", "fitted", "resid")])
+
+
+@query("arima_diagnostics", oracle=f"""
+WITH {_AR_SQL},
+g AS (SELECT resid AS e, """ + ", ".join(f"lag(resid, {k}) OVER (ORDER BY ds) AS l{k}" for k in range(1, 11)) + """ FROM f),
+m AS (SELECT avg(resid) AS mu, var_pop(resid) AS v FROM f),
+n AS (SELECT avg(pow(resid - mu, 3)) / pow(max(v), 1.5) AS skew, avg(pow(resid - mu, 4)) / pow(max(v), 2) - 3 AS kurt FROM f, m)
+SELECT 'moments' AS panel, 1.0 AS x, round(avg(resid), 6) AS y FROM f
+UNION ALL SELECT 'moments', 2, round(var_samp(resid), 6) FROM f
+UNION ALL SELECT 'moments', 3, round(skew, 6) FROM n
+UNION ALL SELECT 'moments', 4, round(kurt, 6) FROM n
+""" + "".join(f"UNION ALL SELECT 'correlogram', {k}, round(corr(e, l{k}), 6) FROM g\n" for k in range(1, 11)))
+def arima_diagnostics(spark, d):
+    """Moments and correlogram of the residuals of that model."""
+    f = AR.arima_fit(_millions(Tables(spark, d)), "y", "ds", (1, 1, 0)).fitted()
+    p = AR.residual_panels(f, "ds").where(F.col("panel").isin("moments", "correlogram"))
+    return p.select("panel", "x", r("y").alias("y"))
+
+
+@query("arima_panels")
+def arima_panels(spark, d):
+    """All four panels (moments, correlogram, normal quantiles, density) of the
+    residuals of an ARIMA(1,1,1)."""
+    return AR.residual_panels(AR.arima_fit(_millions(Tables(spark, d)), "y", "ds", (1, 1, 1)).fitted(), "ds")
+
+
+@query("arima_coefficients", oracle=f"""
+WITH s AS (SELECT o_orderpriority AS k, CAST(o_orderdate AS DATE) AS ds, sum(o_totalprice) / 1e6 AS y FROM orders GROUP BY 1, 2),
+z AS (SELECT k, ds, y - lag(y) OVER (PARTITION BY k ORDER BY ds) AS z FROM s),
+l AS (SELECT k, z, lag(z) OVER (PARTITION BY k ORDER BY ds) AS z1 FROM z),
+c AS (SELECT k, regr_slope(z, z1) AS b, regr_intercept(z, z1) AS a FROM l GROUP BY k)
+SELECT k AS o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(max(a), 6) AS intercept, round(max(b), 6) AS ar1,
+       round(avg(pow(z - a - b * z1, 2)), 6) AS sigma2 FROM l JOIN c USING (k) WHERE z1 IS NOT NULL GROUP BY k""")
+def arima_coefficients(spark, d):
+    """ARIMA(1,1,0) of every order priority's daily totals at once."""
+    s = S.daily(Tables(spark, d).orders, "o_orderdate", F.sum("o_totalprice") / 1e6, keys="o_orderpriority")
+    c = AR.arima_fit(s, "y", "ds", (1, 1, 0), "o_orderpriority").coefficients
+    return c.select("o_orderpriority", "n", r("intercept").alias("intercept"), r(F.col("ar")[0]).alias("ar1"), r("sigma2").alias("sigma2"))
+
+
+@query("arima_auto")
+def arima_auto(spark, d):
+    """The chosen model of every order priority, fitted: orders by the search,
+    coefficients, innovation variance."""
+    s = S.daily(Tables(spark, d).orders, "o_orderdate", F.sum("o_totalprice") / 1e6, keys="o_orderpriority")
+    chosen = MD.arima_select_by_key(s, "y", "ds", "o_orderpriority").where("chosen").select("o_orderpriority", "p", "d", "q")
+    return AR.arima_fit(s, "y", "ds", chosen, "o_orderpriority").coefficients

@@ -14,8 +14,6 @@ from loupe.sources.tables import Tables
 
 DAILY_SQL = "(SELECT CAST(o_orderdate AS DATE) AS ds, sum(o_totalprice) AS y FROM orders GROUP BY 1)"
 SHIP_SQL = "(SELECT CAST(l_shipdate AS DATE) AS ds, sum(l_quantity) AS q FROM lineitem GROUP BY 1)"
-# Sparse slice used for gap handling (missing days / weeks).
-SLICE_WHERE = "o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"
 
 
 def daily_orders(t: Tables):
@@ -26,10 +24,6 @@ def daily_ships(t: Tables):
     return S.daily(t.lineitem, "l_shipdate", F.sum("l_quantity"), out="q")
 
 
-def sparse_orders(t: Tables):
-    return t.orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"))
-
-
 def _win(n_pre, n_post=0):
     pre = f"{n_pre} PRECEDING" if n_pre else "CURRENT ROW"
     post = f"{n_post} FOLLOWING" if n_post else "CURRENT ROW"
@@ -58,8 +52,7 @@ SELECT ds, q, """ + ", ".join(
 def rolling_mean_partial(spark, d):
     """Trailing means with partial windows allowed (min_periods=1)."""
     s = daily_ships(Tables(spark, d))
-    for n in (4, 16, 28, 40, 52):
-        s = S.rolling(s, "q", "ds", n, min_periods=1)
+    s = S.rolling(s, "q", "ds", (4, 16, 28, 40, 52), min_periods=1)
     return s.select("ds", "q", *[r(f"q_roll{n}_mean").alias(f"q_roll{n}_mean") for n in (4, 16, 28, 40, 52)])
 
 
@@ -86,29 +79,28 @@ def rolling_centered(spark, d):
 
 @query("resample_weekly", oracle=f"""
 WITH w AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) + 6 AS week, avg(o_totalprice) AS y
-           FROM orders WHERE {SLICE_WHERE} GROUP BY 1),
+           FROM orders GROUP BY 1),
 cal AS (SELECT CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM w)
 SELECT cal.week, round(w.y, 6) AS y FROM cal LEFT JOIN w USING (week)""")
 def resample_weekly(spark, d):
     """Weekly mean (weeks end Sunday, labelled by it); empty weeks are NULL rows."""
-    o = sparse_orders(Tables(spark, d))
-    w = S.resample_weekly(o, "o_orderdate", "o_totalprice")
+    w = S.resample_weekly(Tables(spark, d).orders, "o_orderdate", "o_totalprice")
     return w.select("week", r("y").alias("y"))
 
 
-@query("asfreq_daily_pad", oracle=f"""
-WITH s AS (SELECT CAST(o_orderdate AS DATE) AS ds, round(sum(o_totalprice), 6) AS y, count(*) AS n
-           FROM orders WHERE {SLICE_WHERE} GROUP BY 1),
-cal AS (SELECT CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds FROM s)
-SELECT cal.ds, cal.ds IN (SELECT ds FROM s) AS present, s.y, s.n
-FROM cal ASOF LEFT JOIN s ON cal.ds >= s.ds""")
+@query("asfreq_daily_pad", oracle="""
+WITH s AS (SELECT o_orderpriority, o_orderstatus, CAST(o_orderdate AS DATE) AS ds, round(sum(o_totalprice), 6) AS y, count(*) AS n
+           FROM orders GROUP BY 1, 2, 3),
+cal AS (SELECT o_orderpriority, o_orderstatus, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds FROM s GROUP BY 1, 2)
+SELECT cal.*, EXISTS (SELECT 1 FROM s t WHERE t.o_orderpriority = cal.o_orderpriority AND t.o_orderstatus = cal.o_orderstatus AND t.ds = cal.ds) AS present, s.y, s.n
+FROM cal ASOF LEFT JOIN s ON cal.o_orderpriority = s.o_orderpriority AND cal.o_orderstatus = s.o_orderstatus AND cal.ds >= s.ds""")
 def asfreq_daily_pad(spark, d):
-    """asfreq('D', method='pad'): every calendar day; missing days repeat the
+    """Every calendar day of each priority and status; missing days repeat the
     last present day's row."""
-    o = sparse_orders(Tables(spark, d))
-    s = o.groupBy(F.to_date("o_orderdate").alias("ds")).agg(
+    keys = ["o_orderpriority", "o_orderstatus"]
+    s = Tables(spark, d).orders.groupBy(*keys, F.to_date("o_orderdate").alias("ds")).agg(
         r(F.sum("o_totalprice"), 6).alias("y"), F.count(F.lit(1)).alias("n"))
-    return S.asfreq_pad(s, "ds", ["y", "n"])
+    return S.asfreq_pad(s, "ds", ["y", "n"], keys)
 
 
 @query("ecdf", oracle="""
@@ -245,9 +237,8 @@ def weekly_moving_averages(spark, d):
     """CMP1: weekly mean of the daily series, then 4/16/28/40/52-week trailing
     means with partial windows."""
     w = S.resample_weekly(daily_orders(Tables(spark, d)), "ds", "y")
-    for n in (4, 16, 28, 40, 52):
-        w = S.rolling(w, "y", "week", n, min_periods=1, prefix=f"ma_{n}")
-    return w.select("week", r("y", 6).alias("y"), *[r(f"ma_{n}_mean", 6).alias(f"ma_{n}") for n in (4, 16, 28, 40, 52)])
+    w = S.rolling(w, "y", "week", (4, 16, 28, 40, 52), min_periods=1)
+    return w.select("week", r("y", 6).alias("y"), *[r(f"y_roll{n}_mean", 6).alias(f"ma_{n}") for n in (4, 16, 28, 40, 52)])
 
 
 @query("daily_moving_averages", oracle=f"""
@@ -256,6 +247,5 @@ SELECT ds, round(y, 6) AS y, round(avg(y) OVER ({_win(9)}), 6) AS ma_10,
 def daily_moving_averages(spark, d):
     """CMP2: daily series with 10- and 50-day trailing means."""
     s = daily_orders(Tables(spark, d))
-    for n in (10, 50):
-        s = S.rolling(s, "y", "ds", n, min_periods=1, prefix=f"ma_{n}")
-    return s.select("ds", r("y", 6).alias("y"), r("ma_10_mean", 6).alias("ma_10"), r("ma_50_mean", 6).alias("ma_50"))
+    s = S.rolling(s, "y", "ds", (10, 50), min_periods=1)
+    return s.select("ds", r("y", 6).alias("y"), r("y_roll10_mean", 6).alias("ma_10"), r("y_roll50_mean", 6).alias("ma_50"))

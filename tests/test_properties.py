@@ -1,8 +1,10 @@
 """Property tests: invariants and brute-force cross-checks on small inputs."""
 
+import datetime
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loupe.operators import aggregate as A
@@ -232,27 +234,56 @@ def test_adf_pvalue_surface():
     assert all(a <= b for a, b in zip(ps, ps[1:]))
 
 
-def test_halo_windows_equal_single_window(spark):
+def test_halo_windows_equal_single_window(spark, monkeypatch):
+    """Windows and lags over several blocks and ranges equal pandas' over the
+    whole series."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", 100)
     rng = np.random.default_rng(12)
     n = 1500
     rows = [(int(k), int(t), float(v)) for k, t, v in zip(rng.integers(0, 2, n), rng.permutation(n), rng.normal(size=n))]
+    pdf = pd.DataFrame(rows, columns=["k", "t", "y"]).sort_values("t").reset_index(drop=True)
     df = spark.createDataFrame(rows, "k int, t int, y double").repartition(6)
     for keys in (None, "k"):
-        for nwin, centered, mp in ((5, False, None), (30, False, 1), (7, True, 4), (12, True, None)):
-            a = S.rolling(df, "y", "t", nwin, keys=keys, min_periods=mp, centered=centered, stats=("mean", "std"))
-            b = S.rolling_distributed(df, "y", "t", nwin, keys=keys, min_periods=mp, centered=centered,
-                                      stats=("mean", "std"), buckets=16)
-            ka = {(r["k"], r["t"]): (r[3], r[4]) for r in a.collect()}
-            kb = {(r["k"], r["t"]): (r[3], r[4]) for r in b.collect()}
-            assert ka.keys() == kb.keys()
-            for key, (x1, x2) in ka.items():
-                y1, y2 = kb[key]
-                for u, v in ((x1, y1), (x2, y2)):
-                    assert (u is None and v is None) or math.isclose(u, v, rel_tol=1e-9, abs_tol=1e-12)
-        la = {(r["k"], r["t"]): (r["y_lag_1"], r["y_lag_24"]) for r in S.with_lags(df, "y", "t", [1, 24], keys).collect()}
-        lb = {(r["k"], r["t"]): (r["y_lag_1"], r["y_lag_24"]) for r in
-              S.lags_distributed(df, "y", "t", [1, 24], keys, buckets=16).collect()}
-        assert la == lb
+        parts = [pdf] if keys is None else [g.reset_index(drop=True) for _, g in pdf.groupby("k")]
+        for nwin, centered, mp in (((5, 30), False, None), (30, False, 1), (7, True, 4), (12, True, None)):
+            got = S.rolling(df, "y", "t", nwin, keys=keys, min_periods=mp, centered=centered, stats=("mean", "std")).toPandas().sort_values("t")
+            for g in parts:
+                mine = got[got.t.isin(g.t)].reset_index(drop=True)
+                for m in [nwin] if isinstance(nwin, int) else nwin:
+                    w = g.y.rolling(m, min_periods=mp, center=centered)
+                    assert np.allclose(mine[f"y_roll{m}_mean"], w.mean(), rtol=1e-9, atol=1e-12, equal_nan=True)
+                    assert np.allclose(mine[f"y_roll{m}_std"], w.std(), rtol=1e-9, atol=1e-9, equal_nan=True)
+        got = S.with_lags(df, "y", "t", [1, 24], keys).toPandas().sort_values("t")
+        for g in parts:
+            mine = got[got.t.isin(g.t)].reset_index(drop=True)
+            assert all(mine[f"y_lag_{k}"].equals(g.y.shift(k).rename(f"y_lag_{k}")) for k in (1, 24))
+
+
+def test_ranks_and_fill_over_many_ranges(spark):
+    """Ranks of a hot and a short series; gaps longer than a range are filled
+    from an earlier one, and nulls inside present rows stay."""
+    rng = np.random.default_rng(13)
+    rows = [("hot", int(t), float(t)) for t in rng.permutation(2000)] + [("b", int(t), None) for t in range(7)] + [(None, 3, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t int, y double").repartition(5)
+    for keys in (None, "k"):
+        got = S.position(df, ["t", "k"] if keys is None else "t", keys, "rank").toPandas()
+        for _, g in got.groupby("k", dropna=False) if keys else [(0, got)]:
+            g = g.sort_values(["t", "k"], na_position="first")
+            assert g["rank"].tolist() == list(range(len(g)))
+    day = lambda t: datetime.date(2000, 1, 1) + datetime.timedelta(days=t)
+    have = sorted({0, 1, 2, 900, 1999, *rng.integers(0, 60, 20).tolist()})
+    facts = [("x", day(t), float(t) if t % 2 else None, t) for t in have] + [("y", day(t), 1.0, t) for t in (5, 700)]
+    df = spark.createDataFrame(facts, "k string, ds date, y double, n int")
+    for keys in (None, "k"):
+        src = df.where("k = 'x'") if keys is None else df
+        got = S.asfreq_pad(src, "ds", ["y", "n"], keys).toPandas()
+        for k, g in got.groupby("k") if keys else [("x", got)]:
+            g = g.sort_values("ds")
+            days = [t for t in (have if k == "x" else [5, 700])]
+            want = [max(d for d in days if d <= t) for t in range(days[0], days[-1] + 1)]
+            assert g["n"].tolist() == want and g["present"].tolist() == [t in days for t in range(days[0], days[-1] + 1)]
+            y = [1.0 if k == "y" else float(t) if t % 2 else None for t in want]
+            assert g["y"].astype(object).where(g["y"].notna(), None).tolist() == y
 
 
 def test_ols_by_key_matches_numpy(spark):
