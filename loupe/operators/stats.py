@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.operators.fourier import transform
 from loupe.operators.scalars import scalars, with_scalars
 from loupe.operators.selection import describe_columns
 from loupe.operators.series import _keys, with_lags
@@ -154,22 +155,15 @@ def fd_histogram(df: DataFrame, value: str, group: str | None = None) -> DataFra
 def periodogram(df: DataFrame, value: str, t: str, fs: float = 365.2425) -> DataFrame:
     """One-sided power spectrum (linear detrend, boxcar window,
     scaling='spectrum'): power_k = c_k |X_k|^2 / n^2 at f_k = k fs / n,
-    k = 0..n//2, with c_k = 2 except at 0 and Nyquist.  Frequencies (n/2+1,
-    bounded by the series length) are broadcast against the rows."""
-    st = df.agg(F.regr_slope(value, t).alias("_b"), F.regr_intercept(value, t).alias("_a"),
-                F.count(F.lit(1)).alias("_n"))
-    sv = scalars(st)
+    k = 0..n//2, with c_k = 2 except at 0 and Nyquist.  The transform is
+    ``fourier.transform``: n log n work in blocks, any n."""
+    sv = scalars(df.agg(F.regr_slope(value, t).alias("_b"), F.regr_intercept(value, t).alias("_a"), F.count(F.lit(1)).alias("_n")))
     n = int(sv["_n"])
-    x = df.select(F.col(t).cast("double").alias("_t"), F.lit(n).alias("_n"),
-                  (F.col(value) - F.lit(sv["_a"]) - F.lit(sv["_b"]) * F.col(t)).alias("_r"))
-    # every row contributes to each of the n//2 + 1 frequencies
-    j = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(n // 2))).alias("k"))
-    ang = F.lit(2 * math.pi) * F.col("k") * F.col("_t") / F.col("_n")
-    g = j.groupBy("k").agg(F.sum(F.col("_r") * F.cos(ang)).alias("_re"),
-                           F.sum(F.col("_r") * F.sin(ang)).alias("_im"))
+    x = df.select(F.col(t).alias("_t"), (F.col(value) - F.lit(sv["_a"]) - F.lit(sv["_b"]) * F.col(t)).alias("_r"))
+    g = transform(x, "_t", "_r", n, n // 2)
     scale = F.when((F.col("k") == 0) | ((F.lit(n % 2) == 0) & (F.col("k") == n // 2)), 1.0).otherwise(2.0)
-    return g.select("k", (F.col("k") * F.lit(fs / n)).alias("freq"),
-                    (scale * (F.col("_re") ** 2 + F.col("_im") ** 2) / F.lit(float(n) * n)).alias("power"))
+    return g.select("k", (F.col("k") * F.lit(fs / max(n, 1))).alias("freq"),
+                    (scale * (F.col("re") ** 2 + F.col("im") ** 2) / F.lit(float(max(n, 1)) ** 2)).alias("power"))
 
 
 def seasonal_means(df: DataFrame, value: str, ds: str) -> DataFrame:
