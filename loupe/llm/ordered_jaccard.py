@@ -39,6 +39,8 @@ from loupe.llm.common import connected_components, written
 
 SPARE = 16  # a prefix is longer by one SPAREth of the set
 BLOCK, BLOCK_TOKENS = 1024, 2_000_000  # members and tokens of one block
+BLOCK_KEY = ["token", "bi", "bj"]
+MEMBER = [*BLOCK_KEY, "id", "component", "side"]
 SLICE_BYTES = 4 << 20  # of text hashed together
 WANTED_ROWS = 1_000_000  # ids of at most 16 bytes: 16 MB, the most that is broadcast
 FEWEST_BITS, MOST_BITS = 256, 1 << 16  # of a parity bitmap
@@ -216,59 +218,79 @@ def _verified(percent: int):
     return run
 
 
-def candidates(g: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def candidates(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[np.ndarray], two: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Members of one block (or of a pair of blocks) with those after them that
     are in another component and pass the size and bitmap bounds.  Two members
     of one side of a pair of blocks are left to that block."""
-    n, comp, side = g["n"].to_numpy(), g["component"].to_numpy(), g["side"].to_numpy()
+    m = len(n)
     if (comp == comp[0]).all():
         return
-    two = bool(g["bi"].iloc[0] != g["bj"].iloc[0])
-    bits = [_hashes(x) for x in g["bits"]]
     words = np.array([len(x) for x in bits])
     level = {w: np.stack([fold(x, w) if len(x) >= w else np.zeros(w, np.uint64) for x in bits]) for w in np.unique(words).tolist()}
-    for i in range(len(g) - 1):
-        rest = np.arange(i + 1, len(g))
-        ok = (comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+    at_once = max(1, (1 << 19) // (m * int(words.max())))
+    for i in range(0, m - 1, at_once):
+        rows = np.arange(i, min(i + at_once, m))[:, None]
+        ok = (np.arange(m) > rows) & (comp != comp[rows]) & (100 * np.minimum(n, n[rows]) >= percent * np.maximum(n, n[rows]))
         if two:
-            ok &= side[rest] != side[i]
-        rest = rest[ok]
-        near = []
-        for w in np.unique(np.minimum(words[rest], words[i])).tolist():
-            some = rest[np.minimum(words[rest], words[i]) == w]
-            apart = np.bitwise_count(level[w][some] ^ level[w][i]).sum(axis=1)
-            near.append(some[apart <= most_unequal(n[some], n[i], percent)])
-        if near and len(near := np.sort(np.concatenate(near))):
-            yield i, near
-
-
-def _close_members(percent: int):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        near = np.zeros(len(g), bool)
-        for i, rest in candidates(g, percent):
-            near[i] = near[rest] = True
-        return g.loc[near, ["token", "bi", "bj", "id", "component", "side"]]
-    return run
-
+            ok &= side != side[rows]
+        if not ok.any():
+            continue
+        both, most = np.minimum(words, words[rows]), most_unequal(n, n[rows], percent)
+        for w, x in level.items():
+            at = both == w
+            if (ok & at).any():
+                ok &= ~at | (np.bitwise_count(x ^ x[rows[:, 0], None]).sum(axis=2) <= most)
+        for j in np.flatnonzero(ok.any(axis=1)).tolist():
+            yield i + j, np.flatnonzero(ok[j])
+
+
+def _close_members(g: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    near = np.zeros(len(g["id"]), bool)
+    for i, rest in candidates(g["n"], g["component"], g["side"], [_hashes(x) for x in g["bits"]], g["bi"][0] != g["bj"][0], percent):
+        near[i] = near[rest] = True
+    return np.stack([g[c][near] for c in MEMBER], axis=1)
+
+
+def _block_links(g: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """Links that join components: a spanning forest, not all links."""
+    ids, n, comp = g["id"].tolist(), g["n"].tolist(), g["component"].tolist()
+    sets, bits, o3, o4 = ([_hashes(x) for x in g[c]] for c in ("s", "bits", "o3", "o4"))
+    boss, out = {c: c for c in comp}, []
+
+    def find(c: int) -> int:
+        while boss[c] != c:
+            boss[c] = c = boss[boss[c]]
+        return c
+    for i, rest in candidates(g["n"], g["component"], g["side"], bits, g["bi"][0] != g["bj"][0], percent):
+        for j in rest.tolist():
+            x, y = find(comp[i]), find(comp[j])
+            if x != y and may_link(n[i], n[j], (bits[i], bits[j]), [(o3[i], o3[j]), (o4[i], o4[j])], percent) and linked(sets[i], sets[j], percent):
+                boss[max(x, y)] = min(x, y)
+                out.append((ids[i], ids[j]))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _each_block(one, columns: list[str], percent: int):
+    """``one`` for every block; blocks arrive whole and in order within a
+    partition, cut over batches."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
 
-def _block_links(percent: int):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        """Links that join components: a spanning forest, not all links."""
-        ids, n, comp = g["id"].to_numpy(), g["n"].tolist(), g["component"].to_numpy().tolist()
-        sets, bits, o3, o4 = ([_hashes(x) for x in g[c]] for c in ("s", "bits", "o3", "o4"))
-        boss, out = {c: c for c in comp}, []
-
-        def find(c: int) -> int:
-            while boss[c] != c:
-                boss[c] = c = boss[boss[c]]
-            return c
-        for i, rest in candidates(g, percent):
-            for j in rest.tolist():
-                x, y = find(comp[i]), find(comp[j])
-                if x != y and may_link(n[i], n[j], (bits[i], bits[j]), [(o3[i], o3[j]), (o4[i], o4[j])], percent) and linked(sets[i], sets[j], percent):
-                    boss[max(x, y)] = min(x, y)
-                    out.append((int(ids[i]), int(ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        def blocks(b: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+            g = {c: b[c].to_numpy() for c in b.columns}
+            found = [one({c: v[s:t] for c, v in g.items()}, percent) for s, t in zip([0, *cuts], cuts)]
+            return pd.DataFrame(np.concatenate(found), columns=columns)
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            if not len(b):
+                continue
+            k = b[BLOCK_KEY].to_numpy()
+            cuts = (np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()
+            if cuts:
+                yield blocks(b, cuts)
+            held = b.iloc[cuts[-1] if cuts else 0:]
+        if held is not None and len(held):
+            yield blocks(held, [len(held)])
     return run
 
 
@@ -315,6 +337,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = written(rare.join(size, "token"), "ordered-shared")
     central = shared.groupBy("id").agg(F.sum("c").alias("weight"))
     pivot = shared.join(central, "id").groupBy("token").agg(F.max_by(F.struct("id", "n"), F.struct("weight", -F.col("id"))).alias("p"))
+    pivot = written(pivot, "ordered-pivots")  # a plain table, so that a hot group can be split at the join
     pairs = (shared.join(pivot, "token").where(F.col("id") != F.col("p.id"))
              .where(100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
              .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
@@ -332,16 +355,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # groups whose members are still in several components, in blocks
     now = shared.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+    mixed = written(mixed, "ordered-mixed")
     now = now.join(mixed, "token").withColumn("nb", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("tokens") / BLOCK_TOKENS)).cast("int"))
     now = now.withColumn("side", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     now = now.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     now = now.select("token", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "id", "component", "side")
-    group, kinds = ["token", "bi", "bj"], "token long, bi int, bj int, id long, component long, side int"
-    close = written(now.join(sets.select("id", "n", "bits"), "id").groupBy(*group).applyInPandas(_close_members(percent), kinds), "ordered-close")
+    dealt = lambda x: x.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "id")
+    close = dealt(now.join(sets.select("id", "n", "bits"), "id")).mapInPandas(
+        _each_block(_close_members, MEMBER, percent), "token long, bi int, bj int, id long, component long, side int")
+    close = written(close, "ordered-close")
     # a pair meets in many groups: of groups with the same close members (on the same sides) one is enough
     own = F.when(F.col("bi") == F.col("bj"), F.lit(-1)).otherwise(F.col("side"))
-    once = close.groupBy(*group).agg(F.count("*").alias("c"), *_members_hash(own)).groupBy("c", "h1", "h2").agg(F.min(F.struct(*group)).alias("g")).select("g.*")
-    more = close.join(once, group).join(sets, "id").groupBy(*group).applyInPandas(_block_links(percent), "a long, b long")
+    once = close.groupBy(*BLOCK_KEY).agg(F.count("*").alias("c"), *_members_hash(own)).groupBy("c", "h1", "h2").agg(F.min(F.struct(*BLOCK_KEY)).alias("g")).select("g.*")
+    more = dealt(close.join(once, BLOCK_KEY).join(sets, "id")).mapInPandas(_each_block(_block_links, ["a", "b"], percent), "a long, b long")
     more = written(more.distinct(), "ordered-more")
     final = connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     final = cls.select("id", "first").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
