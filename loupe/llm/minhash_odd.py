@@ -148,7 +148,7 @@ def _signed(batches: Iterator[pd.DataFrame], n_bands: int, n_rows: int) -> Itera
                 for j, i in enumerate(full):
                     digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     bands[i], sk[i] = keys[j], sketches[j]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "text_hash": part["text_hash"], "n": n, "digest": digest, "bands": bands, "sketch": sk})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "no_id": part["no_id"], "text_hash": part["text_hash"], "n": n, "digest": digest, "bands": bands, "sketch": sk})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,7 +271,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands, n_rows = layout(percent)
     worst = worst_bits(percent, bands * n_rows)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    sig = written(d.mapInPandas(_signatures((bands, n_rows)), "doc_id long, text_hash long, n long, digest binary, bands array<long>, sketch array<long>"), "signatures", BATCH)
+    # a null id goes through pandas as a mark: beside nulls whole numbers would become doubles
+    sig = d.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text", "text_hash").mapInPandas(
+        _signatures((bands, n_rows)), "doc_id long, no_id boolean, text_hash long, n long, digest binary, bands array<long>, sketch array<long>")
+    sig = written(sig.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id"), "signatures", BATCH)
     cls = sig.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     # written, so that the numbers stay
     cls = written(cls.select("digest", "rep.*", F.monotonically_increasing_id().alias("id")), "numbers")
@@ -292,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # written, so that its size is known before the texts would be shuffled to
     # it; ids only, so it stays small: other texts of an id leave at the joins
     wanted = written(reps.join(shared.select("id").distinct(), "id").select("doc_id").distinct(), "wanted")
-    sets = written(d.join(wanted, "doc_id").mapInPandas(_sets, "doc_id long, text_hash long, s binary"), "sets", BATCH)
+    sets = written(d.join(wanted, "doc_id").dropDuplicates(["doc_id", "text_hash"]).mapInPandas(_sets, "doc_id long, text_hash long, s binary"), "sets", BATCH)
     of = lambda x: sets.select(F.col("doc_id").alias(f"d{x}"), F.col("text_hash").alias(f"t{x}"), F.col("s").alias(f"s{x}"))
     exact = near.join(of("a"), ["da", "ta"]).join(of("b"), ["db", "tb"]).select("a", "b", "sa", "sb")
     links = written(exact.mapInPandas(_verify(percent), "a long, b long").distinct(), "links", BATCH)

@@ -43,7 +43,7 @@ def statistics(text: str | None) -> list[float]:
 
 def _stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "x": [statistics(t) for t in b["text"]]})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "no_id": b["no_id"], "text_hash": b["text_hash"], "x": [statistics(t) for t in b["text"]]})
 
 
 class Features:
@@ -116,11 +116,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     out.  Without labels every score is near 0.5.  Other columns are not
     read.  Only (D+1)^2 sums and ``cells`` calibration counts reach the
     driver."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    x = written(d.mapInPandas(_stats, "doc_id long, text_hash long, x array<double>"), "stats")
+    # a null id goes through pandas as a mark: beside nulls whole numbers would become doubles
+    d = docs.select(F.coalesce(F.col(id_col), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"),
+                    F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    x = written(d.mapInPandas(_stats, "doc_id long, no_id boolean, text_hash long, x array<double>"), "stats")
     y = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("double").alias("y"))
     fold = crc_fold(F.col("doc_id"), 5)
-    known = written(x.join(y.where(fold != 0), "doc_id").select("doc_id", "x", "y"), "known")
+    known = written(x.where("not no_id").join(y.where(fold != 0), "doc_id").select("doc_id", "x", "y"), "known")
     fit = known.where(fold >= 2)
     m = fit.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("j").collect()
     if m:
@@ -138,7 +140,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     pts = cal.groupBy(cell.alias("c")).agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("c").collect()
     px = [r["x"] for r in pts]
     py = isotonic(px, [r["y"] for r in pts], [r["n"] for r in pts])
-    raw = x.mapInPandas(_raw(f, beta), "doc_id long, text_hash long, raw double")
-    out = raw.mapInPandas(_calibrated(np.array(px), np.array(py)), "doc_id long, text_hash long, score double")
+    raw = x.mapInPandas(_raw(f, beta), "doc_id long, no_id boolean, text_hash long, raw double")
+    out = raw.mapInPandas(_calibrated(np.array(px), np.array(py)), "doc_id long, no_id boolean, text_hash long, score double")
+    out = out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id")))
     return out.select("doc_id", "text_hash", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= 0.3).cast("int").alias("predicted"))
