@@ -106,8 +106,8 @@ def _plan(seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def mix_to_weights(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
                    weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0,
                    seed: int = 7) -> DataFrame:
-    """One row per document: ``doc_id, size, source, source_size, target,
-    copies, taken`` (``taken = copies * size``).
+    """One row per document: ``doc_id, text_hash, size, source, source_size,
+    target, copies, taken`` (``taken = copies * size``).
 
     Null or empty text: size 0, never taken.  A null source is a source of its
     own, after the others.  Repeated rows are separate documents.  An empty
@@ -118,13 +118,13 @@ def mix_to_weights(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     chosen by counting 4096 ranges of the seeded hash; only the range on the
     boundary is ranked, so a length shared by a third of all rows is never
     sorted in one task."""
-    narrow = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+    narrow = written(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(source_col).alias("source"),
                                  word_count(F.col(text_col)).alias("size")), "sizes")
     totals = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, share, limit)
     rows = narrow.join(targets.select("skey", F.col("source").alias("_s"), "source_size", "target"),
                        F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("cell", F.shiftrightunsigned("h", 52).cast("int"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("cell", F.shiftrightunsigned("h", 52).cast("int"))
     rows = written(rows, "mixrows")
     cells = rows.where("size > 0").groupBy("skey", "source_size", "target", "size", "cell").agg(F.count("*").alias("n"))
     lengths = cells.groupBy("skey", "source_size", "target", "size").agg(F.sum("n").alias("n"))
@@ -135,16 +135,19 @@ def mix_to_weights(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
              .select("skey", "size", "cell", "copies", F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("before"))).alias("more"), "n"))
     joined = rows.join(cells, ["skey", "size", "cell"], "left")
     whole = joined.where("coalesce(more, 0) = 0 or more = n").withColumn("plus", F.when(F.col("more") > 0, 1).otherwise(0))
-    rank = F.row_number().over(W.partitionBy("skey", "size", "cell").orderBy("h", "doc_id"))
+    rank = F.row_number().over(W.partitionBy("skey", "size", "cell").orderBy("h", "doc_id", "text_hash"))
     edge = joined.where("more > 0 and more < n").withColumn("plus", F.when(rank <= F.col("more"), 1).otherwise(0))
     return whole.unionByName(edge).select(
-        "doc_id", "size", "source", "source_size", "target",
+        "doc_id", "text_hash", "size", "source", "source_size", "target",
         (F.coalesce("copies", F.lit(0)) + F.col("plus")).cast("int").alias("copies")).withColumn(
         "taken", F.col("copies") * F.col("size"))
 
 
-def repeat_documents(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """The mixed corpus itself: each document as often as the mix takes it."""
-    picked = mix.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    return (docs.join(picked, F.col("doc_id") == F.col("_id"))
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_id", "_copies"))
+def repeat_documents(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mixed corpus itself: each document as often as the mix takes it,
+    with its columns and ``copy`` (1, 2, ...).  Rows equal in id and text are
+    one another's copies; those that the mix leaves out are gone."""
+    picked = mix.groupBy("doc_id", "text_hash").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0").alias("p")
+    d = docs.withColumn("_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash"]).alias("d")
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("p.doc_id")) & (F.col("d._hash") == F.col("p.text_hash"))
+    return d.join(picked, same).select(*[f"d.`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1), "p.copies")).alias("copy"))
