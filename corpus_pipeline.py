@@ -41,13 +41,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark items go."""
+    """Documents contaminated by benchmark items go; rows with one id and
+    several texts are judged apart, null and empty texts and null ids stay."""
     bad = decontam_join.contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_hash").distinct()
     return _keyed(docs).join(bad.alias("x"), _same("x"), "left_anti").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every row stays, repeated ones too, and
+    null texts stay null."""
     found = markov_secrets.find_secrets(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
     d = _keyed(docs, F.coalesce("text", F.lit(""))).join(found.alias("x"), _same("x"), "left")
     text = F.when(F.col("x.spans").isNull(), F.col("d.text")).otherwise(markov_secrets.redact(F.col("d.text"), F.col("x.spans")))
@@ -57,9 +59,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix over what is left: the documents' sizes, targets and words
-    taken."""
-    return mix_budget.mix_to_weights(docs)
+    """The mixed corpus: documents that the mix takes, as often as it takes
+    them (``copy`` numbers them), the others are gone.  Null and empty texts
+    have no words and are never taken; an empty table gives an empty result."""
+    return mix_budget.repeat_documents(docs.select(*COLUMNS), mix_budget.mix_to_weights(docs))
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate),
