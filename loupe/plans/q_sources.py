@@ -66,13 +66,35 @@ def src_wholetext_join(spark, d):
 WITH a AS (SELECT page_id,
   regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS hrefs,
   regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS texts FROM pages)
-SELECT page_id, CAST(i AS INTEGER) AS link_no, hrefs[i] AS href, texts[i] AS text
+SELECT page_id, CAST(i AS INTEGER) AS link_no, replace(hrefs[i], '&amp;', '&') AS href, replace(texts[i], '&amp;', '&') AS text
 FROM a, range(1, len(hrefs) + 1) AS r(i)""")
 def html_rows(spark, d):
     """Links of stored web pages as rows (page_id, link_no, href, text)."""
     return H.anchors(Tables(spark, d).pages, "page_id", "html")
 
 
+@query("page_lists", oracle="""
+WITH l AS (SELECT page_id, regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1) AS lists FROM pages),
+x AS (SELECT page_id, CAST(n AS INTEGER) AS list_no, regexp_extract_all(lists[n], '(?s)<li>(.*?)</li>', 1) AS items FROM l, range(1, len(lists) + 1) AS r(n))
+SELECT page_id, list_no, CAST(i AS INTEGER) AS item_no, replace(regexp_replace(items[i], '<[^>]*>', '', 'g'), '&amp;', '&') AS text
+FROM x, range(1, len(items) + 1) AS r(i)""")
+def page_lists(spark, d):
+    """Lists of the stored pages as tables of one cell a row."""
+    return H.list_items(Tables(spark, d).pages, "page_id", "html")
+
+
+@query("page_first_list", oracle="""
+WITH l AS (SELECT page_id, regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1) AS lists FROM pages),
+x AS (SELECT page_id, n, regexp_extract_all(lists[n], '(?s)<li>(.*?)</li>', 1) AS items FROM l, range(1, len(lists) + 1) AS r(n)),
+y AS (SELECT page_id, n, i, replace(regexp_replace(items[i], '<[^>]*>', '', 'g'), '&amp;', '&') AS text FROM x, range(1, len(items) + 1) AS r(i)),
+f AS (SELECT page_id, min(n) AS n FROM y WHERE regexp_matches(text, '^t[ho]') GROUP BY 1)
+SELECT page_id, CAST(i AS INTEGER) AS item_no, text FROM y JOIN f USING (page_id, n)""")
+def page_first_list(spark, d):
+    """The first list of each page with an item that starts in "th" or "to"."""
+    t = H.first_matching_table(Tables(spark, d).pages, "page_id", "html", "^t[ho]", ("list",))
+    return t.select("page_id", F.col("row_no").alias("item_no"), F.col("cells")[0].alias("text"))
+
+
 @query("holiday_frame", oracle="""
 SELECT DISTINCT CAST(o_orderdate AS DATE) AS ds, 'holiday' AS holiday,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'National' WHEN '2-HIGH' THEN 'Regional' ELSE 'Local' END AS locale
@@ -117,6 +139,6 @@ def revenue_from_html(spark, d):
     the columns -> strip '$' and ',' -> drop blank and null revenue."""
     pages = revenue_pages(Tables(spark, d))
     t = H.first_matching_table(pages, "year", "html", "Quarterly Revenue")
-    body = t.where(F.col("row_no") > 1).select("year", F.col("cells")[0].alias("Date"), F.col("cells")[1].alias("Revenue"))
+    body = t.where(~F.col("header")).select("year", F.col("cells")[0].alias("Date"), F.col("cells")[1].alias("Revenue"))
     body = body.where(F.col("Revenue") != "")
     return body.select("year", F.to_date("Date").alias("date"), money_to_double("Revenue").alias("revenue")).dropna()
