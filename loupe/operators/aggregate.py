@@ -117,8 +117,11 @@ def values_of(df: DataFrame, col: str) -> list:
 
 def share_of_total(counts: DataFrame, count_col: str = "count", out: str = "share",
                    scale: float = 1.0, digits: int | None = None) -> DataFrame:
-    """count / grand total.  The total is one aggregate value attached as a
-    literal, not a global window that would pull rows into one task."""
+    """count / grand total.  The counts are stored, so that the facts are read
+    once; the total is one value attached as a literal, not a global window
+    that would pull rows into one task."""
+    from loupe.session import stored
+    counts = stored(counts, "counts")
     tot = counts.agg(F.sum(count_col).alias("_tot"))
     share = F.col(count_col) * F.lit(scale) / F.col("_tot")
     if digits is not None:

@@ -9,13 +9,16 @@ values), at every size.  ``exact=False`` asks for the sketch versions
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loupe.operators.aggregate import numeric_columns
 from loupe.operators.selection import describe_columns, quantiles_by
+from loupe.session import stored
 
 NUMERIC = ("int", "bigint", "smallint", "tinyint", "double", "float")
 
@@ -111,10 +114,9 @@ def describe_all(df: DataFrame, exact: bool = True) -> DataFrame:
     top / freq for the others; one row per column."""
     num = numeric_columns(df)
     txt = [c for c in df.columns if c not in num]
-    cnt = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"count__{i}") for i, c in enumerate(df.columns)],
-                 *[(F.count_distinct(F.col(f"`{c}`")) if exact else F.approx_count_distinct(F.col(f"`{c}`")))
-                   .alias(f"unique__{i}") for i, c in enumerate(df.columns)])
-    base = _long(cnt, df.columns, ["count", "unique"])
+    base = _long(df.agg(*[F.count(F.col(f"`{c}`")).alias(f"count__{i}") for i, c in enumerate(df.columns)]), df.columns, ["count"])
+    unique = nunique(df, txt, exact).withColumnRenamed("nunique", "unique") if txt else None
+    base = base.join(unique, "column", "left") if txt else base.withColumn("unique", F.lit(None).cast("long"))
     stats = describe_numeric(df, num, exact).drop("count") if num else None
     tops = top_values(df, txt) if txt else None
     out = base
@@ -122,7 +124,7 @@ def describe_all(df: DataFrame, exact: bool = True) -> DataFrame:
         out = out.join(stats, "column", "left")
     if tops is not None:
         out = out.join(tops, "column", "left")
-    return out.withColumn("unique", F.when(F.col("column").isin(txt), F.col("unique")))
+    return out
 
 
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -146,9 +148,9 @@ def nulls_in_row(cols: Sequence[str]) -> Column:
 def null_per_row_hist(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Share of rows having k missing values among ``cols``."""
     k = df.select(nulls_in_row(cols).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    tot = k.agg(F.sum("n").alias("_t"))
+    k = stored(k, "null-counts")  # at most one row a column
     from loupe.operators.scalars import with_scalars
-    return with_scalars(k, tot).select("k", "n", (F.col("n") / F.col("_t")).alias("share"))
+    return with_scalars(k, k.agg(F.sum("n").alias("_t"))).select("k", "n", (F.col("n") / F.col("_t")).alias("share"))
 
 
 def columns_by_type(df: DataFrame) -> DataFrame:
@@ -159,20 +161,75 @@ def columns_by_type(df: DataFrame) -> DataFrame:
     return info(df).select("column", "dtype", kind.alias("kind"), "non_null")
 
 
+HELD = 1 << 20  # values of one column that a task holds before it passes them on
+
+
+def _as_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Columns as text that is equal where the values are."""
+    kinds = dict(df.dtypes)
+
+    def text(c: str) -> Column:
+        x, kind = F.col(f"`{c}`"), kinds[c]
+        if kind in ("double", "float"):
+            return (x + F.lit(0).cast(kind)).cast("string")  # -0.0 is 0.0
+        if kind == "binary":
+            return F.hex(x)
+        return F.to_json(F.struct(x)) if kind.startswith(("array", "map", "struct")) else x.cast("string")
+    return df.select(*[text(c).alias(f"c{i}") for i, c in enumerate(cols)])
+
+
+def _task_values(width: int, most: int | None):
+    """A task's distinct values of each column (with ``most``: until it has
+    that many, then only a mark that it has too many)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array | None] = [None] * width
+        full = [False] * width
+
+        def out(i: int) -> pa.RecordBatch:
+            v = pa.nulls(1, pa.string()) if full[i] else held[i]
+            return pa.RecordBatch.from_arrays([pa.array([i] * len(v), pa.int32()), v, pa.array([full[i]] * len(v))], ["c", "value", "many"])
+        for b in batches:
+            for i in range(width):
+                if full[i]:
+                    continue
+                new = pc.unique(b.column(i))
+                held[i] = new if held[i] is None else pc.unique(pa.concat_arrays([held[i], new]))
+                if most is not None and len(held[i]) - held[i].null_count > most:
+                    full[i], held[i] = True, None
+                elif len(held[i]) > HELD:
+                    yield out(i)
+                    held[i] = None
+        for i in range(width):
+            if full[i] or held[i] is not None and len(held[i]):
+                yield out(i)
+    return run
+
+
 def nunique(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """Distinct non-null values of each column.
+
+    Exact: one scan in which each task keeps its own distinct values, so that
+    repeats are gone before the shuffle and the table is not expanded by its
+    columns.  Otherwise a HyperLogLog++ sketch with 2 % relative error."""
     cols = list(cols) if cols else df.columns
-    def f(c):  # exact, or a HyperLogLog++ sketch with 2 % relative error
-        return F.count_distinct(c) if exact else F.approx_count_distinct(c, 0.02)
-    row = df.agg(*[f(F.col(f"`{c}`")).alias(f"nunique__{i}") for i, c in enumerate(cols)])
-    return _long(row, cols, ["nunique"])
+    if not exact:
+        row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"nunique__{i}") for i, c in enumerate(cols)])
+        return _long(row, cols, ["nunique"])
+    v = _as_text(df, cols).mapInArrow(_task_values(len(cols), None), "c int, value string, many boolean")
+    n = v.where("value is not null").groupBy("c", "value").agg(F.lit(1)).groupBy("c").agg(F.count("*").alias("nunique"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "c int, column string")
+    return F.broadcast(names).join(n, "c", "left").select("column", F.coalesce("nunique", F.lit(0)).alias("nunique"))
 
 
 def low_cardinality_values(df: DataFrame, max_distinct: int = 50) -> DataFrame:
-    """Distinct values of the columns having fewer than ``max_distinct``
-    distinct values.  Step 1 (one aggregate) picks the columns; the list is
-    bounded by the column count, so it is fetched to plan step 2."""
-    nu = nunique(df).where(F.col("nunique") < max_distinct).select("column").collect()
-    chosen = [r_[0] for r_ in nu]
-    if not chosen:
-        return df.sparkSession.createDataFrame([], "column string, value string")
-    return unpivot_as_string(df, chosen).distinct()
+    """Distinct values, as text, of the columns with fewer than
+    ``max_distinct`` of them (nulls are listed, not counted).
+
+    One scan: a task stops with a column at ``max_distinct`` values, so at
+    most that many a column and task are shuffled."""
+    cols = df.columns
+    v = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+    v = stored(v.mapInArrow(_task_values(len(cols), max_distinct - 1), "c int, value string, many boolean").distinct(), "values")
+    many = v.groupBy("c").agg(F.max("many").alias("many"), F.count("value").alias("n")).where(~F.col("many") & (F.col("n") < max_distinct))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "c int, column string")
+    return v.join(F.broadcast(many.select("c").join(names, "c")), "c").select("column", "value")

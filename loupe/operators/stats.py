@@ -21,17 +21,6 @@ from loupe.operators.series import _keys, with_lags
 from loupe.session import stored
 
 
-def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair i > j (lower triangle without the
-    diagonal) in ONE aggregate; long form (feature_i, feature_j, corr)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if i > j]
-    row = df.agg(*[F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"c{k}")
-                   for k, (a, b) in enumerate(pairs)])
-    structs = [F.struct(F.lit(a).alias("feature_i"), F.lit(b).alias("feature_j"), F.col(f"c{k}").alias("corr"))
-               for k, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
-
-
 def lag_correlation(df: DataFrame, value: str, order: str, max_lag: int, other: str | None = None,
                     keys=None) -> DataFrame:
     """corr(y_t, x_{t-k}) for k = 1..max_lag: all lags in one pass over blocks,
@@ -232,27 +221,6 @@ def lowess_binned(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, bins:
     return s.select("centre_bin", "centre", (inter + slope * F.col("centre")).alias("fitted"))
 
 
-def corr_from_gram(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair i > j from ONE cross-product
-    aggregate (sums, sums of squares and cross products in a single vector
-    buffer).  Meant for indicator or well-scaled columns, where the raw-sum
-    formula has no cancellation problem; ``corr_long`` is the general form.
-    A zero-variance column gives NULL."""
-    from loupe.operators.models import cross_products, gram_from_row
-    k = len(cols)
-    x = df.select(F.lit(1.0).alias("_one"), *[F.col(f"`{c}`").cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
-    G, n = gram_from_row(cross_products(x, ["_one"] + [f"_c{i}" for i in range(k)]).first(), k + 1)
-    rows = []
-    for i in range(k):
-        for j in range(i):
-            sa, sb, sab = G[0, i + 1], G[0, j + 1], G[i + 1, j + 1]
-            va = n * G[i + 1, i + 1] - sa * sa
-            vb = n * G[j + 1, j + 1] - sb * sb
-            c = float((n * sab - sa * sb) / math.sqrt(va * vb)) if va > 0 and vb > 0 else None
-            rows.append((cols[i], cols[j], c))
-    return df.sparkSession.createDataFrame(rows, "feature_i string, feature_j string, corr double")
-
-
 def tag_pairs(df: DataFrame, tags: str) -> DataFrame:
     """Pearson correlation of 0/1 tag indicators for every pair of tags:
     ``feature_i > feature_j, corr``.

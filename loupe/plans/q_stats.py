@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loupe.functions.text import word_count
 from loupe.operators import series as S
+from loupe.operators.comoments import correlations
 from loupe.operators import stats as ST
 from loupe.plans.common import r
 from loupe.plans.q_series import DAILY_SQL, daily_orders
@@ -19,11 +20,24 @@ _CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, round(corr({a}, {b}), 9) AS corr FROM lineitem"
     for i, a in enumerate(_CORR_COLS) for j, b in enumerate(_CORR_COLS) if i > j))
 def corr_matrix(spark, d):
-    """STA1: res.corr() + lower-triangle mask."""
-    c = ST.corr_long(Tables(spark, d).lineitem, _CORR_COLS)
+    """Correlation of every pair of measures, lower triangle."""
+    c = correlations(Tables(spark, d).lineitem, _CORR_COLS)
     return c.select("feature_i", "feature_j", r("corr", 9).alias("corr"))
 
 
+@query("corr_wide", oracle="""
+WITH long AS (SELECT vec_id, i - 1 AS i, CASE WHEN (vec_id + i) % 13 <> 0 THEN CAST(embedding[i] AS DOUBLE) END AS v FROM embeddings, range(1, 65) AS t(i))
+SELECT 'f' || a.i AS feature_i, 'f' || b.i AS feature_j, count(*) AS n, round(corr(a.v, b.v), 9) AS corr
+FROM long a JOIN long b USING (vec_id) WHERE a.i > b.i AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY 1, 2""")
+def corr_wide(spark, d):
+    """Correlation of every pair of 64 columns, each blank in every thirteenth
+    row, over the rows that have both."""
+    e = Tables(spark, d).embeddings
+    wide = e.select(*[F.when((F.col("vec_id") + i + 1) % 13 != 0, F.get("embedding", F.lit(i)).cast("double")).alias(f"f{i}") for i in range(64)])
+    c = correlations(wide, wide.columns)
+    return c.select("feature_i", "feature_j", "n", r("corr", 9).alias("corr"))
+
+
 @query("lag_correlation", oracle=f"""
 WITH s AS (SELECT ds, y, """ + ", ".join(f"lag(y, {k}) OVER (ORDER BY ds) AS l{k}" for k in range(1, 25)) +
        f""" FROM {DAILY_SQL})
