@@ -54,6 +54,23 @@ def tokens(col, pattern: str = WORD_PATTERN) -> Column:
     return F.regexp_extract_all(F.lower(_c(col)), F.lit(pattern), 0)
 
 
+def significant(col, digits: int = 3) -> Column:
+    """A number with that many significant digits, trailing zeros cut off
+    (general format): 12.3456 -> 12.3, 0.00012345 -> 0.000123, 1234567 ->
+    1.23e+06.  Exponents below -4, or of ``digits`` and more, are written out."""
+    x = _c(col).cast("double")
+    # the exponent as the rounded number has it
+    sci = F.format_string(f"%.{digits - 1}e", x)
+    power = F.regexp_extract(sci, r"e([+-]\d+)$", 1).try_cast("int")
+    trim = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    plain = F.lit(None).cast("string")
+    for p in range(-4, digits):
+        plain = F.when(power == p, trim(F.format_string(f"%.{digits - 1 - p}f", x))).otherwise(plain)
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    written = F.concat(trim(F.regexp_extract(sci, r"^(.*)e", 1)), F.regexp_extract(sci, r"(e.*)$", 1))
+    return F.when(x.isNotNull(), F.coalesce(odd, plain, written))
+
+
 def parse_duration(col) -> tuple[Column, Column]:
     """'90 min' -> (90, 0); '3 Seasons' -> (0, 3): the number is the first
     token; which output receives it depends on 'min' being in the text."""

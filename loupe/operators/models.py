@@ -295,80 +295,6 @@ def arima_select(df: DataFrame, value: str, order: str, max_p: int = 3, max_q: i
     return out
 
 
-# ------------------------------------------------------- additive forecast
-def additive_design(df: DataFrame, ds: str, t0, span_days: float, changepoints: Sequence[float],
-                    weekly_order: int = 3, yearly_order: int = 10,
-                    holidays: DataFrame | None = None) -> tuple[DataFrame, dict]:
-    """Columns of an additive model: trend (t and hinges max(0, t - c_j) at
-    fixed changepoints, t scaled to [0, 1] over the history), weekly and
-    yearly Fourier terms, and a holiday indicator (broadcast join with a
-    small calendar table).  All terms are built in one projection."""
-    day_num = F.datediff(F.col(ds), F.lit(t0).cast("date")).cast("double")
-    t = day_num / F.lit(span_days)
-    groups = {"trend": ["_t"], "weekly": [], "yearly": [], "holidays": []}
-    cols = [t.alias("_t")]
-    for j, c in enumerate(changepoints):
-        cols.append(F.greatest(F.lit(0.0), t - F.lit(c)).alias(f"_cp{j}"))
-        groups["trend"].append(f"_cp{j}")
-    for period, order_, name in ((7.0, weekly_order, "weekly"), (365.25, yearly_order, "yearly")):
-        for i in range(1, order_ + 1):
-            ang = F.lit(2 * math.pi * i / period) * day_num
-            cols += [F.sin(ang).alias(f"_{name}_s{i}"), F.cos(ang).alias(f"_{name}_c{i}")]
-            groups[name] += [f"_{name}_s{i}", f"_{name}_c{i}"]
-    x = df.select("*", F.lit(1.0).alias("_one"), *cols)
-    if holidays is not None:
-        h = holidays.select(F.col("ds").alias(ds)).distinct().withColumn("_hol", F.lit(1.0))
-        x = x.join(F.broadcast(h), ds, "left").withColumn("_hol", F.coalesce(F.col("_hol"), F.lit(0.0)))
-        groups["holidays"].append("_hol")
-    return x, groups
-
-
-def additive_forecast(history: DataFrame, ds: str, y: str, horizon: int = 364,
-                      n_changepoints: int = 10, changepoint_range: float = 0.8,
-                      holidays: DataFrame | None = None, ridge: float = 1e-3,
-                      z: float = 1.96) -> DataFrame:
-    """Fit trend + weekly + yearly + holidays by ridge least squares (one
-    cross-product aggregate over the history rows — several rows per date
-    are fine) and predict the history dates plus ``horizon`` future days.
-
-    Output: ds, trend, weekly, yearly, holidays, yhat, yhat_lower, yhat_upper
-    (interval: yhat +- z * residual std)."""
-    import numpy as np
-    from loupe.session import materialize
-    # read by three jobs (bounds, normal equations, prediction dates)
-    history = materialize(history.select(ds, y))
-    b = history.agg(F.min(ds).alias("lo"), F.max(ds).alias("hi")).first()
-    t0, t1 = b["lo"], b["hi"]
-    span = float(max((t1 - t0).days, 1))
-    cps = [changepoint_range * (j + 1) / (n_changepoints + 1) for j in range(n_changepoints)]
-    x, groups = additive_design(history, ds, t0, span, cps, holidays=holidays)
-    cols = ["_one"] + [c for g in ("trend", "weekly", "yearly", "holidays") for c in groups[g]] + [y]
-    G, n = gram_from_row(cross_products(x.withColumn(y, F.col(y).cast("double")), cols).first(), len(cols))
-    xi = list(range(len(cols) - 1))
-    # scale the penalty to the data so that it only stabilises the solve
-    coef, ssr, _ = ols_from_gram(G, xi, len(cols) - 1, ridge=ridge * float(np.mean(np.diag(G)[xi])))
-    sigma = math.sqrt(ssr / max(n - len(xi), 1))
-    spark = history.sparkSession
-    dates = history.select(F.col(ds)).distinct()
-    fut = spark.range(1, horizon + 1).select(F.date_add(F.lit(t1), F.col("id").cast("int")).alias(ds))
-    grid, _ = additive_design(dates.unionByName(fut), ds, t0, span, cps, holidays=holidays)
-    beta = dict(zip(cols[:-1], coef))
-
-    def part(names):
-        e = F.lit(0.0)
-        for c in names:
-            e = e + F.lit(float(beta[c])) * F.col(c)
-        return e
-
-    trend = part(["_one"] + groups["trend"])
-    out = grid.select(ds, trend.alias("trend"), part(groups["weekly"]).alias("weekly"),
-                      part(groups["yearly"]).alias("yearly"), part(groups["holidays"]).alias("holidays"))
-    yhat = F.col("trend") + F.col("weekly") + F.col("yearly") + F.col("holidays")
-    return (out.withColumn("yhat", yhat)
-            .withColumn("yhat_lower", F.col("yhat") - z * sigma)
-            .withColumn("yhat_upper", F.col("yhat") + z * sigma))
-
-
 # ------------------------------------------------------------ ML pipelines
 def gbt_classifier_pipeline(num_cols: Sequence[str], cat_cols: Sequence[str], label: str,
                             max_iter: int = 20, seed: int = 42):

@@ -115,3 +115,16 @@ def select_labels(df: DataFrame, key: str, labels: Sequence) -> DataFrame:
     spark = df.sparkSession
     lab = spark.createDataFrame([(v, i) for i, v in enumerate(labels)], [key, "label_pos"])
     return df.join(bounded(lab), key, "inner")
+
+
+def fill_template(template: DataFrame, template_order, values: DataFrame, values_order, columns: dict[str, str]) -> DataFrame:
+    """``template`` with each column of ``columns`` replaced by a column of
+    ``values``: the i-th row of one in its order takes the i-th of the other in
+    its own (distributed ranks, then a join).  Rows beyond ``values`` are
+    empty; values beyond the template are left out."""
+    from loupe.operators.series import ranked
+    b = ranked(values, values_order, out="_at").select("_at", *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns.values())])
+    a = ranked(template, template_order, out="_at").drop("_part")
+    j = a.join(b, "_at", "left")
+    into = {c: F.col(f"_v{i}") for i, c in enumerate(columns)}
+    return j.select(*[into[c].alias(c) if c in into else F.col(f"`{c}`") for c in template.columns])

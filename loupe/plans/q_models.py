@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from loupe.functions.text import word_count
 from loupe.operators import arima as AR
+from loupe.operators import forecast as FC
 from loupe.operators import models as MD
 from loupe.operators import series as S
 from loupe.operators import stats as ST
 from loupe.operators.scalars import with_scalars
-from loupe.session import materialize
+from loupe.operators.relate import fill_template
+from loupe.session import materialize, stored
 from loupe.plans.common import r
 from loupe.plans.q_series import DAILY_SQL, daily_orders
 from loupe.plans.registry import query
+from loupe.sources import files as FS
 from loupe.sources.tables import Tables
 
 _TREND_SQL = f"(SELECT ds, y / 1e6 AS y, row_number() OVER (ORDER BY ds) AS trend FROM {DAILY_SQL})"
@@ -123,7 +125,7 @@ def _forecast(spark, d):
         F.to_date("o_orderdate").alias("ds"), (F.col("o_totalprice") / 1e3).alias("y"))
     b = o.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi")).first()
     hol = holiday_calendar(spark, b["lo"], b["hi"] + datetime.timedelta(days=365))
-    return MD.additive_forecast(o, "ds", "y", horizon=364, holidays=hol)
+    return FC.additive_forecast(o, "ds", "y", horizon=364, holidays=hol)
 
 
 @query("additive_forecast")
@@ -151,29 +153,47 @@ def gbt_classify(spark, d):
     """MDL7/MDL9: impute -> scale -> boosted trees on labelled documents
     (id not used as a feature), then score the unlabelled documents with the
     fitted pipeline."""
+    feats, train, unseen = _labelled_and_unseen(spark, d)
+    model = MD.gbt_classifier_pipeline(["n_chars", "n_words"], ["lang", "source"], "label", max_iter=10).fit(train)
+    return model.transform(unseen).select("doc_id", F.col("prediction").cast("int").alias("quality_pred"))
+
+
+def _labelled_and_unseen(spark, d):
+    """Document features (word counts over whole texts, derived once), those
+    with a label, and those without."""
     t = Tables(spark, d)
-    # Features are read by every boosting pass and again for scoring: derive
-    # them (word counts over whole texts) once.
-    feats = _doc_features(t).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = stored(_doc_features(t), "features")
     train = feats.join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    model = MD.gbt_classifier_pipeline(["n_chars", "n_words"], ["lang", "source"], "label", max_iter=10).fit(train)
-    test = feats.join(t.labels.select("doc_id"), "doc_id", "left_anti")
-    pred = model.transform(test)
-    return pred.select("doc_id", F.col("prediction").cast("int").alias("quality_pred"))
+    return feats, train, feats.join(t.labels.select("doc_id"), "doc_id", "left_anti")
 
 
 @query("ml_submission")
 def ml_submission(spark, d):
-    """SNK2: predictions attached to the submission template by id (a join,
-    never by position); template = labels (doc_id, quality)."""
-    t = Tables(spark, d)
-    feats = _doc_features(t).persist(StorageLevel.MEMORY_AND_DISK)
-    lab = t.labels.select("doc_id", F.col("quality").cast("double").alias("label"))
-    model = MD.gbt_classifier_pipeline(["n_chars", "n_words"], ["lang", "source"], "label", max_iter=10).fit(
-        feats.join(lab, "doc_id"))
-    pred = model.transform(feats.join(lab.select("doc_id"), "doc_id")).select(
-        "doc_id", F.col("prediction").cast("int").alias("quality"))
-    return t.labels.select("doc_id").join(pred, "doc_id", "left")
+    """Unseen documents scored and filled into a submission template by
+    position: predictions in the unseen table's order go to the template's rows
+    in its own order, and the filled template is written as one CSV and read
+    back."""
+    _, train, unseen = _labelled_and_unseen(spark, d)
+    model = MD.gbt_classifier_pipeline(["n_chars", "n_words"], ["lang", "source"], "label", max_iter=10).fit(train)
+    pred = model.transform(unseen).select("doc_id", F.col("prediction").cast("int").alias("quality"))
+    template = unseen.select("doc_id", F.lit(0).alias("quality"))
+    filled = fill_template(template, "doc_id", pred, "doc_id", {"quality": "quality"})
+    path = FS.new_scratch(spark, "submission")
+    FS.write_csv(filled.orderBy("doc_id"), path, single_file=True)
+    return FS.read_csv(spark, path, "doc_id long, quality int")
+
+
+@query("template_by_position", oracle="""
+WITH t AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders),
+p AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'P')
+SELECT o_orderkey, o_totalprice AS score FROM t LEFT JOIN p USING (n)""")
+def template_by_position(spark, d):
+    """A template in key order filled with values in another table's order,
+    row by row; the template's last rows, beyond the values, stay empty."""
+    o = Tables(spark, d).orders
+    values = o.where("o_orderstatus <> 'P'").select("o_orderkey", "o_totalprice")
+    filled = fill_template(o.select("o_orderkey", F.lit(0.0).alias("score")), "o_orderkey", values, [F.col("o_totalprice").desc(), F.col("o_orderkey")], {"score": "o_totalprice"})
+    return filled.select("o_orderkey", "score")
 
 
 @query("tabular_regress")

@@ -10,6 +10,7 @@ from loupe.functions import mathx as M
 from loupe.functions import text as T
 from loupe.operators import aggregate as A
 from loupe.plans.common import r
+from loupe.operators.wordcloud import word_cloud as word_cloud_table
 from loupe.plans.registry import query
 from loupe.sources.tables import Tables
 
@@ -102,15 +103,51 @@ def word_freq(spark, d):
     return A.top_k(c, [F.col("count").desc(), F.col("word")], 5000)
 
 
+_CLOUD_STOP_SQL = ", ".join("('" + w.replace("'", "''") + "')" for w in sorted({*T.STOP_WORDS, *(w[:-2] for w in T.STOP_WORDS if w.endswith("'s"))}))
+
+
+@query("word_cloud", oracle=f"""
+WITH raw AS (SELECT list_filter(list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_'']+'), lambda x: regexp_replace(x, '''s$', '')),
+                                lambda x: x <> '' AND NOT regexp_matches(x, '^\\p{{Nd}}+$')) AS w FROM documents),
+stop(word) AS (VALUES {_CLOUD_STOP_SQL}),
+p0 AS (SELECT w[i] AS a, w[i + 1] AS b FROM raw, range(1, len(w) + 1) AS r(i)),
+p AS (SELECT a, CASE WHEN b IN (SELECT word FROM stop) THEN NULL ELSE b END AS b, count(*) AS n FROM p0 WHERE a NOT IN (SELECT word FROM stop) GROUP BY 1, 2),
+u AS (SELECT a AS word, sum(n) AS n FROM p GROUP BY 1),
+f AS (SELECT u.word, coalesce(s.word, u.word) AS base, u.n FROM u LEFT JOIN u s ON u.word LIKE '%s' AND u.word NOT LIKE '%ss' AND s.word = left(u.word, length(u.word) - 1)),
+c AS (SELECT base, sum(n) AS n FROM f GROUP BY 1),
+tot AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM c),
+b1 AS (SELECT a || ' ' || b AS pair, a, b, n FROM p WHERE b IS NOT NULL),
+b2 AS (SELECT coalesce(s.pair, x.pair) AS base, x.a, CASE WHEN s.pair IS NULL THEN x.b ELSE left(x.b, length(x.b) - 1) END AS b, x.n
+       FROM b1 x LEFT JOIN b1 s ON x.pair LIKE '%s' AND x.pair NOT LIKE '%ss' AND s.pair = left(x.pair, length(x.pair) - 1)),
+b3 AS (SELECT base, a, b, sum(n) AS n FROM b2 GROUP BY 1, 2, 3),
+j AS (SELECT b3.base, fa.base AS fa, fb.base AS fb, CAST(b3.n AS DOUBLE) AS n, CAST(ca.n AS DOUBLE) AS na, CAST(cb.n AS DOUBLE) AS nb, t
+      FROM b3 JOIN f fa ON fa.word = a JOIN f fb ON fb.word = b JOIN c ca ON ca.base = fa.base JOIN c cb ON cb.base = fb.base, tot),
+x AS (SELECT *, nb / t AS p, n / na AS p1, (nb - n) / (t - na) AS p2 FROM j WHERE t > na AND t > nb),
+l AS (SELECT *, -2 * (ln(greatest(p, 1e-10)) * n + ln(greatest(1 - p, 1e-10)) * (na - n) + ln(greatest(p, 1e-10)) * (nb - n) + ln(greatest(1 - p, 1e-10)) * (t - na - nb + n)
+       - ln(greatest(p1, 1e-10)) * n - ln(greatest(1 - p1, 1e-10)) * (na - n) - ln(greatest(p2, 1e-10)) * (nb - n) - ln(greatest(1 - p2, 1e-10)) * (t - na - nb + n)) AS score FROM x),
+k AS (SELECT * FROM l WHERE score > 30),
+g AS (SELECT base, sum(n) AS gone FROM (SELECT fa AS base, n FROM k UNION ALL SELECT fb, n FROM k) GROUP BY 1),
+o AS (SELECT c.base AS word, CAST(c.n - coalesce(gone, 0) AS BIGINT) AS count FROM c LEFT JOIN g USING (base) WHERE c.n - coalesce(gone, 0) > 0
+      UNION ALL SELECT base, CAST(n AS BIGINT) FROM k)
+SELECT word, count FROM o ORDER BY count DESC, word LIMIT 5000""")
+def word_cloud(spark, d):
+    """Word-cloud table with two-word collocations, plural and possessive
+    forms merged and numbers dropped, top 5,000 by count."""
+    return word_cloud_table(Tables(spark, d).documents, "text")
+
+
 @query("format_labels", oracle="""
 WITH c AS (SELECT c_mktsegment, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM customer GROUP BY 1)
-SELECT c_mktsegment, printf('%.2f', pct) AS pct_label, CAST(trunc(pct) AS BIGINT) || '%' AS int_label FROM c""")
+SELECT c_mktsegment, printf('%.2f', pct) AS pct_label, CAST(trunc(pct) AS BIGINT) || '%' AS int_label,
+       regexp_replace(printf('%.1f', pct), '\\.0$', '') AS short_label FROM c""")
 def format_labels(spark, d):
-    """TXT8: formatting '%.2f', f'{int(x*100)}%', :.3."""
+    """Shares as labels: two decimals, whole per cent, three significant
+    digits."""
     vc = A.value_counts(Tables(spark, d).customer, "c_mktsegment", "n")
     s = A.share_of_total(vc, "n", "pct", scale=100.0)
     return s.select("c_mktsegment", F.format_string("%.2f", "pct").alias("pct_label"),
-                    F.concat(F.col("pct").cast("long").cast("string"), F.lit("%")).alias("int_label"))
+                    F.concat(F.floor("pct").cast("string"), F.lit("%")).alias("int_label"),
+                    T.significant("pct", 3).alias("short_label"))
 
 
 @query("multi_hot", oracle="""

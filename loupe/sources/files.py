@@ -56,10 +56,35 @@ def write_texts(df: DataFrame, key: str, text: str, path: str) -> None:
     df.select(key, text).write.mode("overwrite").partitionBy(key).text(path)
 
 
-def read_texts(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Whole files as single strings (``wholetext``); the key is recovered
-    from the ``key=value`` folder (partition discovery).  The single line
-    break the text writer adds is removed."""
+PER_TASK = 64  # of Spark's small-file splits read by one task
+LISTED = 10_000  # ids that are named to the file listing
+
+
+def read_texts(spark: SparkSession, path: str, key: str, ids: DataFrame | None = None) -> DataFrame:
+    """Whole files below a folder as ``key, text, file_name``: one row a file.
+
+    The key is the value of a ``key=value`` folder around the file (what
+    ``write_texts`` writes), else the name of an ``{id}.txt`` file; other files
+    are not returned.  Small files are packed, some thousands a task.  With
+    ``ids`` (a table with the column ``key``) only theirs are returned: up to
+    LISTED ids are named to the file listing, so that the other files of a flat
+    folder are never opened; more are joined.  The line break that the text
+    writer ends a file with is removed."""
     df = spark.read.text(path, wholetext=True)
-    return df.select(F.col(key), F.regexp_replace("value", r"\n$", "").alias("text"),
-                     F.col("_metadata.file_name").alias("file_name"))
+    name = F.col("_metadata.file_name")
+    if foldered := key in df.columns:  # key=value folders: the key has its discovered type
+        found = F.col(key)
+    else:
+        df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+        # paths are percent-encoded; a plus sign in them is one
+        stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
+        found = F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B")))
+    if ids is not None:
+        ids = ids.select(F.col(key).cast(dict(df.dtypes)[key] if foldered else "string").alias(key)).where(F.col(key).isNotNull()).distinct()
+        few = [r[0] for r in ids.limit(LISTED + 1).collect()]
+        if len(few) <= LISTED:
+            df = df.where(F.col(key).isin(few) if foldered else name.isin([f"{i}.txt" for i in few]))
+    out = df.select(found.alias(key), F.regexp_replace("value", r"\n$", "").alias("text"), name.alias("file_name"))
+    out = out if foldered else out.where(F.col(key) != "")
+    out = out.coalesce(max(1, -(-df.rdd.getNumPartitions() // PER_TASK)))
+    return out.join(ids, key, "left_semi") if ids is not None else out
