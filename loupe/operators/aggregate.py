@@ -28,11 +28,12 @@ def not_null_keys(df: DataFrame, keys) -> DataFrame:
     return df.where(cond)
 
 
-def value_counts(df: DataFrame, keys, out: str = "count") -> DataFrame:
-    """Counts of non-null key combinations (order: count desc, key asc)."""
+def value_counts(df: DataFrame, keys, out: str = "count", ordered: bool = True) -> DataFrame:
+    """Counts of non-null key combinations (order: count desc, key asc, unless
+    something else is computed from them)."""
     ks = _cols(keys)
-    return (not_null_keys(df, ks).groupBy(*ks).agg(F.count(F.lit(1)).alias(out))
-            .orderBy(F.col(out).desc(), *ks))
+    c = not_null_keys(df, ks).groupBy(*ks).agg(F.count(F.lit(1)).alias(out))
+    return c.orderBy(F.col(out).desc(), *ks) if ordered else c
 
 
 def group_count(df: DataFrame, keys, col: str, out: str = "count") -> DataFrame:

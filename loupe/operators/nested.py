@@ -14,8 +14,8 @@ def spans_from_pieces(df: DataFrame, doc: str, order: str, text: str, label: str
     between them) and return (doc, order, piece_no, start, end, label) rows
     (``piece_no`` is the 1-based position in the document).
 
-    Offsets come from a distributed running sum (range buckets within each
-    document), so one very long document is not sorted in a single task."""
+    Offsets come from a distributed running sum (ranges of the order within
+    each document), so one very long document is not sorted in a single task."""
     from loupe.operators.series import cumulative_sum
     x = df.select(doc, order, F.length(text).alias("_len"), F.col(label).alias("label"))
     x = x.withColumn("_w", F.col("_len") + sep_len).withColumn("_one", F.lit(1))

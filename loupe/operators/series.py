@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from loupe.operators.scalars import scalars, with_scalars
+from loupe.operators.scalars import with_scalars
 from loupe.session import stored
 
 
@@ -160,40 +160,34 @@ def asfreq_pad(df: DataFrame, ds: str, cols: Sequence[str], keys=None) -> DataFr
     return fill_forward(j, ds, cols, F.col("present"), ks).select(*ks, ds, "present", *cols)
 
 
-def cumulative_sum(df: DataFrame, order: str, value, keys=None, out="cum",
-                   buckets: int = 64) -> DataFrame:
+def cumulative_sum(df: DataFrame, order: str, value, keys=None, out="cum") -> DataFrame:
     """Running sum(s) in ``order`` that stay distributed for any number of rows.
 
-    Rows are assigned to ``buckets`` ranges of the order column (approximate
-    quantiles), summed within each range by a partitioned window, and the
-    range totals (``buckets`` rows per series) are prefix-summed and joined
-    back.  No window ever spans a whole table or series in one task.
-    ``value``/``out`` may be lists to accumulate several columns at once."""
+    Rows are summed within ranges of the order (``ranked``); each range adds
+    what its series has in earlier ones.  No window spans a whole table or a
+    long series.  ``value``/``out`` may be lists to accumulate several columns
+    at once; the source is scanned once."""
     ks = _keys(keys)
     vals = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bnd = df.groupBy(*ks).agg(F.percentile_approx(order, probs, 10000).alias("_b"))
+    x = ranked(df, order, ks, "_rank")
+    inner = Window.partitionBy("_part", *ks).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.select("*", *[F.sum(v).over(inner).alias(f"_in{i}") for i, v in enumerate(vals)])
+    tot = x.groupBy("_part", *ks).agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(vals)])
     if ks:
-        x = df.join(bnd, ks)
-        x = x.withColumn("_bk", F.size(F.filter("_b", lambda b: b < F.col(order)))).drop("_b")
+        prev = Window.partitionBy(*ks).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        tot = tot.select("_part", *ks, *[F.sum(f"_t{i}").over(prev).alias(f"_off{i}") for i in range(len(vals))])
     else:
-        # one series: the boundaries are a handful of literals; the bucket is
-        # the number of boundaries below the value (a plain CASE sum)
-        bounds = sorted(set(scalars(bnd)["_b"] or []))
-        bk = F.lit(0)
-        for b in bounds:
-            bk = bk + F.when(F.col(order) > F.lit(b), 1).otherwise(0)
-        x = df.withColumn("_bk", bk)
-    inner = Window.partitionBy(*ks, "_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.select("*", *[F.sum(v).over(inner).alias(f"_in{i}") for i, v in enumerate(vals)])
-    tot = x.groupBy(*ks, "_bk").agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(vals)])
-    prev = Window.partitionBy(*ks).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*ks, "_bk", *[F.coalesce(F.sum(f"_t{i}").over(prev), F.lit(0)).alias(f"_off{i}")
-                                   for i in range(len(vals))])
-    x = x.join(tot, ks + ["_bk"])
-    return x.select(*[c for c in x.columns if not c.startswith(("_in", "_off")) and c != "_bk"],
-                    *[(F.col(f"_in{i}") + F.col(f"_off{i}")).alias(o) for i, o in enumerate(outs)])
+        rows, upto = [], [None] * len(vals)
+        for r in tot.orderBy("_part").collect():  # one row a partition
+            rows.append((r["_part"], *upto))
+            upto = [u if r[f"_t{i}"] is None else r[f"_t{i}"] if u is None else u + r[f"_t{i}"] for i, u in enumerate(upto)]
+        kind = StructType([StructField("_part", IntegerType()), *[StructField(f"_off{i}", tot.schema[f"_t{i}"].dataType) for i in range(len(vals))]])
+        tot = F.broadcast(df.sparkSession.createDataFrame(rows, kind))
+    same = [F.col("x._part") == F.col("t._part"), *[F.col(f"x.{k}").eqNullSafe(F.col(f"t.{k}")) for k in ks]]
+    j = x.alias("x").join(tot.alias("t"), same)
+    total = lambda i: F.coalesce(F.col(f"_in{i}") + F.coalesce(F.col(f"_off{i}"), F.lit(0)), F.col(f"_off{i}"))
+    return j.select(*[f"x.`{c}`" for c in df.columns], *[total(i).alias(o) for i, o in enumerate(outs)])
 
 
 def ecdf(df: DataFrame, col: str, keys=None) -> DataFrame:

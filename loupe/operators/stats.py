@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loupe.operators.fourier import transform
 from loupe.operators.scalars import scalars, with_scalars
 from loupe.operators.selection import describe_columns
-from loupe.operators.series import _keys, with_lags
+from loupe.operators.series import _keys, ranked, with_lags
 from loupe.session import stored
 
 
@@ -192,7 +192,7 @@ def lowess_binned(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, bins:
     g = b.groupBy("_b").agg(F.count(F.lit(1)).alias("m"), F.sum("_x").alias("sx"), F.sum("_y").alias("sy"),
                             F.sum(F.col("_x") * F.col("_x")).alias("sxx"), F.sum(F.col("_x") * F.col("_y")).alias("sxy"),
                             F.first("_n").alias("n"))
-    g = g.withColumn("c", F.col("sx") / F.col("m")).cache()
+    g = stored(g.withColumn("c", F.col("sx") / F.col("m")), "bins")
     # g has at most ``bins`` rows: fetch them and give each centre the full
     # bin list as a literal array (bins x bins rows in total).
     bl = [(int(x_["_b"]), int(x_["m"]), float(x_["sx"]), float(x_["sy"]), float(x_["sxx"]), float(x_["sxy"]),
@@ -221,6 +221,9 @@ def lowess_binned(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, bins:
     return s.select("centre_bin", "centre", (inter + slope * F.col("centre")).alias("fitted"))
 
 
+TAG_BLOCK = 256
+
+
 def tag_pairs(df: DataFrame, tags: str) -> DataFrame:
     """Pearson correlation of 0/1 tag indicators for every pair of tags:
     ``feature_i > feature_j, corr``.
@@ -229,13 +232,18 @@ def tag_pairs(df: DataFrame, tags: str) -> DataFrame:
     counted from the pairs inside each row; the tag counts, one row per tag,
     give the rest, so no indicator column is built and the number of tags has
     no limit."""
+    df = stored(df.select(tags), "tags")
     n = F.lit(df.count())
     t = df.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("k"))
     inside = df.select(F.posexplode(tags).alias("p", "feature_i"), F.col(tags).alias("_t")).select(
         "feature_i", F.explode(F.slice("_t", F.lit(1), F.col("p"))).alias("feature_j"))
     both = inside.groupBy("feature_i", "feature_j").agg(F.count("*").alias("kab"))
-    all_tags = t.agg(F.array_sort(F.collect_list(F.struct("tag", "k"))).alias("v"))
-    pairs = all_tags.select("v", F.posexplode("v").alias("p", "a")).select("a", F.explode(F.slice("v", F.lit(1), F.col("p"))).alias("b"))
+    # tags are numbered and dealt in blocks; all tasks make the pairs of two blocks
+    t = ranked(t, "tag", out="no").withColumn("block", F.floor(F.col("no") / TAG_BLOCK))
+    blocks = stored(t.groupBy("block").agg(F.collect_list(F.struct("no", "tag", "k")).alias("v")), "tag-blocks")
+    low = blocks.select(F.col("block").alias("other"), F.col("v").alias("w"))
+    two = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("other")).join(low, "other").repartition("block", "other")
+    pairs = two.select("w", F.explode("v").alias("a")).select("a", F.explode("w").alias("b")).where("a.no > b.no")
     pairs = pairs.select(F.col("a.tag").alias("feature_i"), F.col("b.tag").alias("feature_j"), F.col("a.k").alias("ki"), F.col("b.k").alias("kj"))
     x = pairs.join(both, ["feature_i", "feature_j"], "left").fillna(0, ["kab"])
     ki, kj = F.col("ki"), F.col("kj")

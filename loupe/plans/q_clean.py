@@ -14,7 +14,7 @@ from loupe.sources.tables import Tables
 SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'No Data' ELSE o_orderpriority END AS o_orderpriority,
        CASE WHEN o_orderkey % 11 = 0 THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders""")
 def fill_const(spark, d):
-    """CLN1: fillna(const), replace(nan, 'No Data')."""
+    """Blank texts and numbers take a constant."""
     o = Tables(spark, d).orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
     o = inject_nulls(inject_nulls(o, "o_orderpriority", "o_orderkey", 7), "o_totalprice", "o_orderkey", 11)
     return C.fill_const(C.fill_const(o, "No Data", ["o_orderpriority"]), 0.0, ["o_totalprice"])
@@ -27,7 +27,7 @@ WITH li AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 = 0 THEN N
 SELECT l_orderkey, l_linenumber, round(coalesce(l_quantity, avg(l_quantity) OVER ()), 6) AS l_quantity,
        round(coalesce(l_extendedprice, avg(l_extendedprice) OVER ()), 6) AS l_extendedprice, l_discount FROM li""")
 def fill_mean(spark, d):
-    """CLN2: fillna(df.mean())."""
+    """Missing numbers take their column's mean."""
     li = Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
     li = inject_nulls(inject_nulls(li, "l_quantity", "l_orderkey", 7), "l_extendedprice", "l_orderkey", 5)
     f = C.fill_mean(li, ["l_quantity", "l_extendedprice"])
@@ -46,7 +46,7 @@ ms AS (SELECT o_orderstatus AS m FROM o WHERE o_orderstatus IS NOT NULL GROUP BY
 SELECT o_orderkey, coalesce(o_orderpriority, (SELECT m FROM mp)) AS o_orderpriority,
        coalesce(o_orderstatus, (SELECT m FROM ms)) AS o_orderstatus FROM o""")
 def fill_mode(spark, d):
-    """CLN3: fillna(mode()[0])."""
+    """Missing values take their column's most frequent one."""
     o = Tables(spark, d).orders.select("o_orderkey", "o_orderpriority", "o_orderstatus")
     o = inject_nulls(inject_nulls(o, "o_orderpriority", "o_orderkey", 7), "o_orderstatus", "o_orderkey", 3)
     return C.fill_mode(o, ["o_orderpriority", "o_orderstatus"])
@@ -55,7 +55,7 @@ def fill_mode(spark, d):
 @query("drop_nulls", oracle="""
 SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0""")
 def drop_nulls(spark, d):
-    """CLN4: dropna()."""
+    """Rows with any missing field go."""
     o = Tables(spark, d).orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
     o = inject_nulls(inject_nulls(o, "o_orderpriority", "o_orderkey", 7), "o_totalprice", "o_orderkey", 11)
     return C.drop_nulls(o)
@@ -63,7 +63,7 @@ def drop_nulls(spark, d):
 
 @query("dedup_rows", oracle="SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
 def dedup_rows(spark, d):
-    """CLN5: drop_duplicates()."""
+    """Repeated rows are kept once."""
     return C.dedup(Tables(spark, d).lineitem.select("l_returnflag", "l_linestatus", "l_linenumber"))
 
 
@@ -75,7 +75,7 @@ PRIORITY_RECODE = {"1-URGENT": "HIGH", "2-HIGH": "HIGH", "4-NOT SPECIFIED": "UNK
 SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'HIGH' WHEN '2-HIGH' THEN 'HIGH'
        WHEN '4-NOT SPECIFIED' THEN 'UNKNOWN' ELSE o_orderpriority END AS o_orderpriority FROM orders""")
 def recode_values(spark, d):
-    """CLN6: replace({old: new}) on a column."""
+    """Codes of one column replaced by names."""
     o = Tables(spark, d).orders
     return o.select("o_orderkey", C.recode("o_orderpriority", PRIORITY_RECODE).alias("o_orderpriority"))
 
@@ -127,7 +127,7 @@ SELECT l_orderkey, l_linenumber,
        round((l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER (), 6) AS l_extendedprice
 FROM lineitem""")
 def standardize(spark, d):
-    """CLN9: StandardScaler()."""
+    """Columns centred and scaled to unit variance."""
     li = Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     z = C.standardize(li, ["l_quantity", "l_extendedprice"])
     return z.select("l_orderkey", "l_linenumber", r("l_quantity").alias("l_quantity"),
@@ -149,7 +149,7 @@ SELECT l_orderkey, l_linenumber, is_train, coalesce(codes.code, 0) AS l_returnfl
        round((q_filled - (SELECT mu FROM st)) / (SELECT sd FROM st), 6) AS l_quantity_norm
 FROM filled LEFT JOIN codes USING (l_returnflag)""")
 def tabular_prep(spark, d):
-    """CLN10: category -> integer code (0 = unknown), median fill + missing
+    """Category -> integer code (0 = unknown), median fill + missing
     flag, population z-score; statistics from the training split only."""
     from loupe.operators.models import tabular_prepare
     li = Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")

@@ -88,6 +88,34 @@ def adf_test(spark, d):
                                         "crit_5 double, crit_10 double, icbest double")
 
 
+_ADF0_SQL = """c AS (SELECT {k}regr_slope(dx, x) AS b, regr_sxx(dx, x) AS sxx, regr_syy(dx, x) AS syy, regr_sxy(dx, x) AS sxy, count(*) AS n FROM l {g}),
+t AS (SELECT *, b / sqrt((syy - b * sxy) / (n - 2) / sxx) AS stat FROM c)
+SELECT {k}round(stat, 6) AS adf_stat, CAST(n AS BIGINT) AS nobs, round(-3.43035 - 6.5393 / n - 16.786 / n / n - 79.433 / n / n / n, 6) AS crit_1,
+       round(-2.86154 - 2.8903 / n - 4.234 / n / n - 40.040 / n / n / n, 6) AS crit_5, round(-2.56677 - 1.5384 / n - 2.809 / n / n, 6) AS crit_10 FROM t"""
+
+
+@query("adf_without_lags", oracle=f"""
+WITH s AS (SELECT ds, y - lag(y) OVER (ORDER BY ds) AS dx, lag(y) OVER (ORDER BY ds) AS x FROM {DAILY_SQL}), l AS (SELECT * FROM s WHERE x IS NOT NULL),
+""" + _ADF0_SQL.format(k="", g=""))
+def adf_without_lags(spark, d):
+    """Unit-root test of the daily series without lagged differences."""
+    res = MD.adf_test(materialize(daily_orders(Tables(spark, d))), "y", "ds", maxlag=0)
+    out = spark.createDataFrame([res], "adf_stat double, nobs long, crit_1 double, crit_5 double, crit_10 double")
+    return out.select(r("adf_stat").alias("adf_stat"), "nobs", *[r(c).alias(c) for c in ("crit_1", "crit_5", "crit_10")])
+
+
+@query("adf_by_series_without_lags", oracle="""
+WITH s AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS ds, sum(o_totalprice) / 1e6 AS y FROM orders GROUP BY 1, 2),
+p AS (SELECT o_orderpriority, y - lag(y) OVER w AS dx, lag(y) OVER w AS x FROM s WINDOW w AS (PARTITION BY o_orderpriority ORDER BY ds)),
+l AS (SELECT * FROM p WHERE x IS NOT NULL),
+""" + _ADF0_SQL.format(k="o_orderpriority, ", g="GROUP BY o_orderpriority"))
+def adf_by_series_without_lags(spark, d):
+    """The same test for every order priority's daily totals at once."""
+    s = S.daily(Tables(spark, d).orders, "o_orderdate", F.sum("o_totalprice") / 1e6, keys="o_orderpriority")
+    out = MD.adf_by_key(s, "y", "ds", "o_orderpriority", maxlag=0)
+    return out.select("o_orderpriority", r("adf_stat").alias("adf_stat"), "nobs", *[r(c).alias(c) for c in ("crit_1", "crit_5", "crit_10")])
+
+
 @query("stationarity_report")
 def stationarity_report(spark, d):
     """Rolling 12-row mean/std of the series plus the ADF verdict."""
@@ -130,7 +158,7 @@ def _forecast(spark, d):
 
 @query("additive_forecast")
 def additive_forecast(spark, d):
-    """CMP17: trend + weekly + yearly + holiday model fitted on every order row
+    """Trend + weekly + yearly + holiday model fitted on every order row
     of one priority (several rows per date), 364 days ahead, 95 % interval."""
     f = _forecast(spark, d)
     return f.select("ds", "yhat", "yhat_lower", "yhat_upper")
@@ -150,7 +178,7 @@ def _doc_features(t):
 
 @query("gbt_classify")
 def gbt_classify(spark, d):
-    """MDL7/MDL9: impute -> scale -> boosted trees on labelled documents
+    """Impute -> scale -> boosted trees on labelled documents
     (id not used as a feature), then score the unlabelled documents with the
     fitted pipeline."""
     feats, train, unseen = _labelled_and_unseen(spark, d)
@@ -198,7 +226,7 @@ def template_by_position(spark, d):
 
 @query("tabular_regress")
 def tabular_regress(spark, d):
-    """MDL8: categorical (return flag, line status, ship mode stand-ins),
+    """Categorical (return flag, line status, ship mode stand-ins),
     numeric (discount) -> sales (extended price), clipped to (0, 125000);
     80/20 split by a stable hash; reports validation predictions."""
     li = Tables(spark, d).lineitem.select(
@@ -257,7 +285,7 @@ def auc_rank(spark, d):
 
 @query("series_report")
 def series_report(spark, d):
-    """CMP21: lag, trend features, linear fit, 30-step forecast and
+    """Lag, trend features, linear fit, 30-step forecast and
     stationarity of one daily series, as one table (history + forecast)."""
     t = Tables(spark, d)
     s = materialize(_trend(t))  # the daily series is read by every step below: one scan of the facts
@@ -284,7 +312,7 @@ SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(regr_intercept(y, t
        round(regr_slope(y, t), 9) AS coef_t, round(regr_r2(y, t), 9) AS r2
 FROM x GROUP BY 1""")
 def linear_trend_by_series(spark, d):
-    """MDL1 for many series at once: a linear trend per order priority of its
+    """A linear trend per order priority of its
     daily totals (millions) on years since 1995-01-01.  One grouped
     cross-product aggregate; the per-series solves run on executors."""
     o = Tables(spark, d).orders
@@ -297,7 +325,7 @@ def linear_trend_by_series(spark, d):
 
 @query("adf_by_series")
 def adf_by_series(spark, d):
-    """STA5 for many series at once: ADF of each order priority's daily totals
+    """ADF of each order priority's daily totals
     (two grouped cross-product passes; solves on executors)."""
     o = Tables(spark, d).orders
     s = S.daily(o, "o_orderdate", F.sum("o_totalprice") / 1e6, keys="o_orderpriority")

@@ -31,7 +31,7 @@ UNION ALL SELECT 'c_nationkey', 'int', count(c_nationkey), count(*) FROM custome
 UNION ALL SELECT 'c_acctbal', 'double', count(c_acctbal), count(*) FROM customer
 UNION ALL SELECT 'c_mktsegment', 'string', count(c_mktsegment), count(*) FROM customer""")
 def table_info(spark, d):
-    """PRF3: info()."""
+    """Type, filled and total rows of every column."""
     return P.info(Tables(spark, d).customer)
 
 
@@ -39,7 +39,7 @@ def table_info(spark, d):
     f"SELECT '{t}' AS \"table\", count(*) AS rows, (SELECT count(*) FROM information_schema.columns "
     f"WHERE table_name = '{t}')::INTEGER AS columns FROM {t}" for t in TABLES))
 def table_shape(spark, d):
-    """PRF4: shape, len(columns), len(df)."""
+    """Rows and columns of every table."""
     t = Tables(spark, d)
     out = None
     for name in TABLES:
@@ -71,7 +71,7 @@ def _round_stats(df, digits=6):
 
 @query("describe_numeric", oracle=_describe_sql("lineitem", _LI_NUM))
 def describe_numeric(spark, d):
-    """PRF6: describe() numeric."""
+    """Moments, range and quartiles of the numeric columns."""
     return _round_stats(P.describe_numeric(Tables(spark, d).lineitem))
 
 
@@ -101,7 +101,7 @@ top AS (
     FROM long GROUP BY "column", v) WHERE rn = 1)
 SELECT s.*, top.top, top.freq FROM s LEFT JOIN top USING ("column")""")
 def describe_all(spark, d):
-    """PRF7: describe(include='all').T."""
+    """The same, with distinct values and the most frequent one of text columns."""
     return _round_stats(P.describe_all(Tables(spark, d).part))
 
 
@@ -137,7 +137,7 @@ _ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_or
     f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(*) AS rows FROM {_ORDERS_NULLS_SQL}"
     for c in _ORDER_COLS))
 def null_counts(spark, d):
-    """PRF9: isnull().sum() / isna().sum()."""
+    """Missing values in each column."""
     return P.null_counts(orders_with_nulls(Tables(spark, d)))
 
 
@@ -145,7 +145,7 @@ def null_counts(spark, d):
 SELECT count(*) FILTER (WHERE o_totalprice IS NULL) + count(*) FILTER (WHERE o_orderpriority IS NULL) AS total_nulls
 FROM {_ORDERS_NULLS_SQL}""")
 def null_total(spark, d):
-    """PRF10: total nulls sum(df.isna().sum())."""
+    """Missing values in the whole table."""
     return P.null_counts(orders_with_nulls(Tables(spark, d))).agg(F.sum("nulls").alias("total_nulls"))
 
 
@@ -157,7 +157,7 @@ SELECT * FROM (
   SELECT 'o_orderpriority', round_even(100.0 * count(*) FILTER (WHERE o_orderpriority IS NULL) / count(*), 2)
   FROM {_ORDERS_NULLS_SQL}) WHERE pct > 0""")
 def null_rate(spark, d):
-    """PRF11: null **percentage** per column, only if > 0, rounded 2."""
+    """Per cent of missing values, of the columns that have any."""
     n = P.null_counts(orders_with_nulls(Tables(spark, d)))
     return (n.select("column", F.bround(100.0 * F.col("nulls") / F.col("rows"), 2).alias("pct"))
             .where(F.col("pct") > 0))
@@ -178,7 +178,7 @@ def null_fraction(spark, d):
 WITH k AS (SELECT (o_totalprice IS NULL)::INTEGER + (o_orderpriority IS NULL)::INTEGER AS k FROM {_ORDERS_NULLS_SQL})
 SELECT k, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM k GROUP BY k""")
 def null_per_row_hist(spark, d):
-    """PRF13: distribution of nulls **per row**: isna().sum(axis=1).value_counts()/n."""
+    """How many rows have how many missing fields."""
     o = orders_with_nulls(Tables(spark, d))
     feats = [c for c in o.columns if c not in ("o_orderkey", "o_orderstatus")]
     h = P.null_per_row_hist(o, feats)
@@ -199,7 +199,7 @@ UNION ALL SELECT 'rows_with_k_nulls', CAST(k AS VARCHAR), round(count(*) / sum(c
   SELECT (o_totalprice IS NULL)::INTEGER + (o_orderpriority IS NULL)::INTEGER
          + (o_custkey IS NULL)::INTEGER + (o_orderdate IS NULL)::INTEGER AS k FROM o) GROUP BY k""")
 def missing_report(spark, d):
-    """CMP18: null counts, null fraction per feature, share of rows by number
+    """Null counts, null fraction per feature, share of rows by number
     of missing features — long form (metric, item, value)."""
     o = orders_with_nulls(Tables(spark, d))
     feats = ["o_totalprice", "o_orderpriority", "o_custkey", "o_orderdate"]
@@ -221,7 +221,7 @@ SELECT column_name AS "column",
        (SELECT count(*) FROM lineitem) AS non_null
 FROM information_schema.columns WHERE table_name = 'lineitem'""")
 def columns_by_type(spark, d):
-    """PRF14: split columns by dtype (float64 → numeric, else categorical)."""
+    """Fractional columns apart from all others."""
     return P.columns_by_type(Tables(spark, d).lineitem)
 
 
@@ -233,7 +233,7 @@ UNION ALL SELECT 'p_type', count(DISTINCT p_type) FROM part
 UNION ALL SELECT 'p_size', count(DISTINCT p_size) FROM part
 UNION ALL SELECT 'p_retailprice', count(DISTINCT p_retailprice) FROM part""")
 def nunique_all(spark, d):
-    """PRF15: nunique() per column."""
+    """Distinct values of each column."""
     return P.nunique(Tables(spark, d).part)
 
 
@@ -248,17 +248,17 @@ WITH long AS (
 SELECT DISTINCT "column", value FROM long
 WHERE "column" IN (SELECT "column" FROM long GROUP BY "column" HAVING count(DISTINCT value) < 50)""")
 def low_card_values(spark, d):
-    """PRF16: list the values of columns with < 50 distinct values."""
+    """The values of columns that have fewer than 50."""
     return P.low_cardinality_values(Tables(spark, d).orders, 50)
 
 
 @query("distinct_values", oracle="SELECT DISTINCT o_orderpriority FROM orders")
 def distinct_values(spark, d):
-    """PRF17: unique() (first-seen order) / np.unique (sorted)."""
+    """The values of one column, in order."""
     return Tables(spark, d).orders.select("o_orderpriority").distinct().orderBy("o_orderpriority")
 
 
 @query("scalar_max", oracle="SELECT max(o_totalprice) AS max_totalprice FROM orders")
 def scalar_max(spark, d):
-    """PRF18: scalar max()."""
+    """The largest value of a column."""
     return Tables(spark, d).orders.agg(F.max("o_totalprice").alias("max_totalprice"))

@@ -53,7 +53,7 @@ SELECT medal_class, n_name, medals, rank FROM (
 WHERE rank <= 10
 """)
 def top10_by_class(spark, sf_dir):
-    """CMP13: top 10 nations per medal class and over all classes."""
+    """Top 10 nations per medal class and over all classes."""
     f = medal_facts(Tables(spark, sf_dir))
     g = (f.groupingSets([["medal_class", "n_name"], ["n_name"]], "medal_class", "n_name")
          .agg(F.sum("k").alias("medals"), F.grouping_id().alias("_g"))
@@ -89,7 +89,7 @@ c AS (
 SELECT *, CAST(year(date_added) AS INTEGER) AS year_added, CAST(month(date_added) AS INTEGER) AS month_added,
        monthname(date_added) AS month_name_added FROM c""")
 def catalog_clean(spark, d):
-    """CMP3: parse text dates, fill the mode / a constant, drop rows still
+    """Parse text dates, fill the mode / a constant, drop rows still
     missing, drop duplicates, derive year / month / month name."""
     from loupe.plans.common import inject_nulls
     o = Tables(spark, d).orders
@@ -120,7 +120,7 @@ SELECT n_name, AUTOMOBILE + BUILDING + FURNITURE + HOUSEHOLD + MACHINERY AS tota
        round(FURNITURE / total, 6) AS FURNITURE, round(HOUSEHOLD / total, 6) AS HOUSEHOLD,
        round(MACHINERY / total, 6) AS MACHINERY FROM p""")
 def share_by_top_group(spark, d):
-    """CMP4: for the 11 nations with most customers, each segment's share of
+    """For the 11 nations with most customers, each segment's share of
     the nation's customers (pivot, row total, row share), by total desc."""
     j = _cust_nation(Tables(spark, d))
     top = semi_join_top_k(j, "n_name", 11)
@@ -133,21 +133,23 @@ def share_by_top_group(spark, d):
 
 @query("mirrored_counts", oracle="""
 SELECT o_orderpriority, -count(*) FILTER (WHERE o_orderstatus = 'F') AS F,
-       count(*) FILTER (WHERE o_orderstatus = 'O') AS O FROM orders GROUP BY 1""")
+       count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY 1""")
 def mirrored_counts(spark, d):
-    """CMP5: priority x status counts (missing = 0), one side negated for a
+    """Priority x status counts (missing = 0), one side negated for a
     mirrored bar chart."""
-    p = A.pivot_counts(Tables(spark, d).orders.where(F.col("o_orderstatus").isin("F", "O")),
-                       "o_orderpriority", "o_orderstatus", ["F", "O"])
-    return p.select("o_orderpriority", (-F.col("F")).alias("F"), "O")
+    o = Tables(spark, d).orders.select("o_orderpriority", "o_orderstatus")
+    classes = A.values_of(o, "o_orderstatus")
+    p = A.pivot_counts(o, "o_orderpriority", "o_orderstatus", classes)
+    # the first class points the other way
+    return p.select("o_orderpriority", (-F.col(f"`{classes[0]}`")).alias(classes[0]), *[f"`{c}`" for c in classes[1:]])
 
 
 @query("counts_per_year", oracle="""
 SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS count FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
 def counts_per_year(spark, d):
-    """CMP6: filter one type, count per year, sort by year."""
+    """Filter one type, count per year, sort by year."""
     o = Tables(spark, d).orders.where(F.col("o_orderstatus") == "F").withColumn("year", F.year("o_orderdate"))
-    return A.value_counts(o, "year").orderBy("year")
+    return A.value_counts(o, "year", ordered=False).orderBy("year")
 
 
 @query("mix_of_top_groups", oracle="""
@@ -156,10 +158,10 @@ top AS (SELECT n_name FROM j GROUP BY 1 ORDER BY count(*) DESC, n_name LIMIT 10)
 c AS (SELECT n_name, c_mktsegment, count(*) AS n FROM j WHERE n_name IN (SELECT n_name FROM top) GROUP BY 1, 2)
 SELECT c_mktsegment, n_name, round(n / sum(n) OVER (PARTITION BY n_name), 6) AS share FROM c""")
 def mix_of_top_groups(spark, d):
-    """CMP7: segment mix within each of the top 10 nations (crosstab
+    """Segment mix within each of the top 10 nations (crosstab
     normalised by nation, transposed to segment rows; long form)."""
     j = semi_join_top_k(_cust_nation(Tables(spark, d)), "n_name", 10)
-    c = A.value_counts(j, ["n_name", "c_mktsegment"], "n")
+    c = A.value_counts(j, ["n_name", "c_mktsegment"], "n", ordered=False)
     s = A.share_within(c, "n_name", "n", "share")
     return s.select("c_mktsegment", "n_name", r("share").alias("share"))
 
@@ -174,7 +176,7 @@ SELECT o_orderstatus, n_name, round_even(avg(oy), 0) + 0.0 AS mean_order_year, r
        round_even(avg(sy), 0) - round_even(avg(oy), 0) + 0.0 AS gap
 FROM j WHERE n_name IN (SELECT n_name FROM top) AND o_orderstatus IN ('F', 'O') GROUP BY 1, 2""")
 def gap_of_top_groups(spark, d):
-    """CMP8: for the top 10 nations, mean order year vs mean first-ship year
+    """For the top 10 nations, mean order year vs mean first-ship year
     (rounded half to even), per status."""
     t = Tables(spark, d)
     ship = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("first_ship"))
@@ -201,7 +203,7 @@ SELECT pairs.feature_i, pairs.feature_j,
        round((n * coalesce(kab, 0) - ki * kj) / sqrt(ki * (n - ki) * kj * (n - kj)), 9) AS corr
 FROM pairs LEFT JOIN pr USING (feature_i, feature_j), n""")
 def tag_correlation(spark, d):
-    """CMP9: filter one brand, split names into tags, Pearson correlation of
+    """Filter one brand, split names into tags, Pearson correlation of
     the indicators of every tag pair (lower triangle)."""
     p = Tables(spark, d).part.where(F.col("p_brand") == "Brand#1").select(
         "p_partkey", F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("tags"))
@@ -211,7 +213,7 @@ def tag_correlation(spark, d):
 @query("top_members", oracle="""
 SELECT o_custkey, count(o_orderkey) AS n_orders FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def top_members(spark, d):
-    """CMP10: members with the most records (count, then top 10)."""
+    """Members with the most records (count, then top 10)."""
     g = A.group_count(Tables(spark, d).orders, "o_custkey", "o_orderkey", "n_orders")
     return A.top_k(g, [F.col("n_orders").desc(), F.col("o_custkey")], 10)
 
@@ -224,7 +226,7 @@ s AS (SELECT n_name, c_mktsegment, o_orderpriority, year, count(*) AS size FROM
       ORDER BY size DESC, n_name, c_mktsegment, o_orderpriority, year LIMIT 100)
 SELECT n_name, c_mktsegment, CAST(sum(size) AS BIGINT) AS total FROM s GROUP BY 1, 2""")
 def top_combinations(spark, d):
-    """CMP11: size per (nation, segment, priority, year), top 100, then summed
+    """Size per (nation, segment, priority, year), top 100, then summed
     by (nation, segment)."""
     t = Tables(spark, d)
     # orders reduced to (customer, priority, year) counts before the customer join
@@ -242,7 +244,7 @@ def top_combinations(spark, d):
 SELECT p.p_type, l.l_returnflag, count(l.l_orderkey) AS count
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_returnflag IN ('A', 'R') GROUP BY 1, 2""")
 def stacked_by_class(spark, d):
-    """CMP14: counts per (type, class), kept for the chosen classes."""
+    """Counts per (type, class), kept for the chosen classes."""
     t = Tables(spark, d)
     # count per (part, class) first, so only those rows meet the part dimension
     pre = (t.lineitem.where(F.col("l_returnflag").isin("A", "R"))
@@ -262,7 +264,7 @@ UNION ALL SELECT 'weekday', weekday, round(avg(sales), 6), count(*) FROM j GROUP
 UNION ALL SELECT 'p_brand', p_brand, round(avg(sales), 6), count(*) FROM j GROUP BY 2
 UNION ALL SELECT 'p_size', p_size, round(avg(sales), 6), count(*) FROM j GROUP BY 2""")
 def dimension_means(spark, d):
-    """CMP15: date parts + left join to the product dimension, then mean
+    """Date parts + left join to the product dimension, then mean
     sales by five dimensions in one GROUPING SETS pass."""
     t = Tables(spark, d)
     li = t.lineitem.select("l_partkey", F.col("l_extendedprice").alias("sales"), "l_shipdate")
@@ -283,7 +285,7 @@ t AS (SELECT 'supplier' AS level, s_name AS name, sum(sales) AS total FROM j GRO
 SELECT level, name, round(total / 1e6, 6) AS total_m, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY level ORDER BY total DESC, name) AS rank FROM t) WHERE rank <= 55""")
 def totals_in_millions(spark, d):
-    """CMP16: total sales per supplier / nation / region, top 55 each, in
+    """Total sales per supplier / nation / region, top 55 each, in
     millions (one GROUPING SETS aggregate after pre-aggregating per supplier)."""
     t = Tables(spark, d)
     per_supp = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.sum("l_extendedprice").alias("sales"))

@@ -33,7 +33,7 @@ def _win(n_pre, n_post=0):
 @query("time_dummy", oracle=f"""
 SELECT ds, round(y, 6) AS y, row_number() OVER (ORDER BY ds) - 1 AS t FROM {DAILY_SQL}""")
 def time_dummy(spark, d):
-    """PRJ10: np.arange(len(df)) time dummy."""
+    """A counter along the daily series."""
     s = S.position(daily_orders(Tables(spark, d)), "ds")
     return s.select("ds", r("y", 6).alias("y"), "t")
 
@@ -41,7 +41,7 @@ def time_dummy(spark, d):
 @query("lag_feature", oracle=f"""
 SELECT ds, round(y, 6) AS y, round(lag(y, 1) OVER (ORDER BY ds), 6) AS y_lag_1 FROM {DAILY_SQL}""")
 def lag_feature(spark, d):
-    """WIN1: shift(k)."""
+    """The value one day before."""
     s = S.with_lags(daily_orders(Tables(spark, d)), "y", "ds", [1])
     return s.select("ds", r("y", 6).alias("y"), r("y_lag_1", 6).alias("y_lag_1"))
 
@@ -108,7 +108,7 @@ WITH c AS (SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT l_quantity, n, CAST(sum(n) OVER (ORDER BY l_quantity) AS BIGINT) AS cum_n,
        round(sum(n) OVER (ORDER BY l_quantity) / sum(n) OVER (), 9) AS ecdf FROM c""")
 def ecdf(spark, d):
-    """WIN9: empirical CDF ECDF(x)."""
+    """Share of rows up to each value."""
     e = S.ecdf(Tables(spark, d).lineitem, "l_quantity")
     return e.select("l_quantity", "n", "cum_n", r("ecdf", 9).alias("ecdf"))
 
@@ -119,7 +119,7 @@ _STATUS_YEAR_SQL = """(SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orde
 
 def _status_year(t):
     o = t.orders.withColumn("year", F.year("o_orderdate"))
-    return value_counts(o, ["year", "o_orderstatus"], "n")
+    return value_counts(o, ["year", "o_orderstatus"], "n", ordered=False)
 
 
 @query("stacked_cumsum", oracle=f"""
@@ -206,7 +206,7 @@ def series_slice(spark, d):
 @query("trend_features", oracle=f"""
 SELECT ds, 1.0::DOUBLE AS const, row_number() OVER (ORDER BY ds) AS trend FROM {DAILY_SQL}""")
 def trend_features(spark, d):
-    """TSF1: DeterministicProcess(constant, order=1, drop=True).in_sample()."""
+    """Constant and linear trend along the series."""
     s = S.position(daily_orders(Tables(spark, d)), "ds", out="trend", start=1)
     return s.select("ds", F.lit(1.0).alias("const"), "trend")
 
@@ -234,7 +234,7 @@ SELECT week, round(y, 6) AS y, """ + ", ".join(
     f"round(avg(y) OVER (ORDER BY week ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6) AS ma_{n}"
     for n in (4, 16, 28, 40, 52)) + " FROM x")
 def weekly_moving_averages(spark, d):
-    """CMP1: weekly mean of the daily series, then 4/16/28/40/52-week trailing
+    """Weekly mean of the daily series, then 4/16/28/40/52-week trailing
     means with partial windows."""
     w = S.resample_weekly(daily_orders(Tables(spark, d)), "ds", "y")
     w = S.rolling(w, "y", "week", (4, 16, 28, 40, 52), min_periods=1)
@@ -245,7 +245,7 @@ def weekly_moving_averages(spark, d):
 SELECT ds, round(y, 6) AS y, round(avg(y) OVER ({_win(9)}), 6) AS ma_10,
        round(avg(y) OVER ({_win(49)}), 6) AS ma_50 FROM {DAILY_SQL}""")
 def daily_moving_averages(spark, d):
-    """CMP2: daily series with 10- and 50-day trailing means."""
+    """Daily series with 10- and 50-day trailing means."""
     s = daily_orders(Tables(spark, d))
     s = S.rolling(s, "y", "ds", (10, 50), min_periods=1)
     return s.select("ds", r("y", 6).alias("y"), r("y_roll10_mean", 6).alias("ma_10"), r("y_roll50_mean", 6).alias("ma_50"))

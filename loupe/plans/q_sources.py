@@ -135,7 +135,7 @@ SELECT CAST(year(l_shipdate) AS INTEGER) AS year,
        round(sum(l_extendedprice), 2) AS revenue
 FROM lineitem GROUP BY 1, 2""")
 def revenue_from_html(spark, d):
-    """CMP20: first table matching 'Quarterly Revenue' of each page -> name
+    """First table matching 'Quarterly Revenue' of each page -> name
     the columns -> strip '$' and ',' -> drop blank and null revenue."""
     pages = revenue_pages(Tables(spark, d))
     t = H.first_matching_table(pages, "year", "html", "Quarterly Revenue")

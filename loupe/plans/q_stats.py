@@ -48,11 +48,24 @@ def lag_correlation(spark, d):
     return c.select("lag", r("corr", 9).alias("corr"))
 
 
-@query("pacf")
+@query("pacf", oracle=f"""
+WITH RECURSIVE s AS (SELECT ds, y - avg(y) OVER () AS d, count(*) OVER () AS n FROM {DAILY_SQL}),
+g AS (SELECT [{", ".join(f"sum(d * l{k}) / max(n)" for k in range(25))}] AS a
+      FROM (SELECT n, d, {", ".join(f"lag(d, {k}) OVER (ORDER BY ds) AS l{k}" for k in range(25))} FROM s)),
+rho AS (SELECT list_transform(a, lambda x: x / a[1]) AS r FROM g),
+dl(k, phi, pacf) AS (
+  SELECT 1, [r[2]], r[2] FROM rho
+  UNION ALL
+  SELECT k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - nxt * phi[k + 1 - j]), nxt), nxt
+  FROM (SELECT k, phi, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])))
+                       / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1]))) AS nxt FROM dl, rho WHERE k < 24))
+SELECT CAST(k AS INTEGER) AS lag, round(r[k + 1], 9) AS acf, round(pacf, 9) AS pacf FROM dl, rho
+UNION ALL SELECT 0, 1.0, 1.0""")
 def pacf(spark, d):
     """ACF and PACF up to lag 24 (Yule-Walker / Durbin-Levinson on the
     autocovariances, which come from one Spark aggregate)."""
-    return ST.pacf(daily_orders(Tables(spark, d)), "y", "ds", 24)
+    p = ST.pacf(daily_orders(Tables(spark, d)), "y", "ds", 24)
+    return p.select("lag", r("acf", 9).alias("acf"), r("pacf", 9).alias("pacf"))
 
 
 @query("autocovariance", oracle=f"""
@@ -70,7 +83,7 @@ def autocovariance(spark, d):
 @query("zscore", oracle=f"""
 SELECT ds, round((y - avg(y) OVER ()) / stddev_samp(y) OVER (), 9) AS z FROM {DAILY_SQL}""")
 def zscore(spark, d):
-    """STA4: z-score (x-mean)/std."""
+    """Distance from the mean in standard deviations."""
     z = ST.zscore(daily_orders(Tables(spark, d)), "y")
     return z.select("ds", r("z", 9).alias("z"))
 
@@ -134,7 +147,7 @@ b AS (SELECT lang, CAST(floor((x - lo) / w) AS BIGINT) AS bin, lo, w FROM v, st2
 c AS (SELECT lang, bin, count(*) AS count, round(max(lo + bin * w), 6) AS bin_start FROM b GROUP BY 1, 2)
 SELECT lang, bin, bin_start, count, round(100.0 * count / sum(count) OVER (PARTITION BY lang), 6) AS percent FROM c""")
 def histogram_percent(spark, d):
-    """CMP19: word-count distribution per language as percent histograms
+    """Word-count distribution per language as percent histograms
     with shared Freedman-Diaconis bins."""
     docs = Tables(spark, d).documents.select("lang", word_count("text").alias("n_words"))
     h = ST.fd_histogram(docs, "n_words", "lang")
@@ -153,8 +166,21 @@ def seasonal_means(spark, d):
     return m.select("kind", "period", "position", r("mean").alias("mean"), "n")
 
 
-@query("lowess_binned")
+@query("lowess_binned", oracle=f"""
+WITH v AS (SELECT * FROM (SELECT y / 1e6 AS y, lag(y / 1e6) OVER (ORDER BY ds) AS x FROM {DAILY_SQL}) WHERE x IS NOT NULL AND y IS NOT NULL),
+st AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM v),
+b AS (SELECT least(floor((x - lo) / ((hi - lo) / 200)), 199) AS b, x, y, n FROM v, st),
+g AS (SELECT CAST(b AS BIGINT) AS b, count(*) AS m, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, max(n) AS n, sum(x) / count(*) AS c FROM b GROUP BY 1),
+p AS (SELECT c.b AS centre_bin, c.c AS centre, c.n, g.b, g.m, g.sx, g.sy, g.sxx, g.sxy, abs(g.c - c.c) AS d FROM g c, g),
+q AS (SELECT *, sum(m) OVER (PARTITION BY centre_bin ORDER BY d, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM p),
+h AS (SELECT centre_bin, min(d) AS h FROM q WHERE cum >= ceil(n * (2.0 / 3.0)) GROUP BY 1),
+w AS (SELECT p.*, CASE WHEN u < 1 THEN pow(1 - pow(u, 3), 3) ELSE 0 END AS w FROM (SELECT p.*, CASE WHEN h > 0 THEN d / h ELSE 0 END AS u FROM p JOIN h USING (centre_bin)) p),
+s AS (SELECT centre_bin, centre, sum(w * m) AS s0, sum(w * sx) AS s1, sum(w * sxx) AS s2, sum(w * sy) AS t0, sum(w * sxy) AS t1 FROM w GROUP BY 1, 2),
+l AS (SELECT *, (s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) AS slope FROM s)
+SELECT centre_bin, round(centre, 6) AS centre, round((t0 - slope * s1) / s0 + slope * centre, 6) AS fitted FROM l""")
 def lowess_binned(spark, d):
-    """Lag plot smoother: LOWESS of y_t on y_{t-1} (millions), 200 bins."""
+    """Lag plot smoother: locally weighted fit of y_t on y_{t-1} (millions),
+    200 bins."""
     s = S.with_lags(daily_orders(Tables(spark, d)).withColumn("y", F.col("y") / 1e6), "y", "ds", [1])
-    return ST.lowess_binned(s, "y_lag_1", "y")
+    f = ST.lowess_binned(s, "y_lag_1", "y")
+    return f.select(F.col("centre_bin").cast("long").alias("centre_bin"), r("centre").alias("centre"), r("fitted").alias("fitted"))

@@ -12,6 +12,7 @@ from loupe.operators import aggregate as A
 from loupe.plans.common import r
 from loupe.operators.wordcloud import word_cloud as word_cloud_table
 from loupe.plans.registry import query
+from loupe.session import stored
 from loupe.sources.tables import Tables
 
 _STOP_SQL = ", ".join("('" + w.replace("'", "''") + "')" for w in T.STOP_WORDS)
@@ -20,7 +21,7 @@ _STOP_SQL = ", ".join("('" + w.replace("'", "''") + "')" for w in T.STOP_WORDS)
 # ---------------------------------------------------------------- strings
 @query("first_token", oracle="SELECT p_partkey, split_part(p_name, ' ', 1) AS first_token FROM part")
 def first_token(spark, d):
-    """TXT1: x.split(' ')[0], x.split(',')[0]."""
+    """The first part of a text."""
     p = Tables(spark, d).part
     return p.select("p_partkey", T.first_token("p_name").alias("first_token"))
 
@@ -63,7 +64,7 @@ def _list_text():
 WITH t AS (SELECT p_partkey, string_split(replace(replace({_LIST_TEXT_SQL}, ' ,', ','), ', ', ','), ',') AS l FROM part)
 SELECT p_partkey, CAST(i AS INTEGER) AS pos, l[i] AS member FROM t, range(1, len(l) + 1) AS r(i)""")
 def split_list(spark, d):
-    """TXT3: replace(' ,',',').replace(', ',',').split(',')."""
+    """Members of a text list, blanks around commas ignored."""
     p = Tables(spark, d).part.select("p_partkey", T.split_list(_list_text()).alias("l"))
     return p.select("p_partkey", F.posexplode("l").alias("pos", "member")).select(
         "p_partkey", (F.col("pos") + 1).alias("pos"), "member")
@@ -73,7 +74,7 @@ def split_list(spark, d):
 SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS n_words
 FROM documents""")
 def word_count(spark, d):
-    """TXT5: len(x.split())."""
+    """Words of a text."""
     return Tables(spark, d).documents.select("doc_id", T.word_count("text").alias("n_words"))
 
 
@@ -143,15 +144,20 @@ SELECT c_mktsegment, printf('%.2f', pct) AS pct_label, CAST(trunc(pct) AS BIGINT
 def format_labels(spark, d):
     """Shares as labels: two decimals, whole per cent, three significant
     digits."""
-    vc = A.value_counts(Tables(spark, d).customer, "c_mktsegment", "n")
+    vc = A.value_counts(Tables(spark, d).customer, "c_mktsegment", "n", ordered=False)
     s = A.share_of_total(vc, "n", "pct", scale=100.0)
     return s.select("c_mktsegment", F.format_string("%.2f", "pct").alias("pct_label"),
                     F.concat(F.floor("pct").cast("string"), F.lit("%")).alias("int_label"),
                     T.significant("pct", 3).alias("short_label"))
 
 
+# The words of which the generated part names are made.
+_NAME_WORDS = "anvil blue bolt cold gear gizmo hot large new old plate red ring rod small widget".split()
+
+
 @query("multi_hot", oracle="""
-PIVOT (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS tag FROM part) ON tag USING CAST(count(*) AS INTEGER)""")
+WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS tag FROM part)
+SELECT p_partkey, """ + ", ".join(f"CAST(count(*) FILTER (WHERE tag = '{w}') > 0 AS INTEGER) AS {w}" for w in _NAME_WORDS) + " FROM t GROUP BY p_partkey")
 def multi_hot(spark, d):
     """List column -> 0/1 indicator per class.  Step 1 finds the classes
     (one aggregate; the result has a column for each), step 2 is a narrow
@@ -171,11 +177,11 @@ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY span_start
        CAST(count(*) OVER (PARTITION BY conv_id) AS INTEGER) AS n_spans
 FROM s""")
 def doc_spans(spark, d):
-    """NST2 / JOI8: per document the {start, end, label} spans of its turns
+    """Per document the {start, end, label} spans of its turns
     laid end to end with a newline; flat form (span_no, n_spans)."""
     from loupe.operators.nested import spans_from_pieces
     c = Tables(spark, d).conversations
-    s = spans_from_pieces(c, "conv_id", "turn", "text", "role")
+    s = stored(spans_from_pieces(c, "conv_id", "turn", "text", "role"), "spans")
     n = s.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n_spans"))
     s = s.join(n, "conv_id")
     return s.select("conv_id", F.col("piece_no").cast("int").alias("span_no"), F.col("start").alias("span_start"),
@@ -187,7 +193,7 @@ def doc_spans(spark, d):
 SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS date_text,
        CAST(strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y') AS DATE) AS parsed FROM orders""")
 def parse_dates(spark, d):
-    """DTE1: to_datetime(x[, format]), DatetimeIndex(x)."""
+    """Dates read from text."""
     o = Tables(spark, d).orders.select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("date_text"))
     return o.withColumn("parsed", D.parse_date("date_text", "dd/MM/yyyy"))
 
@@ -198,21 +204,21 @@ SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orde
        CAST(isodow(o_orderdate) - 1 AS INTEGER) AS weekday, CAST(dayofyear(o_orderdate) AS INTEGER) AS dayofyear
 FROM orders""")
 def date_parts(spark, d):
-    """DTE2: .year .month .day."""
+    """Parts of a date."""
     o = Tables(spark, d).orders
     return o.select("o_orderkey", *D.date_parts("o_orderdate"))
 
 
 @query("month_name", oracle="SELECT o_orderkey, monthname(o_orderdate) AS month_name FROM orders")
 def month_name(spark, d):
-    """DTE6: .month_name()."""
+    """The month's name."""
     return Tables(spark, d).orders.select("o_orderkey", D.month_name("o_orderdate").alias("month_name"))
 
 
 @query("week_period", oracle="""
 SELECT o_orderkey, CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start FROM orders""")
 def week_period(spark, d):
-    """PRJ11: PeriodIndex(freq='W')."""
+    """The week that holds a date."""
     return Tables(spark, d).orders.select("o_orderkey", D.week_start("o_orderdate").alias("week_start"))
 
 
@@ -243,7 +249,7 @@ SELECT o_orderkey, round(ln(o_totalprice), 9) AS log_price,
        round(CASE WHEN o_totalprice - 100000 > 0 THEN ln(o_totalprice - 100000) END, 9) AS log_excess
 FROM orders""")
 def log_transform(spark, d):
-    """MTH2: np.log."""
+    """Logarithms of a column."""
     o = Tables(spark, d).orders
     return o.select("o_orderkey", r(M.safe_log("o_totalprice"), 9).alias("log_price"),
                     r(M.safe_log(F.col("o_totalprice") - 100000), 9).alias("log_excess"))
