@@ -188,6 +188,8 @@ def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence
     all groups in tables.  A hot group is counted map-side.  Groups without a
     value have nulls; a null key is a group."""
     keys = list(keys)
+    if not keys:
+        return quantiles_by(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, names).drop("_all")
 
     @F.pandas_udf("long")
     def bits(v: pd.Series) -> pd.Series:
@@ -222,10 +224,8 @@ def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence
         found = found.unionByName(d)
     found = found.groupBy(*keys).agg(*[F.max(F.when(F.col("wanted") == i, F.col("v"))).alias(f"_v{i}") for i in range(2 * len(probs))])
     same = [F.col(f"n.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
-    j = n.alias("n").join(found.alias("f"), same) if keys else n.alias("n").join(F.broadcast(found.alias("f")))
-    out = j.select(*[f"n.{k}" for k in keys], *[_between(F.col(f"f._v{2 * i}"), F.col(f"f._v{2 * i + 1}"), float(p) * (F.col("n.n") - 1)).alias(name)
+    return n.alias("n").join(found.alias("f"), same).select(*[f"n.{k}" for k in keys], *[_between(F.col(f"f._v{2 * i}"), F.col(f"f._v{2 * i + 1}"), float(p) * (F.col("n.n") - 1)).alias(name)
                                                for i, (p, name) in enumerate(zip(probs, names))])
-    return out
 
 
 def _between(low: Column, high: Column, at: Column) -> Column:

@@ -42,10 +42,11 @@ def test_adf_by_key_uses_each_series_own_lag_limit(spark):
         assert by[s]["usedlag"] == one["usedlag"] and abs(by[s]["adf_stat"] - one["adf_stat"]) < 1e-6
 
 
-def test_even_centred_window_matches_pandas(spark):
+def test_even_centred_window_matches_pandas(spark, monkeypatch):
     df = spark.createDataFrame([(i, float(i)) for i in range(1, 7)], "t int, y double")
-    for far in (False, True):
-        got = S.rolling(df, "y", "t", 4, min_periods=1, stats=("sum",), centered=True, distributed=far).orderBy("t")
+    for rows in (1 << 16, 4):  # in one block, and in two
+        monkeypatch.setattr(S, "BLOCK_ROWS", rows)
+        got = S.rolling(df, "y", "t", 4, min_periods=1, stats=("sum",), centered=True).orderBy("t")
         assert [r["y_roll4_sum"] for r in got.collect()] == [3, 6, 10, 14, 18, 15] == list(
             pd.Series(range(1, 7)).rolling(4, center=True, min_periods=1).sum())
 
