@@ -58,10 +58,13 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 
 def group_sum_numeric(df: DataFrame, keys, suffix: str = "") -> DataFrame:
-    """``groupby(k).sum()`` restricted to numeric columns."""
+    """Sums of the numeric columns in each group; whole numbers are summed as
+    decimals of 38 digits, which a large table does not overflow."""
     ks = _cols(keys)
+    whole = {c for c, t in df.dtypes if t in ("bigint", "int", "smallint", "tinyint")}
     cols = numeric_columns(df, ks)
-    return not_null_keys(df, ks).groupBy(*ks).agg(*[F.sum(c).alias(c + suffix) for c in cols])
+    return not_null_keys(df, ks).groupBy(*ks).agg(*[
+        F.sum(F.col(c).cast("decimal(38,0)") if c in whole else F.col(c)).alias(c + suffix) for c in cols])
 
 
 def grouping_sets_mean(df: DataFrame, dims: Sequence[str], measure: str,

@@ -67,14 +67,11 @@ def mode_of(df: DataFrame, col: str) -> DataFrame:
 
 
 def fill_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fill nulls of each column with its mode; typed per column.
-
-    Each mode is a one-row top-1 result, so it is broadcast."""
-    out = df
-    for c in cols:
-        out = with_scalars(out, mode_of(df, c).withColumnRenamed("_mode", f"_mode_{c}"))
-    return out.select(*[F.coalesce(F.col(c), F.col(f"_mode_{c}")).alias(c) if c in cols else F.col(c)
-                        for c in df.columns])
+    """Fill nulls of each column with its mode (``modes``: one aggregate for
+    all columns); a column without values stays as it is."""
+    types = dict(df.dtypes)
+    found = {r["column"]: r["mode"] for r in modes(df, list(cols)).collect()}  # one row a column
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(found[c]).cast(types[c])).alias(c) if c in found else F.col(f"`{c}`") for c in df.columns])
 
 
 def drop_nulls(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:

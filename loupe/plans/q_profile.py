@@ -8,6 +8,7 @@ from loupe.operators import profile as P
 from loupe.operators.selection import quantiles_by
 from loupe.plans.common import inject_nulls, r
 from loupe.plans.registry import query
+from loupe.session import stored
 from loupe.sources.tables import TABLES, Tables
 
 # Null rule for the profiling queries: priority blank when key % 7 = 0,
@@ -203,7 +204,7 @@ def missing_report(spark, d):
     of missing features — long form (metric, item, value)."""
     o = orders_with_nulls(Tables(spark, d))
     feats = ["o_totalprice", "o_orderpriority", "o_custkey", "o_orderdate"]
-    n = P.null_counts(o, feats).cache()
+    n = stored(P.null_counts(o, feats), "nulls")
     a = n.select(F.lit("null_count").alias("metric"), F.col("column").alias("item"),
                  F.col("nulls").cast("double").alias("value"))
     b = n.select(F.lit("null_fraction").alias("metric"), F.col("column").alias("item"),

@@ -301,7 +301,7 @@ FROM lineitem GROUP BY l_returnflag""")
 def group_sum(spark, d):
     """Sums in each group."""
     s = A.group_sum_numeric(Tables(spark, d).lineitem, "l_returnflag")
-    return s.select(*[r(c, 4).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+    return s.select(*[r(c, 4).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t.startswith("decimal") else F.col(c) for c, t in s.dtypes])
 
 
 @query("group_mean_dims", oracle="""

@@ -18,14 +18,8 @@ def spread_small(df: DataFrame) -> DataFrame:
     cores (one small file with a single row group is one task).  On large
     inputs the scan already has more splits than cores and this is a no-op;
     filters and column pruning are pushed below the repartition."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # e.g. a Spark Connect session: leave the scan as it is
-        return df
-    if current < target:
-        return df.repartition(target)
-    return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

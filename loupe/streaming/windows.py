@@ -1,10 +1,10 @@
-"""Streaming aggregations: readStream -> watermark -> windowed aggregate ->
-foreachBatch upserts into a table in the shared checkpoint folder.
+"""Streaming aggregations: readStream -> windowed aggregate ->
+foreachBatch appends to a table in the shared checkpoint folder.
 
 Each micro-batch writes the rows it updated, tagged with its batch id; the
-current result is the latest row per key.  A replayed batch rewrites the
-same rows (same batch id), so a restart after a lost executor or driver is
-safe; the stream's own checkpoint tracks source offsets and state."""
+current result is the latest row per key.  A replayed batch appends the same
+rows again under its batch id, which changes no latest row, so a restart after
+a lost executor or driver is safe; the stream's own checkpoint tracks source offsets and state."""
 
 from __future__ import annotations
 
