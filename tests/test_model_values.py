@@ -96,3 +96,23 @@ def test_tag_pairs_over_many_blocks(spark, monkeypatch):
     got = ST.tag_pairs(df, "tags").collect()
     assert len(got) == len(tags) * (len(tags) - 1) // 2
     assert all(r.feature_i > r.feature_j and abs(r["corr"] - want.loc[r.feature_i, r.feature_j]) < 1e-12 for r in got)
+
+
+def test_kernel_density_of_many_values(spark):
+    """Against the sum over all values, for skewed groups, one value, and two."""
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(size=700), "b": rng.lognormal(0, 1.5, 400), "one": np.array([2.0]), "same": np.full(5, 3.0), "two": np.array([0.0, 1.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("a", None)], "k string, x double").repartition(4)
+    got = ST.kde_grid(df, "x", "k").toPandas()
+    for k, v in groups.items():
+        g = got[got.k == k].sort_values("grid_i")
+        assert len(g) == 200
+        if k in ("one", "same"):
+            assert g.density.isna().all()
+            continue
+        h = v.std(ddof=1) * len(v) ** -0.2
+        x = v.min() - 3 * h + np.arange(200) * (v.max() - v.min() + 6 * h) / 199
+        want = np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * math.sqrt(2 * math.pi))
+        assert np.allclose(g.x, x) and np.abs(g.density - want).max() < 1e-12
+    whole = ST.kde_grid(df.where("k = 'a'"), "x").toPandas().sort_values("grid_i")
+    assert np.allclose(whole.density, got[got.k == "a"].sort_values("grid_i").density)
