@@ -367,7 +367,7 @@ WITH {_AR_SQL},
 g AS (SELECT resid AS e, """ + ", ".join(f"lag(resid, {k}) OVER (ORDER BY ds) AS l{k}" for k in range(1, 11)) + """ FROM f),
 m AS (SELECT avg(resid) AS mu, var_pop(resid) AS v FROM f),
 n AS (SELECT avg(pow(resid - mu, 3)) / pow(max(v), 1.5) AS skew, avg(pow(resid - mu, 4)) / pow(max(v), 2) - 3 AS kurt FROM f, m)
-SELECT 'moments' AS panel, 1.0 AS x, round(avg(resid), 6) AS y FROM f
+SELECT 'moments' AS panel, CAST(1 AS DOUBLE) AS x, round(avg(resid), 6) AS y FROM f
 UNION ALL SELECT 'moments', 2, round(var_samp(resid), 6) FROM f
 UNION ALL SELECT 'moments', 3, round(skew, 6) FROM n
 UNION ALL SELECT 'moments', 4, round(kurt, 6) FROM n
