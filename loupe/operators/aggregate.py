@@ -113,10 +113,19 @@ def pivot_counts(df: DataFrame, row: str, col: str, values: Sequence,
     return p
 
 
-def values_of(df: DataFrame, col: str) -> list:
-    """The distinct values of a column in order, for a pivot over all of them:
-    one per column of the result reaches the driver."""
-    return sorted(row[0] for row in not_null_keys(df, [col]).select(col).distinct().collect())
+def wide_counts(df: DataFrame, row: str, col: str, by_frequency: bool = False) -> tuple[DataFrame, list]:
+    """Counts as a table with one column for each value of ``col``, and those
+    values in order (or from the most frequent on).
+
+    The facts are counted once, in long form; the list of values and the wide
+    table come from the stored counts.  The list has one entry for each column
+    of the result."""
+    from loupe.session import stored
+    c = stored(not_null_keys(df, [row, col]).groupBy(row, col).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    totals = c.groupBy(col).agg(F.sum("_n").alias("_t"))
+    values = [x[0] for x in totals.orderBy(*([F.col("_t").desc()] if by_frequency else []), col).collect()]
+    p = c.groupBy(row).pivot(col, values).agg(F.sum("_n"))
+    return p.fillna(0, subset=[f"`{v}`" for v in values]), values
 
 
 def share_of_total(counts: DataFrame, count_col: str = "count", out: str = "share",

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from loupe.operators import aggregate as A
 from loupe.operators import relate as R
+from loupe.operators.scalars import with_scalars
 from loupe.plans.common import day, inject_nulls, r
 from loupe.plans.registry import query
+from loupe.session import stored
 from loupe.sources.tables import Tables
 
 
@@ -92,8 +94,7 @@ def reorder_cols(spark, d):
     """Pivot counts, then order the value columns by overall frequency: the
     list comes from the counts, one for each column of the result."""
     o = Tables(spark, d).orders
-    freq = [row[0] for row in A.value_counts(o, "o_orderpriority").select("o_orderpriority").collect()]
-    p = A.pivot_counts(o, "o_orderstatus", "o_orderpriority", freq)
+    p, freq = A.wide_counts(o, "o_orderstatus", "o_orderpriority", by_frequency=True)
     return p.select("o_orderstatus", *[F.col(f"`{v}`") for v in freq])
 
 
@@ -370,8 +371,7 @@ ON o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-L
 USING count(*) GROUP BY o_orderstatus""")
 def pivot_counts(spark, d):
     """Counts of two columns as a table, one column a value."""
-    o = Tables(spark, d).orders
-    return A.pivot_counts(o, "o_orderstatus", "o_orderpriority", A.values_of(o, "o_orderpriority"))
+    return A.wide_counts(Tables(spark, d).orders, "o_orderstatus", "o_orderpriority")[0]
 
 
 @query("crosstab_normalized", oracle="""
@@ -385,11 +385,11 @@ FROM s GROUP BY o_orderpriority""")
 def crosstab_normalized(spark, d):
     """crosstab(status, priority, normalize='index').T: shares within each
     status, laid out with priorities as rows and statuses as columns."""
-    c = A.value_counts(Tables(spark, d).orders, ["o_orderstatus", "o_orderpriority"], "n", ordered=False)
-    s = A.share_within(c, "o_orderstatus", "n", "share")
-    statuses = A.values_of(c, "o_orderstatus")
-    p = s.groupBy("o_orderpriority").pivot("o_orderstatus", statuses).agg(F.first("share"))
-    return p.select("o_orderpriority", *[r(F.col(f"`{x}`")).alias(x) for x in statuses])
+    p, statuses = A.wide_counts(Tables(spark, d).orders, "o_orderpriority", "o_orderstatus")
+    p = stored(p, "counts")  # one row a priority, one column a status
+    total = with_scalars(p, p.agg(*[F.sum(f"`{x}`").alias(f"_t_{x}") for x in statuses]))
+    share = lambda x: F.when(F.col(f"`{x}`") > 0, r(F.col(f"`{x}`") / F.col(f"`_t_{x}`")))
+    return total.select("o_orderpriority", *[share(x).alias(x) for x in statuses])
 
 
 @query("transpose_small", oracle="""
@@ -398,10 +398,9 @@ USING count(*) GROUP BY l_linestatus""")
 def transpose_small(spark, d):
     """Build returnflag x linestatus counts, then transpose the wide table
     (unpivot + pivot with the values that occur)."""
-    li = Tables(spark, d).lineitem
-    both = A.not_null_keys(li, ["l_returnflag", "l_linestatus"])
-    statuses, flags = A.values_of(both, "l_linestatus"), A.values_of(both, "l_returnflag")
-    wide = A.pivot_counts(li, "l_returnflag", "l_linestatus", statuses)
+    wide, statuses = A.wide_counts(Tables(spark, d).lineitem, "l_returnflag", "l_linestatus")
+    wide = stored(wide, "counts")
+    flags = sorted(x[0] for x in wide.select("l_returnflag").collect())  # one column of the result each
     long = wide.unpivot("l_returnflag", [f"`{s}`" for s in statuses], "l_linestatus", "n")
     return long.groupBy("l_linestatus").pivot("l_returnflag", flags).agg(F.first("n")).fillna(0)
 
@@ -428,9 +427,7 @@ SELECT o_orderstatus, "1-URGENT" + "2-HIGH" + "3-MEDIUM" + "4-NOT SPECIFIED" + "
 FROM p""")
 def row_share(spark, d):
     """Totals of rows of a table of counts, and the shares in them."""
-    o = Tables(spark, d).orders
-    priorities = A.values_of(o, "o_orderpriority")
-    p = A.pivot_counts(o, "o_orderstatus", "o_orderpriority", priorities)
+    p, priorities = A.wide_counts(Tables(spark, d).orders, "o_orderstatus", "o_orderpriority")
     total = A.row_sum([f"`{v}`" for v in priorities])
     return p.select("o_orderstatus", total.alias("total"),
                     *[r(F.try_divide(F.col(f"`{v}`"), total)).alias(v) for v in priorities])

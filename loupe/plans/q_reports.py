@@ -10,6 +10,7 @@ from loupe.operators.aggregate import top_n_per_group
 from loupe.operators.clean import recode
 from loupe.operators.relate import bounded, join_named
 from loupe.plans.registry import query
+from loupe.session import stored
 from loupe.sources.tables import Tables
 
 # The medal classes and their order-priority analogues.
@@ -122,13 +123,17 @@ SELECT n_name, AUTOMOBILE + BUILDING + FURNITURE + HOUSEHOLD + MACHINERY AS tota
 def share_by_top_group(spark, d):
     """For the 11 nations with most customers, each segment's share of
     the nation's customers (pivot, row total, row share), by total desc."""
-    j = _cust_nation(Tables(spark, d))
-    top = semi_join_top_k(j, "n_name", 11)
-    segments = A.values_of(top, "c_mktsegment")
-    p = A.pivot_counts(top, "n_name", "c_mktsegment", segments)
+    t = Tables(spark, d)
+    # customers are counted by nation key and segment before the names are joined
+    c = t.customer.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    names = bounded(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"))
+    c = stored(c.join(names, "c_nationkey").groupBy("n_name", "c_mktsegment").agg(F.sum("n").alias("n")), "segment-counts")
+    top = c.groupBy("n_name").agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "n_name").limit(11)
+    segments = sorted(x[0] for x in c.where("c_mktsegment is not null").select("c_mktsegment").distinct().collect())  # one column each
+    p = c.groupBy("n_name").pivot("c_mktsegment", segments).agg(F.sum("n")).fillna(0)
     total = A.row_sum([f"`{s}`" for s in segments])
-    return p.select("n_name", total.alias("total"), *[r(F.col(f"`{s}`") / total).alias(s) for s in segments]).orderBy(
-        F.col("total").desc(), "n_name")
+    return p.join(bounded(top.select("n_name")), "n_name", "left_semi").select(
+        "n_name", total.alias("total"), *[r(F.col(f"`{s}`") / total).alias(s) for s in segments]).orderBy(F.col("total").desc(), "n_name")
 
 
 @query("mirrored_counts", oracle="""
@@ -137,9 +142,7 @@ SELECT o_orderpriority, -count(*) FILTER (WHERE o_orderstatus = 'F') AS F,
 def mirrored_counts(spark, d):
     """Priority x status counts (missing = 0), one side negated for a
     mirrored bar chart."""
-    o = Tables(spark, d).orders.select("o_orderpriority", "o_orderstatus")
-    classes = A.values_of(o, "o_orderstatus")
-    p = A.pivot_counts(o, "o_orderpriority", "o_orderstatus", classes)
+    p, classes = A.wide_counts(Tables(spark, d).orders, "o_orderpriority", "o_orderstatus")
     # the first class points the other way
     return p.select("o_orderpriority", (-F.col(f"`{classes[0]}`")).alias(classes[0]), *[f"`{c}`" for c in classes[1:]])
 
