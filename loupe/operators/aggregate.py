@@ -103,16 +103,6 @@ def grouping_sets_ratio(df: DataFrame, dims: Sequence[str], sums: str, counts: s
     return g.select(dim_name.alias("dimension"), dim_val.alias("value"), out, "n")
 
 
-def pivot_counts(df: DataFrame, row: str, col: str, values: Sequence,
-                 fill: int | None = 0) -> DataFrame:
-    """Long -> wide counts with an explicit column list (no extra job to
-    discover values, and a bounded width)."""
-    p = not_null_keys(df, [row, col]).groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1)))
-    if fill is not None:
-        p = p.fillna(fill, subset=[f"`{v}`" for v in values])
-    return p
-
-
 def wide_counts(df: DataFrame, row: str, col: str, by_frequency: bool = False) -> tuple[DataFrame, list]:
     """Counts as a table with one column for each value of ``col``, and those
     values in order (or from the most frequent on).

@@ -97,12 +97,6 @@ def describe_long(long_df: DataFrame, key: str, value: str, exact: bool = True)
     return q.select(key, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def unpivot_as_string(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value-as-string) rows for the chosen columns (Expand)."""
-    x = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-    return x.unpivot([], list(cols), "column", "value")
-
-
 def top_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column: most frequent value (ties -> smallest) and its frequency."""
     from loupe.operators.clean import modes

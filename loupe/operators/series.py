@@ -24,12 +24,6 @@ def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def _w(keys, order):
-    ks = _keys(keys)
-    w = Window.partitionBy(*ks) if ks else Window
-    return w.orderBy(*([order] if isinstance(order, (str, Column)) else order))
-
-
 def daily(df: DataFrame, ts: str, value: Column, keys=None, out: str = "y") -> DataFrame:
     """Aggregate facts to one row per (keys, day): ``ds`` date + ``out``."""
     ks = _keys(keys)
