@@ -20,7 +20,7 @@ from loupe.llm.common import let, written
 PIECE = r"(?:\S+[^\S\n]*+){1,16}\n*+|\s+"
 LOAD = 8  # digests of both versions per small sketch
 LEVELS = ((4, 0, 0), (16, 6, 0), (64, 18, 0), (64, 0, 11))  # cells per part, first bit, rehash seed
-ROUNDS = 16
+ROUNDS = (6, 16, 16, 16)  # of peeling; a sketch that needs more is built again larger
 
 
 def digests(text: Column) -> Column:
@@ -36,33 +36,26 @@ def _check(d: Column) -> Column:
     return F.xxhash64(d, F.lit("check"))
 
 
-def _place(d: Column, part: int, level: tuple[int, int, int]) -> Column:
-    """A digest's cell within one of the three parts."""
+def _in_cell(d: Column, cell: Column, level: tuple[int, int, int]) -> Column:
     m, first, seed = level
+    bits = m.bit_length() - 1
     h = F.xxhash64(d, F.lit(seed)) if seed else d
-    return F.shiftrightunsigned(h, first + (m.bit_length() - 1) * part).bitwiseAND(F.lit(m - 1).cast("long"))
-
-
-def _cells(level: tuple[int, int, int], one) -> Column:
-    """``one(index of the cell, whether a digest is in it)`` for every cell."""
-    m = level[0]
-
-    def of(part: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: one(i + part * m, lambda d: _place(d, part, level) == i))
-    return F.concat(*[of(part) for part in range(3)])
+    part = lambda p: F.shiftrightunsigned(h, first + bits * p).bitwiseAND(F.lit(m - 1).cast("long")) + p * m
+    return (F.when(cell < m, part(0)).when(cell < 2 * m, part(1)).otherwise(part(2))) == cell
 
 
 def sketch(ds: Column, level: tuple[int, int, int]) -> Column:
     """Cells ``n, k, c`` of an array of digests."""
     cell = lambda s: F.struct(F.size(s).alias("n"), _xor(s).alias("k"), _xor(F.transform(s, _check)).alias("c"))
-    return _cells(level, lambda _, inside: let(F.filter(ds, inside), cell))
+    return F.transform(F.sequence(F.lit(0), F.lit(3 * level[0] - 1)),
+                       lambda i: let(F.filter(ds, lambda d: _in_cell(d, i, level)), cell))
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
 
 
-def peel(cells: Column, level: tuple[int, int, int]) -> Column:
+def peel(cells: Column, level: tuple[int, int, int], rounds: int = ROUNDS[-1]) -> Column:
     """``cells, got``: what is left, and the recovered digests with their side
     (1: first version, -1: second)."""
     pure = lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["c"])
@@ -75,49 +68,31 @@ def peel(cells: Column, level: tuple[int, int, int]) -> Column:
     def step(state: Column, _: Column) -> Column:
         new = F.array_distinct(F.transform(F.filter(state["cells"], pure), lambda c: F.struct(c["k"].alias("d"), c["n"].alias("s"))))
         after = lambda n: F.struct(
-            _cells(level, lambda i, inside: let(F.filter(n, lambda x: inside(x["d"])), lambda s: let(F.get(state["cells"], i), lambda c: less(c, s)))).alias("cells"),
+            F.transform(state["cells"], lambda c, i: let(F.filter(n, lambda x: _in_cell(x["d"], i, level)), lambda s: less(c, s))).alias("cells"),
             F.concat(state["got"], n).alias("got"))
         return let(new, lambda n: F.when(F.size(n) == 0, state).otherwise(after(n)))
 
     zero = F.struct(cells.alias("cells"), F.array().cast("array<struct<d:bigint,s:int>>").alias("got"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), zero, step)
-
-
-def _counted(rest: Column | None):
-    """Of a peeled sketch: its digests, or what the next size finds."""
-    def count(r: Column) -> Column:
-        left = F.exists(r["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0))
-        over = F.ceil(F.aggregate(r["cells"], F.lit(0), lambda t, c: t + F.abs(c["n"])) / 3).cast("int")
-        return F.when(~left, F.size(r["got"])).otherwise(F.size(r["got"]) + over if rest is None else rest)
-    return count
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), zero, step)
 
 
 def difference(a: Column, b: Column, levels=LEVELS) -> Column:
     """How many digests differ between two small digest arrays: peeled from
     their subtracted sketches, retried larger while cells remain; what the
     last size leaves counts by its cells."""
-    out = None
-    for level in reversed(levels):
-        out = let(peel(subtract(sketch(a, level), sketch(b, level)), level), _counted(out))
-    return out
-
+    def counted(rest: Column | None):
+        def count(r: Column) -> Column:
+            left = F.exists(r["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0))
+            over = F.ceil(F.aggregate(r["cells"], F.lit(0), lambda t, c: t + F.abs(c["n"])) / 3).cast("int")
+            return F.when(~left, F.size(r["got"])).otherwise(F.size(r["got"]) + over if rest is None else rest)
+        return count
 
-def subtracted(d: Column, s: Column, level: tuple[int, int, int]) -> list[Column]:
-    """Aggregates ``n<i>, k<i>, c<i>`` of the subtracted sketch of grouped
-    digests ``d`` with sides ``s`` (1 and -1; 0 is no digest)."""
-    m, out = level[0], []
-    for i in range(3 * m):
-        inside = (s != 0) & (_place(d, i // m, level) == i % m)
-        out += [F.sum(F.when(inside, s)).alias(f"n{i}"), F.bit_xor(F.when(inside, d)).alias(f"k{i}"), F.bit_xor(F.when(inside, _check(d))).alias(f"c{i}")]
+    out = None
+    for level, rounds in reversed(list(zip(levels, ROUNDS))):
+        out = let(peel(subtract(sketch(a, level), sketch(b, level)), level, rounds), counted(out))
     return out
 
 
-def gathered(level: tuple[int, int, int]) -> Column:
-    """Those aggregates as cells."""
-    of = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    return F.array(*[F.struct(of(f"n{i}").cast("int").alias("n"), of(f"k{i}").alias("k"), of(f"c{i}").alias("c")) for i in range(3 * level[0])])
-
-
 def fingerprint(text: Column, ds: Column) -> Column:
     """The whole text's smallest sketch as a string, after its length and hash."""
     cells = F.transform(sketch(ds, LEVELS[0]), lambda c: F.concat_ws(":", c["n"].cast("string"), F.hex(c["k"]), F.hex(c["c"])))
@@ -131,10 +106,8 @@ def likeness(pairs: DataFrame, info: list[str], a: str, others: list[str]) -> Da
     """``KEY``, ``info`` and for each of ``others`` ``near_<name>`` (1 -
     differing digests / digests of both; two texts without digests are alike).
 
-    The digests are dealt to small sketches by their upper bits, whose cells
-    are sums and XORs of one grouping; only those that do not peel build a
-    larger one.  All grouping is by KEY first, so rows that a join left
-    clustered by KEY stay there."""
+    The digests are dealt to small sketches by their upper bits.  All grouping
+    is by KEY first, so rows that a join left clustered by KEY stay there."""
     one = []
     for name in others:
         p = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(name)) / LOAD))
@@ -144,10 +117,10 @@ def likeness(pairs: DataFrame, info: list[str], a: str, others: list[str]) -> Da
     sizes = F.struct(*[(F.size(a) + F.size(name)).alias(name) for name in others], *info)
     rows = pairs.select(*KEY, sizes.alias("i"), F.explode(F.concat(*one, F.array(*ends))).alias("x"))
     rows = rows.select(*KEY, "x.o", "x.p", F.when(F.col("x.s") == 0, F.col("i")).alias("i"), F.struct("x.d", "x.s").alias("x"))
-    g = rows.groupBy(*KEY, "o", "p").agg(F.first("i", ignorenulls=True).alias("i"), F.collect_list("x").alias("x"), *subtracted(F.col("x.d"), F.col("x.s"), LEVELS[0]))
+    g = rows.groupBy(*KEY, "o", "p").agg(F.first("i", ignorenulls=True).alias("i"), F.collect_list("x").alias("x"))
     pick = lambda s: F.transform(F.filter("x", lambda x: x["s"] == s), lambda x: x["d"])
-    larger = let(F.struct(pick(1).alias("a"), pick(-1).alias("b")), lambda v: difference(v["a"], v["b"], LEVELS[1:]))
-    g = g.select(*KEY, "o", "i", let(peel(gathered(LEVELS[0]), LEVELS[0]), _counted(larger)).alias("n"))
+    g = g.select(*KEY, "o", "i", pick(1).alias("a"), pick(-1).alias("b"))
+    g = g.select(*KEY, "o", "i", difference(F.col("a"), F.col("b")).alias("n"))
     g = g.groupBy(*KEY).agg(F.first("i", ignorenulls=True).alias("i"), *[F.sum(F.when(F.col("o") == name, F.col("n")).otherwise(0)).alias(name) for name in others])
     near = lambda name: F.when(F.col(f"i.{name}") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col(name) / F.col(f"i.{name}")))
     return g.select(*KEY, *[F.col(f"i.{c}") for c in info], *[near(name).alias(f"near_{name}") for name in others])
