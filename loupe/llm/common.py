@@ -73,7 +73,14 @@ def _star(sym: DataFrame, larger: bool) -> DataFrame:
     else:
         out = sym.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every larger id has one edge and none is also a smaller one."""
+    ends = e.select(F.col("u").alias("id"), F.lit(1).alias("n")).unionByName(e.select(F.col("v").alias("id"), F.lit(0).alias("n")))
+    bad = ends.groupBy("id").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 or (n = 1 and least = 0)")
+    return bad.isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -81,17 +88,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     component being its smallest id.
 
     Alternates large-star and small-star contraction on the edge table until
-    it no longer changes; per round only two numbers reach the driver, and a
-    vertex with very many links is summed map-side before each join."""
+    it is stars; per round only that answer reaches the driver, and a vertex
+    with very many links is summed map-side before each join."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e, before = written(e, "cc"), None
-    while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
+    e = written(e, "cc")
+    while not _stars(e):
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(sym, True)
-        e = written(_star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False), "cc")
-    return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
+        large = _star(sym, True)  # repeats are dropped once a round, after both
+        e = written(_star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False).distinct(), "cc")
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

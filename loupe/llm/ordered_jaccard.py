@@ -43,6 +43,7 @@ BLOCK_KEY = ["token", "bi", "bj"]
 MEMBER = [*BLOCK_KEY, "id", "component", "side"]
 SLICE_BYTES = 4 << 20  # of text hashed together
 WANTED_ROWS = 1_000_000  # ids of at most 16 bytes: 16 MB, the most that is broadcast
+PAIR_WORDS = 1 << 19  # pairs, and bitmap words of pairs, held at once
 FEWEST_BITS, MOST_BITS = 256, 1 << 16  # of a parity bitmap
 BITMAP_SEED = 0x94D049BB133111EB
 SEEDS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # of orders 3 and 4
@@ -219,29 +220,32 @@ def _verified(percent: int):
 
 
 def candidates(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[np.ndarray], two: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Members of one block (or of a pair of blocks) with those after them that
-    are in another component and pass the size and bitmap bounds.  Two members
+    """Members of one block (or of a pair of blocks) with those not smaller that
+    are in another component and pass the size and bitmap bounds, each pair once.  Two members
     of one side of a pair of blocks are left to that block."""
-    m = len(n)
     if (comp == comp[0]).all():
         return
-    words = np.array([len(x) for x in bits])
+    order = np.argsort(n, kind="stable")  # by size, so that partners of fitting size are a range
+    n, side, bits, comp = n[order], side[order], [bits[k] for k in order.tolist()], np.unique(comp, return_inverse=True)[1][order].astype(np.int32)
+    end = np.searchsorted(percent * n, 100 * n, side="right").astype(np.int32)
+    m, words = len(n), np.array([len(x) for x in bits])
     level = {w: np.stack([fold(x, w) if len(x) >= w else np.zeros(w, np.uint64) for x in bits]) for w in np.unique(words).tolist()}
-    at_once = max(1, (1 << 19) // (m * int(words.max())))
-    for i in range(0, m - 1, at_once):
-        rows = np.arange(i, min(i + at_once, m))[:, None]
-        ok = (np.arange(m) > rows) & (comp != comp[rows]) & (100 * np.minimum(n, n[rows]) >= percent * np.maximum(n, n[rows]))
+    i = 0
+    while i < m - 1:
+        rows = np.arange(i, min(i + max(1, PAIR_WORDS // (m - i)), m), dtype=np.int32)
+        cols = np.arange(i, end[rows[-1]], dtype=np.int32)
+        ok = (comp[cols] != comp[rows, None]) & (cols > rows[:, None]) & (cols < end[rows, None])
         if two:
-            ok &= side != side[rows]
-        if not ok.any():
-            continue
-        both, most = np.minimum(words, words[rows]), most_unequal(n, n[rows], percent)
+            ok &= side[cols] != side[rows, None]
+        a, b = np.nonzero(ok)  # bitmaps of these pairs only
+        both, most = np.minimum(words[i + a], words[i + b]), most_unequal(n[i + a], n[i + b], percent)
         for w, x in level.items():
-            at = both == w
-            if (ok & at).any():
-                ok &= ~at | (np.bitwise_count(x ^ x[rows[:, 0], None]).sum(axis=2) <= most)
+            at = np.flatnonzero(both == w)
+            for s in np.split(at, range(PAIR_WORDS // w, len(at), PAIR_WORDS // w)):
+                ok[a[s], b[s]] = np.bitwise_count(x[i + a[s]] ^ x[i + b[s]]).sum(axis=1) <= most[s]
         for j in np.flatnonzero(ok.any(axis=1)).tolist():
-            yield i + j, np.flatnonzero(ok[j])
+            yield int(order[i + j]), order[i + np.flatnonzero(ok[j])]
+        i += len(rows)
 
 
 def _close_members(g: dict[str, np.ndarray], percent: int) -> np.ndarray:
@@ -350,10 +354,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     head = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{x}{c[-1] if c != 'bits' else c}") for c in ("bits", "o3", "o4")])
     full = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
     passed = written(pairs.join(head("a"), "a").join(head("b"), "b").mapInPandas(_filtered(percent), "a long, b long"), "ordered-passed")
-    links = written(passed.join(full("a"), "a").join(full("b"), "b").mapInPandas(_verified(percent), "a long, b long"), "ordered-links")
-    first = connected_components(links)
-    # groups whose members are still in several components, in blocks
-    now = shared.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = connected_components(passed.join(full("a"), "a").join(full("b"), "b").mapInPandas(_verified(percent), "a long, b long"))
+    # groups whose members are still in several components, in blocks; of a group
+    # of two, the one pair has met at the pivot
+    now = shared.where("c > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
     mixed = written(mixed, "ordered-mixed")
     now = now.join(mixed, "token").withColumn("nb", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("tokens") / BLOCK_TOKENS)).cast("int"))
@@ -368,7 +372,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = F.when(F.col("bi") == F.col("bj"), F.lit(-1)).otherwise(F.col("side"))
     once = close.groupBy(*BLOCK_KEY).agg(F.count("*").alias("c"), *_members_hash(own)).groupBy("c", "h1", "h2").agg(F.min(F.struct(*BLOCK_KEY)).alias("g")).select("g.*")
     more = dealt(close.join(once, BLOCK_KEY).join(sets, "id")).mapInPandas(_each_block(_block_links, ["a", "b"], percent), "a long, b long")
-    more = written(more.distinct(), "ordered-more")
     final = connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     final = cls.select("id", "first").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
     name = final.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -215,3 +215,35 @@ def test_ordered_jaccard_odd_rows(spark, odd_docs, no_docs):
     got = ordered_jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 45 and {r.component_id for r in got if r.doc_id in (BIG, BIG + 2, 7)} == {7}
     assert {r.doc_id for r in got} == {BIG, BIG + 2, None, 5, 7}
+
+
+def test_block_candidates_are_all_unlinked_pairs_within_the_bounds(monkeypatch):
+    rng, percent = np.random.default_rng(9), 85
+    base = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    sets = [np.unique(base[rng.random(400) < rng.choice([0.1, 0.9, 0.97])]) for _ in range(70)]
+    n, comp, side = np.array([len(s) for s in sets]), rng.integers(0, 40, 70), rng.integers(0, 2, 70)
+    bits = [ordered_jaccard.bitmap(s) for s in sets]
+    for at_once in (1 << 19, 100):
+        monkeypatch.setattr(ordered_jaccard, "PAIR_WORDS", at_once)
+        for two in (False, True):
+            got = [(int(i), int(j)) for i, rest in ordered_jaccard.candidates(n, comp, side, bits, two, percent) for j in rest]
+            want = {(i, j) for i in range(70) for j in range(i) if comp[i] != comp[j] and not (two and side[i] == side[j])
+                    and 100 * min(n[i], n[j]) >= percent * max(n[i], n[j])
+                    and ordered_jaccard.bits_apart(bits[i], bits[j]) <= ordered_jaccard.most_unequal(n[i], n[j], percent)}
+            assert len(got) == len(want) > 100 and {(max(p), min(p)) for p in got} == want
+
+
+def test_ordered_jaccard_blocks_skip_pairs_that_met(spark, monkeypatch):
+    """Groups of two met at the pivot: no block has only two members, and links are kept."""
+    docs = [" ".join(f"w{d}x{j}" if d % 2 and j % 9 == 0 else f"w{d // 2}y{j}" for j in range(60)) for d in range(40)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    seen, real = [], ordered_jaccard.written
+
+    def held(x, name, *a):
+        out = real(x, name, *a)
+        if name == "ordered-mixed":
+            seen.append(out.count())
+        return out
+    monkeypatch.setattr(ordered_jaccard, "written", held)
+    got = {r.doc_id: r.component_id for r in ordered_jaccard.jaccard_join(df).collect()}
+    assert got == {i: i for i in range(40)} and seen == [0]
