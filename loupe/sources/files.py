@@ -7,8 +7,12 @@ temporary folder."""
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,40 +55,92 @@ def file_inventory(spark: SparkSession, root: str, pattern: str | None = None) -
     return df.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "length")
 
 
+FOLDERS = 256  # that text files are dealt over, so that their listing is spread
+
+
+def _text_files(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
+        for b in batches:
+            for folder, key, text in zip(*(c.to_pylist() for c in b.columns)):
+                at = os.path.join(root, f"text-{folder:03d}")
+                if at not in made:
+                    os.makedirs(at, exist_ok=True)
+                    made.add(at)
+                path = os.path.join(at, f"{quote(key, safe='')}.txt")
+                part = f"{path}.{uuid.uuid4().hex}"  # a task that is repeated replaces whole files
+                with open(part, "wb") as f:
+                    f.write((text or b"") + b"\n")
+                os.replace(part, path)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+    return run
+
+
 def write_texts(df: DataFrame, key: str, text: str, path: str) -> None:
-    """One text file per key (``key=value/part-*.txt``)."""
-    df.select(key, text).write.mode("overwrite").partitionBy(key).text(path)
+    """One text file per key, ended by a line break; keys are unique, rows
+    without one get no file.
+
+    In a shared folder that is mounted (scheme ``file``) the tasks write
+    ``{key}.txt`` files themselves (names quoted as in URLs), dealt over
+    sub-folders ``text-NNN`` by the key's hash: a
+    folder, a checksum and a permission call for each would take longer than
+    the texts.  Elsewhere Spark's writer makes ``key=value/part-*.txt``."""
+    df = df.where(F.col(key).isNotNull())
+    sc = df.sparkSession.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    if fs.getScheme() != "file":
+        df.select(key, text).write.mode("overwrite").partitionBy(key).text(path)
+        return
+    fs.mkdirs(target)
+    name = F.col(key).cast("string")
+    rows = df.select(F.pmod(F.xxhash64(name), F.lit(FOLDERS)).alias("folder"), name.alias("key"), F.col(text).cast("binary").alias("text"))
+    rows.mapInArrow(_text_files(fs.makeQualified(target).toUri().getPath()), "n long").agg(F.sum("n")).collect()
 
 
 PER_TASK = 64  # of Spark's small-file splits read by one task
 LISTED = 10_000  # ids that are named to the file listing
 
 
+def _in_folders(spark: SparkSession, path: str, key: str) -> bool:
+    """Whether the first entry, but for hidden ones, is a ``key=value`` folder."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    entries = at.getFileSystem(sc._jsc.hadoopConfiguration()).listStatusIterator(at)
+    while entries.hasNext():
+        name = entries.next().getPath().getName()
+        if not name.startswith(("_", ".")):
+            return name.startswith(f"{key}=")
+    return False
+
+
 def read_texts(spark: SparkSession, path: str, key: str, ids: DataFrame | None = None) -> DataFrame:
     """Whole files below a folder as ``key, text, file_name``: one row a file.
 
-    The key is the value of a ``key=value`` folder around the file (what
-    ``write_texts`` writes), else the name of an ``{id}.txt`` file; other files
+    The key is the value of a ``key=value`` folder around the file, else the
+    name of an ``{id}.txt`` file (``write_texts`` writes either); other files
     are not returned.  Small files are packed, some thousands a task.  With
     ``ids`` (a table with the column ``key``) only theirs are returned: up to
     LISTED ids are named to the file listing, so that the other files of a flat
     folder are never opened; more are joined.  The line break that the text
     writer ends a file with is removed."""
-    df = spark.read.text(path, wholetext=True)
+    foldered = _in_folders(spark, path, key)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", not foldered).load(path)
     name = F.col("_metadata.file_name")
-    if foldered := key in df.columns:  # key=value folders: the key has its discovered type
+    if foldered:  # the key has its discovered type
         found = F.col(key)
     else:
-        df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
         # paths are percent-encoded; a plus sign in them is one
         stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
-        found = F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B")))
+        plain = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+        found = F.when(F.col("_metadata.file_path").rlike(r"/text-\d{3}/[^/]+$"), plain(plain(stem))).otherwise(plain(stem))  # written with quoted names
     if ids is not None:
         ids = ids.select(F.col(key).cast(dict(df.dtypes)[key] if foldered else "string").alias(key)).where(F.col(key).isNotNull()).distinct()
         few = [r[0] for r in ids.limit(LISTED + 1).collect()]
         if len(few) <= LISTED:
-            df = df.where(F.col(key).isin(few) if foldered else name.isin([f"{i}.txt" for i in few]))
-    out = df.select(found.alias(key), F.regexp_replace("value", r"\n$", "").alias("text"), name.alias("file_name"))
+            df = df.where(F.col(key).isin(few) if foldered else name.isin(
+                [f"{x}.txt" for i in few for q in (i, quote(i, safe="")) for x in {q, quote(q)}]))  # as listed and as in a row
+    out = df.select(found.alias(key), F.regexp_replace(F.col("content").cast("string"), r"\n\z", "").alias("text"), name.alias("file_name"))
     out = out if foldered else out.where(F.col(key) != "")
     out = out.coalesce(max(1, -(-df.rdd.getNumPartitions() // PER_TASK)))
     return out.join(ids, key, "left_semi") if ids is not None else out

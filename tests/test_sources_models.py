@@ -36,6 +36,23 @@ def test_flat_folder_of_ten_thousand_files(spark, tmp_path):
     assert "00007.txt" in plan
 
 
+def test_texts_are_written_as_one_file_a_key_and_read_back_whole(spark, tmp_path):
+    texts = {"a/b": "ends in breaks\n\n", "p+q %": "x\n\u2028", "7": "", "é": "line\r\n", "8": None, None: "no key"}
+    texts |= {f"n{i}": f"text {i}\n{i}" for i in range(300)}
+    df = spark.createDataFrame(list(texts.items()), "id string, body string").repartition(4)
+    FS.write_texts(df, "id", "body", f"file://{tmp_path}/t")
+    files = [f for _, _, names in os.walk(tmp_path / "t") for f in names]
+    assert len(files) == len(texts) - 1 and all(f.endswith(".txt") for f in files)  # no checksum beside each
+    want = {k: v or "" for k, v in texts.items() if k is not None}
+    assert {r["id"]: r["text"] for r in FS.read_texts(spark, f"{tmp_path}/t", "id").collect()} == want
+    some = FS.read_texts(spark, f"{tmp_path}/t", "id", df.where("id in ('a/b', '7', 'n5')").select("id"))
+    assert {r["id"] for r in some.collect()} == {"a/b", "7", "n5"}
+    FS.write_texts(df, "id", "body", f"{tmp_path}/t")  # a repeated task replaces its files
+    assert FS.read_texts(spark, f"{tmp_path}/t", "id").count() == len(want)
+    df.where("id like 'n%'").select("id", "body").write.partitionBy("id").text(f"{tmp_path}/u")
+    assert {r["id"]: r["text"] for r in FS.read_texts(spark, f"{tmp_path}/u", "id").collect()} == {k: v for k, v in want.items() if k[0] == "n"}
+
+
 def test_template_by_position(spark):
     rng = np.random.default_rng(2)
     template = spark.createDataFrame([(int(i), -1.0, "x") for i in rng.permutation(500)], "id int, target double, note string").repartition(5)
