@@ -19,16 +19,16 @@ TINY = 1e-10  # shares in logarithms are this at least
 def cloud_words(col) -> Column:
     """Lower-cased words of a text in order: a possessive ``'s`` is cut off,
     numbers are left out."""
-    bare = F.transform(T.tokens(col), lambda w: F.regexp_replace(w, "'s$", ""))
-    return F.filter(bare, lambda w: (w != "") & ~w.rlike(r"^\p{Nd}+$"))
+    bare = F.transform(T.tokens(col), lambda w: F.when(w.endswith("'s"), w.substr(F.lit(1), F.length(w) - 2)).otherwise(w))
+    letter = lambda w: (w >= "a") & (w < "{")  # noqa: E731 - most words start so, and no number
+    return F.filter(bare, lambda w: letter(w) | (w != "") & ~w.rlike(r"^\p{Nd}+$"))
 
 
-def _singular(counts: DataFrame, word: str) -> DataFrame:
-    """``word, base``: a word in -s (not -ss) whose form without it occurs goes
-    to that form, others stay."""
-    known = counts.select(F.col(word).alias("_base"))
-    plural = F.when(F.col(word).endswith("s") & ~F.col(word).endswith("ss"), F.col(word).substr(F.lit(1), F.length(word) - 1))
-    return counts.withColumn("_p", plural).join(known, F.col("_p") == F.col("_base"), "left").withColumn("base", F.coalesce("_base", word)).drop("_p", "_base")
+def _stem(word: str) -> Column:
+    """The form that a word and its plural in -s (not -ss) share; at most
+    these two have it."""
+    w = F.col(word)
+    return F.when(w.endswith("s") & ~w.endswith("ss") & (F.length(w) > 1), w.substr(F.lit(1), F.length(w) - 1)).otherwise(w)
 
 
 def _log_likelihood(k: Column, n: Column, x: Column) -> Column:
@@ -60,16 +60,20 @@ def word_cloud(docs: DataFrame, text: str, top: int = 5000, stop_words=None, thr
     after = F.transform("w", lambda x, i: F.struct(x.alias("a"), F.get(F.col("w"), i + 1).alias("b")))
     pairs = w.select(F.explode(after).alias("p")).where(~F.col("p.a").isin(stop)).select(
         "p.a", F.when(~F.col("p.b").isin(stop), F.col("p.b")).alias("b"))
-    pairs = stored(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), "word-pairs")
-    words = stored(_singular(pairs.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "word"), "word"), "words")
-    counts = stored(words.groupBy("base").agg(F.sum("n").alias("n")), "word-counts")
+    # counted by the second word's stem: the singular stands for both where it occurs
+    pairs = pairs.withColumn("stem", _stem("b")).groupBy("a", "stem").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("b") == F.col("stem"), 1)).alias("singular"))
+    plural = F.concat("stem", F.lit("s"))
+    pairs = stored(pairs.select("a", F.when(F.col("singular") > 0, F.col("stem")).otherwise(plural).alias("b"), "n"), "word-pairs")
+    words = pairs.groupBy("a").agg(F.sum("n").alias("n")).withColumn("stem", _stem("a")).groupBy("stem").agg(
+        F.sum("n").alias("n"), *[F.count(F.when((F.col("a") == F.col("stem")) == x, 1)).alias(c) for x, c in ((True, "singular"), (False, "plural"))])
+    words = words.select("n", "stem", F.when(F.col("singular") > 0, F.col("stem")).otherwise(plural).alias("base"), "singular", "plural")
+    words = stored(words, "words")
+    counts = words.select("base", "n")
     total = F.lit(counts.agg(F.sum("n")).first()[0] or 0)
-    two = pairs.where("b is not null").select(F.concat_ws(" ", "a", "b").alias("pair"), "a", "b", "n")
-    two = _singular(two, "pair").withColumn("b", F.when(F.col("base") != F.col("pair"), F.col("b").substr(F.lit(1), F.length("b") - 1)).otherwise(F.col("b")))
-    two = two.groupBy("base", "a", "b").agg(F.sum("n").alias("n"))
-    form = lambda x: words.select(F.col("word").alias(x), F.col("base").alias(f"{x}_form"))
-    size = lambda x: counts.select(F.col("base").alias(f"{x}_form"), F.col("n").alias(f"n_{x}"))
-    two = two.join(form("a"), "a").join(form("b"), "b").join(size("a"), "a_form").join(size("b"), "b_form")
+    forms = F.array_compact(F.array(F.when(F.col("singular") > 0, F.col("stem")), F.when(F.col("plural") > 0, plural)))
+    form = lambda x: words.select(F.explode(forms).alias(x), F.col("base").alias(f"{x}_form"), F.col("n").alias(f"n_{x}")).hint("shuffle_hash")  # noqa: E731 - a share of the words is small, the pairs need no sort
+    two = pairs.where("b is not null").join(form("a"), "a").join(form("b"), "b").withColumn("base", F.concat_ws(" ", "a", "b"))
     two = stored(two.where(likelihood_ratio(F.col("n"), F.col("n_a"), F.col("n_b"), total) > threshold).select("base", "a_form", "b_form", "n"), "collocations")
     gone = two.select("n", F.explode(F.array("a_form", "b_form")).alias("base")).groupBy("base").agg(F.sum("n").alias("gone"))
     left = counts.join(gone, "base", "left").select("base", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n")).where("n > 0")
