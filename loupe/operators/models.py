@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loupe.operators.scalars import with_scalars
 from loupe.operators.series import halo_window, position
+from loupe.session import materialize
 
 
 def tabular_prepare(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str],
@@ -318,25 +319,52 @@ def gbt_classifier_pipeline(num_cols: Sequence[str], cat_cols: Sequence[str], la
     return Pipeline(stages=stages)
 
 
+BINS = 32  # of a numeric column, as many as a tree's split search takes
+
+
+def bin_splits(df: DataFrame, col: str, most: int = BINS) -> list[float]:
+    """Edges that give each value its own bin, or with more than ``most``
+    values, bins of about equal counts."""
+    few = sorted(r[0] for r in df.select(col).distinct().limit(most + 1).collect())
+    cuts = few[1:] or few if len(few) <= most else df.approxQuantile(col, [k / most for k in range(1, most)], 0.001)
+    return [-math.inf, *sorted({c for c in cuts if math.isfinite(c)} or {0.0}), math.inf]
+
+
+class CountedTrees:
+    """Boosted regression trees over counted rows: the rows are binned as the
+    split search does it, and those alike in all features become one row with
+    their mean label, weighed by their number.  Squared error splits these as
+    it splits the rows, so the passes of the boosting read a table bounded by
+    the bins and not the input.  Fitted, it is a plain pipeline model."""
+
+    def __init__(self, num_cols: Sequence[str], cat_cols: Sequence[str], label: str, max_iter: int, seed: int):
+        self.num_cols, self.cat_cols, self.label, self.max_iter, self.seed = list(num_cols), list(cat_cols), label, max_iter, seed
+
+    def fit(self, df: DataFrame):
+        from pyspark.ml import Pipeline, PipelineModel
+        from pyspark.ml.feature import Bucketizer, Imputer, StandardScaler, StringIndexer, VectorAssembler
+        from pyspark.ml.regression import GBTRegressor
+        imp, idx, binned = ([f"{c}_{x}" for c in cols] for cols, x in ((self.num_cols, "imp"), (self.cat_cols, "idx"), (self.num_cols, "bin")))
+        stages = [StringIndexer(inputCols=self.cat_cols, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc")] if idx else []
+        stages += [Imputer(inputCols=self.num_cols, outputCols=imp, strategy="median")] if imp else []
+        ready = Pipeline(stages=stages).fit(df)
+        x, bins = ready.transform(df), []
+        if imp:
+            bins = [Bucketizer(splitsArray=[bin_splits(x, c) for c in imp], inputCols=imp, outputCols=binned)]
+            x = bins[0].transform(x)
+        x = materialize(x.groupBy(*binned, *idx).agg(F.avg(self.label).alias(self.label), F.count("*").cast("double").alias("_rows")))
+        trees = Pipeline(stages=[
+            VectorAssembler(inputCols=binned + idx, outputCol="_raw", handleInvalid="keep"),
+            StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
+            GBTRegressor(featuresCol="features", labelCol=self.label, weightCol="_rows", maxIter=self.max_iter, maxDepth=5,
+                         maxBins=BINS, seed=self.seed, checkpointInterval=10)]).fit(x)
+        return PipelineModel([*ready.stages, *bins, *trees.stages])
+
+
 def gbt_regressor_pipeline(num_cols: Sequence[str], cat_cols: Sequence[str], label: str,
                            max_iter: int = 20, seed: int = 42):
-    """Categorify (index) + median fill + scale -> GBTRegressor."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-    stages = []
-    idx_cols = []
-    for c in cat_cols:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        idx_cols.append(f"{c}_idx")
-    imp_out = [f"{c}_imp" for c in num_cols]
-    stages.append(Imputer(inputCols=list(num_cols), outputCols=imp_out, strategy="median"))
-    stages.append(VectorAssembler(inputCols=imp_out + idx_cols, outputCol="_raw", handleInvalid="keep"))
-    stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True))
-    stages.append(GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=5,
-                               seed=seed, checkpointInterval=10))
-    return Pipeline(stages=stages)
+    """Categorify (index) + median fill + bins + scale -> GBTRegressor."""
+    return CountedTrees(num_cols, cat_cols, label, max_iter, seed)
 
 
 # ----------------------------------------------------------------- metrics

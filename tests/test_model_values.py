@@ -39,6 +39,25 @@ def test_tree_regressor_on_unseen_rows(spark):
     assert ((got.prediction - got.y) ** 2).mean() < 0.05 * got.y.var()
 
 
+def test_tree_regressor_equals_trees_over_all_rows_and_reads_few(spark, monkeypatch):
+    """Up to 32 values: the trees are those over the rows.  More: bins bound the counted rows."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    rng, n = np.random.default_rng(5), 4000
+    x, kind = rng.integers(0, 20, n) / 4, rng.integers(0, 3, n)
+    y = np.where(kind == 1, x * x, 9 - x) + rng.normal(size=n)
+    df = spark.createDataFrame([(float(x[i]), str(kind[i]), float(kind[i]), float(y[i]), float(rng.normal())) for i in range(n)], "x double, kind string, k double, y double, z double")
+    counts, real = [], MD.materialize
+    monkeypatch.setattr(MD, "materialize", lambda t: (counts.append((u := real(t)).count()), u)[1])
+    got = MD.gbt_regressor_pipeline(["x"], ["kind"], "y", max_iter=8).fit(df).transform(df).select("x", "k", "prediction").distinct().toPandas()
+    rows = VectorAssembler(inputCols=["x", "k"], outputCol="f").transform(df)
+    want = GBTRegressor(featuresCol="f", labelCol="y", maxIter=8, maxDepth=5, seed=42).fit(rows).transform(rows).select("x", "k", "prediction").distinct().toPandas()
+    both = got.merge(want, on=["x", "k"])
+    assert len(both) == 60 and np.allclose(both.prediction_x, both.prediction_y) and counts == [60]
+    MD.gbt_regressor_pipeline(["z"], ["kind"], "y", max_iter=2).fit(df)
+    assert 60 < counts[1] <= 32 * 3
+
+
 def test_tabular_regress_on_unseen_rows(spark):
     """The generated prices do not depend on the features: the trees must not
     do worse than the mean, and stay in the allowed range."""
