@@ -54,6 +54,42 @@ def test_texts_are_written_as_one_file_a_key_and_read_back_whole(spark, tmp_path
     assert {r["id"]: r["text"] for r in FS.read_texts(spark, f"{tmp_path}/u", "id").collect()} == {k: v for k, v in want.items() if k[0] == "n"}
 
 
+def test_text_files_are_listed_by_tasks_not_by_the_driver(spark, tmp_path):
+    df = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("text "), "id").alias("body"))
+    FS.write_texts(df, "id", "body", f"{tmp_path}/t")
+    got = FS.read_texts(spark, f"{tmp_path}/t", "id")
+    assert len(got.inputFiles()) < 100  # the planner knows the stored listing, no text file
+    assert sum(f.is_file() for f in (tmp_path / "t").rglob("*")) == 2000 == got.where("text = 'text ' || id").distinct().count()
+    q = E.queries()["src_wholetext_join"](spark, SF_SMALL)
+    n = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+    assert len(q.inputFiles()) < n / 2
+    want = spark.read.parquet(f"{SF_SMALL}/documents.parquet").selectExpr("doc_id", "lang", "length(text)")
+    assert sorted(map(tuple, q.collect())) == sorted(map(tuple, want.collect()))
+    # the listing is small, the texts need not be: neither side of a join sends them through the driver
+    for j in (got.join(df, "id"), df.join(got, "id")):
+        assert "BroadcastExchange" not in j._jdf.queryExecution().executedPlan().toString() and j.count() == 2000
+
+
+def test_listed_text_files_of_any_depth_and_name(spark, tmp_path, monkeypatch):
+    names = ["a b", "p%20q", "é", "100%", "sub/deep/z", "sub/[x]#?", "text-007/p%2Bq%20r", "empty"]
+    for n in [*names, "_hidden", ".hidden", "_no/x", ".no/y"]:
+        (tmp_path / "t" / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / f"{n}.txt").write_bytes(b"" if n == "empty" else f"{n}\n\n".encode())
+    (tmp_path / "t/notes.md").write_text("not one")
+    (tmp_path / "t/nothing").mkdir()
+    os.symlink(tmp_path / "nowhere", tmp_path / "t/broken.txt")
+    monkeypatch.setattr(FS, "ENTRIES", 2)
+    monkeypatch.setattr(FS, "HELD", 8)
+    got = [(r["id"], r["text"]) for r in FS.read_texts(spark, f"file://{tmp_path}/t", "id").collect()]
+    key = lambda n: "p+q r" if n.startswith("text") else n.split("/")[-1]
+    assert sorted(got) == sorted((key(n), "" if n == "empty" else f"{n}\n") for n in names)
+    ids = spark.createDataFrame([("a b",), ("100%",), ("p+q r",), ("[x]#?",), ("none",)], "path string")
+    assert {r["path"] for r in FS.read_texts(spark, f"{tmp_path}/t", "path", ids).collect()} == {"a b", "100%", "p+q r", "[x]#?"}
+    monkeypatch.setattr(FS, "LISTED", 2)  # more ids are joined to the listing
+    assert {r["path"] for r in FS.read_texts(spark, f"{tmp_path}/t", "path", ids).collect()} == {"a b", "100%", "p+q r", "[x]#?"}
+    assert FS.read_texts(spark, f"{tmp_path}/t/nothing", "id").count() == 0
+
+
 def test_template_by_position(spark):
     rng = np.random.default_rng(2)
     template = spark.createDataFrame([(int(i), -1.0, "x") for i in rng.permutation(500)], "id int, target double, note string").repartition(5)
