@@ -58,8 +58,10 @@ def src_wholetext_join(spark, d):
     path = FS.new_scratch(spark, "texts")
     FS.write_texts(t.documents, "doc_id", "text", path)
     texts = FS.read_texts(spark, path, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
+    # what is returned of a text is taken before the join, so that texts are not shuffled
+    texts = texts.withColumn("text_len", F.length("text").cast("long")).drop("text", "file_name")
     j = texts.join(t.documents.select("doc_id", "lang"), "doc_id")
-    return j.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length("text").cast("long").alias("text_len"))
+    return j.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text_len")
 
 
 @query("html_rows", oracle="""
