@@ -65,6 +65,8 @@ def test_text_files_are_listed_by_tasks_not_by_the_driver(spark, tmp_path):
     assert len(q.inputFiles()) < n / 2
     want = spark.read.parquet(f"{SF_SMALL}/documents.parquet").selectExpr("doc_id", "lang", "length(text)")
     assert sorted(map(tuple, q.collect())) == sorted(map(tuple, want.collect()))
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(" in plan[plan.index("Join Inner"):] and "length(" not in plan[:plan.index("Join Inner")]  # no text is shuffled
     # the listing is small, the texts need not be: neither side of a join sends them through the driver
     for j in (got.join(df, "id"), df.join(got, "id")):
         assert "BroadcastExchange" not in j._jdf.queryExecution().executedPlan().toString() and j.count() == 2000
